@@ -1,0 +1,104 @@
+"""The registered queries of this package and, where SQL can express them, their SQL."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from skerry.llm import container_packing, conversations, corpus_encoding, distinctive_terms, similar_vectors
+from skerry.session import table
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    found = distinctive_terms.distinctive_terms(table(spark, d, "record_chunks"), "chunk_id", "text", "ingested_at")
+    return found.select(F.col("record").alias("chunk_id"), "term")
+
+
+def p1_scores(spark: SparkSession, d: str) -> DataFrame:
+    scored = distinctive_terms.log_entropy(table(spark, d, "record_chunks"), "chunk_id", "text", "ingested_at")
+    return scored.select(F.col("record").alias("chunk_id"), "term", "tf", "df", F.round("score", 6).alias("score"))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    tables = table(spark, d, "minilm_f32_kernel_test_vectors"), table(spark, d, "uint8_snapshot_graph")
+    return similar_vectors.similar_pairs(similar_vectors.similar_in_both(*tables))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return conversations.rebuild_conversations(table(spark, d, "chat_messages"), table(spark, d, "chat_threads"))
+
+
+def p8_ids(spark: SparkSession, d: str) -> DataFrame:
+    return corpus_encoding.encode_corpus(table(spark, d, "documents"))
+
+
+def p9_containers(spark: SparkSession, d: str) -> DataFrame:
+    sizes = corpus_encoding.token_counts(table(spark, d, "documents"))
+    return container_packing.fill_containers(sizes, table(spark, d, "container_sizes"))
+
+
+def p9_fill(spark: SparkSession, d: str) -> DataFrame:
+    return container_packing.fill_report(p9_containers(spark, d), table(spark, d, "container_sizes"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f for f in (p1_found, p1_scores, p2_found, p3_found, p8_ids, p9_containers, p9_fill)
+}
+
+_RECORD_TERMS = """
+WITH latest AS (
+  SELECT chunk_id, arg_max(text, ingested_at) AS text FROM record_chunks WHERE chunk_id IS NOT NULL AND text IS NOT NULL GROUP BY chunk_id
+), terms AS (
+  SELECT chunk_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]{3,}')) AS term FROM latest
+), counted AS (
+  SELECT chunk_id, term, count(*) AS tf FROM terms GROUP BY chunk_id, term
+), spread AS (
+  SELECT term, sum(tf) AS gf, count(*) AS df, sum(tf * ln(tf)) AS tlogt FROM counted GROUP BY term
+), total AS (SELECT count(DISTINCT chunk_id) AS n FROM record_chunks WHERE chunk_id IS NOT NULL)
+"""
+
+SQL: dict[str, str] = {
+    "p1_found": _RECORD_TERMS + "SELECT chunk_id, term FROM counted JOIN spread USING (term) WHERE tf >= 3 AND df BETWEEN 2 AND 8",
+    "p1_scores": _RECORD_TERMS
+    + """
+SELECT chunk_id, term, tf, df, round(ln(1 + tf) * (1 - (ln(gf) - tlogt / gf) / ln(n)), 6) AS score
+FROM counted JOIN spread USING (term) CROSS JOIN total""",
+    "p3_found": """
+WITH RECURSIVE latest AS (
+  SELECT conv_id, message_id, parent, role, recipient, content FROM chat_messages
+  WHERE conv_id IS NOT NULL AND message_id IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY conv_id, message_id ORDER BY exported_at DESC) = 1
+), parsed AS (
+  SELECT *, lower(trim(role)) AS who,
+         CASE WHEN content LIKE '{%' AND json_valid(content) AND json_extract_string(content, '$.content_type') IS NOT NULL THEN content END AS j
+  FROM latest
+), shown AS (
+  SELECT conv_id, message_id, parent, who, recipient,
+         CASE WHEN j IS NULL THEN coalesce(regexp_matches(content, '[^\\s\\x{00A0}]'), false)
+              ELSE json_extract_string(j, '$.content_type') IN ('text', 'multimodal_text')
+               AND len(list_filter(coalesce(CAST(json_extract(j, '$.parts') AS JSON[]), []),
+                                   lambda p: json_type(p) = 'VARCHAR' AND regexp_matches(json_extract_string(p, '$'), '[^\\s\\x{00A0}]'))) > 0 END AS visible
+  FROM parsed
+), kinds AS (
+  SELECT conv_id, message_id, parent,
+         CASE WHEN visible AND who IN ('user', 'human') THEN 1
+              WHEN visible AND who IN ('assistant', 'model', 'bot') AND (recipient IS NULL OR recipient = 'all') THEN 2 ELSE 0 END AS kind
+  FROM shown
+), walk AS (
+  SELECT t.conv_id, t.current_node AS node, 0 AS up FROM chat_threads t WHERE t.current_node IS NOT NULL AND t.conv_id IS NOT NULL
+  UNION ALL
+  SELECT w.conv_id, k.parent, w.up + 1 FROM walk w JOIN kinds k ON k.conv_id = w.conv_id AND k.message_id = w.node
+  WHERE w.up < 2000 AND w.node IS NOT NULL
+), ended AS (
+  SELECT conv_id, bool_or(node IS NULL) AS whole FROM walk GROUP BY conv_id
+), turns AS (
+  SELECT w.conv_id, w.node AS message_id, w.up, k.kind FROM walk w JOIN kinds k ON k.conv_id = w.conv_id AND k.message_id = w.node
+  JOIN ended e ON e.conv_id = w.conv_id AND e.whole WHERE k.kind > 0
+), ends AS (
+  SELECT conv_id, max(up) FILTER (kind = 1) AS first_user, arg_min(kind, up) AS last_kind FROM turns GROUP BY conv_id
+)
+SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY up DESC) AS INTEGER) AS turn_no, message_id
+FROM turns JOIN ends USING (conv_id) WHERE last_kind = 2 AND up <= first_user""",
+}
