@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skerry.llm import container_packing, conversations, corpus_encoding, distinctive_terms, similar_vectors
+from skerry.llm import container_packing, conversations, corpus_encoding, distinctive_terms, markup, near_duplicates, similar_vectors
 from skerry.session import table
 
 
@@ -30,6 +30,27 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return conversations.rebuild_conversations(table(spark, d, "chat_messages"), table(spark, d, "chat_threads"))
 
 
+def _document_classes(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return near_duplicates.near_duplicate_classes(table(spark, d, "documents"), width=3, threshold=0.6, min_words=20)
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    pairs = near_duplicates.near_duplicate_pairs(*_document_classes(spark, d))
+    return pairs.select(F.col("id_a").alias("doc_id_a"), F.col("id_b").alias("doc_id_b"))
+
+
+def p5_groups(spark: SparkSession, d: str) -> DataFrame:
+    return near_duplicates.near_duplicate_groups(*_document_classes(spark, d)).withColumnRenamed("id", "doc_id")
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return markup.find_markup(table(spark, d, "record_chunks"))
+
+
+def p6_clean(spark: SparkSession, d: str) -> DataFrame:
+    return markup.clean_markup(table(spark, d, "record_chunks"))
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return corpus_encoding.encode_corpus(table(spark, d, "documents"))
 
@@ -44,7 +65,7 @@ def p9_fill(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_scores, p2_found, p3_found, p8_ids, p9_containers, p9_fill)
+    f.__name__: f for f in (p1_found, p1_scores, p2_found, p3_found, p5_found, p5_groups, p6_found, p6_clean, p8_ids, p9_containers, p9_fill)
 }
 
 _RECORD_TERMS = """
@@ -101,4 +122,16 @@ WITH RECURSIVE latest AS (
 )
 SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY up DESC) AS INTEGER) AS turn_no, message_id
 FROM turns JOIN ends USING (conv_id) WHERE last_kind = 2 AND up <= first_user""",
+    "p5_found": """
+WITH worded AS (
+  SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL
+), shingled AS (
+  SELECT doc_id, list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS s
+  FROM worded WHERE len(w) >= 20
+), each AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM shingled
+), shared AS (
+  SELECT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS both
+  FROM each a JOIN each b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id
+)
+SELECT doc_id_a, doc_id_b FROM shared WHERE both / (na + nb - both) >= 0.6""",
 }
