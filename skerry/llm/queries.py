@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skerry.llm import container_packing, conversations, corpus_encoding, distinctive_terms, markup, near_duplicates, similar_vectors
+from skerry.llm import container_packing, conversations, corpus_encoding, distinctive_terms, markup, near_duplicates, similar_vectors, split_overlap
 from skerry.session import table
 
 
@@ -51,6 +51,18 @@ def p6_clean(spark: SparkSession, d: str) -> DataFrame:
     return markup.clean_markup(table(spark, d, "record_chunks"))
 
 
+def _split_overlaps(spark: SparkSession, d: str) -> DataFrame:
+    return split_overlap.split_overlaps(table(spark, d, "abstention_examples"))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return _split_overlaps(spark, d).select(F.col("id_a").alias("example_id_a"), F.col("id_b").alias("example_id_b")).distinct()
+
+
+def p7_report(spark: SparkSession, d: str) -> DataFrame:
+    return split_overlap.overlap_report(_split_overlaps(spark, d), table(spark, d, "abstention_examples"))
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return corpus_encoding.encode_corpus(table(spark, d, "documents"))
 
@@ -65,7 +77,7 @@ def p9_fill(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_scores, p2_found, p3_found, p5_found, p5_groups, p6_found, p6_clean, p8_ids, p9_containers, p9_fill)
+    f.__name__: f for f in (p1_found, p1_scores, p2_found, p3_found, p5_found, p5_groups, p6_found, p6_clean, p7_found, p7_report, p8_ids, p9_containers, p9_fill)
 }
 
 _RECORD_TERMS = """
@@ -130,8 +142,8 @@ WITH worded AS (
   FROM worded WHERE len(w) >= 20
 ), each AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM shingled
 ), shared AS (
-  SELECT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS both
+  SELECT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS common
   FROM each a JOIN each b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id
 )
-SELECT doc_id_a, doc_id_b FROM shared WHERE both / (na + nb - both) >= 0.6""",
+SELECT doc_id_a, doc_id_b FROM shared WHERE common / (na + nb - common) >= 0.6""",
 }
