@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skerry.llm import container_packing, conversations, corpus_encoding, distinctive_terms, markup, near_duplicates, similar_vectors, split_overlap
+from skerry.llm import container_packing, conversations, corpus_encoding, distinctive_terms, markup, near_duplicates, page_body, similar_vectors, split_overlap
 from skerry.session import table
 
 
@@ -30,6 +30,10 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return conversations.rebuild_conversations(table(spark, d, "chat_messages"), table(spark, d, "chat_threads"))
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return page_body.main_body(table(spark, d, "page_texts"))
+
+
 def _document_classes(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return near_duplicates.near_duplicate_classes(table(spark, d, "documents"), width=3, threshold=0.6, min_words=20)
 
@@ -77,7 +81,7 @@ def p9_fill(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_scores, p2_found, p3_found, p5_found, p5_groups, p6_found, p6_clean, p7_found, p7_report, p8_ids, p9_containers, p9_fill)
+    f.__name__: f for f in (p1_found, p1_scores, p2_found, p3_found, p4_found, p5_found, p5_groups, p6_found, p6_clean, p7_found, p7_report, p8_ids, p9_containers, p9_fill)
 }
 
 _RECORD_TERMS = """
