@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skerry.llm import container_packing, conversations, corpus_encoding, distinctive_terms, markup, near_duplicates, page_body, similar_vectors, split_overlap
+from skerry.llm import abusive_content, container_packing, conversations, corpus_encoding, distinctive_terms, markup, near_duplicates, page_body, similar_vectors, split_overlap
 from skerry.session import table
 
 
@@ -80,8 +80,28 @@ def p9_fill(spark: SparkSession, d: str) -> DataFrame:
     return container_packing.fill_report(p9_containers(spark, d), table(spark, d, "container_sizes"))
 
 
+#: The peoples and sects that the texts name, for the counterfactual penalty.
+PEOPLES = ["veldrani", "ostrelli", "quorish", "tamberite", "sundrel", "morvish"]
+
+
+def _scored(spark: SparkSession, d: str) -> DataFrame:
+    return abusive_content.score_documents(table(spark, d, "documents"), table(spark, d, "content_labels"), PEOPLES)
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return _scored(spark, d).where(F.col("score") >= abusive_content.THRESHOLD).select("doc_id").distinct()
+
+
+def p10_scores(spark: SparkSession, d: str) -> DataFrame:
+    return _scored(spark, d)
+
+
+def p10_rates(spark: SparkSession, d: str) -> DataFrame:
+    return abusive_content.rates(_scored(spark, d))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_scores, p2_found, p3_found, p4_found, p5_found, p5_groups, p6_found, p6_clean, p7_found, p7_report, p8_ids, p9_containers, p9_fill)
+    f.__name__: f for f in (p1_found, p1_scores, p2_found, p3_found, p4_found, p5_found, p5_groups, p6_found, p6_clean, p7_found, p7_report, p8_ids, p9_containers, p9_fill, p10_found, p10_scores, p10_rates)
 }
 
 _RECORD_TERMS = """
