@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,6 +13,11 @@ from skerry.errors import require
 LEAST_NORM = 1e-30
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once a row; a lambda over an array would compute it for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def doubles(v: Column) -> Column:
     return v.cast("array<double>")
 
@@ -34,8 +41,7 @@ def is_valid(v: Column, dim: int) -> Column:
 
 
 def normalized(v: Column) -> Column:
-    length = norm(v)
-    return F.transform(v, lambda x: x / length)
+    return let(v, lambda a: let(norm(a), lambda n: F.transform(a, lambda x: x / n)))
 
 
 def cosine_distance(a: Column, b: Column) -> Column:
@@ -49,12 +55,20 @@ def l2_distance(a: Column, b: Column) -> Column:
 
 def quantized(v: Column) -> Column:
     """Affine 8-bit codes: a struct ``q, scale, offset, sum_q, sum_q2``."""
-    low, high = F.array_min(v), F.array_max(v)
-    span = F.when(high - low < 1e-30, F.lit(1.0)).otherwise(high - low)
-    q = F.transform(v, lambda x: F.greatest(F.lit(0), F.least(F.lit(255), F.floor((x - low) * 255 / span + 0.5).cast("int"))))
-    sum_q = F.aggregate(q, F.lit(0).cast("long"), lambda a, x: a + x)
-    sum_q2 = F.aggregate(q, F.lit(0).cast("long"), lambda a, x: a + x * x)
-    return F.struct(q.alias("q"), (span / 255).alias("scale"), low.alias("offset"), sum_q.alias("sum_q"), sum_q2.alias("sum_q2"))
+
+    def codes(a: Column, b: Column) -> Column:
+        return F.transform(a, lambda x: F.greatest(F.lit(0), F.least(F.lit(255), F.floor((x - b["low"]) * 255 / b["span"] + 0.5).cast("int"))))
+
+    def bounds(a: Column) -> Column:
+        low, width = F.array_min(a), F.array_max(a) - F.array_min(a)
+        return F.struct(low.alias("low"), F.when(width < 1e-30, F.lit(1.0)).otherwise(width).alias("span"))
+
+    def whole(q: Column, b: Column) -> Column:
+        sum_q = F.aggregate(q, F.lit(0).cast("long"), lambda s, x: s + x)
+        sum_q2 = F.aggregate(q, F.lit(0).cast("long"), lambda s, x: s + x * x)
+        return F.struct(q.alias("q"), (b["span"] / 255).alias("scale"), b["low"].alias("offset"), sum_q.alias("sum_q"), sum_q2.alias("sum_q2"))
+
+    return let(v, lambda a: let(bounds(a), lambda b: let(codes(a, b), lambda q: whole(q, b))))
 
 
 def dequantized(q: Column, scale: Column, offset: Column) -> Column:
@@ -82,8 +96,12 @@ def symmetric_dot(a: Column, b: Column, dim: int) -> Column:
 def pooled(v: Column, pool: int) -> Column:
     """Means of ``pool`` neighbouring components."""
     require(pool > 0, "pool must be positive")
-    places = F.sequence(F.lit(0), (F.size(v) / pool).cast("int") - 1)
-    return F.transform(places, lambda i: total(F.slice(v, i * pool + 1, F.lit(pool))) / pool)
+
+    def means(a: Column) -> Column:
+        places = F.sequence(F.lit(0), (F.size(a) / pool).cast("int") - 1)
+        return F.transform(places, lambda i: total(F.slice(a, i * pool + 1, F.lit(pool))) / pool)
+
+    return let(v, means)
 
 
 def sketched(q: Column, pool: int, bits: int = 4) -> Column:
@@ -109,6 +127,9 @@ def hash_embedding(words: Column, dims: int) -> Column:
     place = lambda w: (F.conv(F.concat(*[F.substring(F.sha2(w, 256), i, 2) for i in (7, 5, 3, 1)]), 16, 10).cast("long") % dims).cast("int")
     weight = lambda w: F.conv(F.substring(F.sha2(w, 256), 9, 2), 16, 10).cast("double") / 255 * 2 - 1
     pairs = F.transform(words, lambda w: F.struct(place(w).alias("i"), weight(w).alias("x")))
-    sums = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda d: F.aggregate(F.filter(pairs, lambda p: p["i"] == d), F.lit(0.0), lambda a, p: a + p["x"]))
-    length = norm(sums)
-    return F.transform(sums, lambda x: F.when(length > 0, x / length).otherwise(x))
+
+    def sums(p: Column) -> Column:
+        places = F.sequence(F.lit(0), F.lit(dims - 1))
+        return F.transform(places, lambda d: F.aggregate(F.filter(p, lambda y: y["i"] == d), F.lit(0.0), lambda a, y: a + y["x"]))
+
+    return let(let(pairs, sums), lambda v: let(norm(v), lambda n: F.transform(v, lambda x: F.when(n > 0, x / n).otherwise(x))))

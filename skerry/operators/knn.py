@@ -110,6 +110,19 @@ def exact_knn(queries: DataFrame, rows: DataFrame, k: int, dim: int, metric: str
     return ranked(left.groupBy("qb", "rb").cogroup(right.groupBy("qb", "rb")).applyInArrow(meet, _SCHEMA), k)
 
 
+def with_candidates(near: DataFrame, extra: DataFrame, queries: DataFrame, rows: DataFrame) -> DataFrame:
+    """``near`` with the extra pairs (query_id, record_id) at their exact cosine distances, ranked anew.
+
+    Vectors meet only for the few extra pairs of each query, each side by one join.
+    """
+    pairs = extra.select("query_id", "record_id").join(near.select("query_id", "record_id"), ["query_id", "record_id"], "left_anti")
+    asked = queries.select("query_id", V.doubles(F.col("vector")).alias("qv"))
+    both = pairs.join(asked, "query_id").join(rows.select("record_id", V.doubles(F.col("vector")).alias("rv")), "record_id")
+    more = both.select("query_id", "record_id", F.round(V.cosine_distance(F.col("qv"), F.col("rv")), DECIMALS).alias("distance"))
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "record_id"))
+    return near.select("query_id", "record_id", "distance").unionByName(more).withColumn("vec_rank", place - 1)
+
+
 def rerank_depth(live: int, k: int, rerank: int | None = None, recommended: int | None = None) -> int:
     """How many sketch candidates are ranked exactly."""
     return min(live, max(k, rerank or min(recommended or 0, 4096) or max(100, 10 * k)))
@@ -117,9 +130,14 @@ def rerank_depth(live: int, k: int, rerank: int | None = None, recommended: int
 
 def coded(rows: DataFrame, pool: int, bits: int = 4) -> DataFrame:
     """``record_id, q, scale, offset, sum_q, sum_q2, sketch``: the columns that a coded index stores."""
-    code = rows.select("record_id", V.quantized(V.normalized(V.doubles(F.col("vector")))).alias("c"))
-    flat = code.select("record_id", "c.*")
-    return flat.withColumn("sketch", V.sketched(F.col("q"), pool, bits))
+
+    def with_sketch(c: Column) -> Column:
+        fields = [c[f].alias(f) for f in ("q", "scale", "offset", "sum_q", "sum_q2")]
+        return F.struct(*fields, V.sketched(c["q"], pool, bits).alias("sketch"))
+
+    code = V.let(V.quantized(V.normalized(V.doubles(F.col("vector")))), with_sketch)
+    # One generator keeps the struct from being computed again for each of its fields.
+    return rows.select("record_id", F.inline(F.array(code)))
 
 
 def sketch_matrix_distances(query: np.ndarray, sketch: np.ndarray, scale: np.ndarray, offset: np.ndarray, pool: int, bits: int) -> np.ndarray:
