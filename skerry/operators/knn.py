@@ -60,6 +60,10 @@ def _best(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, row_ids:
     return pa.RecordBatch.from_arrays([pa.array(cols[0].astype(np.int64)), pa.array(cols[1].astype(np.int64)), pa.array(cols[2].astype(np.float64))], names=["query_id", "record_id", "distance"])
 
 
+def _numbers(n: int) -> Column:
+    return F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))
+
+
 _SCHEMA = "query_id long, record_id long, distance double"
 
 
@@ -98,8 +102,8 @@ def exact_knn(queries: DataFrame, rows: DataFrame, k: int, dim: int, metric: str
 
         return ranked(rows.mapInArrow(scan, _SCHEMA), k)
     n_query, n_row = -(-asked // BLOCK), max(1, -(-rows.count() // BLOCK))
-    left = queries.select("query_id", "vector", F.pmod(F.xxhash64("query_id"), F.lit(n_query)).alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(n_row - 1))).alias("rb"))
-    right = rows.select("record_id", "vector", F.explode(F.sequence(F.lit(0), F.lit(n_query - 1))).cast("long").alias("qb"), F.pmod(F.xxhash64("record_id"), F.lit(n_row)).cast("int").alias("rb"))
+    left = queries.select("query_id", "vector", F.pmod(F.xxhash64("query_id"), F.lit(n_query)).alias("qb"), F.explode(_numbers(n_row)).alias("rb"))
+    right = rows.select("record_id", "vector", F.explode(_numbers(n_query)).alias("qb"), F.pmod(F.xxhash64("record_id"), F.lit(n_row)).alias("rb"))
 
     def meet(key: tuple, a: pa.Table, b: pa.Table) -> pa.Table:
         if not (a.num_rows and b.num_rows):
