@@ -30,6 +30,8 @@ BLOCKS = "address article aside blockquote body br caption center dd details div
 
 MATH = "equation|align|gather|multline|eqnarray|displaymath|math"
 
+# Emphasis and inline code end within a thousand characters, so that a line of unclosed marks takes linear time.
+
 #: Code, by syntax; the group ``code`` is what the marks enclose.
 CODE = [
     ("markdown", re.compile(r"^[ \t]{0,3}(?P<fence>`{3,}|~{3,})[^\n`]*\n(?P<code>.*?)(?:^[ \t]{0,3}(?P=fence)[`~]*[ \t]*$|\Z)", re.S | re.M)),
@@ -37,7 +39,7 @@ CODE = [
     ("html", re.compile(r"<pre\b[^<>]*>\s*(?:<code\b[^<>]*>)?(?P<code>.*?)(?:</code>\s*)?</pre>", re.S | re.I)),
     ("html", re.compile(r"<code\b[^<>]*>(?P<code>.*?)</code>", re.S | re.I)),
     ("wiki", re.compile(r"<(?P<tag>nowiki|syntaxhighlight|source)\b[^<>]*>(?P<code>.*?)</(?P=tag)>", re.S | re.I)),
-    ("markdown", re.compile(r"(?<!`)(?P<tick>`{1,2})(?!`)(?P<code>[^`\n](?:[^\n]*?[^`\n])?)(?P=tick)(?!`)")),
+    ("markdown", re.compile(r"(?<!`)(?P<tick>`{1,2})(?!`)(?P<code>[^`\n](?:[^\n]{0,1000}?[^`\n])??)(?P=tick)(?!`)")),
     ("latex", re.compile(r"\\verb\*?(?P<bar>[|!+])(?P<code>[^\n]*?)(?P=bar)")),
 ]
 CODE_HINT = re.compile(r"`|~~~|<pre|<code|<nowiki|<syntaxhighlight|<source|\\begin\{(?:verb|lst|mint)|\\verb", re.I)
@@ -46,8 +48,8 @@ CODE_HINT = re.compile(r"`|~~~|<pre|<code|<nowiki|<syntaxhighlight|<source|\\beg
 FORMULA = [
     re.compile(r"\\begin\{(?P<env>(?:" + MATH + r")\*?)\}(?P<body>.*?)\\end\{(?P=env)\}", re.S),
     re.compile(r"\$\$(?P<body>[^$]+?)\$\$"),
-    re.compile(r"\\\[(?P<body>.+?)\\\]", re.S),
-    re.compile(r"\\\((?P<body>.+?)\\\)", re.S),
+    re.compile(r"\\\[(?P<body>.{1,2000}?)\\\]", re.S),
+    re.compile(r"\\\((?P<body>.{1,2000}?)\\\)", re.S),
     re.compile(r"(?<![\w\\$])\$(?P<body>[^\s$](?:[^$\n]*[^\s$\\])?)\$(?![\w$])"),
 ]
 
@@ -60,7 +62,7 @@ WIKI = [
     re.compile(r"\{\{[^{}\n]+\}\}"),
     re.compile(r"^[ \t]*(?:\{\||\|\}|\|-+(?:[ \t]+[^|\n]*)?$)", re.M),
     re.compile(r"^[ \t]*(?P<level>={1,6})[ \t]*[^=\s][^\n]*?(?P=level)[ \t]*$", re.M),
-    re.compile(r"'''?(?=[^\s'])[^\n]*?[^\s']'''?(?!')"),
+    re.compile(r"'''?(?=[^\s'])[^\n]{0,1000}?[^\s']'''?(?!')"),
     re.compile(r"\[https?://[^\s\]]+(?:[ \t][^\]\n]*)?\](?!\()"),
     re.compile(r"^(?:(?=[:*#;]*[:;])[:*#;]+|\*{2,}|\*#[*#]*|#\*[*#]*)[ \t]+\S", re.M),
     re.compile(r"</?(?:ref|gallery)\b[^<>]*>|__(?:NO)?TOC__", re.I),
@@ -74,9 +76,9 @@ LATEX = [
 
 MARKDOWN = [
     re.compile(r"^[ \t]{0,3}#{1,6}[ \t]+\S", re.M),
-    re.compile(r"^[^\n]*[^\s=\n-][^\n]*\n[ \t]{0,3}(?:={3,}|-{3,})[ \t]*$", re.M),
-    re.compile(r"\*\*(?=[^\s*])[^\n]*?[^\s*]\*\*"),
-    re.compile(r"(?<!\w)__(?=[^\s_])[^\n]*?[^\s_]__(?!\w)"),
+    re.compile(r"^(?=[^\n]*[^\s=\n-])[^\n]+\n[ \t]{0,3}(?:={3,}|-{3,})[ \t]*$", re.M),
+    re.compile(r"\*\*(?=[^\s*])[^\n]{0,1000}?[^\s*]\*\*"),
+    re.compile(r"(?<!\w)__(?=[^\s_])[^\n]{0,1000}?[^\s_]__(?!\w)"),
     re.compile(r"(?<![\w*\\])\*(?=[^\s*])[^*\n]*?(?<=[^\s*])\*(?![\w*])"),
     re.compile(r"(?<![\w_\\])_(?=[^\s_])[^_\n]*?(?<=[^\s_])_(?![\w_])"),
     re.compile(r"~~(?=[^\s~])[^~\n]*?[^\s~]~~"),
@@ -171,7 +173,7 @@ _CLEAN = [
     (re.compile(r"\[(https?://[^\s\]]+)\](?!\()"), r"\1"),
     (re.compile(r"^(?:(?=[:*#;]*[:;])[:*#;]{2,}|\*{2,}|\*#[*#]*|#\*[*#]*)[ \t]+(?=\S)", re.M), "- "),
     (re.compile(r"^[:;][ \t]+(?=\S)", re.M), ""),
-    (re.compile(r"'''?([^\s'][^\n]*?)'''?"), r"\1"),
+    (re.compile(r"'''?([^\s'][^\n]{0,1000}?)'''?"), r"\1"),
     (re.compile(r"<ref\b[^<>]*/>|<ref\b[^<>]*>.*?</ref>|</?gallery\b[^<>]*>|__(?:NO)?TOC__", re.S | re.I), ""),
     # LaTeX
     (re.compile(r"~?\\(?:label|cite[tp]?|index)\*?(?:\[[^\]\n]*\])*\{[^{}\n]*\}"), ""),
@@ -182,7 +184,7 @@ _CLEAN = [
     (re.compile(r"\\[A-Za-z]{2,}\*?(?:\[[^\]\n]*\])?\{([^{}]*)\}"), r"\1"),
     # Markdown
     (re.compile(r"^[ \t]*\|?[ \t]*:?-{2,}:?[ \t]*(?:\|[ \t]*:?-{2,}:?[ \t]*)+\|?[ \t]*\n?", re.M), ""),
-    (re.compile(r"^([^\n]*[^\s=\n-][^\n]*)\n[ \t]{0,3}(?:={3,}|-{3,})[ \t]*$", re.M), r"\1\n"),
+    (re.compile(r"^(?=[^\n]*[^\s=\n-])([^\n]+)\n[ \t]{0,3}(?:={3,}|-{3,})[ \t]*$", re.M), r"\1\n"),
     (re.compile(r"^[ \t]{0,3}#{1,6}[ \t]+([^\n]*?)(?:[ \t]+#+)?[ \t]*$", re.M), r"\n\1\n"),
     (re.compile(r"[ \t]*\{#[\w-]+\}[ \t]*$", re.M), ""),
     (re.compile(r"^[ \t]{0,3}\[[^\]\n]+\]:[ \t]+\S[^\n]*\n?", re.M), ""),
@@ -192,11 +194,11 @@ _CLEAN = [
     (re.compile(r"^[ \t]*(?:[-+*]|\d{1,3}[.)])[ \t]+\[[ xX]\][ \t]+", re.M), "- "),
     (re.compile(r"^[ \t]*[+*][ \t]+(?=\S)", re.M), "- "),
     (re.compile(r"^[ \t]{0,3}>[ \t]?", re.M), ""),
-    (re.compile(r"\*\*([^\s*](?:[^\n]*?[^\s*])?)\*\*"), r"\1"),
-    (re.compile(r"(?<!\w)__([^\s_](?:[^\n]*?[^\s_])?)__(?!\w)"), r"\1"),
-    (re.compile(r"~~([^\s~](?:[^~\n]*?[^\s~])?)~~"), r"\1"),
-    (re.compile(r"(?<![\w*\\])\*([^\s*](?:[^*\n]*?[^\s*])?)\*(?![\w*])"), r"\1"),
-    (re.compile(r"(?<![\w_\\])_([^\s_](?:[^_\n]*?[^\s_])?)_(?![\w_])"), r"\1"),
+    (re.compile(r"\*\*([^\s*](?:[^\n]{0,1000}?[^\s*])??)\*\*"), r"\1"),
+    (re.compile(r"(?<!\w)__([^\s_](?:[^\n]{0,1000}?[^\s_])??)__(?!\w)"), r"\1"),
+    (re.compile(r"~~([^\s~](?:[^~\n]*?[^\s~])??)~~"), r"\1"),
+    (re.compile(r"(?<![\w*\\])\*([^\s*](?:[^*\n]*?[^\s*])??)\*(?![\w*])"), r"\1"),
+    (re.compile(r"(?<![\w_\\])_([^\s_](?:[^_\n]*?[^\s_])??)_(?![\w_])"), r"\1"),
     (re.compile(r"^[ \t]*\|(.*?)\|?[ \t]*$", re.M), lambda m: "\t".join(c.strip() for c in m.group(1).split("|"))),
 ]
 _COMMAND = re.compile(r"\\[A-Za-z]{2,}\*?(?:\[[^\]\n]*\])?\{([^{}]*)\}")
