@@ -89,9 +89,9 @@ def verdicts(signals: DataFrame, features: list[str], mean: list[float], scale:
 
 def auc(scored: DataFrame, label_col: str, score_col: str) -> DataFrame:
     """One row ``auc``: the chance that a positive outranks a negative, ties half. By mean ranks of equal scores, not by pairs."""
-    by_score = scored.groupBy(score_col).agg(F.sum(F.col(label_col).cast("long")).alias("p"), F.sum((1 - F.col(label_col)).cast("long")).alias("q"))
+    by_score = scored.groupBy(F.col(score_col).alias("at")).agg(F.sum(F.col(label_col).cast("long")).alias("p"), F.sum((1 - F.col(label_col)).cast("long")).alias("q"))
     # Distinct scores are ranked in one task here; scores rounded to a few decimals keep that small.
-    below = F.coalesce(F.sum("q").over(Window.orderBy(score_col).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    below = F.coalesce(F.sum("q").over(Window.orderBy("at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     parts = by_score.select((F.col("p") * (below + F.col("q") / 2)).alias("won"), "p", "q")
     return parts.agg((F.sum("won") / F.when(F.sum("p") * F.sum("q") > 0, F.sum("p") * F.sum("q"))).alias("auc"))
 
