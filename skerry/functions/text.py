@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: What counts as white space, inside a character class.
-WS = "\t\n\x0b\f\r    -   　﻿"
+WS = "\t\n\x0b\f\r \u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 
 #: Words that the lexical index leaves out.
 INDEX_STOPWORDS = (
@@ -138,7 +138,7 @@ def decode_entities(text: Column) -> Column:
 
 def front_matter_value(text: Column, key: str) -> Column:
     """The value of ``key`` in a leading block between lines of three dashes; quotes around it are taken off."""
-    block = F.regexp_extract(F.regexp_replace(F.regexp_replace(text, "^﻿", ""), "\r", ""), r"^---\n([\s\S]*?)\n---(?:\n|$)", 1)
+    block = F.regexp_extract(F.regexp_replace(F.regexp_replace(text, "^\ufeff", ""), "\r", ""), r"^---\n([\s\S]*?)\n---(?:\n|$)", 1)
     line = rf"(?m)^{key}:\s*(?:\"((?:[^\"\\]|\\.)*)\"|'((?:[^'\\]|\\.)*)'|(.+?))\s*$"
     found = [F.regexp_extract(block, line, i) for i in (1, 2, 3)]
     return F.when(block.rlike(line), F.coalesce(*[F.when(x != "", x) for x in found], F.lit("")))
