@@ -56,8 +56,13 @@ def bm25(
     collection may replace the index's own. Scores of a hot term are combined by (query, record) before the shuffle.
     """
     asked = queries.select(F.col(id_col).alias("query_id"), F.explode(query_terms(F.col(text_col))).alias("term"))
-    postings = index.postings if exclude is None else index.postings.join(exclude, "record_id", "left_anti")
-    found = asked.join(index.terms if terms is None else terms, "term").join(postings, "term").crossJoin(F.broadcast(index.stats if stats is None else stats))  # one row
+    # Only the questions' terms: the planner pushes this below the counting of both, to the words of the scan.
+    wanted = asked.select("term").distinct()
+    postings = index.postings.join(wanted, "term", "left_semi")
+    known = (index.terms if terms is None else terms).join(wanted, "term", "left_semi")
+    if exclude is not None:
+        postings = postings.join(exclude, "record_id", "left_anti")
+    found = asked.join(known, "term").join(postings, "term").crossJoin(F.broadcast(index.stats if stats is None else stats))  # one row
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     scored = found.groupBy("query_id", "record_id").agg(F.round(F.sum(part), DECIMALS).alias("score"))
