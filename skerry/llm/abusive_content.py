@@ -46,7 +46,7 @@ IDENTITY = (
 ).split()
 NEUTRAL = "people"
 
-_GAPS = re.compile("[​-‏⁠﻿­]")
+_GAPS = re.compile("[\u200b-\u200f\u2060\ufeff\u00ad]")
 #: Letters of other alphabets that look Latin.
 _LOOKALIKE = str.maketrans("аеорсухіѕјԁһкмтвнгιοραενκτ", "aeopcyxisjdhkmtbhrıopaevkt".replace("ı", "i"))
 _MIXED = re.compile(r"[a-zß-ÿ][Ͱ-ϿЀ-ӿԀ-ԯ]|[Ͱ-ϿЀ-ӿԀ-ԯ][a-zß-ÿ]")
@@ -56,10 +56,10 @@ _SIGNS = str.maketrans("0134578@$!|+", "oieastbasiit")
 _LEET = re.compile(r"(?<![^\W_])(?=[^\s]*[a-zß-ÿ])[a-zß-ÿ0-9@$!|+]*(?:[a-zß-ÿ][0-9@$!|+]|[0-9@$|+][a-zß-ÿ])[a-zß-ÿ0-9@$|+]*(?:[@$](?![^\W_]))?")
 _STARRED = re.compile(r"(?<![^\W_])([^\W\d_]+)\*{1,4}([^\W\d_]+)(?![^\W_*])")
 _LONG = re.compile(r"([^\W\d_])\1{2,}")
-_HINT = re.compile("[​-‏⁠﻿­]|" + _MIXED.pattern + r"|[a-zß-ÿ]\*+[a-zß-ÿ]|[0-9@$|+][a-zß-ÿ]|[a-zß-ÿ][@$|+0-9]|([^\W\d_])\1\1|(?<![^\W_])[^\W\d_][ .\-_*·][^\W\d_][ .\-_*·][^\W\d_](?![^\W_])")
+_HINT = re.compile("[\u200b-\u200f\u2060\ufeff\u00ad]|" + _MIXED.pattern + r"|[a-zß-ÿ]\*+[a-zß-ÿ]|[0-9@$|+][a-zß-ÿ]|[a-zß-ÿ][@$|+0-9]|([^\W\d_])\1\1|(?<![^\W_])[^\W\d_][ .\-_*·][^\W\d_][ .\-_*·][^\W\d_](?![^\W_])")
 
 #: Marks a word that had to be deciphered.
-MARK = ""
+MARK = "\ue000"
 _TOKEN = re.compile(r"[^\W_]+|" + MARK + r"|[.!?\n]")
 _STOPS = frozenset(".!?\n")
 
