@@ -185,7 +185,7 @@ def visits_of(trees: list[Tree], rows: np.ndarray, visits: int) -> tuple[np.ndar
 
 
 def nearest(queries: np.ndarray, query_ids: np.ndarray, members: np.ndarray, member_ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, member, similarity) of the k most similar members of each query, equal ones by lower id."""
+    """(query, member, similarity in units of 10**-DECIMALS) of the k most similar members of each query, equal ones by lower id."""
     order = np.argsort(member_ids, kind="stable")
     members, member_ids = members[order], member_ids[order]
     ids, others, near = [], [], []
@@ -202,7 +202,7 @@ def nearest(queries: np.ndarray, query_ids: np.ndarray, members: np.ndarray, mem
         real = np.isfinite(key[line, col])
         ids.append(own[line[real]])
         others.append(member_ids[col[real]])
-        near.append(exact[line[real], col[real]] / 10**DECIMALS)
+        near.append(exact[line[real], col[real]].astype(np.int64))
     return np.concatenate(ids), np.concatenate(others), np.concatenate(near)
 
 
@@ -280,19 +280,19 @@ def similar_vectors(
         ids = group.column("id").to_numpy()
         values = group.column("value").to_pylist()
         if group.column("node")[0].as_py() < 0:
-            found = (ids, np.array([int.from_bytes(v, "little") for v in values], np.int64), np.ones(len(ids)))
+            found = (ids, np.array([int.from_bytes(v, "little") for v in values], np.int64), np.full(len(ids), 10**DECIMALS))
         else:
             member = group.column("member").to_numpy(zero_copy_only=False)
             vectors = decode(kind, values, dim)
-            found = nearest(vectors, ids, vectors[member], ids[member], k) if member.any() else (ids[:0], ids[:0], np.zeros(0))
-        return pa.table({"id": found[0], "other": found[1], "similarity": found[2]})
+            found = nearest(vectors, ids, vectors[member], ids[member], k) if member.any() else (ids[:0], ids[:0], ids[:0])
+        return pa.table({"id": found[0], "other": found[1], "similarity": found[2].astype(np.int32)})
 
     rows = narrow.mapInArrow(index, "node long, block long, member boolean, id long, value binary")
-    near = rows.groupBy("node", "block").applyInArrow(compare, "id long, other long, similarity double")
+    near = rows.groupBy("node", "block").applyInArrow(compare, "id long, other long, similarity int")
     # Both the choice among visits and the ranking use the one shuffle by id.
     once = near.repartition("id").groupBy("id", "other").agg(F.max("similarity").alias("similarity"))
     place = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("similarity"), "other"))
-    return once.withColumn("place", place).where(F.col("place") <= k).select(F.lit(kind).alias("vec_set"), "id", "other", "similarity")
+    return once.withColumn("place", place).where(F.col("place") <= k).select(F.lit(kind).alias("vec_set"), "id", "other", (F.col("similarity") / 10**DECIMALS).alias("similarity"))
 
 
 def _visit_rows(node, block, member, ids, values) -> pa.RecordBatch:
