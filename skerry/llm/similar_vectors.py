@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Vectors in the fitting sample at most; a parameter of every operator here.
+#: Vectors in the fitting sample, about and never twice as many; a parameter of every operator here.
 SAMPLE = 20_000
 
 #: Members that a leaf should have, and beyond which a leaf is compared in several blocks.
@@ -243,9 +243,9 @@ def similar_vectors(
     """
     narrow = df.select(F.col(id_col).cast("long").alias("id"), *[F.col(c).alias(f"v{i}") for i, c in enumerate(value_cols)])
     expected = df.count()
-    threshold = int(min(1.0, 1.2 * sample / max(1, expected)) * 1_000_000)
-    drawn = narrow.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < threshold).limit(sample).toArrow()
-    packed = [p for b in drawn.combine_chunks().to_batches() for p in PACK[kind](b, dim)[1]]
+    # Drawn by row, not by id, so that a repeated id weighs no more; a limit would move all drawn vectors to one task first.
+    drawn = narrow.where(F.rand(7) < min(1.0, sample / max(1, expected))).toArrow()
+    packed = [p for b in drawn.combine_chunks().to_batches() for p in PACK[kind](b, dim)[1]][: 2 * sample]
     forest = fit(decode(kind, packed, dim) if packed else np.zeros((0, dim), np.float32), expected, trees, leaf)
     shipped = df.sparkSession.sparkContext.broadcast([tuple(t) for t in forest])  # 2 * sample / 8 splits at most, whatever the table
 
