@@ -24,7 +24,7 @@ SAMPLE = 12_000
 BITS = 18
 
 #: Score (a probability) from which a document counts as abusive.
-THRESHOLD = 0.5
+THRESHOLD = 0.4
 
 REMEMBERED = 400_000
 
@@ -120,6 +120,8 @@ class Featurizer:
         passage = np.cumsum(stop) - stop
         pair = _mix(flat[:-1] * np.uint64(0x9E3779B97F4A7C15) + flat[1:])  # also the first and the last word with the stop beside it
         pair_at = np.where(stop[:-1], passage[1:], passage[:-1])
+        worded = ~(stop[:-1] & stop[1:])  # two stops in a row say nothing
+        pair, pair_at = pair[worded], pair_at[worded]
         seed = ((flat & np.uint64(2)) == 2) & ~stop
         place = np.uint64((1 << BITS) - 2)
         feature = np.concatenate([_mix(flat[~stop]) % place + np.uint64(1), pair % place + np.uint64(1), np.zeros(int(seed.sum()), np.uint64)]).astype(np.int64)
@@ -237,7 +239,7 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, sample: int = SAMPL
     voted = labels.where("doc_id is not null and abusive is not null").groupBy("doc_id").agg(F.avg("abusive").alias("mean")).where("mean <> 0.5")
     drawn = voted.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     # The sample is bounded, so its ids may be sent to every task.
-    rows = documents.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").select("text", (F.col("mean") > 0.5).cast("int").alias("label")).limit(2 * sample).toArrow()
+    rows = documents.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").select("doc_id", "text", (F.col("mean") > 0.5).cast("int").alias("label")).limit(2 * sample).toArrow().sort_by([("doc_id", "ascending")])
     return rows.column("text").to_pylist(), rows.column("label").to_pylist()
 
 
