@@ -1,31 +1,29 @@
-"""The same or nearly the same records across splits, by content-defined chunks.
+"""The same or nearly the same records across splits, by segments of the train texts.
 
-A rolling hash over three characters cuts each normalised text; an edit moves the cuts around it only. Digests of runs of
-consecutive chunks are joined across splits. A text probes, in each fifth of its length, the shortest run that few train
-texts hold; so the template that thousands of texts share never makes a candidate, and a shared name with its
-surroundings does. Candidates are settled by their exact edit distance.
+A train text is cut into one segment more than any partner may have edits, so one segment at least stands unbroken in the
+partner, moved by no more than the edits before and behind it. The segments are joined with all runs of the held-out texts
+whatever their number; parities of letter pairs, which an edit changes by four at most, drop what cannot be near. Candidates
+are settled by their exact edit distance; content-defined chunks, cut by a rolling hash, measure the overlap.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skerry.llm.near_duplicates import mix
 from skerry.session import cut
 
 #: One in so many places is a cut.
 CUT_EVERY = 4
 
-#: Runs of so many chunks are digested.
-RUNS = (2, 3, 4, 5, 6, 7, 8)
-
-#: Parts of a text that each probe with one run, and the number of train texts up to which a run is rare.
-PARTS, RARE = 5, 20
+#: 64-bit words of the parities of letter pairs.
+WORDS = 4
 
 #: Rows of one text on a side that are paired in full; beyond, that side stands by its least id.
 EXPAND = 200
@@ -56,15 +54,15 @@ def cuts(text: str) -> list[int]:
     return [0, *at[at < n].tolist(), n]
 
 
-def runs_of(text: str) -> dict[int, tuple[int, int]]:
-    """Digest -> (chunks, middle) of each run; a text of few chunks is a run itself."""
-    at = cuts(text)
-    found: dict[int, tuple[int, int]] = {}
-    for k in RUNS if len(at) > RUNS[0] else (1,):
-        for i in range(len(at) - k):
-            digest = xxhash.xxh3_64_intdigest(text[at[i] : at[i + k]].encode("utf-8", "surrogatepass"))
-            found.setdefault(digest, (k, (at[i] + at[i + k]) // 2))
-    return found
+def segments_of(n: int) -> tuple[int, int]:
+    """Number and compared length of the segments of a train text of ``n`` characters: the longest partner allows n // 9 edits."""
+    return n // 9 + 1, n // (n // 9 + 1)
+
+
+@cache
+def widths_of(n: int) -> tuple[int, ...]:
+    """Compared lengths of the train texts that may be near a held-out text of ``n`` characters."""
+    return tuple(sorted({segments_of(m)[1] for m in range(n - n // 10, n + n // 9 + 1) if m >= 9}))
 
 
 def overlap_fraction(a: str, b: str) -> float:
@@ -74,38 +72,62 @@ def overlap_fraction(a: str, b: str) -> float:
     return sum(e - s for s, e in zip(y, y[1:], strict=False) if b[s:e] in own) / max(1, len(b))
 
 
-def _runs(texts: DataFrame) -> DataFrame:
+def parities(text: np.ndarray, codes: np.ndarray, n: int) -> np.ndarray:
+    """n x WORDS: of the letter pairs of each text, whether an odd number falls on each bit. An edit flips four bits at most."""
+    bits = 64 * WORDS
+    inside = text[:-1] == text[1:]
+    at = (mix(codes[:-1] * np.uint64(0x9E3779B97F4A7C15) + codes[1:])[inside] % np.uint64(bits)).astype(np.int64)
+    odd = np.bincount(text[:-1][inside] * bits + at, minlength=n * bits) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64).reshape(n, WORDS)
+
+
+def _pieces(texts: DataFrame, segments: bool) -> DataFrame:
+    """``tid, size, at, nth, digest, p0, ...``: the segments of each text, or all its runs of the lengths that segments may have."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 2000):
-                batch = whole.slice(at, 2000)
-                found = [runs_of(t) for t in batch.column(1).to_pylist()]
-                n = np.array([len(f) for f in found], np.int64)
-                digest = np.fromiter((d for f in found for d in f), np.uint64, int(n.sum())).view(np.int64)
-                pairs = np.array([v for f in found for v in f.values()], np.int32).reshape(-1, 2)
-                rows = pa.array(np.repeat(np.arange(len(found)), n))
-                size = pa.array([len(t) for t in batch.column(1).to_pylist()], pa.int32()).take(rows)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), pa.array(digest), pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), size], names=["tid", "digest", "chunks", "middle", "size"])
-
-    return texts.select("tid", "norm").mapInArrow(run, "tid long, digest long, chunks int, middle int, size int")
+            for begin in range(0, whole.num_rows, 500):
+                batch = whole.slice(begin, 500)
+                norms = batch.column(1).to_pylist()
+                size = np.array([len(t) for t in norms], np.int64)
+                start = np.cumsum(size) - size
+                codes = np.frombuffer("".join(norms).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+                text = np.repeat(np.arange(len(norms)), size)
+                place = np.arange(len(codes)) - start[text]
+                odd = parities(text, codes, len(norms))
+                wanted = [(segments_of(n)[1],) if segments else widths_of(n) for n in size.tolist()]
+                for width in sorted({w for x in wanted for w in x}):
+                    has = np.array([width in x for x in wanted])
+                    if segments:
+                        # The last segment takes what is left over; its first characters are compared as the others' are.
+                        counts = np.where(has & (size >= 9), size // 9 + 1, 0)
+                        rows = np.repeat(np.arange(len(norms)), counts)
+                        nth = np.arange(len(rows)) - np.repeat(np.cumsum(counts) - counts, counts)
+                        first = start[rows] + nth * width
+                    else:
+                        first = np.flatnonzero(has[text] & (place + width <= size[text]))
+                        rows, nth = text[first], np.zeros(len(first), np.int64)
+                    if not len(first):
+                        continue
+                    h = np.full(len(first), width, np.uint64)
+                    for i in range(width):
+                        h = mix(h * np.uint64(0x9E3779B97F4A7C15) + codes[first + i])
+                    columns = [size[rows].astype(np.int32), place[first].astype(np.int32), nth.astype(np.int32), h.view(np.int64), *(odd[rows, i] for i in range(WORDS))]
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), *map(pa.array, columns)], names=["tid", "size", "at", "nth", "digest", *(f"p{i}" for i in range(WORDS))])
+
+    return texts.select("tid", "norm").mapInArrow(run, "tid long, size int, at int, nth int, digest long, " + ", ".join(f"p{i} long" for i in range(WORDS)))
 
 
 def _candidates(texts: DataFrame) -> DataFrame:
-    """``train, held``: distinct pairs of different texts that share a probe at about the same place."""
-    train = _runs(texts.where("in_train")).select(F.col("tid").alias("train"), "digest", F.col("middle").alias("at"), F.col("size").alias("train_size"))
-    spread = train.groupBy("digest").agg(F.count(F.lit(1)).alias("df"))
-    held = _runs(texts.where("in_held")).join(spread, "digest")
-    part = F.least(F.lit(PARTS - 1), F.floor(F.col("middle") * PARTS / F.col("size")))
-    common = (F.col("df") > RARE).cast("int")
-    order = F.struct(common.alias("common"), F.when(common == 0, F.col("chunks")).otherwise(F.col("df")).alias("first"), F.col("df"), "digest", "middle", "size")
-    best = held.groupBy("tid", part.alias("part")).agg(F.min(order).alias("best"))
-    probes = best.groupBy("tid").agg(F.collect_list("best").alias("best"))  # PARTS at most
-    rare = F.filter("best", lambda b: b["common"] == 0)
-    probes = probes.select(F.col("tid").alias("held"), F.explode(F.when(F.size(rare) > 0, rare).otherwise(F.array(F.array_min("best")))).alias("b"))
-    probes = probes.select("held", F.col("b.digest").alias("digest"), F.col("b.middle").alias("middle"), F.col("b.size").alias("size"))
-    longer = F.greatest("size", "train_size")
-    near = (F.abs(F.col("middle") - F.col("at")) <= F.floor(longer / 10) + 1) & (F.abs(F.col("size") - F.col("train_size")) <= F.floor(longer / 10))
-    return probes.join(train, "digest").where(near & (F.col("held") != F.col("train"))).select("train", "held").distinct()
+    """``train, held``: distinct pairs of different texts; every pair within the allowed distance is among them."""
+    t, h = _pieces(texts.where("in_train"), True).alias("t"), _pieces(texts.where("in_held"), False).alias("h")
+    edits = F.floor(F.greatest("t.size", "h.size") / 10)
+    longer, moved = F.col("h.size") - F.col("t.size"), F.col("h.at") - F.col("t.at")
+    # Some unbroken segment has no more edits before it than segments, and no more behind it than segments are left.
+    near = (F.abs(longer) <= edits) & (F.abs(moved) <= F.least("t.nth", edits)) & (F.abs(longer - moved) <= F.least(F.floor(F.col("t.size") / 9) - F.col("t.nth"), edits))
+    flips = sum((F.bit_count(F.col(f"t.p{i}").bitwiseXOR(F.col(f"h.p{i}"))) for i in range(WORDS)), F.lit(0))
+    both = t.join(h, (F.col("t.digest") == F.col("h.digest")) & near & (flips <= 4 * edits) & (F.col("t.tid") != F.col("h.tid")))
+    return both.select(F.col("t.tid").alias("train"), F.col("h.tid").alias("held")).distinct()
 
 
 def split_overlaps(df: DataFrame, id_col: str = "example_id", text_col: str = "text", split_col: str = "split", expand: int = EXPAND) -> DataFrame:
@@ -115,8 +137,8 @@ def split_overlaps(df: DataFrame, id_col: str = "example_id", text_col: str = "t
     the held-out text that lies in chunks of the train text. Rows without id, known split, or letters and digits do not
     count; an id that is in both splits may pair with itself. Rows of equal text are one text; one with more than
     ``expand`` rows on a side pairs each row of the other side with that side's least id, and its own rows with the other
-    side's least id, so every row of an overlapping text comes out. Texts of any length are compared whole. A text whose every
-    probe is common (no rare run is left of it) probes its rarest run, whatever that costs. Empty tables give no rows.
+    side's least id, so every row of an overlapping text comes out. Texts of any length are compared whole. Empty tables
+    give no rows.
     """
     rows = df.select(F.col(id_col).cast("long").alias("id"), split_name(F.col(split_col)).alias("split"), normalised(F.col(text_col)).alias("norm"))
     rows = cut(rows.where("id is not null and split is not null and norm <> ''").distinct())

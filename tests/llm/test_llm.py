@@ -334,6 +334,29 @@ def test_hot_text_keeps_every_row(spark):
     assert O.split_overlaps(spark.createDataFrame([], EXAMPLES)).count() == 0
 
 
+def changed(text, edits, rng):
+    t = list(text)
+    for _ in range(edits):
+        k = int(rng.integers(len(t)))
+        t[k] = {0: "", 1: "q", 2: t[k] + "x"}[int(rng.integers(3))]
+    return "".join(t)
+
+
+def near_pairs(train, held):
+    pairs = itertools.product(*([(i, " ".join(x.split())) for i, x in part] for part in (train, held)))
+    return {(i, j) for (i, a), (j, b) in pairs if 10 * distance(a, b) <= max(len(a), len(b))}
+
+
+def test_a_text_with_many_edited_copies_finds_them_all(spark):
+    rng = np.random.default_rng(8)
+    text = "can vemojifo encode a coastal archive without kobokole and the budget from nativika"
+    train = [(i, changed(text, 2, rng)) for i in range(300)] + [(300, text)]
+    held = [(1000 + i, changed(text, i, rng)) for i in range(0, 9, 2)]
+    rows = [(i, x, s, None, None, 1, 1) for s, part in (("train", train), ("test", held)) for i, x in part]
+    got = {(r.id_a, r.id_b) for r in O.split_overlaps(spark.createDataFrame(rows, EXAMPLES)).collect()}
+    assert got == near_pairs(train, held) and len(got) > 1200
+
+
 def test_chunks_are_local():
     a = "how does bafogeta measure the harbour when dimoruka meets felisato"
     assert O.cuts(a)[0] == 0 and O.cuts(a)[-1] == len(a)
