@@ -357,6 +357,19 @@ def test_a_text_with_many_edited_copies_finds_them_all(spark):
     assert got == near_pairs(train, held) and len(got) > 1200
 
 
+def test_short_texts_that_share_no_run(spark):
+    pairs = [("ligolena fjarije orcle zajarese note", "ligolena fojarije oracle zajarrese note"), ("nakobedi sofogasa route vibelega graph", "nakobeedi sofogasa rouute vibelega graph"), ("abcdefghi", "abcdefghij"), ("abcdefgh", "abcdefghi"), ("abcdefghij", "xbcdefghij")]
+    train, held = ([(i + 100 * k, p[k]) for i, p in enumerate(pairs)] for k in (0, 1))
+    rng = np.random.default_rng(9)
+    for i in range(200):
+        base = "".join(rng.choice(list("abcdefghijklmnop"), int(rng.integers(9, 60))))
+        train.append((1000 + i, base))
+        held.append((2000 + i, changed(base, int(rng.integers(0, len(base) // 9 + 1)), rng)))
+    rows = [(i, x, s, None, None, 1, 1) for s, part in (("train", train), ("val", held)) for i, x in part]
+    got = {(r.id_a, r.id_b) for r in O.split_overlaps(spark.createDataFrame(rows, EXAMPLES)).collect()}
+    assert got == near_pairs(train, held) and {(0, 100), (1, 101), (2, 102), (4, 104)} <= got and (3, 103) not in got
+
+
 def test_chunks_are_local():
     a = "how does bafogeta measure the harbour when dimoruka meets felisato"
     assert O.cuts(a)[0] == 0 and O.cuts(a)[-1] == len(a)
