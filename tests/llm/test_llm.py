@@ -233,6 +233,24 @@ def test_near_duplicates_equal_brute_force(spark, width, threshold):
     assert set(groups) == set(texts) and all(groups[a] == groups[b] for a, b in want)
 
 
+def test_texts_of_shared_passages_keep_their_pairs(spark):
+    rng = np.random.default_rng(11)
+    passages = [" ".join(f"p{i}w{k}" for k in range(12)) for i in range(40)]
+    texts = {}
+    for i in range(0, 3000, 2):
+        chosen = [passages[k] for k in rng.choice(40, 10, replace=False)]
+        texts[i] = " ".join(chosen)
+        for k in rng.choice(10, 2, replace=False):
+            chosen[k] = " ".join(f"own{i}w{k}x{j}" for j in range(12))
+        texts[i + 1] = " ".join(chosen)
+    members, links = N.near_duplicate_classes(spark.createDataFrame([(i, t, 1, None, None, None, 1) for i, t in texts.items()], DOCS), width=3, threshold=0.6)
+    got = {tuple(r) for r in N.near_duplicate_pairs(members, links).collect()}
+    sets = {i: {tuple(t.split()[k : k + 3]) for k in range(len(t.split()) - 2)} for i, t in texts.items()}
+    want = {(i, i + 1) for i in range(0, 3000, 2) if len(sets[i] & sets[i + 1]) >= 0.6 * len(sets[i] | sets[i + 1])}
+    assert len(want) > 500 and len(got & want) >= 0.99 * len(want), (len(got & want), len(want))
+    assert all(len(sets[a] & sets[b]) >= 0.6 * len(sets[a] | sets[b]) for a, b in got)
+
+
 def test_large_class_of_copies_is_a_star(spark):
     text = " ".join(f"w{i}" for i in range(30))
     rows = [(i, text, 1, None, None, None, 1) for i in range(50)] + [(99, text + " more", 1, None, None, None, 1)]
