@@ -97,7 +97,8 @@ def site_name(site: str | None) -> str:
 
 
 def _slug(text: str) -> str:
-    return re.sub(r"[\W_]+", "-", text.lower()).strip("-")
+    """As urls have it: accented letters are '-' too."""
+    return re.sub(r"[^a-z0-9]+", "-", text.lower()).strip("-")
 
 
 def title_line(lines: list[str], title: str | None, url: str | None) -> int | None:
@@ -106,8 +107,8 @@ def title_line(lines: list[str], title: str | None, url: str | None) -> int | No
         want = title.strip()
         return next((i for i, x in enumerate(lines) if x.strip() == want), None)
     path = re.sub(r"[?#].*$", "", url or "").rstrip("/").rsplit("/", 1)[-1]
-    path = re.sub(r"\.\w{2,5}$", "", path)
-    return next((i for i, x in enumerate(lines) if path and x.strip() and _slug(x) == path.lower()), None)
+    path = _slug(re.sub(r"\.\w{2,5}$", "", path))
+    return next((i for i, x in enumerate(lines) if path and _slug(x) == path), None)
 
 
 def is_paragraph(line: str) -> bool:

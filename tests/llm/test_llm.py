@@ -192,6 +192,12 @@ def test_a_site_learns_its_frame(spark):
     assert got == {(i, n) for i in range(6) for n in (2, 4)}
 
 
+def test_accents_of_an_untitled_page(spark):
+    text = "Start\nBloque Fasomebe búfer\n\nEste es el cuerpo de la página, tal como está."
+    rows = [(1, None, "https://s.example/bloque-fasomebe-b-fer?ref=nav", None, text, None, None, None), (2, None, "https://s.example/bloque-fasomebe-búfer.html", None, text, None, None, None), (3, None, "https://s.example/otro", None, text, None, None, None)]
+    assert {tuple(r) for r in P.main_body(spark.createDataFrame(rows, PAGES)).collect()} == {(i, n) for i in (1, 2) for n in (2, 4)}
+
+
 # 5. near-duplicates
 
 DOCS = "doc_id long, text string, id int, cls string, key string, source string, n_tokens int"
