@@ -11,6 +11,9 @@ from skerry.functions.text import grounding_words, stem
 #: Passages that are graded, and what a word in the heading only is worth.
 DEPTH, HEADING_CREDIT = 5, 0.5
 
+#: Fixed value: what a common word weighs beside the others.
+COMMON_WEIGHT = 1 / 3
+
 
 def credits(word: Column, body: Column, body_stems: Column, heading: Column) -> Column:
     """1 if the body's words hold the word, its plural or singular, or its stem; half if the heading does, unstemmed."""
@@ -26,21 +29,27 @@ def passage_words(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9']+"), F.lit(0)))
 
 
-def ground(queries: DataFrame, hits: DataFrame, records: DataFrame, depth: int = DEPTH) -> DataFrame:
+def ground(queries: DataFrame, hits: DataFrame, records: DataFrame, depth: int = DEPTH, common: DataFrame | None = None) -> DataFrame:
     """``query_id, record_id, coverage, covered, uncovered`` of each query's best passage; the earliest of equal ones.
 
     ``queries`` (query_id, text), ``hits`` (query_id, record_id, rank from 1), ``records`` (record_id, text). The first line is
-    the heading, the rest the body. A query without gradable words, or without hits, gives no row.
+    the heading, the rest the body. Words of ``common`` (word) weigh a third. A query without gradable words, or without hits, gives no row.
     """
     asked = queries.select("query_id", grounding_words(F.col("text")).alias("words")).where(F.size("words") > 0)
+    if common is None:
+        asked = asked.withColumn("weights", F.transform("words", lambda w: F.lit(1.0)))
+    else:
+        each = asked.select("query_id", F.posexplode("words").alias("i", "word")).join(common.select("word", F.lit(COMMON_WEIGHT).alias("weight")).distinct(), "word", "left")
+        weighed = each.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("i", "word", F.coalesce("weight", F.lit(1.0)).alias("weight")))).alias("each"))
+        asked = weighed.select("query_id", F.col("each.word").alias("words"), F.col("each.weight").alias("weights"))
     texts = records.select("record_id", F.substring_index("text", "\n", 1).alias("head"), F.regexp_replace("text", r"\A[^\n]*\n?", "").alias("rest"))
     top = hits.where(F.col("rank") <= depth).select("query_id", "record_id", "rank")
     seen = top.join(asked, "query_id").join(texts, "record_id")
     seen = seen.withColumn("body", passage_words(F.col("rest"))).withColumn("heading", passage_words(F.col("head")))
     seen = seen.withColumn("stems", F.transform("body", stem))
-    graded = F.transform("words", lambda w: F.struct(w.alias("w"), credits(w, F.col("body"), F.col("stems"), F.col("heading")).alias("c")))
+    graded = F.transform("words", lambda w, i: F.struct(w.alias("w"), credits(w, F.col("body"), F.col("stems"), F.col("heading")).alias("c"), F.col("weights")[i].alias("u")))
     seen = seen.withColumn("graded", graded)
-    mean = F.aggregate("graded", F.lit(0.0), lambda a, g: a + g["c"]) / F.size("graded")
+    mean = F.aggregate("graded", F.lit(0.0), lambda a, g: a + g["c"] * g["u"]) / F.aggregate("weights", F.lit(0.0), lambda a, u: a + u)
     seen = seen.withColumn("coverage", F.round(mean, 3))
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(mean), "rank"))
     word = lambda test: F.transform(F.filter("graded", test), lambda g: g["w"])

@@ -124,10 +124,12 @@ def g5_bloom(spark: SparkSession, d: str) -> DataFrame:
 
 
 def g9_coverage(spark: SparkSession, d: str) -> DataFrame:
-    """Mean grounding of the questions by source."""
-    from skerry.plans.search import g3_grounding
-
-    found = g3_grounding(spark, d).join(_records(spark, d).select(F.col("record_id").alias("query_id"), "source"), "query_id")
+    """Mean grounding of the questions by source, common words at a third."""
+    records = _records(spark, d)
+    questions = _questions(records)
+    hits = lexical.bm25(lexical.build_index(records, "record_id", "text"), questions, "query_id", "text", top=5)
+    found = grounding.ground(questions, hits.withColumn("rank", F.col("lex_rank") + 1), records, common=grounding.common_words(records, "record_id", "text"))
+    found = found.join(records.select(F.col("record_id").alias("query_id"), "source"), "query_id")
     return found.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("coverage"), 5).alias("coverage"))
 
 

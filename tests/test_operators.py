@@ -95,6 +95,25 @@ def test_grounding(spark):
     assert (row.coverage, row.covered, row.uncovered) == (0.333, ["snapshots"], ["keep", "forever"])
 
 
+def test_grounding_weighs_common_words_a_third(spark):
+    q = spark.createDataFrame([(1, "how do I keep snapshots forever")], ["query_id", "text"])
+    r = spark.createDataFrame([(7, "Snapshots\nA snapshot is kept"), (8, "Other\nkeep forever")], ["record_id", "text"])
+    hits = spark.createDataFrame([(1, 8, 1), (1, 7, 2)], ["query_id", "record_id", "rank"])
+    common = spark.createDataFrame([("keep", 9), ("forever", 8)], ["word", "df"])
+    row = grounding.ground(q, hits, r, common=common).first()
+    assert (row.record_id, row.coverage, row.covered, row.uncovered) == (7, 0.6, ["snapshots"], ["keep", "forever"])
+
+
+def test_g9_is_weighted(spark, tmp_path):
+    from skerry.plans.quality import g9_coverage
+
+    docs = [(20 * i, f"harbour word{i}x missing{i}y\nharbour word{i}x and so on", "en", "s") for i in range(12)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    row = g9_coverage(spark, str(tmp_path)).first()
+    # harbour 1/3 in the body, word 1 in the body, missing 1 at half, as in the heading only: 11/14
+    assert (row.n, row.coverage) == (12, 0.786)
+
+
 def test_exchanges(spark):
     turns = spark.createDataFrame([(1, 1, "user"), (1, 2, "user"), (1, 3, "assistant"), (1, 4, "assistant"), (1, 5, "user"), (2, 1, "assistant")], ["c", "t", "role"])
     got = chunking.exchanges(turns, "c", ["t"], "role").orderBy("c", "t").collect()
