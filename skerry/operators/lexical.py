@@ -48,9 +48,9 @@ def document_frequencies(index: LexicalIndex, queries: DataFrame, id_col: str, t
 
 
 def bm25(
-    index: LexicalIndex, queries: DataFrame, id_col: str, text_col: str, top: int = CANDIDATES, exclude: DataFrame | None = None, stats: DataFrame | None = None, terms: DataFrame | None = None
+    index: LexicalIndex, queries: DataFrame, id_col: str, text_col: str, top: int | None = CANDIDATES, exclude: DataFrame | None = None, stats: DataFrame | None = None, terms: DataFrame | None = None
 ) -> DataFrame:
-    """``query_id, record_id, score, lex_rank`` (from 0): the ``top`` records of each query.
+    """``query_id, record_id, score, lex_rank`` (from 0): the ``top`` records of each query; all without rank if ``top`` is None.
 
     Excluded records (``record_id``) leave before the cut, so they take no place. ``stats`` and ``terms`` of a larger
     collection may replace the index's own. Scores of a hot term are combined by (query, record) before the shuffle.
@@ -66,6 +66,8 @@ def bm25(
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     scored = found.groupBy("query_id", "record_id").agg(F.round(F.sum(part), DECIMALS).alias("score"))
+    if top is None:
+        return scored
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "record_id"))
     return scored.withColumn("lex_rank", place - 1).where(F.col("lex_rank") < top)
 

@@ -230,9 +230,9 @@ def h6_hybrid_query(spark: SparkSession, d: str) -> DataFrame:
 def h8_multi_pack(spark: SparkSession, d: str) -> DataFrame:
     """The first five lexical hits of each query in each pack (language), never merged over packs."""
     records = _records(spark, d)
-    hits = lexical.bm25(lexical.build_index(records, "record_id", "text"), _questions(records), "query_id", "text", top=10**6)
+    hits = lexical.bm25(lexical.build_index(records, "record_id", "text"), _questions(records), "query_id", "text", top=None)
     packed = hits.join(records.select("record_id", "lang"), "record_id").where("lang is not null")
-    place = F.row_number().over(Window.partitionBy("query_id", "lang").orderBy("lex_rank"))
+    place = F.row_number().over(Window.partitionBy("query_id", "lang").orderBy(F.desc("score"), "record_id"))
     return packed.withColumn("rank", place.cast("long")).where(F.col("rank") <= 5).select("query_id", F.col("lang").alias("pack"), "record_id", "rank")
 
 

@@ -87,6 +87,13 @@ def test_no_lexical_candidates_keep_the_vector_order(spark):
     assert [r.record_id for r in fusion.fuse(vec, lex).orderBy("fused_rank").collect()] == ["a", "b"]
 
 
+def test_bm25_without_a_cap(spark):
+    records = spark.createDataFrame([(i, "harbour " * (i % 7 + 1)) for i in range(300)], ["record_id", "text"])
+    q = spark.createDataFrame([(1, "harbour")], ["query_id", "text"])
+    got = lexical.bm25(lexical.build_index(records, "record_id", "text"), q, "query_id", "text", top=None)
+    assert got.count() == 300 and "lex_rank" not in got.columns
+
+
 def test_grounding(spark):
     q = spark.createDataFrame([(1, "how do I keep snapshots forever")], ["query_id", "text"])
     r = spark.createDataFrame([(7, "Snapshots\nA snapshot is kept")], ["record_id", "text"])
