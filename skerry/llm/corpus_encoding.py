@@ -96,7 +96,7 @@ class PieceEncoder:
 
     def __init__(self, single: list[int], merges: dict):
         self.single, self.merges = single, merges
-        self.ascii, self.full = re.compile(ASCII_PIECES), regex.compile(PIECES)
+        self.ascii, self.full = re.compile(ASCII_PIECES, re.ASCII), regex.compile(PIECES)
         self.forget()
 
     def forget(self) -> None:
