@@ -60,7 +60,8 @@ def _split_overlaps(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    return _split_overlaps(spark, d).select(F.col("id_a").alias("example_id_a"), F.col("id_b").alias("example_id_b")).distinct()
+    pairs = _split_overlaps(spark, d)
+    return pairs.select(F.least("id_a", "id_b").alias("example_id_a"), F.greatest("id_a", "id_b").alias("example_id_b")).distinct()
 
 
 def p7_report(spark: SparkSession, d: str) -> DataFrame:
@@ -170,4 +171,18 @@ WITH worded AS (
   FROM each a JOIN each b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id
 )
 SELECT doc_id_a, doc_id_b FROM shared WHERE common / (na + nb - common) >= 0.6""",
+    # DuckDB's levenshtein counts bytes, so letters outside ASCII stand as capitals, which the normalised texts lack.
+    "p7_found": """
+WITH known AS (
+  SELECT example_id, CASE WHEN s IN ('val', 'dev') THEN 'validation' ELSE s END AS split, t FROM (
+    SELECT example_id, lower(regexp_replace(split, '^\\s+|\\s+$', '', 'g')) AS s, trim(regexp_replace(lower(text), '[^\\p{L}\\p{N}]+', ' ', 'g')) AS t FROM abstention_examples
+  ) WHERE example_id IS NOT NULL AND s IN ('train', 'validation', 'val', 'dev', 'test') AND t <> ''
+), letters AS (
+  SELECT coalesce(string_agg(c, '' ORDER BY c), '') AS c FROM (SELECT DISTINCT unnest(string_split(t, '')) AS c FROM known) WHERE unicode(c) > 127
+), plain AS (
+  SELECT example_id, split, length(t) AS n, translate(t, c, left('ABCDEFGHIJKLMNOPQRSTUVWXYZ', CAST(length(c) AS INTEGER))) AS t FROM known CROSS JOIN letters
+)
+SELECT DISTINCT least(a.example_id, b.example_id) AS example_id_a, greatest(a.example_id, b.example_id) AS example_id_b
+FROM plain a JOIN plain b ON a.split = 'train' AND b.split <> 'train' AND abs(a.n - b.n) <= greatest(a.n, b.n) // 10
+WHERE a.t = b.t OR levenshtein(a.t, b.t) <= greatest(a.n, b.n) // 10""",
 }

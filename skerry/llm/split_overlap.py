@@ -126,7 +126,8 @@ def _candidates(texts: DataFrame) -> DataFrame:
     # Some unbroken segment has no more edits before it than segments, and no more behind it than segments are left.
     near = (F.abs(longer) <= edits) & (F.abs(moved) <= F.least("t.nth", edits)) & (F.abs(longer - moved) <= F.least(F.floor(F.col("t.size") / 9) - F.col("t.nth"), edits))
     flips = sum((F.bit_count(F.col(f"t.p{i}").bitwiseXOR(F.col(f"h.p{i}"))) for i in range(WORDS)), F.lit(0))
-    both = t.join(h, (F.col("t.digest") == F.col("h.digest")) & near & (flips <= 4 * edits) & (F.col("t.tid") != F.col("h.tid")))
+    # Both sides are many rows a text, which the planner's estimate does not see: merged, not broadcast.
+    both = t.hint("merge").join(h.hint("merge"), (F.col("t.digest") == F.col("h.digest")) & near & (flips <= 4 * edits) & (F.col("t.tid") != F.col("h.tid")))
     return both.select(F.col("t.tid").alias("train"), F.col("h.tid").alias("held")).distinct()
 
 
@@ -157,7 +158,7 @@ def split_overlaps(df: DataFrame, id_col: str = "example_id", text_col: str = "t
     a = texts.select(F.col("tid").alias("train"), F.col("norm").alias("norm_a"))
     b = texts.select(F.col("tid").alias("held"), F.col("norm").alias("norm_b"))
     allowed = "cast(floor(greatest(char_length(norm_a), char_length(norm_b)) / 10) as int)"
-    near = _candidates(texts).join(a, "train").join(b, "held").withColumn("distance", F.expr(f"levenshtein(norm_a, norm_b, {allowed})"))
+    near = _candidates(texts).hint("merge").join(a.hint("merge"), "train").join(b.hint("merge"), "held").withColumn("distance", F.expr(f"levenshtein(norm_a, norm_b, {allowed})"))
     near = near.where("distance >= 0")
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -394,6 +394,15 @@ def test_short_texts_that_share_no_run(spark):
     assert got == near_pairs(train, held) and {(0, 100), (1, 101), (2, 102), (4, 104)} <= got and (3, 103) not in got
 
 
+def test_p7_pairs_have_the_smaller_id_first(spark, con, tmp_path):
+    text = "how does bafogeta measure the harbour when dimoruka meets felisato"
+    rows = [(90, text, "train", "f", None, 1, 1), (12, text.replace("how", "hów"), "test", "f", None, 1, 1), (95, text + "s", " Dev ", "f", None, 1, 1), (12, text, "other", "f", None, 1, 1)]
+    spark.createDataFrame(rows, EXAMPLES).select("example_id", "text", "split", "family").coalesce(1).write.parquet(f"{tmp_path}/abstention_examples.parquet")
+    assert {tuple(r) for r in Q.p7_found(spark, str(tmp_path)).collect()} == {(12, 90), (90, 95)}
+    found = con.sql(Q.SQL["p7_found"].replace("FROM abstention_examples", f"FROM '{tmp_path}/abstention_examples.parquet/*.parquet'")).fetchall()
+    assert set(found) == {(12, 90), (90, 95)}
+
+
 def test_chunks_are_local():
     a = "how does bafogeta measure the harbour when dimoruka meets felisato"
     assert O.cuts(a)[0] == 0 and O.cuts(a)[-1] == len(a)
@@ -403,7 +412,7 @@ def test_chunks_are_local():
 
 # 8. encoding
 
-ODD = [None, "", "   ", "  a\n\n b  c  ", "aaaaaaa" * 50, "\x1c\x85x", "İ ǅ ½ ² 𝟘 👩‍👩‍👧 é <|endoftext|> 'S don't", "x" * 100_000, "word " * 20_000]
+ODD = [None, "", "   ", "  a\n\n b  c  ", "aaaaaaa" * 50, "\x1c\x85x", "a \x1c\x1d b\x1e\x1f\x1c c", "İ ǅ ½ ² 𝟘 👩‍👩‍👧 é <|endoftext|> 'S don't", "x" * 100_000, "word " * 20_000]
 
 
 def test_ids_equal_the_library_and_decode(spark):
