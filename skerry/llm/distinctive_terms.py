@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skerry.session import cut
+
 #: Fixed value: a term is a longest run of these characters, three or more of them, in the lower-cased text.
 TERM = "[a-z0-9]{3,}"
 
@@ -29,9 +33,15 @@ def log_entropy(records: DataFrame, id_col: str, text_col: str, order_col: str |
     an id count once. With one record or none in all, the global weight is 1. An empty table gives no rows. Other columns, of any
     name, are not read.
     """
+    return _weighted(records, id_col, text_col, order_col).drop("n")
+
+
+def _weighted(records: DataFrame, id_col: str, text_col: str, order_col: str | None) -> DataFrame:
+    """The rows of :func:`log_entropy` with ``n``, the number of all records."""
     one = latest_deliveries(records, id_col, text_col, order_col)
     terms = one.select("record", F.explode(F.expr(f"regexp_extract_all(lower(text), '{TERM}', 0)")).alias("term"))
-    counted = terms.groupBy("record", "term").agg(F.count(F.lit(1)).alias("tf"))
+    # Cut here: the second aggregation and the join back would else read and tokenise the collection once each.
+    counted = cut(terms.groupBy("record", "term").agg(F.count(F.lit(1)).alias("tf")))
     spread = counted.groupBy("term").agg(
         F.sum("tf").alias("gf"), F.count(F.lit(1)).alias("df"), F.sum(F.col("tf") * F.log(F.col("tf"))).alias("tlogt")
     )
@@ -41,13 +51,19 @@ def log_entropy(records: DataFrame, id_col: str, text_col: str, order_col: str |
     return (
         counted.join(spread, "term")
         .crossJoin(F.broadcast(total))  # one row
-        .select("record", "term", "tf", "df", (F.log1p(F.col("tf")) * weight).alias("score"))
+        .select("record", "term", "tf", "df", (F.log1p(F.col("tf")) * weight).alias("score"), "n")
     )
 
 
 def distinctive_terms(
     records: DataFrame, id_col: str, text_col: str, order_col: str | None = None, min_tf: int = 3, min_df: int = 2, max_df: int = 8
 ) -> DataFrame:
-    """Rows of :func:`log_entropy` that are frequent in their record and rare but shared in the collection."""
-    scored = log_entropy(records, id_col, text_col, order_col)
-    return scored.where((F.col("tf") >= min_tf) & F.col("df").between(min_df, max_df))
+    """Rows of :func:`log_entropy` that are frequent in their record and rare but shared in the collection.
+
+    The score decides first: a term of ``min_tf`` or more in its record and in ``max_df`` records at most has an entropy of
+    ln ``max_df`` at most, so no such term scores below ln(1 + min_tf) * (1 - ln max_df / ln N). The counts then settle the rest.
+    """
+    scored = _weighted(records, id_col, text_col, order_col)
+    least = math.log1p(min_tf) * F.when(F.col("n") > 1, 1.0 - math.log(max(1, max_df)) / F.log(F.col("n"))).otherwise(F.lit(1.0))
+    kept = scored.where(F.col("score") >= least - 1e-9).drop("n")
+    return kept.where((F.col("tf") >= min_tf) & F.col("df").between(min_df, max_df))
