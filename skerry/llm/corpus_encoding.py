@@ -156,8 +156,11 @@ def encode_corpus(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return narrow.mapInArrow(run, f"id {kind}, ids array<int>").withColumnRenamed("id", id_col)
 
 
-def token_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
-    """Columns ``id_col`` and ``n_tokens`` (int), by the same encoder; the ids never leave the Python worker."""
+def token_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, prompts: bool = False) -> DataFrame:
+    """Columns ``id_col`` and ``n_tokens`` (int), by the same encoder; the ids never leave the Python worker.
+
+    With ``prompts``, also ``n_loss`` (int): the tokens beyond those of the first line, which an instruction's loss does not bear.
+    """
     vocabulary = _vocabulary(df, path or vocabulary_path())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,9 +168,14 @@ def token_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
-                offsets, _ = encoder.encode(part.column(1).to_pylist())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(offsets), pa.int32())], names=["id", "n_tokens"])
+                texts = part.column(1).to_pylist()
+                n = np.diff(encoder.encode(texts)[0])
+                out = [part.column(0), pa.array(n, pa.int32())]
+                if prompts:
+                    heads = np.diff(encoder.encode([t.split("\n", 1)[0] if t else None for t in texts])[0])
+                    out.append(pa.array(np.maximum(0, n - heads), pa.int32()))
+                yield pa.RecordBatch.from_arrays(out, names=["id", "n_tokens", "n_loss"][: len(out)])
 
     kind = df.schema[id_col].dataType.simpleString()
     narrow = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return narrow.mapInArrow(run, f"id {kind}, n_tokens int").withColumnRenamed("id", id_col)
+    return narrow.mapInArrow(run, f"id {kind}, n_tokens int" + (", n_loss int" if prompts else "")).withColumnRenamed("id", id_col)
