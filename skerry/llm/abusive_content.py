@@ -48,7 +48,7 @@ NEUTRAL = "people"
 
 _GAPS = re.compile("[\u200b-\u200f\u2060\ufeff\u00ad]")
 #: Letters of other alphabets that look Latin.
-_LOOKALIKE = str.maketrans("аеорсухіѕјԁһкмтвнгιοραενκτ", "aeopcyxisjdhkmtbhrıopaevkt".replace("ı", "i"))
+_LOOKALIKE = str.maketrans("аеорсухіѕјԁһкмтвнгιοραενκτ", "aeopcyxisjdhkmtbhriopaevkt")
 _MIXED = re.compile(r"[a-zß-ÿ][Ͱ-ϿЀ-ӿԀ-ԯ]|[Ͱ-ϿЀ-ӿԀ-ԯ][a-zß-ÿ]")
 _OTHER = re.compile(r"[^\W\d_]*[Ͱ-ϿЀ-ӿԀ-ԯ][^\W\d_]*")
 _SPACED = re.compile(r"(?<![^\W_])[^\W\d_](?:([ .\-_*·])[^\W\d_])(?:\1[^\W\d_])+(?![^\W_])")

@@ -77,16 +77,18 @@ def p9_containers(spark: SparkSession, d: str) -> DataFrame:
     return container_packing.fill_containers(sizes, table(spark, d, "container_sizes"))
 
 
-def p9_fill(spark: SparkSession, d: str) -> DataFrame:
-    return container_packing.fill_report(p9_containers(spark, d), table(spark, d, "container_sizes"))
+def p9_instructions(spark: SparkSession, d: str) -> DataFrame:
+    """As instruction data: first lines bear no loss; at most 16 segments and nine tenths of loss-bearing tokens a container."""
+    sizes = corpus_encoding.token_counts(table(spark, d, "documents"), prompts=True)
+    return container_packing.fill_containers(sizes, table(spark, d, "container_sizes"), loss_col="n_loss", max_segments=16, loss_share=0.9)
 
 
-#: The peoples and sects that the texts name, for the counterfactual penalty.
-PEOPLES = ["veldrani", "ostrelli", "quorish", "tamberite", "sundrel", "morvish"]
+def p9_fill(spark: SparkSession, d: str) -> DataFrame:
+    return container_packing.fill_report(p9_containers(spark, d), table(spark, d, "container_sizes"))
 
 
 def _scored(spark: SparkSession, d: str) -> DataFrame:
-    return abusive_content.score_documents(table(spark, d, "documents"), table(spark, d, "content_labels"), PEOPLES)
+    return abusive_content.score_documents(table(spark, d, "documents"), table(spark, d, "content_labels"))
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
@@ -102,7 +104,7 @@ def p10_rates(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_scores, p2_found, p3_found, p4_found, p5_found, p5_groups, p6_found, p6_clean, p7_found, p7_report, p8_ids, p9_containers, p9_fill, p10_found, p10_scores, p10_rates)
+    f.__name__: f for f in (p1_found, p1_scores, p2_found, p3_found, p4_found, p5_found, p5_groups, p6_found, p6_clean, p7_found, p7_report, p8_ids, p9_containers, p9_instructions, p9_fill, p10_found, p10_scores, p10_rates)
 }
 
 _RECORD_TERMS = """

@@ -57,6 +57,16 @@ def test_log_entropy_by_hand(spark):
     assert math.isclose(got[1, "pier"].score, math.log(4) * (1 - h / math.log(4)), abs_tol=1e-9)
 
 
+def test_the_score_decides_before_the_counts(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, " ".join(f"t{k}x" for k in rng.zipf(1.4, 40) % 90) + f" rare{i // 4}" * (1 + i % 5), T0, None, None, None) for i in range(60)]
+    df = spark.createDataFrame(rows, RECORDS)
+    scored = [r for r in D.log_entropy(df, "chunk_id", "text", "at").collect() if r.tf >= 3 and 2 <= r.df <= 8]
+    kept = D.distinctive_terms(df, "chunk_id", "text", "at")
+    assert {(r.record, r.term) for r in kept.collect()} == {(r.record, r.term) for r in scored} and len(scored) > 5
+    assert "score" in kept._jdf.queryExecution().optimizedPlan().toString() and "LOG1P" in kept._jdf.queryExecution().optimizedPlan().toString().upper()
+
+
 def test_terms_of_an_empty_table(spark):
     assert D.distinctive_terms(spark.createDataFrame([], RECORDS), "chunk_id", "text", "at").count() == 0
 
@@ -437,7 +447,7 @@ def test_packing_holds_every_item_once(spark):
     items = [(int(i), int(n), "x", 1) for i, n in enumerate(rng.integers(0, 700, 400))] + [(None, None, "x", 1), (7, 5, "x", 1), (1000, 2000, "x", 1)]
     df = spark.createDataFrame(items, "doc_id long, n_tokens int, task string, loss int")
     caps = spark.createDataFrame([("small", "t", 512), ("large", "t", 4096), ("none", "t", None)], "container_kind string, tokenizer string, capacity_tokens int")
-    for tasks in (10**9, 30_000):
+    for tasks in (10**9, 30_000, 4_000):
         filled = C.fill_containers(df, caps, tokens_per_task=tasks).collect()
         for kind, capacity in (("small", 512), ("large", 4096)):
             rows = [r for r in filled if r.container_kind == kind]
@@ -449,7 +459,7 @@ def test_packing_holds_every_item_once(spark):
             assert all(r.part_no == 0 or per[r.doc_id] > capacity for r in rows)
             assert len([r for r in rows if r.doc_id == 1000]) == (4 if kind == "small" else 1)
             least = math.ceil(sum(load.values()) / capacity)
-            assert len(load) <= (1.02 * least + 1 if tasks > 10**6 else 1.2 * least + 5)
+            assert len(load) <= 1.02 * least + 2
     assert C.fill_containers(df.limit(0), caps).count() == 0
 
 
@@ -460,6 +470,19 @@ def test_packing_keeps_all_limits():
         assert (sizes[at == box].sum(0) <= [10, 2, 6]).all()
 
 
+def test_instructions_keep_three_limits(spark):
+    rng = np.random.default_rng(3)
+    items = [(int(i), int(n), int(n * rng.random())) for i, n in enumerate(rng.integers(1, 300, 600))]
+    df = spark.createDataFrame(items, "doc_id long, n_tokens int, n_loss int")
+    caps = spark.createDataFrame([("a", "t", 2000), ("a", "t", 2000), ("b", "t", 400)], "container_kind string, tokenizer string, capacity_tokens int")
+    filled = C.fill_containers(df, caps, loss_col="n_loss", max_segments=9, loss_share=0.5, tokens_per_task=9_000).collect()
+    loss, segments = Counter(), Counter(r.container_id for r in filled)
+    for r in filled:
+        loss[r.container_id] += items[r.doc_id][2]
+    assert max(segments.values()) == 9 and all(n <= (1000 if k.startswith("a") else 200) or segments[k] == 1 for k, n in loss.items())
+    assert Counter((r.container_kind, r.doc_id) for r in filled) == {(k, i): 1 for k in "ab" for i in range(600)}
+
+
 # 10. abusive content
 
 ABUSE = ["You are a pathetic {} and everyone here knows it.", "Shut your mouth, you {} loser.", "All Zorvik are {} and should be thrown out."]
