@@ -16,6 +16,8 @@ TOKENS_PER_TASK = 500_000
 #: and how many tasks' such containers meet in one task.
 REOPENED, TASKS_TOGETHER = 8, 16
 
+MOST_PARTITIONS = 20_000
+
 #: A capacity table is a handful of rows at every scale; more than this is an error.
 MAX_CAPACITIES = 1_000
 
@@ -142,7 +144,8 @@ def fill_containers(
 
         return run
 
-    filled, done, level = dealt.groupBy("task").applyInArrow(first, schema), [], 0
+    # By number, as a shuffle of few bytes would be read by one task.
+    filled, done, level = dealt.repartition(min(tasks, MOST_PARTITIONS), "task").groupBy("task").applyInArrow(first, schema), [], 0
     while tasks > 1:
         filled = cut(filled)
         done.append(filled.where("not open"))
