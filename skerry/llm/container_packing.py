@@ -151,7 +151,7 @@ def fill_containers(
         done.append(filled.where("not open"))
         rest = filled.where("open").withColumn("task", F.floor(F.col("task") / TASKS_TOGETHER))
         tasks, level = -(-tasks // TASKS_TOGETHER), level + 1
-        filled = rest.groupBy("container_kind", "task").applyInArrow(again(level), schema)
+        filled = rest.repartition(min(tasks * len(kinds), MOST_PARTITIONS), "container_kind", "task").groupBy("container_kind", "task").applyInArrow(again(level), schema)
     for part in done:
         filled = filled.unionByName(part)
     return filled.select(*COLUMNS).withColumnRenamed("id", id_col)
