@@ -41,7 +41,8 @@ def is_valid(v: Column, dim: int) -> Column:
 
 
 def normalized(v: Column) -> Column:
-    return let(v, lambda a: let(norm(a), lambda n: F.transform(a, lambda x: x / n)))
+    """Of length 1; one without length stays as it is."""
+    return let(v, lambda a: let(let(norm(a), lambda n: F.when(n > 0, n).otherwise(F.lit(1.0))), lambda n: F.transform(a, lambda x: x / n)))
 
 
 def cosine_distance(a: Column, b: Column) -> Column:
@@ -93,6 +94,20 @@ def symmetric_dot(a: Column, b: Column, dim: int) -> Column:
     )
 
 
+def coded_square(a: Column, dim: int) -> Column:
+    """Squared length of a coded row, from the sums of its codes."""
+    return F.lit(float(dim)) * a["offset"] * a["offset"] + F.lit(2.0) * a["offset"] * a["scale"] * a["sum_q"] + a["scale"] * a["scale"] * a["sum_q2"]
+
+
+def symmetric_cosine(a: Column, b: Column, dim: int) -> Column:
+    """Distance of two coded rows of length 1."""
+    return 1 - F.greatest(F.lit(-1.0), F.least(F.lit(1.0), symmetric_dot(a, b, dim)))
+
+
+def symmetric_l2(a: Column, b: Column, dim: int) -> Column:
+    return F.sqrt(F.greatest(F.lit(0.0), coded_square(a, dim) + coded_square(b, dim) - 2 * symmetric_dot(a, b, dim)))
+
+
 def pooled(v: Column, pool: int) -> Column:
     """Means of ``pool`` neighbouring components."""
     require(pool > 0, "pool must be positive")

@@ -61,7 +61,7 @@ def word_similarity(queries: DataFrame, passages: DataFrame, noise: float = 0.0)
 
 @dataclass
 class Verdict:
-    """A logistic model of standardised features, and the probabilities from which a match is strong or weak."""
+    """A logistic model of standardised features, and the probabilities below which a match is none (``hard``) or weak (``weak``)."""
 
     features: list[str]
     mean: list[float]
@@ -73,8 +73,8 @@ class Verdict:
 
 
 def fit_verdict(examples: DataFrame, features: list[str], label_col: str, most: int = 50_000, epochs: int = 4000, rate: float = 0.1, penalty: float = 1e-3) -> Verdict:
-    """Fit on at most ``most`` examples (a documented bound, by hash), each class weighing alike. ``hard`` is the tenth percentile of
-    the positives, ``weak`` the ninetieth of the negatives, the lower never above the higher."""
+    """Fit on at most ``most`` examples (a documented bound, by hash), each class weighing alike. Of the tenth percentile of the
+    positives and the ninetieth of the negatives the lower is ``hard``, the higher ``weak``."""
     kept = examples.select(*features, label_col).dropna().orderBy(F.xxhash64(*features)).limit(most).toPandas()
     y = kept[label_col].to_numpy(float)
     require(len(set(y)) == 2, "examples of both classes are needed")
@@ -89,7 +89,7 @@ def fit_verdict(examples: DataFrame, features: list[str], label_col: str, most:
         b -= rate * gap.sum()
     p = 1 / (1 + np.exp(-(x @ w + b)))
     low, high = sorted((float(np.quantile(p[y == 0], 0.9)), float(np.quantile(p[y == 1], 0.1))))
-    return Verdict(features, mean.tolist(), scale.tolist(), w.tolist(), float(b), high, low)
+    return Verdict(features, mean.tolist(), scale.tolist(), w.tolist(), float(b), low, high)
 
 
 def student_features(questions: DataFrame, known_words: DataFrame, known_runs: DataFrame) -> DataFrame:

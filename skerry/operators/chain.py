@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from skerry.errors import SkerryError, require
+from skerry.functions import vector as V
+from skerry.operators import knn
+from skerry.operators.lexical import LexicalIndex, build_index
 from skerry.session import bounded_collect, cut
 
 #: Layers above a base, steps that a supersession is followed, and the drift from which a chain is stale.
@@ -20,7 +23,8 @@ MAX_DEPTH, MAX_HOPS, DRIFT_LIMIT = 16, 64, 0.20
 def intervals(tiers: DataFrame) -> DataFrame:
     """``tiers`` with ``row_base`` and ``row_end``; at most :data:`MAX_DEPTH` + 1 rows."""
     below = F.coalesce(F.sum("records").over(Window.orderBy("depth").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = tiers.limit(MAX_DEPTH + 2).withColumn("row_base", below)
+    bounded_collect(tiers.select("depth"), MAX_DEPTH + 1, "the chain")  # so it may be ordered in one task and broadcast
+    placed = tiers.withColumn("row_base", below)
     return placed.withColumn("row_end", F.col("row_base") + F.col("records"))
 
 
@@ -86,7 +90,8 @@ def chain_stats(doclen: DataFrame) -> DataFrame:
 def cite(citations: DataFrame, heads: DataFrame) -> DataFrame:
     """``citations`` (identity, record_id) with ``status``: ``ok``, ``invalid-id`` (negative or null), ``postdates`` (beyond what the
     cited head held) or ``not-on-history``. ``heads`` has identity, row_total."""
-    known = citations.join(F.broadcast(heads.select("identity", "row_total").limit(MAX_DEPTH + 1)), "identity", "left")
+    bounded_collect(heads.select("identity"), MAX_DEPTH + 1, "the history")  # so it may be broadcast
+    known = citations.join(F.broadcast(heads.select("identity", "row_total")), "identity", "left")
     status = (
         F.when(F.col("row_total").isNull(), "not-on-history")
         .when(F.col("record_id").isNull() | (F.col("record_id") < 0), "invalid-id")
@@ -129,6 +134,73 @@ def plan_layer(tiers: DataFrame, tombstones: DataFrame, n_new: int, remove: Data
     return more, tombstones.select("depth", "record_id").union(gone.select(F.lit(depth), "record_id")), edges
 
 
+def tiered_knn(questions: DataFrame, codes: DataFrame, tiers: int, dim: int, pool: int, depth: int, extra: DataFrame, masked: DataFrame) -> DataFrame:
+    """``query_id, record_id, distance, vec_rank`` over a chain: every tier gives its ``depth`` nearest live rows by sketch, the
+    lexical candidates (``extra``) join them, and all are ranked by exact distance and id over the whole chain.
+
+    ``codes`` are of :func:`skerry.operators.knn.coded` with the tier as ``pack``; ``masked`` (record_id) leaves before any cut.
+    """
+    asked = questions.select(F.col("query_id").cast("long"), V.normalized(V.doubles(F.col("vector"))).alias("vector"))
+    alive = live(codes, masked)
+    # A question to a tier is a query of its own.
+    each = asked.withColumn("pack", F.explode(F.sequence(F.lit(0), F.lit(tiers - 1)))).withColumn("query_id", F.col("query_id") * tiers + F.col("pack"))
+    near = knn.sketch_candidates(each, alive, dim, pool, depth).select(F.floor(F.col("query_id") / tiers).alias("query_id"), "record_id")
+    return knn.rerank(near.union(extra.select("query_id", "record_id")).distinct(), asked, alive, None)
+
+
+def supersede_targets(named: DataFrame, chunks: DataFrame) -> DataFrame:
+    """``old_id, new_no`` of ``named`` (old_id, source_path): the one new chunk (new_no, source_path) that the path names.
+
+    A path that names no chunk, or several, is an error, as an edge has one successor.
+    """
+    met = named.join(chunks.select("new_no", "source_path"), "source_path", "left").groupBy("old_id", "source_path").agg(F.count("new_no").alias("n"), F.min("new_no").alias("new_no"))
+    met = cut(met)
+    wrong = met.where("n <> 1").orderBy("old_id").first()
+    if wrong is not None:
+        raise SkerryError("INVALID_ARGUMENT", f"{wrong['old_id']}={wrong['source_path']} names {wrong['n']} of the new records, not one")
+    return met.select("old_id", "new_no")
+
+
+def replay(
+    layer_tombstones: DataFrame, parent_tombstones: DataFrame, layer_edges: DataFrame, old_base: int, layer_records: int,
+    head_tombstones: DataFrame, head_edges: DataFrame, head_records: int, fork_records: int, on_foreign: str = "refuse", on_conflict: str = "refuse",
+) -> tuple[DataFrame, DataFrame]:
+    """(tombstones, edges) of a layer replayed on another head: ``record_id`` of all that is buried then, and ``old_id, new_id``.
+
+    Of the layer's tombstones only those that its parent lacked are its own. Own ids move up behind the head's records; ids from
+    the fork on (``fork_records``) name other records there: they are refused, or left out by ``on_foreign="drop"``. Where the head already
+    records another successor, the edge is refused, left out (``on_conflict="skip"``) or kept beside it (``"keep-both"``). A replay that
+    would add nothing is refused too.
+    """
+    require(on_foreign in ("refuse", "drop") and on_conflict in ("refuse", "skip", "keep-both"), "unknown policy")
+    own = cut(layer_tombstones.select("record_id").distinct().join(parent_tombstones.select("record_id"), "record_id", "left_anti").where(F.col("record_id") < old_base))
+    edges = layer_edges.select("old_id", (F.col("new_id") - old_base + head_records).alias("new_id"))
+    foreign = own.where(F.col("record_id") >= fork_records).union(edges.where(F.col("old_id") >= fork_records).select("old_id"))
+    require(on_foreign == "drop" or foreign.isEmpty(), "the layer buries or replaces records that only its own history has")
+    edges = edges.where(F.col("old_id") < fork_records)
+    require(edges.where((F.col("new_id") < head_records) | (F.col("new_id") >= head_records + layer_records)).isEmpty(), "an edge leads outside the layer", "LAYER_INVALID")
+    last = head_edges.groupBy("old_id").agg(F.max_by("new_id", F.struct("depth", "new_id")).alias("theirs"))
+    met = cut(edges.join(last, "old_id", "left").withColumn("clash", F.coalesce(F.col("theirs") != F.col("new_id"), F.lit(False))))
+    require(on_conflict != "refuse" or met.where("clash").isEmpty(), "the head already records another successor")
+    kept = met.where(F.lit(on_conflict == "keep-both") | ~F.col("clash")).select("old_id", "new_id")
+    buried = own.where(F.col("record_id") < fork_records).union(kept.select("old_id")).distinct()
+    added = cut(buried.join(head_tombstones.select("record_id"), "record_id", "left_anti"))
+    require(layer_records > 0 or not added.isEmpty(), "the replayed layer changes nothing")
+    return head_tombstones.select("record_id").distinct().union(added), kept
+
+
+def compacted(records: DataFrame, tombstones: DataFrame, termed: DataFrame | None = None) -> tuple[DataFrame, DataFrame, LexicalIndex]:
+    """(id map old_id, new_id; records rewritten; their lexical index) of a chain folded into one base.
+
+    Live records are numbered densely in the order of their ids; their rows are taken over as they are. The index is rebuilt over the
+    live records alone, from their known terms (``termed`` of an index) where those are given.
+    """
+    moved = cut(knn.compacted(records.select("record_id"), tombstones.select("record_id")))
+    renumber = lambda df: df.join(moved, F.col("record_id") == F.col("old_id")).drop("record_id", "old_id").withColumnRenamed("new_id", "record_id")
+    rewritten = renumber(records)
+    return moved, rewritten, LexicalIndex(cut(renumber(termed))) if termed is not None else build_index(rewritten, "record_id", "text")
+
+
 def translate(citations: DataFrame, id_map: DataFrame, current: DataFrame) -> DataFrame:
     """``old_id, status, new_id`` after a compaction: ``live``, ``superseded`` (by a live record) or ``deleted``.
 

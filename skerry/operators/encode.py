@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import unicodedata
 from collections.abc import Callable, Iterator
 
@@ -11,6 +12,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skerry.functions.text import tokens
+
 
 def hashed_features(text: str, places: int) -> np.ndarray:
     """Places of a text's words, pairs of words, and runs of 3 to 5 characters within words."""
@@ -37,6 +40,43 @@ def student(embedding: np.ndarray, projection: np.ndarray) -> Callable[[list[str
     return encode
 
 
+def hash_vectors(df: DataFrame, text_col: str, dims: int, decimals: int = 9, vector_col: str = "vector") -> DataFrame:
+    """``df`` with each text's vector without a model, as :func:`skerry.functions.vector.hash_embedding` has it, in Arrow batches.
+
+    A word's place and weight are looked up once a worker; components are rounded, so that equal texts tie whatever the order of addition.
+    """
+    remembered = 400_000
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, tuple[int, float]] = {}
+
+        def place(word: str) -> tuple[int, float]:
+            found = known.get(word)
+            if found is None:
+                if len(known) > remembered:
+                    known.clear()
+                digest = hashlib.sha256(word.encode("utf-8", "surrogatepass")).digest()
+                found = known[word] = (int.from_bytes(digest[:4], "little") % dims, digest[4] / 255 * 2 - 1)
+            return found
+
+        for batch in batches:
+            lists = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
+            sizes = np.array([len(words or ()) for words in lists], np.int64)
+            pairs = [place(w) for words in lists for w in words or ()]
+            at = np.repeat(np.arange(len(lists)), sizes) * dims + np.fromiter((i for i, _ in pairs), np.int64, len(pairs))
+            v = np.bincount(at, np.fromiter((x for _, x in pairs), np.float64, len(pairs)), minlength=len(lists) * dims).reshape(-1, dims)
+            length = np.linalg.norm(v, axis=1, keepdims=True)
+            v = np.round(v / np.where(length > 0, length, 1), decimals) + 0.0
+            vectors = pa.ListArray.from_arrays(pa.array(np.arange(len(v) + 1) * dims, pa.int32()), pa.array(v.reshape(-1)))
+            kept = [i for i, name in enumerate(batch.schema.names) if name != text_col]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), vectors], names=[*(batch.schema.names[i] for i in kept), vector_col])
+
+    # Words are cut in the JVM; the text itself does not go to Python.
+    worded = df.withColumn(text_col, tokens(F.lower(text_col)))
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name != text_col)
+    return worded.mapInArrow(run, f"{fields}, `{vector_col}` array<double>")
+
+
 def encode_column(df: DataFrame, text_col: str, encode: Callable[[list[str]], np.ndarray], vector_col: str = "vector") -> DataFrame:
     """``df`` with the vector of each text, in Arrow batches; any encoder of lists of texts may be plugged in."""
 

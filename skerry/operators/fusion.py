@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from skerry.errors import require
 from skerry.functions.text import trimmed
+from skerry.session import cut, small
 
 #: The constant of reciprocal ranks, the weight of the lexical one, and the lead from which the first vector hit stays first.
 RRF_K, LEXICAL_WEIGHT, GUARD_MARGIN = 60, 0.5, 0.05
@@ -39,6 +40,16 @@ def fuse(vectors: DataFrame, lexical: DataFrame, rrf_k: float = RRF_K, lexical_w
     return ranked.withColumn("fused_rank", place - 1).drop("order")
 
 
+def simulate(vectors: DataFrame, lexical: DataFrame, rules: list[tuple[float, float, float]]) -> DataFrame:
+    """``rule, query_id, record_id, fused_rank`` of each rule (constant, lexical weight, guard margin) on the same candidates."""
+    out = None
+    for k, weight, margin in rules:
+        name = f"k={k:g} w={weight} guard={'none' if margin >= 1e9 else margin}"
+        one = fuse(vectors, lexical, k, weight, margin).select(F.lit(name).alias("rule"), "query_id", "record_id", "fused_rank")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def phrase_form(text: Column) -> Column:
     return trimmed(F.regexp_replace(F.regexp_replace(F.lower(text), "[^a-z0-9' ]+", " "), " +", " "))
 
@@ -48,9 +59,10 @@ def pin_phrases(fused: DataFrame, lexical: DataFrame, queries: DataFrame, record
 
     ``queries`` has query_id, text; ``records`` record_id, text. Texts are read for three records a query only.
     """
-    tops = lexical.where("lex_rank < 3").select("query_id", "record_id", "lex_rank")
     asked = queries.select("query_id", phrase_form(F.col("text")).alias("phrase")).where(F.size(F.split("phrase", " ")) >= 3)
-    held = tops.join(asked, "query_id").join(records.select("record_id", phrase_form(F.col("text")).alias("body")), "record_id").where(F.contains("body", "phrase"))
+    tops = cut(lexical.where("lex_rank < 3").select("query_id", "record_id", "lex_rank").join(asked, "query_id"))
+    # Forms are made of the few texts that are met, so they come after the join.
+    held = records.select("record_id", "text").join(small(tops), "record_id").where(F.contains(phrase_form(F.col("text")), F.col("phrase")))
     pin = held.join(fused.select("query_id", "record_id"), ["query_id", "record_id"]).groupBy("query_id").agg(F.min_by("record_id", "lex_rank").alias("pin"))
     pinned = fused.join(pin, "query_id", "left").withColumn("pinned", F.coalesce(F.col("pin") == F.col("record_id"), F.lit(False)))
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("pinned"), "fused_rank"))

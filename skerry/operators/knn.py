@@ -12,64 +12,56 @@ from pyspark.sql.window import Window
 
 from skerry.errors import require
 from skerry.functions import vector as V
+from skerry.operators import blocks
 from skerry.session import cut
 
 #: Distances count to this many decimals; equal ones are ordered by record.
 DECIMALS = 9
 
-#: Numbers in the broadcast block of queries at most; more queries than that go block against block.
-BROADCAST_NUMBERS = 4_000_000
-
-#: Rows of a block where both sides are cut.
-BLOCK = 2_048
+_SCHEMA = "query_id long, record_id long, distance double"
 
 
-def _matrix(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
-    flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+def _hits(query_ids: np.ndarray, row_ids: np.ndarray, far: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(query_ids, pa.int64()), pa.array(row_ids, pa.int64()), pa.array(far, pa.float64())], names=["query_id", "record_id", "distance"])
 
 
-def _distances(queries: np.ndarray, rows: np.ndarray, metric: str) -> np.ndarray:
+def _far(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
+    """Distances of pairs of rows. Each pair is summed by itself, so no block shape shows in the result."""
     if metric == "cosine":
-        return np.round(1 - np.clip(queries @ rows.T, -1, 1), DECIMALS)
-    square = (queries**2).sum(1)[:, None] + (rows**2).sum(1)[None] - 2 * queries @ rows.T
-    return np.round(np.sqrt(np.maximum(square, 0)), DECIMALS)
+        return np.round(1 - np.clip(np.einsum("ij,ij->i", a, b), -1, 1), DECIMALS)
+    return np.round(np.sqrt(np.einsum("ij,ij->i", a - b, a - b)), DECIMALS)
 
 
-def _best(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, row_ids: np.ndarray, k: int, metric: str, skip_self: bool) -> pa.RecordBatch:
+def _nearest(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, row_ids: np.ndarray, k: int, metric: str, skip_self: bool) -> Iterator[pa.RecordBatch]:
     order = np.argsort(row_ids, kind="stable")
     rows, row_ids = rows[order], row_ids[order]
-    out: tuple[list, list, list] = ([], [], [])
-    for at in range(0, len(queries), 256):
-        far = _distances(queries[at : at + 256], rows, metric)
+    square = (rows**2).sum(1)
+    for at in range(0, len(queries), step := max(1, blocks.CELLS // max(1, len(rows)))):
+        some, own = queries[at : at + step], query_ids[at : at + step]
+        # A product of matrices finds who may be among the first; its last digits depend on the shape, so it does not settle who is.
+        product = some @ rows.T
+        rough = -product if metric == "cosine" else (some**2).sum(1)[:, None] + square[None] - 2 * product
         if skip_self:
-            far[query_ids[at : at + 256, None] == row_ids[None, :]] = np.inf
-        take = min(k, far.shape[1])
-        # Ties at the border go by id: all rows as near as the k-th, then the first by (distance, id).
-        border = np.partition(far, take - 1, axis=1)[:, take - 1 : take]
-        line, col = np.nonzero((far <= border) & np.isfinite(far))
-        sort = np.lexsort((col, far[line, col], line))
-        line, col = line[sort], col[sort]
-        first = np.searchsorted(line, np.arange(len(far)))
-        keep = np.arange(len(line)) - first[line] < k
-        line, col = line[keep], col[keep]
-        out[0].append(query_ids[at + line])
-        out[1].append(row_ids[col])
-        out[2].append(far[line, col])
-    cols = [np.concatenate(x) if x else np.zeros(0) for x in out]
-    return pa.RecordBatch.from_arrays([pa.array(cols[0].astype(np.int64)), pa.array(cols[1].astype(np.int64)), pa.array(cols[2].astype(np.float64))], names=["query_id", "record_id", "distance"])
-
-
-def _numbers(n: int) -> Column:
-    return F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))
-
-
-_SCHEMA = "query_id long, record_id long, distance double"
+            rough[own[:, None] == row_ids[None, :]] = np.inf
+        take = min(k, rough.shape[1])
+        border = np.partition(rough, take - 1, axis=1)[:, take - 1 : take]
+        slack = 4 * 10.0**-DECIMALS if metric == "cosine" else 1e-11 * (1 + square.max(initial=0) + np.abs(border)) + 4 * 10.0**-DECIMALS * np.sqrt(np.maximum(border, 0))
+        line, col = np.nonzero((rough <= border + np.where(np.isfinite(border), slack, 0)) & np.isfinite(rough))
+        far = np.concatenate([_far(some[line[i : i + 50_000]], rows[col[i : i + 50_000]], metric) for i in range(0, len(line), 50_000)] or [np.zeros(0)])
+        sort = np.lexsort((col, far, line))
+        line, col, far = line[sort], col[sort], far[sort]
+        keep = np.arange(len(line)) - np.searchsorted(line, np.arange(len(some)))[line] < k
+        yield _hits(own[line[keep]], row_ids[col[keep]], far[keep])
+
+
+def ranked(pairs: DataFrame, k: int | None) -> DataFrame:
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "record_id"))
+    numbered = pairs.withColumn("vec_rank", place - 1)
+    return numbered if k is None else numbered.where(F.col("vec_rank") < k)
 
 
-def ranked(pairs: DataFrame, k: int) -> DataFrame:
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "record_id"))
-    return pairs.withColumn("vec_rank", place - 1).where(F.col("vec_rank") < k)
+def _pack(df: DataFrame) -> list[str]:
+    return ["pack"] if "pack" in df.columns else []
 
 
 def exact_knn(queries: DataFrame, rows: DataFrame, k: int, dim: int, metric: str = "cosine", skip_self: bool = False, allowed: DataFrame | None = None, masked: DataFrame | None = None) -> DataFrame:
@@ -77,8 +69,7 @@ def exact_knn(queries: DataFrame, rows: DataFrame, k: int, dim: int, metric: str
 
     ``queries`` has query_id and vector, ``rows`` record_id and vector, of length 1 for cosine. ``allowed`` and ``masked``
     (record_id) restrict the rows before the cut, so a row that is out takes no place. Each partition of rows sends k rows
-    a query to the one shuffle. Queries within :data:`BROADCAST_NUMBERS` numbers, by count, are broadcast; more are cut in
-    blocks that meet each block of rows.
+    a query to the one shuffle.
     """
     require(k > 0, "k must be positive")
     require(metric in ("cosine", "l2"), "metric is cosine or l2")
@@ -86,32 +77,13 @@ def exact_knn(queries: DataFrame, rows: DataFrame, k: int, dim: int, metric: str
         rows = rows.join(allowed, "record_id", "left_semi")
     if masked is not None:
         rows = rows.join(masked, "record_id", "left_anti")
-    rows = rows.select(F.col("record_id").cast("long"), V.doubles(F.col("vector")).alias("vector")).where(F.size("vector") == dim)
-    queries = queries.select(F.col("query_id").cast("long"), V.doubles(F.col("vector")).alias("vector")).where(F.size("vector") == dim)
-    asked = queries.count()
-    if asked * dim <= BROADCAST_NUMBERS:
-        table = queries.toArrow()
-        block = (table.column(0).to_numpy(), _matrix(table.column(1), dim))
-        shipped = rows.sparkSession.sparkContext.broadcast(block)
-
-        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ids, vectors = shipped.value
-            for batch in batches:
-                if batch.num_rows and len(ids):
-                    yield _best(vectors, ids, _matrix(batch.column(1), dim), batch.column(0).to_numpy(), k, metric, skip_self)
-
-        return ranked(rows.mapInArrow(scan, _SCHEMA), k)
-    n_query, n_row = -(-asked // BLOCK), max(1, -(-rows.count() // BLOCK))
-    left = queries.select("query_id", "vector", F.pmod(F.xxhash64("query_id"), F.lit(n_query)).alias("qb"), F.explode(_numbers(n_row)).alias("rb"))
-    right = rows.select("record_id", "vector", F.explode(_numbers(n_query)).alias("qb"), F.pmod(F.xxhash64("record_id"), F.lit(n_row)).alias("rb"))
-
-    def meet(key: tuple, a: pa.Table, b: pa.Table) -> pa.Table:
-        if not (a.num_rows and b.num_rows):
-            return pa.table({"query_id": pa.array([], pa.int64()), "record_id": pa.array([], pa.int64()), "distance": pa.array([], pa.float64())})
-        found = _best(_matrix(a.column("vector"), dim), a.column("query_id").to_numpy(), _matrix(b.column("vector"), dim), b.column("record_id").to_numpy(), k, metric, skip_self)
-        return pa.Table.from_batches([found])
-
-    return ranked(left.groupBy("qb", "rb").cogroup(right.groupBy("qb", "rb")).applyInArrow(meet, _SCHEMA), k)
+    rows = rows.select(F.col("record_id").cast("long"), V.doubles(F.col("vector")).alias("vector"), *_pack(rows)).where(F.size("vector") == dim)
+    queries = queries.select(F.col("query_id").cast("long"), V.doubles(F.col("vector")).alias("vector"), *_pack(queries)).where(F.size("vector") == dim)
+
+    def scan(q: pa.Table, r: pa.Table) -> Iterator[pa.RecordBatch]:
+        yield from _nearest(blocks.matrix(q.column("vector"), dim), q.column("query_id").to_numpy(), blocks.matrix(r.column("vector"), dim), r.column("record_id").to_numpy(), k, metric, skip_self)
+
+    return ranked(blocks.against_all(queries, rows, scan, _SCHEMA, dim), k)
 
 
 def with_candidates(near: DataFrame, extra: DataFrame, queries: DataFrame, rows: DataFrame) -> DataFrame:
@@ -141,49 +113,74 @@ def coded(rows: DataFrame, pool: int, bits: int = 4) -> DataFrame:
 
     code = V.let(V.quantized(V.normalized(V.doubles(F.col("vector")))), with_sketch)
     # One generator keeps the struct from being computed again for each of its fields.
-    return rows.select("record_id", F.inline(F.array(code)))
+    return rows.select("record_id", *_pack(rows), F.inline(F.array(code)))
 
 
-def sketch_matrix_distances(query: np.ndarray, sketch: np.ndarray, scale: np.ndarray, offset: np.ndarray, pool: int, bits: int) -> np.ndarray:
+def sketch_matrix_distances(query: np.ndarray, sketch: np.ndarray, scale: np.ndarray, offset: np.ndarray, pool: int, bits: int, metric: str = "cosine") -> np.ndarray:
     values = offset[:, None] + scale[:, None] * (sketch * (17.0 if bits == 4 else 1.0))
     means = query.reshape(len(query), -1, pool).mean(axis=2)
-    return np.round(1 - np.clip(pool * (means @ values.T), -1, 1), DECIMALS)
+    if metric == "cosine":
+        return np.round(1 - np.clip(pool * (means @ values.T), -1, 1), DECIMALS)
+    return np.round(np.maximum(0, (means**2).sum(1)[:, None] + (values**2).sum(1)[None] - 2 * means @ values.T), DECIMALS)
+
+
+def sketch_candidates(queries: DataFrame, index: DataFrame, dim: int, pool: int, depth: int, bits: int = 4, metric: str = "cosine") -> DataFrame:
+    """``query_id, record_id, distance, vec_rank``: the ``depth`` rows of each query that are nearest by their sketches."""
 
+    def scan(q: pa.Table, r: pa.Table) -> Iterator[pa.RecordBatch]:
+        ids, asked = q.column("query_id").to_numpy(), blocks.matrix(q.column("vector"), dim)
+        rows = r.column("record_id").to_numpy()
+        order = np.argsort(rows, kind="stable")
+        rows, sketch = rows[order], blocks.matrix(r.column("sketch"), dim // pool)[order]
+        scale, offset = (r.column(c).to_numpy()[order] for c in ("scale", "offset"))
+        for at in range(0, len(ids), step := max(1, blocks.CELLS // max(1, len(rows)))):
+            far = sketch_matrix_distances(asked[at : at + step], sketch, scale, offset, pool, bits, metric)
+            line, col = blocks.first_of_each_line(far, depth)
+            yield _hits(ids[at + line], rows[col], far[line, col])
 
-def two_stage_knn(queries: DataFrame, index: DataFrame, k: int, dim: int, pool: int, depth: int, bits: int = 4, extra: DataFrame | None = None) -> DataFrame:
-    """``query_id, record_id, distance, vec_rank``: candidates by sketch distance, then exact ranking of the coded rows.
+    table = index.select(F.col("record_id").cast("long"), "sketch", "scale", "offset", *_pack(index))
+    return ranked(blocks.against_all(queries, table, scan, _SCHEMA, dim), depth)
 
-    ``index`` is from :func:`coded`; ``extra`` (query_id, record_id) joins the candidates. Only sketches meet all queries;
-    codes are read for candidates. The block of queries is broadcast within :data:`BROADCAST_NUMBERS`, more are refused: cut them.
+
+def two_stage_knn(
+    queries: DataFrame, index: DataFrame, k: int | None, dim: int, pool: int, depth: int, bits: int = 4, extra: DataFrame | None = None, masked: DataFrame | None = None, metric: str = "cosine"
+) -> DataFrame:
+    """``query_id, record_id, distance, vec_rank``: candidates by sketch distance, then exact ranking of the coded rows; all of them if k is None.
+
+    ``index`` is from :func:`coded`; ``extra`` (query_id, record_id) joins the candidates; ``masked`` (record_id) leaves before the
+    cut. Only sketches meet all queries; codes are read for candidates.
     """
-    asked = queries.select(F.col("query_id").cast("long"), V.normalized(V.doubles(F.col("vector"))).alias("vector"))
-    require(asked.count() * dim <= BROADCAST_NUMBERS, "too many queries for one sketch scan: cut the queries into blocks")
-    table = asked.toArrow()
-    shipped = index.sparkSession.sparkContext.broadcast((table.column(0).to_numpy(), _matrix(table.column(1), dim)))
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, vectors = shipped.value
-        for batch in batches:
-            if not (batch.num_rows and len(ids)):
-                continue
-            far = sketch_matrix_distances(vectors, _matrix(batch.column(1), dim // pool), batch.column(2).to_numpy(), batch.column(3).to_numpy(), pool, bits)
-            rows, n = batch.column(0).to_numpy(), min(depth, batch.num_rows)
-            order = np.argsort(rows, kind="stable")
-            best = np.argsort(far[:, order], axis=1, kind="stable")[:, :n]
-            line = np.repeat(np.arange(len(ids)), n)
-            col = order[best.reshape(-1)]
-            yield pa.RecordBatch.from_arrays([pa.array(ids[line]), pa.array(rows[col]), pa.array(far[line, col])], names=["query_id", "record_id", "distance"])
-
-    near = ranked(index.select(F.col("record_id").cast("long"), "sketch", "scale", "offset").mapInArrow(scan, _SCHEMA), depth)
-    candidates = near.select("query_id", "record_id")
+    vector = V.doubles(F.col("vector"))
+    asked = queries.select(F.col("query_id").cast("long"), (V.normalized(vector) if metric == "cosine" else vector).alias("vector"), *_pack(queries))
+    if masked is not None:
+        index = index.join(masked.select("record_id"), "record_id", "left_anti")
+    candidates = sketch_candidates(asked, index, dim, pool, depth, bits, metric).select("query_id", "record_id")
     if extra is not None:
         candidates = candidates.union(extra.select("query_id", "record_id")).distinct()
-    codes = index.select("record_id", "q", "scale", "offset")
-    exact = candidates.join(codes, "record_id").join(F.broadcast(asked), "query_id")  # within BROADCAST_NUMBERS
-    distance = F.round(V.asymmetric_cosine(F.col("vector"), F.col("q"), F.col("scale"), F.col("offset")), DECIMALS)
+    return rerank(candidates, asked, index, k, metric)
+
+
+def rerank(candidates: DataFrame, asked: DataFrame, index: DataFrame, k: int | None, metric: str = "cosine") -> DataFrame:
+    """The candidates (query_id, record_id) at the exact distances of their coded rows; ``asked`` has query_id, vector."""
+    exact = candidates.join(index.select("record_id", "q", "scale", "offset"), "record_id").join(asked.select("query_id", "vector"), "query_id")
+    far = V.asymmetric_cosine if metric == "cosine" else V.asymmetric_l2
+    distance = F.round(far(F.col("vector"), F.col("q"), F.col("scale"), F.col("offset")), DECIMALS)
     return ranked(exact.select("query_id", "record_id", distance.alias("distance")), k)
 
 
+def staged_knn(queries: DataFrame, index: DataFrame, micro: DataFrame, k: int, dim: int, pool: int, micro_pool: int, depth: int, boost: int = 4) -> DataFrame:
+    """As :func:`two_stage_knn` with a coarser tier first: the ``boost`` x ``depth`` rows nearest by ``micro`` (:func:`coded` with
+    ``micro_pool``) are cut to ``depth`` by the sketches, and these ranked exactly."""
+    asked = queries.select(F.col("query_id").cast("long"), V.normalized(V.doubles(F.col("vector"))).alias("vector"))
+    first = sketch_candidates(asked, micro, dim, micro_pool, boost * depth).select("query_id", "record_id")
+    both = first.join(index.select("record_id", "sketch", "scale", "offset", "q"), "record_id").join(asked, "query_id")
+    near = F.round(V.sketch_cosine(V.pooled(F.col("vector"), pool), F.col("sketch"), F.col("scale"), F.col("offset"), pool), DECIMALS)
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy("near", "record_id"))
+    second = both.withColumn("near", near).withColumn("place", place).where(F.col("place") <= depth)
+    distance = F.round(V.asymmetric_cosine(F.col("vector"), F.col("q"), F.col("scale"), F.col("offset")), DECIMALS)
+    return ranked(second.select("query_id", "record_id", distance.alias("distance")), k)
+
+
 def collapse_rows(hits: DataFrame, row_to_record: Column, k: int) -> DataFrame:
     """Rows of a record as the record, with its nearest row: ``query_id, record_id, distance, row_id, vec_rank``."""
     named = hits.select("query_id", F.col("record_id").alias("row_id"), row_to_record.alias("record_id"), "distance")

@@ -1,14 +1,19 @@
-"""The lexical index and BM25: postings, document lengths and term statistics are DataFrames; a query is a join."""
+"""The lexical index and BM25: one table of the records' terms, from which a batch of queries is scored beside each partition."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from skerry.functions.text import index_terms, query_terms
+from skerry.operators import blocks
+from skerry.session import cut
 
 #: BM25's two constants, the candidates of a query, and the share of the top score that a candidate keeps.
 K1, B = 1.2, 0.75
@@ -17,28 +22,48 @@ CANDIDATES, CUTOFF = 24, 1.5
 #: Scores are compared to this many decimals, so that equal texts tie whatever the order of addition.
 DECIMALS = 9
 
+#: Numbers that a query holds in its block: terms and weights, of some sixteen words.
+NUMBERS = 32
+
 
 @dataclass
 class LexicalIndex:
-    """``postings`` (term, record_id, tf, dl), ``terms`` (term, df), ``stats`` (one row: n, total_tokens, avgdl)."""
+    """``termed``: record_id and its terms with repeats (``all``), and ``pack`` where records have one.
 
-    postings: DataFrame
-    terms: DataFrame
-    stats: DataFrame
+    The one table that the text is read for; postings, document frequencies, statistics and scores are taken from it.
+    """
 
+    termed: DataFrame
 
-def build_index(records: DataFrame, id_col: str, text_col: str) -> LexicalIndex:
-    """Terms with their count in each record. A record without terms still counts in n.
+    @property
+    def keys(self) -> list[str]:
+        return ["pack"] if "pack" in self.termed.columns else []
+
+    @property
+    def postings(self) -> DataFrame:
+        """``term, record_id, tf, dl``. A record's length rides on its postings, so no join brings it."""
+        each = self.termed.select("record_id", *self.keys, F.size("all").cast("long").alias("dl"), F.explode("all").alias("term"))
+        return each.groupBy("term", "record_id", *self.keys).agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
+
+    @property
+    def terms(self) -> DataFrame:
+        """``term, df``, combined before the shuffle."""
+        each = self.termed.select(*self.keys, F.explode(F.array_distinct("all")).alias("term"))
+        return each.groupBy("term", *self.keys).agg(F.count(F.lit(1)).alias("df"))
+
+    @property
+    def stats(self) -> DataFrame:
+        """``n, total_tokens, avgdl``: one row, or one a pack. A record without terms still counts in n."""
+        lengths = self.termed.select(*self.keys, F.size("all").cast("long").alias("dl"))
+        counted = (lengths.groupBy(*self.keys) if self.keys else lengths).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("total_tokens"))
+        return counted.withColumn("avgdl", F.greatest(F.lit(1.0), F.col("total_tokens") / F.greatest(F.col("n"), F.lit(1))))
 
-    A record's length rides on its postings: it is the size of the term array before it is exploded, so no join brings it.
-    """
-    termed = records.select(F.col(id_col).alias("record_id"), F.coalesce(index_terms(F.col(text_col)), F.array().cast("array<string>")).alias("all"))
-    each = termed.select("record_id", F.size("all").cast("long").alias("dl"), F.explode("all").alias("term"))
-    postings = each.groupBy("term", "record_id").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
-    terms = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    stats = termed.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.size("all").cast("long")), F.lit(0)).alias("total_tokens"))
-    stats = stats.withColumn("avgdl", F.greatest(F.lit(1.0), F.col("total_tokens") / F.greatest(F.col("n"), F.lit(1))))
-    return LexicalIndex(postings, terms, stats)
+
+def build_index(records: DataFrame, id_col: str, text_col: str) -> LexicalIndex:
+    """The index of ``records``; written once (at a checkpoint), whatever is asked of it. :class:`skerry.pack.Pack` saves it."""
+    terms = F.coalesce(index_terms(F.col(text_col)), F.array().cast("array<string>"))
+    keys = ["pack"] if "pack" in records.columns else []
+    return LexicalIndex(cut(records.select(F.col(id_col).cast("long").alias("record_id"), *keys, terms.alias("all"))))
 
 
 def document_frequencies(index: LexicalIndex, queries: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -47,25 +72,70 @@ def document_frequencies(index: LexicalIndex, queries: DataFrame, id_col: str, t
     return asked.join(index.terms, "term").select("query_id", "term", "df")
 
 
+def _weighed(asked: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct terms, start of each term's queries, queries by term, their weights)."""
+    lists = asked.column("terms").combine_chunks()
+    terms = lists.flatten().to_numpy(zero_copy_only=False)
+    weights = asked.column("weights").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    who = np.repeat(np.arange(asked.num_rows), np.diff(lists.offsets.to_numpy()))
+    order = np.lexsort((who, terms))
+    known, start = np.unique(terms[order], return_index=True)
+    return known, np.append(start, len(terms)), who[order], weights[order]
+
+
 def bm25(
     index: LexicalIndex, queries: DataFrame, id_col: str, text_col: str, top: int | None = CANDIDATES, exclude: DataFrame | None = None, stats: DataFrame | None = None, terms: DataFrame | None = None
 ) -> DataFrame:
     """``query_id, record_id, score, lex_rank`` (from 0): the ``top`` records of each query; all without rank if ``top`` is None.
 
-    Excluded records (``record_id``) leave before the cut, so they take no place. ``stats`` and ``terms`` of a larger
-    collection may replace the index's own. Scores of a hot term are combined by (query, record) before the shuffle.
+    Every partition of the index scores its records for all queries and sends ``top`` a query to the one shuffle, so no shuffle
+    carries a row for each posting of a common term. Excluded records (``record_id``) leave before the cut, so they take no place.
+    ``stats`` and ``terms`` of a larger collection may replace the index's own. In an index with packs a query (with its ``pack``)
+    meets its pack's records under its pack's statistics.
     """
-    asked = queries.select(F.col(id_col).alias("query_id"), F.explode(query_terms(F.col(text_col))).alias("term"))
-    # Only the questions' terms: the planner pushes this below the counting of both, to the words of the scan.
-    wanted = asked.select("term").distinct()
-    postings = index.postings.join(wanted, "term", "left_semi")
-    known = (index.terms if terms is None else terms).join(wanted, "term", "left_semi")
-    if exclude is not None:
-        postings = postings.join(exclude, "record_id", "left_anti")
-    found = asked.join(known, "term").join(postings, "term").crossJoin(F.broadcast(index.stats if stats is None else stats))  # one row
+    keys = index.keys
+    asked = queries.select(F.col(id_col).cast("long").alias("query_id"), *keys, F.explode(query_terms(F.col(text_col))).alias("term"))
+    if terms is None:
+        # Counted for the questions' terms alone: the others leave before the shuffle.
+        each = index.termed.select(*keys, F.explode(F.array_distinct("all")).alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
+        terms = each.groupBy("term", *keys).agg(F.count(F.lit(1)).alias("df"))
+    sizes = F.broadcast(index.stats if stats is None else stats)  # one row, or one a pack
+    known = asked.join(terms, ["term", *keys])
+    known = known.join(sizes, keys) if keys else known.crossJoin(sizes)
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scored = found.groupBy("query_id", "record_id").agg(F.round(F.sum(part), DECIMALS).alias("score"))
+    pair = F.struct(F.xxhash64("term").alias("terms"), (idf * (K1 + 1)).alias("weights"))
+    block = known.groupBy("query_id", *keys).agg(F.sort_array(F.collect_list(pair)).alias("each"), F.first("avgdl").alias("avgdl")).select("query_id", *keys, F.col("each.terms").alias("terms"), F.col("each.weights").alias("weights"), "avgdl")
+    held = index.termed.select("record_id", *keys, F.transform("all", lambda w: F.xxhash64(w)).alias("held"))
+    if exclude is not None:
+        held = held.join(exclude.select("record_id"), "record_id", "left_anti")
+
+    def scan(q: pa.Table, r: pa.Table) -> Iterator[pa.RecordBatch]:
+        known, start, who, weight = _weighed(q)
+        avgdl, ids, n = q.column("avgdl")[0].as_py(), q.column("query_id").to_numpy(), q.num_rows
+        lists = r.column("held").combine_chunks()
+        sizes = np.diff(lists.offsets.to_numpy())
+        flat = lists.flatten().to_numpy(zero_copy_only=False)
+        at = np.minimum(np.searchsorted(known, flat), len(known) - 1)
+        met = known[at] == flat
+        posting, tf = np.unique(np.repeat(np.arange(len(sizes)), sizes)[met] * len(known) + at[met], return_counts=True)
+        doc, term = posting // len(known), posting % len(known)
+        part = tf / (tf + K1 * (1 - B + B * sizes[doc] / avgdl))
+        rows = r.column("record_id").to_numpy()
+        order = np.argsort(rows, kind="stable")
+        place = np.argsort(order, kind="stable")  # columns stand in the order of ids, so equal scores go by id
+        for first in range(0, len(rows), step := max(1, blocks.CELLS // n)):
+            some = (place[doc] >= first) & (place[doc] < first + step)
+            d, t, p = place[doc[some]] - first, term[some], part[some]
+            many = start[t + 1] - start[t]
+            each = np.repeat(np.arange(len(t)), many)
+            query = np.arange(len(each)) - np.repeat(np.cumsum(many) - many, many) + start[t][each]
+            width = min(step, len(rows) - first)
+            score = np.bincount(who[query] * width + d[each], p[each] * weight[query], minlength=n * width).reshape(n, width)
+            far = np.where(score > 0, -np.round(score, DECIMALS), np.inf)
+            line, col = blocks.first_of_each_line(far, width if top is None else top)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[line]), pa.array(rows[order[first + col]]), pa.array(-far[line, col])], names=["query_id", "record_id", "score"])
+
+    scored = blocks.against_all(block, held, scan, "query_id long, record_id long, score double", NUMBERS)
     if top is None:
         return scored
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "record_id"))

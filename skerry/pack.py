@@ -11,14 +11,19 @@ from pyspark.sql import functions as F
 from skerry.errors import SkerryError, require
 from skerry.functions import vector as V
 from skerry.operators import chain, fusion, grounding, integrity, knn, lexical
+from skerry.session import cut, small
 
 #: The tables of a pack, and the version of its layout.
-TABLES, LAYOUT = ("records", "postings", "terms", "stats", "vectors", "codes"), 1
+TABLES, LAYOUT = ("records", "termed", "postings", "vectors", "codes"), 2
 
 
 @dataclass
 class Pack:
-    """``records`` (record_id, text and more), ``index`` and ``vectors`` (record_id, vector of length 1)."""
+    """``records`` (record_id, text and more), ``index``, ``vectors`` (record_id, vector of length 1) and their ``codes``.
+
+    Where records and vectors have a column ``pack`` (a number), they are several packs in one table: a question, with its
+    pack, meets that pack only, under its own statistics. A pack read from files may hold each record's ``digest``.
+    """
 
     records: DataFrame
     index: lexical.LexicalIndex
@@ -26,26 +31,29 @@ class Pack:
     codes: DataFrame
     dim: int
     pool: int = 2
+    path: str | None = None
+    depth: int | None = None
 
     @classmethod
-    def compile(cls, records: DataFrame, vectors: DataFrame, dim: int, pool: int = 2) -> Pack:
-        """``records`` (record_id, text, ...), ``vectors`` (record_id, vector); vectors that are not valid are refused."""
-        wrong = vectors.where(~V.is_valid(V.doubles(F.col("vector")), dim)).limit(1)
-        if not wrong.isEmpty():
+    def compile(cls, records: DataFrame, vectors: DataFrame, dim: int, pool: int = 2, checked: bool = True) -> Pack:
+        """``records`` (record_id, text, ...), ``vectors`` (record_id, vector); vectors that are not valid are refused if ``checked``."""
+        if checked and not vectors.where(~V.is_valid(V.doubles(F.col("vector")), dim)).limit(1).isEmpty():
             raise SkerryError("INVALID_VECTOR", f"a vector is not {dim} finite numbers with a length")
-        unit = vectors.select("record_id", V.normalized(V.doubles(F.col("vector"))).alias("vector"))
-        return cls(records, lexical.build_index(records, "record_id", "text"), unit, knn.coded(unit, pool), dim, pool)
+        keys = ["pack"] if "pack" in vectors.columns else []
+        unit = vectors.select("record_id", *keys, V.normalized(V.doubles(F.col("vector"))).alias("vector"))
+        return cls(records, lexical.build_index(records, "record_id", "text"), unit, cut(knn.coded(unit, pool)), dim, pool)
 
     def save(self, path: str) -> str:
         """Write the tables and the manifest; gives the pack's identity, the digest of its manifest."""
-        tables = dict(zip(TABLES, (self.records, self.index.postings, self.index.terms, self.index.stats, self.vectors, self.codes), strict=True))
+        digested = self.records.withColumn("digest", F.sha2("text", 256))
+        tables = dict(zip(TABLES, (digested, self.index.termed, self.index.postings, self.vectors, self.codes), strict=True))
         for name, df in tables.items():
-            if name == "postings":  # sorted by term, so that a query's few terms prune row groups
+            if name == "postings":  # sorted by term, so that a look-up of a few terms prunes row groups
                 df = df.repartitionByRange("term").sortWithinPartitions("term", "record_id")
             df.write.mode("overwrite").parquet(f"{path}/{name}")
         spark = self.records.sparkSession
         n = spark.read.parquet(f"{path}/records").count()
-        manifest = {"layout": LAYOUT, "dim": self.dim, "pool": self.pool, "records": n, "content": self._content(spark.read.parquet(f"{path}/records"))}
+        manifest = {"layout": LAYOUT, "dim": self.dim, "pool": self.pool, "depth": self.depth, "records": n, "content": self._content(spark.read.parquet(f"{path}/records"))}
         spark.createDataFrame([(integrity.canonical_json(manifest),)], ["value"]).coalesce(1).write.mode("overwrite").text(f"{path}/manifest")
         return integrity.identity(manifest)
 
@@ -65,19 +73,42 @@ class Pack:
         t = {name: spark.read.parquet(f"{path}/{name}") for name in TABLES}
         if verify and (t["records"].count() != manifest["records"] or cls._content(t["records"]) != manifest["content"]):
             raise SkerryError("SNAPSHOT_INVALID", "the records are not those of the manifest")
-        return cls(t["records"], lexical.LexicalIndex(t["postings"], t["terms"], t["stats"]), t["vectors"], t["codes"], manifest["dim"], manifest["pool"])
+        return cls(t["records"], lexical.LexicalIndex(t["termed"]), t["vectors"], t["codes"], manifest["dim"], manifest["pool"], path, manifest["depth"])
+
+    def lookup(self, terms: list[str]) -> DataFrame:
+        """Postings of a few terms: of a saved pack only the row groups that may hold them are read."""
+        postings = self.index.postings if self.path is None else self.records.sparkSession.read.parquet(f"{self.path}/postings")
+        return postings.where(F.col("term").isin(terms))
+
+    def candidates(self, questions: DataFrame, k: int = 5, rerank: int | None = None, excluded: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+        """(exactly ranked vector candidates, lexical ones) of questions (query_id, text, vector), each cut here, as much is made of both.
+
+        Candidates by sketch are joined by the lexical ones before the exact ranking. Excluded records take no place in either.
+        """
+        lex = cut(lexical.cutoff(lexical.bm25(self.index, questions, "query_id", "text", exclude=excluded)))
+        depth = knn.rerank_depth(self.codes.count(), k, rerank, self.depth)
+        vec = knn.two_stage_knn(questions, self.codes, None, self.dim, self.pool, depth, extra=lex, masked=excluded)
+        return cut(vec), lex
+
+    def hits(self, questions: DataFrame, vec: DataFrame, lex: DataFrame, k: int, retrieval: str = "hybrid") -> DataFrame:
+        """``query_id, record_id, distance, rank, lex_rank, vec_rank``: the first k of each query, fused, guarded and pinned in hybrid mode."""
+        if retrieval != "hybrid":
+            return fusion.by_mode(vec, lex, retrieval, k)
+        pinned = fusion.pin_phrases(fusion.fuse(vec, lex), lex, questions, self.records)
+        return pinned.where(F.col("fused_rank") < k).select("query_id", "record_id", "distance", (F.col("fused_rank") + 1).alias("rank"), "lex_rank", "vec_rank")
+
+    def hydrate(self, hits: DataFrame) -> DataFrame:
+        """``hits`` with their records' fields; a record that is not what its digest says is an error where digests are kept."""
+        found = self.records.join(small(cut(hits)), "record_id")
+        if "digest" not in self.records.columns:
+            return found
+        whole = F.when(F.sha2("text", 256) == F.col("digest"), F.col("text")).otherwise(F.raise_error(F.lit("DIGEST_MISMATCH: a record was changed")))
+        return found.withColumn("text", whole).drop("digest")
 
     def query(self, questions: DataFrame, k: int = 5, retrieval: str = "hybrid", rerank: int | None = None) -> DataFrame:
         """Hits of many questions (query_id, text, vector) in one plan: ``query_id, rank`` and the record's fields, hydrated last."""
         require(k > 0, "k must be positive")
-        lex = lexical.cutoff(lexical.bm25(self.index, questions, "query_id", "text"))
-        depth = knn.rerank_depth(self.vectors.count(), k, rerank)
-        vec = knn.two_stage_knn(questions, self.codes, depth, self.dim, self.pool, depth, extra=lex)
-        hits = fusion.by_mode(vec, lex, retrieval, k)
-        if retrieval == "hybrid":
-            pinned = fusion.pin_phrases(fusion.fuse(vec, lex), lex, questions, self.records)
-            hits = pinned.where(F.col("fused_rank") < k).withColumn("rank", F.col("fused_rank") + 1).select("query_id", "record_id", "distance", "rank", "lex_rank", "vec_rank")
-        return hits.join(self.records, "record_id")
+        return self.hydrate(self.hits(questions, *self.candidates(questions, k, rerank), k, retrieval))
 
     def ground(self, questions: DataFrame, hits: DataFrame) -> DataFrame:
         return grounding.ground(questions, hits, self.records)

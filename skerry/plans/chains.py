@@ -11,8 +11,11 @@ from pyspark.sql import functions as F
 
 from skerry.functions.text import index_terms
 from skerry.operators import chain, fusion, knn, lexical
-from skerry.plans.search import K, _bm25_sql, _L
-from skerry.session import table
+from skerry.operators.lexical import build_index
+from skerry.plans import hybrid
+from skerry.plans.search import K, _L
+from skerry.plans.texts import sql_index_terms
+from skerry.session import cut, table
 
 
 def _records(spark: SparkSession, d: str) -> DataFrame:
@@ -75,18 +78,16 @@ def y6_stats(spark: SparkSession, d: str) -> DataFrame:
 
 
 def y7_chain_query(spark: SparkSession, d: str) -> DataFrame:
-    """Lexical and vector candidates over all live tiers, with the statistics of all records, fused once; chains pin no phrase."""
+    """Candidates of every live tier and BM25 under the statistics of all records, merged and fused once; chains pin no phrase."""
     records = _records(spark, d)
-    rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("record_id"), "embedding")
-    from skerry.functions import vector as V
-
-    rows = rows.select("record_id", V.normalized(V.doubles(F.col("embedding"))).alias("vector"))
-    records = records.join(rows, "record_id")
-    questions = records.where("record_id % 20 = 0").select(F.col("record_id").alias("query_id"), F.substring_index("text", "\n", 1).alias("text"), "vector")
-    gone = _tombstones(records).select("record_id")
-    lex = lexical.cutoff(lexical.bm25(lexical.build_index(records, "record_id", "text"), questions, "query_id", "text", exclude=gone))
-    vec = knn.with_candidates(knn.exact_knn(questions, records, 100, 64, masked=gone), lex, questions, records)
-    hits = fusion.fuse(vec, lex).where(F.col("fused_rank") < K)
+    tiers = _tiers(spark, _size(records))
+    worded = cut(hybrid.records_of(spark, d))
+    gone = _tombstones(worded).select("record_id")
+    pack, questions = hybrid.pack_of(worded), hybrid.questions_of(worded)
+    lex = cut(lexical.cutoff(lexical.bm25(pack.index, questions, "query_id", "text", exclude=gone)))
+    owned = chain.owners(worded.select("record_id"), tiers).select("record_id", F.col("depth").cast("long").alias("pack"))
+    vec = chain.tiered_knn(questions, pack.codes.join(owned, "record_id"), 3, hybrid.DIM, hybrid.POOL, 100, lex, gone)
+    hits = fusion.fuse(cut(vec), lex).where(F.col("fused_rank") < K)
     return hits.select("query_id", "record_id", F.col("fused_rank").cast("long").alias("fused_rank"), F.round("distance", 6).alias("distance"))
 
 
@@ -118,6 +119,36 @@ def y13_compacted(spark: SparkSession, d: str) -> DataFrame:
     return knn.compacted(records.select("record_id"), _tombstones(records).select("record_id"))
 
 
+def y13_rewritten(spark: SparkSession, d: str) -> DataFrame:
+    """The chain folded into one base: how many records and terms its lexical index has, and a digest of the renumbered rows."""
+    records = cut(_records(spark, d))
+    _, rewritten, index = chain.compacted(records, _tombstones(records), build_index(records, "record_id", "text").termed)
+    sums = rewritten.agg(F.count(F.lit(1)).alias("records"), F.sum(F.col("record_id") * F.length("text")).alias("checksum"))
+    return sums.crossJoin(index.terms.agg(F.count(F.lit(1)).alias("terms"), F.sum("df").alias("postings")))  # one row each
+
+
+def y12_targets(spark: SparkSession, d: str) -> DataFrame:
+    """Which new chunk replaces an old record: the only one of its source path."""
+    rows = table(spark, d, "record_chunks").where("source_path is not null").select("chunk_id", "source_path").distinct()
+    once = rows.groupBy("source_path").agg(F.count(F.lit(1)).alias("n"), F.min("chunk_id").alias("new_no")).where("n = 1")
+    named = once.select((F.col("new_no") + 1_000_000).alias("old_id"), "source_path")
+    return chain.supersede_targets(named, rows.select(F.col("chunk_id").alias("new_no"), "source_path"))
+
+
+def y15_replayed(spark: SparkSession, d: str) -> DataFrame:
+    """The second layer replayed on a head whose own second layer buried other records and replaced some of the same."""
+    records = _records(spark, d)
+    n = _size(records)
+    fifth = n // 5
+    ids = records.select("record_id")
+    parent = ids.where("record_id % 34 = 0")
+    theirs = ids.where("record_id % 34 = 0 or record_id % 19 = 0").select("record_id")
+    edges = _edges(records, n)
+    head_edges = edges.where("depth = 1").unionByName(edges.where("depth = 2 and old_id % 2 = 0").withColumn("new_id", F.col("new_id") + 7))
+    buried, kept = chain.replay(ids.where("record_id % 17 = 0"), parent, edges.where("depth = 2"), n - fifth, fifth, theirs, head_edges, n + 50, n - fifth, "drop", "skip")
+    return buried.select(F.lit("buried").alias("what"), "record_id", F.lit(None).cast("long").alias("new_id")).union(kept.select(F.lit("edge"), F.col("old_id"), "new_id"))
+
+
 def y14_translated(spark: SparkSession, d: str) -> DataFrame:
     records = _records(spark, d)
     id_map = knn.compacted(records.select("record_id"), _tombstones(records).select("record_id"))
@@ -134,7 +165,7 @@ def y15_rebased(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (y1_tiers, y2_owners, y3_live, y4_new_tombstones, y5_successors, y6_stats, y7_chain_query, y8_records, y9_citations, y10_drift, y13_compacted, y14_translated, y15_rebased)
+    for f in (y1_tiers, y2_owners, y3_live, y4_new_tombstones, y5_successors, y6_stats, y7_chain_query, y8_records, y9_citations, y10_drift, y12_targets, y13_compacted, y13_rewritten, y14_translated, y15_rebased, y15_replayed)
 }
 
 _T = """
@@ -153,23 +184,6 @@ WITH size AS (SELECT max(doc_id) + 1 AS n, (max(doc_id) + 1) // 5 AS f FROM docu
   SELECT a.old_id, a.immediate, a.all_new, coalesce(d.l, c.l, b.l, a.l) AS cur FROM latest a LEFT JOIN latest b ON b.old_id = a.l LEFT JOIN latest c ON c.old_id = b.l LEFT JOIN latest d ON d.old_id = c.l
 ), live AS (SELECT record_id AS old_id, row_number() OVER (ORDER BY record_id) - 1 AS new_id FROM ids WHERE record_id % 17 <> 0)"""
 
-_CHAIN_QUERY = (
-    _bm25_sql("record_id % 17 <> 0", before=_L.replace("FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL", "FROM (SELECT doc_id, coalesce(text, '') AS text, lang, source FROM documents WHERE doc_id IN (SELECT vec_id FROM embeddings))"))
-    + """, kept AS (SELECT * FROM lex QUALIFY score >= max(score) OVER (PARTITION BY query_id) / 1.5
-), vs AS (SELECT vec_id, list_transform(CAST(embedding AS DOUBLE[]), lambda x: x / sqrt(list_inner_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])))) AS v FROM embeddings WHERE vec_id IN (SELECT record_id FROM records)
-), far AS (SELECT a.vec_id AS query_id, b.vec_id AS record_id, round(1 - greatest(-1, least(1, list_inner_product(a.v, b.v))), 9) AS distance FROM vs a CROSS JOIN vs b WHERE a.vec_id % 20 = 0 AND b.vec_id % 17 <> 0
-), placed AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, record_id) - 1 AS place FROM far
-), vec AS (
-  SELECT query_id, record_id, distance, row_number() OVER (PARTITION BY query_id ORDER BY distance, record_id) - 1 AS vec_rank, lex_rank
-  FROM placed LEFT JOIN kept USING (query_id, record_id) WHERE place < 100 OR lex_rank IS NOT NULL
-), joined AS (
-  SELECT *, round(1 / (60 + vec_rank) + coalesce(0.5 / (60 + lex_rank), 0), 12) AS fs, bool_or(lex_rank IS NOT NULL) OVER w AS has_lex,
-    max(CASE WHEN vec_rank = 0 THEN distance END) OVER w AS d1, max(CASE WHEN vec_rank = 1 THEN distance END) OVER w AS d2 FROM vec WINDOW w AS (PARTITION BY query_id)
-), guarded AS (SELECT *, has_lex AND vec_rank = 0 AND coalesce(CASE WHEN d1 = 0 THEN d2 > 0 ELSE (d2 - d1) / d1 >= 0.05 END, false) AS forced FROM joined)
-SELECT query_id, record_id, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN forced THEN 0 ELSE 1 END, CASE WHEN has_lex THEN fs ELSE -vec_rank END DESC, distance, vec_rank) - 1 AS fused_rank,
-  round(distance, 6) AS distance FROM guarded QUALIFY fused_rank < 5"""
-)
-
 SQL = {
     "y1_tiers": _T + " SELECT identity, records, row_base, row_end FROM tiers",
     "y2_owners": _T + " SELECT record_id, depth, record_id - row_base AS local_id FROM ids JOIN tiers ON record_id >= row_base AND record_id < row_end",
@@ -179,7 +193,12 @@ SQL = {
     "y5_successors": _T + " SELECT old_id, immediate, all_new, cur AS current FROM walk",
     "y6_stats": _L.replace("SELECT doc_id AS record_id, text, lang, source FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL", "SELECT doc_id AS record_id, coalesce(text, '') AS text, lang, source FROM documents WHERE doc_id IS NOT NULL")
     + " SELECT n, total_tokens, round(avgdl, 6) AS avgdl FROM stats",
-    "y7_chain_query": _CHAIN_QUERY,
+    "y7_chain_query": hybrid.candidates_sql(
+        live="record_id % 17 <> 0",
+        each="CASE WHEN doc_id < (SELECT max(doc_id) + 1 - 2 * ((max(doc_id) + 1) // 5) FROM documents) THEN 0 WHEN doc_id < (SELECT max(doc_id) + 1 - (max(doc_id) + 1) // 5 FROM documents) THEN 1 ELSE 2 END",
+    )
+    + hybrid.fused_sql()
+    + " SELECT query_id, record_id, fused_rank, round(distance, 6) AS distance FROM fused WHERE fused_rank < 5",
     "y8_records": _T + " SELECT record_id, record_id % 17 = 0 AS buried, cur AS current FROM ids LEFT JOIN walk ON old_id = record_id",
     "y9_citations": _T
     + """, cited AS (SELECT CASE WHEN record_id % 50 = 0 THEN -1 - record_id ELSE record_id END AS record_id, ['base', 'layer-1', 'layer-2', 'foreign'][record_id % 4 + 1] AS identity FROM ids)
@@ -190,6 +209,22 @@ FROM cited LEFT JOIN tiers USING (identity)""",
 SELECT appended, buried, base_records, round((appended + buried) / base_records, 6) AS drift,
   CASE WHEN appended + buried = 0 THEN 'none' WHEN (appended + buried) / base_records > 0.2 THEN 'drift-exceeded' ELSE 'inherited' END AS status FROM s""",
     "y13_compacted": _T + " SELECT old_id, new_id FROM live",
+    "y12_targets": """
+SELECT min(chunk_id) + 1000000 AS old_id, min(chunk_id) AS new_no FROM (SELECT DISTINCT chunk_id, source_path FROM record_chunks WHERE source_path IS NOT NULL) GROUP BY source_path HAVING count(*) = 1""",
+    "y13_rewritten": _T
+    + f""", rewritten AS (SELECT new_id, coalesce(text, '') AS t FROM live JOIN documents ON doc_id = old_id
+), words AS (SELECT DISTINCT new_id, unnest({sql_index_terms('t')}) AS term FROM rewritten)
+SELECT (SELECT count(*) FROM rewritten) AS records, (SELECT CAST(sum(new_id * length(t)) AS BIGINT) FROM rewritten) AS checksum, count(DISTINCT term) AS terms, count(*) AS postings FROM words""",
+    "y15_replayed": _T
+    + """, ours AS (SELECT old_id, new_id - (n - f) + (n + 50) AS new_id FROM edges CROSS JOIN size WHERE depth = 2 AND old_id < n - f
+), theirs AS (
+  SELECT old_id, arg_max(new_id, depth) AS t FROM (SELECT depth, old_id, new_id FROM edges WHERE depth = 1 UNION ALL SELECT depth, old_id, new_id + 7 FROM edges WHERE depth = 2 AND old_id % 2 = 0) GROUP BY old_id
+), kept AS (SELECT ours.old_id, ours.new_id FROM ours LEFT JOIN theirs USING (old_id) WHERE t IS NULL OR t = ours.new_id
+), gone AS (
+  SELECT record_id FROM ids WHERE record_id % 34 = 0 OR record_id % 19 = 0
+  UNION SELECT record_id FROM ids CROSS JOIN size WHERE record_id % 17 = 0 AND record_id % 34 <> 0 AND record_id < n - f UNION SELECT old_id FROM kept
+)
+SELECT 'buried' AS what, record_id, CAST(NULL AS BIGINT) AS new_id FROM gone UNION ALL SELECT 'edge', old_id, new_id FROM kept""",
     "y14_translated": _T
     + """ SELECT record_id AS old_id, CASE WHEN live.new_id IS NOT NULL THEN 'live' WHEN t.new_id IS NOT NULL THEN 'superseded' ELSE 'deleted' END AS status, coalesce(live.new_id, t.new_id) AS new_id
 FROM ids LEFT JOIN live ON live.old_id = record_id LEFT JOIN walk ON walk.old_id = record_id LEFT JOIN live t ON t.old_id = walk.cur""",

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from skerry.functions.text import query_terms
-from skerry.operators import blooms, evaluate, grounding, integrity, journal, knn, layout, lexical
-from skerry.plans.search import _V, _asked, _bm25_sql, _knn_sql, _L, _questions, _records, _rows
+from skerry.operators import blooms, evaluate, integrity, journal, knn, layout, lexical
+from skerry.plans.search import _V, _asked, bm25_sql, _knn_sql, _L, _questions, _records, _rows
 from skerry.session import table
 
 DIM = 64
@@ -123,16 +123,6 @@ def g5_bloom(spark: SparkSession, d: str) -> DataFrame:
     return known.groupBy("maybe").agg(F.count(F.lit(1)).alias("n")).crossJoin(union.agg(F.count(F.lit(1)).alias("set_bits")))  # one row
 
 
-def g9_coverage(spark: SparkSession, d: str) -> DataFrame:
-    """Mean grounding of the questions by source, common words at a third."""
-    records = _records(spark, d)
-    questions = _questions(records)
-    hits = lexical.bm25(lexical.build_index(records, "record_id", "text"), questions, "query_id", "text", top=5)
-    found = grounding.ground(questions, hits.withColumn("rank", F.col("lex_rank") + 1), records, common=grounding.common_words(records, "record_id", "text"))
-    found = found.join(records.select(F.col("record_id").alias("query_id"), "source"), "query_id")
-    return found.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("coverage"), 5).alias("coverage"))
-
-
 def g19_goldens(spark: SparkSession, d: str) -> DataFrame:
     """Replay of golden questions: whether the expected record is among the first ten; tombstoned expectations are skipped."""
     records = _records(spark, d)
@@ -166,7 +156,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         e1_metrics, e1_mean, e2_success, e3_recall, e4_evidence, e5_rates, e6_percentiles, i1_digests, i3_tampered, k2_pages, i4_packs, i5_records,
-        j1_valid_notes, j3_latest, g5_bloom, g9_coverage, g19_goldens, x3_runs, x4_geometries,
+        j1_valid_notes, j3_latest, g5_bloom, g19_goldens, x3_runs, x4_geometries,
     )
 }
 
@@ -185,7 +175,7 @@ _E1 = _knn_sql(100) + """, asked2 AS (SELECT record_id AS query_id, label FROM r
 SQL = {
     "e1_metrics": _E1 + " SELECT query_id, ndcg, recall, recall_far FROM m",
     "e1_mean": _E1 + " SELECT round(avg(ndcg), 5) AS ndcg, round(avg(recall), 5) AS recall, round(avg(recall_far), 5) AS recall_far FROM m",
-    "e2_success": _bm25_sql(top=5)
+    "e2_success": bm25_sql(top=5)
     + """, r AS (SELECT record_id AS query_id, source FROM records WHERE record_id % 20 = 0
 ), f AS (SELECT r.query_id, source, lex_rank + 1 AS fr FROM r LEFT JOIN lex ON lex.query_id = r.query_id AND lex.record_id = r.query_id)
 SELECT source, round(avg(CASE WHEN fr <= 1 THEN 1.0 ELSE 0.0 END), 6) AS success1, round(avg(CASE WHEN fr <= 3 THEN 1.0 ELSE 0.0 END), 6) AS success3,
@@ -214,7 +204,7 @@ SELECT CASE chunk_id % 3 WHEN 0 THEN 'finding' WHEN 1 THEN 'decision' ELSE 'rema
   count(*) FILTER (chunk_id % 3 < 2 AND regexp_matches(heading, '\S') AND regexp_matches(text, '\S')) AS n_valid FROM record_chunks GROUP BY kind""",
     "j3_latest": """
 SELECT event_id, event_type AS kind, value FROM events WHERE event_type = (SELECT min(event_type) FROM events) AND user_id % 5 = 3 ORDER BY event_id DESC LIMIT 10""",
-    "g19_goldens": _bm25_sql(top=10)
+    "g19_goldens": bm25_sql(top=10)
     + """ SELECT a.query_id, CASE WHEN a.query_id % 17 = 0 THEN 'skipped' WHEN l.record_id IS NOT NULL THEN 'pass' ELSE 'fail' END AS verdict
 FROM (SELECT query_id FROM asked) a LEFT JOIN lex l ON l.query_id = a.query_id AND l.record_id = a.query_id""",
     "x3_runs": _knn_sql(20, where="true")

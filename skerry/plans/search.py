@@ -1,4 +1,4 @@
-"""Queries of vector, lexical and hybrid search, grounding and match quality.
+"""Queries of vector and lexical search, and of the words that match quality rests on.
 
 The document of an embedding is the one of the same number; queries are the documents (or embeddings) whose number is
 divisible by 20, each asked with its first line, against all.
@@ -10,10 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from skerry.functions import text as T
 from skerry.functions import vector as V
-from skerry.operators import evaluate, fusion, grounding, knn, lexical
-from skerry.plans.texts import SQL_FIRSTS, sql_grounding_words, sql_index_terms, sql_query_terms, sql_stem
-from skerry.session import table
+from skerry.operators import evaluate, grounding, knn, lexical
+from skerry.plans.texts import SQL_FIRSTS, sql_coverage_words, sql_grounding_words, sql_index_terms, sql_query_terms, sql_quoted, sql_stem
+from skerry.session import spread, table
 
 DIM, POOL, K = 64, 2, 5
 
@@ -144,7 +145,8 @@ def n15_lloyd_step(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _records(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").where("doc_id is not null and text is not null").select(F.col("doc_id").alias("record_id"), "text", "lang", "source")
+    rows = table(spark, d, "documents").where("doc_id is not null and text is not null")
+    return spread(rows.select(F.col("doc_id").alias("record_id"), "text", "lang", "source"))
 
 
 def _questions(records: DataFrame) -> DataFrame:
@@ -185,57 +187,6 @@ def l7_cutoff(spark: SparkSession, d: str) -> DataFrame:
     return _lex(lexical.cutoff(lexical.bm25(lexical.build_index(records, "record_id", "text"), _questions(records), "query_id", "text")))
 
 
-def _hybrid(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """(records, questions, vector ranking, lexical candidates) over the documents that have an embedding."""
-    rows = _rows(spark, d)
-    records = _records(spark, d).join(rows.select("record_id", "vector"), "record_id")
-    questions = _questions(records).join(_asked(rows), "query_id")
-    lex = lexical.cutoff(lexical.bm25(lexical.build_index(records, "record_id", "text"), questions, "query_id", "text"))
-    depth = knn.rerank_depth(rows.count(), K)
-    vec = knn.with_candidates(knn.exact_knn(questions, records, depth, DIM), lex, questions, records)
-    return records, questions, vec, lex
-
-
-def _fused(hits: DataFrame) -> DataFrame:
-    long = [F.col(c).cast("long").alias(c) for c in ("vec_rank", "lex_rank", "fused_rank")]
-    return hits.where("fused_rank < 10").select("query_id", "record_id", F.round("distance", 6).alias("distance"), *long)
-
-
-def h1_fused(spark: SparkSession, d: str) -> DataFrame:
-    _, _, vec, lex = _hybrid(spark, d)
-    return _fused(fusion.fuse(vec, lex))
-
-
-def h3_pinned(spark: SparkSession, d: str) -> DataFrame:
-    records, questions, vec, lex = _hybrid(spark, d)
-    return _fused(fusion.pin_phrases(fusion.fuse(vec, lex), lex, questions, records))
-
-
-def h4_modes(spark: SparkSession, d: str) -> DataFrame:
-    _, _, vec, lex = _hybrid(spark, d)
-    out = [fusion.by_mode(vec, lex, m, K).select(F.lit(m).alias("mode"), "query_id", "record_id", F.col("rank").cast("long").alias("rank")) for m in ("hybrid", "vector", "lexical")]
-    return out[0].unionByName(out[1]).unionByName(out[2])
-
-
-def h6_hybrid_query(spark: SparkSession, d: str) -> DataFrame:
-    """The flagship: fused, guarded and pinned hits of every query, their records, and how its best passages ground it."""
-    records, questions, vec, lex = _hybrid(spark, d)
-    hits = fusion.pin_phrases(fusion.fuse(vec, lex), lex, questions, records).where(F.col("fused_rank") < K).withColumn("rank", F.col("fused_rank") + 1)
-    grounded = grounding.ground(questions, hits, records).select("query_id", "coverage", F.array_join("uncovered", " ").alias("uncovered"))
-    named = hits.join(records.select("record_id", "source", F.substring("text", 1, 220).alias("preview")), "record_id")
-    out = named.join(grounded, "query_id", "left")
-    return out.select("query_id", F.col("rank").cast("long").alias("rank"), "record_id", F.round("distance", 6).alias("distance"), "source", "preview", "coverage", "uncovered")
-
-
-def h8_multi_pack(spark: SparkSession, d: str) -> DataFrame:
-    """The first five lexical hits of each query in each pack (language), never merged over packs."""
-    records = _records(spark, d)
-    hits = lexical.bm25(lexical.build_index(records, "record_id", "text"), _questions(records), "query_id", "text", top=None)
-    packed = hits.join(records.select("record_id", "lang"), "record_id").where("lang is not null")
-    place = F.row_number().over(Window.partitionBy("query_id", "lang").orderBy(F.desc("score"), "record_id"))
-    return packed.withColumn("rank", place.cast("long")).where(F.col("rank") <= 5).select("query_id", F.col("lang").alias("pack"), "record_id", "rank")
-
-
 def h11_catalog(spark: SparkSession, d: str) -> DataFrame:
     """Hits with the part of the same number from a catalogue; misses stay, marked."""
     rows = _rows(spark, d)
@@ -244,14 +195,6 @@ def h11_catalog(spark: SparkSession, d: str) -> DataFrame:
     return hits.join(parts, "record_id", "left").select("query_id", "record_id", "vec_rank", "p_name", F.col("p_name").isNull().alias("missing"))
 
 
-def g3_grounding(spark: SparkSession, d: str) -> DataFrame:
-    records = _records(spark, d)
-    questions = _questions(records)
-    hits = lexical.bm25(lexical.build_index(records, "record_id", "text"), questions, "query_id", "text", top=5)
-    found = grounding.ground(questions, hits.withColumn("rank", F.col("lex_rank") + 1), records)
-    return found.select("query_id", "record_id", "coverage", F.array_join("covered", " ").alias("covered"), F.array_join("uncovered", " ").alias("uncovered"))
-
-
 def g4_known(spark: SparkSession, d: str) -> DataFrame:
     records = _records(spark, d)
     known = grounding.known_fraction(_questions(records), grounding.vocabulary(records, "text"))
@@ -268,11 +211,6 @@ def g8_signals(spark: SparkSession, d: str) -> DataFrame:
     return found.select("query_id", *[F.round(c, 6).alias(c) for c in ("d0", "margin", "mean10")])
 
 
-def g10_verdicts(spark: SparkSession, d: str) -> DataFrame:
-    model = {"features": ["d0", "margin", "mean10"], "mean": [0.5, 0.05, 0.6], "scale": [0.2, 0.05, 0.2], "weights": [-1.5, 0.8, -0.7], "bias": 0.2, "hard": 0.7, "weak": 0.4}
-    return grounding.verdicts(g8_signals(spark, d), **model).select("query_id", F.round("p", 5).alias("p"), "verdict")
-
-
 def g15_auc(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "abstention_examples").where("label is not null and text is not null")
     scored = rows.select("label", F.length("text").alias("score"))
@@ -288,8 +226,7 @@ QUERIES = {
     for f in (
         v1_valid, v2_norms, v3_distances, v5_quantized, v6_restored, v10_sketches, v13_hash_embeddings, n1_knn, n1_knn_l2, n3_filtered, n4_two_stage,
         n8_masked, n9_collapsed, n10_ghosts, n11_compacted, n13_rerank_sweep, n14_self_recall, n15_lloyd_step, l3_term_stats, l3_corpus_stats, l4_df,
-        l5_bm25, l6_excluded, l7_cutoff, h1_fused, h3_pinned, h4_modes, h6_hybrid_query, h8_multi_pack, h11_catalog, g3_grounding, g4_known,
-        g6_common, g8_signals, g10_verdicts, g15_auc, g16_entities,
+        l5_bm25, l6_excluded, l7_cutoff, h11_catalog, g4_known, g6_common, g8_signals, g15_auc, g16_entities,
     )
 }
 
@@ -333,54 +270,33 @@ WITH records AS (SELECT doc_id AS record_id, text, lang, source FROM documents W
 ), qterms AS (SELECT query_id, unnest({sql_query_terms('qt')}) AS term FROM asked)"""
 
 
-def _bm25_sql(where: str = "true", top: int = 24, before: str = _L) -> str:
+def bm25_sql(where: str = "true", top: int = 24, before: str = _L) -> str:
     return f"""{before}, scored AS (
   SELECT query_id, record_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 9) AS score
   FROM qterms JOIN terms USING (term) JOIN postings USING (term) CROSS JOIN stats WHERE {where} GROUP BY query_id, record_id
 ), lex AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, record_id) - 1 AS lex_rank FROM scored QUALIFY lex_rank < {top})"""
 
 
-_HYBRID = f"""{_V.replace('asked AS', 'vasked AS')}, records AS (
-  SELECT doc_id AS record_id, text, source, v FROM documents JOIN rows ON record_id = doc_id WHERE text IS NOT NULL
-), termed AS (SELECT record_id, {sql_index_terms('text')} AS t FROM records
-), postings AS (SELECT record_id, any_value(len(t)) AS dl, term, count(*) AS tf FROM (SELECT record_id, t, unnest(t) AS term FROM termed) GROUP BY record_id, term
-), terms AS (SELECT term, count(*) AS df FROM postings GROUP BY term
-), stats AS (SELECT count(*) AS n, greatest(1.0, sum(len(t)) / count(*)) AS avgdl FROM termed
-), asked AS (SELECT record_id AS query_id, string_split(text, chr(10))[1] AS qt, v AS qv FROM records WHERE record_id % 20 = 0
-), qterms AS (SELECT query_id, unnest({sql_query_terms('qt')}) AS term FROM asked)"""
 _CUT = """, kept AS (SELECT * FROM lex QUALIFY score >= max(score) OVER (PARTITION BY query_id) / 1.5)"""
-_FUSE = f"""{_bm25_sql(before=_HYBRID)}{_CUT}, far AS (SELECT query_id, record_id, {_COS} AS distance FROM asked CROSS JOIN records
-), placed AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, record_id) - 1 AS place FROM far
-), vec AS (
-  SELECT query_id, record_id, distance, row_number() OVER (PARTITION BY query_id ORDER BY distance, record_id) - 1 AS vec_rank FROM placed LEFT JOIN kept USING (query_id, record_id)
-  WHERE place < (SELECT least(count(*), 100) FROM embeddings) OR kept.record_id IS NOT NULL
-), both AS (
-  SELECT vec.*, kept.lex_rank, round(1 / (60 + vec_rank) + coalesce(0.5 / (60 + lex_rank), 0), 12) AS fs,
-    bool_or(lex_rank IS NOT NULL) OVER w AS has_lex, max(CASE WHEN vec_rank = 0 THEN distance END) OVER w AS d1, max(CASE WHEN vec_rank = 1 THEN distance END) OVER w AS d2
-  FROM vec LEFT JOIN kept USING (query_id, record_id) WINDOW w AS (PARTITION BY query_id)
-), guarded AS (
-  SELECT *, has_lex AND vec_rank = 0 AND coalesce(CASE WHEN d1 = 0 THEN d2 > 0 ELSE (d2 - d1) / d1 >= 0.05 END, false) AS forced FROM both
-), fused AS (
-  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN forced THEN 0 ELSE 1 END, CASE WHEN has_lex THEN fs ELSE -vec_rank END DESC, distance, vec_rank) - 1 AS fused_rank FROM guarded
-)""".replace("both AS", "joined AS").replace("FROM both", "FROM joined")
-_FORM = "trim(regexp_replace(regexp_replace(lower({}), '[^a-z0-9'' ]+', ' ', 'g'), ' +', ' ', 'g'))"
-_PIN = f"""{_FUSE}, phrases AS (SELECT query_id, {_FORM.format('qt')} AS phrase FROM asked WHERE len(string_split({_FORM.format('qt')}, ' ')) >= 3
-), pins AS (
-  SELECT query_id, arg_min(record_id, lex_rank) AS pin FROM kept JOIN phrases USING (query_id) JOIN records USING (record_id)
-  WHERE lex_rank < 3 AND contains({_FORM.format('text')}, phrase) GROUP BY query_id
-), pinned AS (
-  SELECT fused.* EXCLUDE (fused_rank), row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN record_id = pin THEN 0 ELSE 1 END, fused_rank) - 1 AS fused_rank
-  FROM fused LEFT JOIN pins USING (query_id)
-)"""
-_FUSED_OUT = " SELECT query_id, record_id, round(distance, 6) AS distance, vec_rank, lex_rank, fused_rank FROM {} WHERE fused_rank < 10"
-
-
-def _ground_sql(hits: str) -> str:
-    """CTEs from ``hits`` (query_id, record_id, rank), ``asked`` (query_id, qt) and ``records`` to ``graded``."""
-    words = "list_distinct(regexp_extract_all(lower({}), '[a-z0-9'']+'))"
+def ground_sql(hits: str, kind: str = "plain") -> str:
+    """CTEs from ``hits`` (query_id, record_id, rank), ``asked`` (query_id, qt) and ``records`` to ``graded``; of kind ``weighted``, with
+    ``common`` (w), to ``weighed`` (query_id, mean)."""
+    plain = "CASE WHEN t LIKE '%''s' THEN left(t, length(t) - 2) WHEN t LIKE '%s''' OR t LIKE '%''' THEN left(t, length(t) - 1) ELSE t END"
+    words = f"list_distinct(list_transform(regexp_extract_all(lower({{}}), '[a-z0-9'']+'), lambda t: {plain}))"
     forms = "(list_contains({0}, w) OR list_contains({0}, w || 's') OR list_contains({0}, w || 'es') OR (w LIKE '%s' AND list_contains({0}, left(w, length(w) - 1))))"
-    return f""", wordlists AS (SELECT query_id, {sql_grounding_words('qt')} AS k FROM asked
-), firsts AS (SELECT query_id, {SQL_FIRSTS} AS ws FROM wordlists
+    if kind == "plain":
+        lists = f"wordlists AS (SELECT query_id, {sql_grounding_words('qt')} AS k FROM asked\n), firsts AS (SELECT query_id, {SQL_FIRSTS} AS ws FROM wordlists"
+        out = """graded AS (
+  SELECT query_id, record_id, round(avg(c), 3) AS coverage, coalesce(string_agg(w, ' ' ORDER BY i) FILTER (c > 0), '') AS covered,
+    coalesce(string_agg(w, ' ' ORDER BY i) FILTER (c = 0), '') AS uncovered, avg(c) AS mean, rank FROM credited GROUP BY query_id, record_id, rank
+  QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY mean DESC, rank) = 1
+)"""
+    else:
+        lists = f"firsts AS (SELECT query_id, {sql_coverage_words('qt')} AS ws FROM asked"
+        out = """weighed AS (
+  SELECT query_id, record_id, sum(c * u) / sum(u) AS mean FROM (SELECT *, CASE WHEN w IN (SELECT w FROM common) THEN 1 / 3 ELSE 1.0 END AS u FROM credited) GROUP BY query_id, record_id
+)"""
+    return f""", {lists}
 ), seen AS (
   SELECT query_id, record_id, rank, ws, {words.format("string_split(text, chr(10))[1]")} AS head,
     {words.format("regexp_replace(text, '^[^\n]*\n?', '')")} AS body
@@ -389,11 +305,7 @@ def _ground_sql(hits: str) -> str:
 ), each AS (SELECT query_id, record_id, rank, head, body, stems, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM stemmed
 ), credited AS (
   SELECT query_id, record_id, rank, w, i, CASE WHEN {forms.format('body')} OR list_contains(stems, {sql_stem('w')}) THEN 1.0 WHEN {forms.format('head')} THEN 0.5 ELSE 0.0 END AS c FROM each
-), graded AS (
-  SELECT query_id, record_id, round(avg(c), 3) AS coverage, coalesce(string_agg(w, ' ' ORDER BY i) FILTER (c > 0), '') AS covered,
-    coalesce(string_agg(w, ' ' ORDER BY i) FILTER (c = 0), '') AS uncovered, avg(c) AS mean, rank FROM credited GROUP BY query_id, record_id, rank
-  QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY mean DESC, rank) = 1
-)"""
+), {out}"""
 
 
 SQL = {
@@ -442,31 +354,11 @@ SELECT CAST(centre AS BIGINT) AS centre, label, count(*) AS n FROM near GROUP BY
     "l3_term_stats": f"{_L} SELECT term, df FROM terms",
     "l3_corpus_stats": f"{_L} SELECT n, total_tokens, round(avgdl, 6) AS avgdl FROM stats",
     "l4_df": f"{_L} SELECT query_id, term, df FROM qterms JOIN terms USING (term)",
-    "l5_bm25": _bm25_sql() + " SELECT query_id, record_id, round(score, 4) AS score, lex_rank FROM lex",
-    "l6_excluded": _bm25_sql("record_id % 17 <> 0") + " SELECT query_id, record_id, round(score, 4) AS score, lex_rank FROM lex",
-    "l7_cutoff": _bm25_sql() + _CUT + " SELECT query_id, record_id, round(score, 4) AS score, lex_rank FROM kept",
-    "h1_fused": _FUSE + _FUSED_OUT.format("fused"),
-    "h3_pinned": _PIN + _FUSED_OUT.format("pinned"),
-    "h4_modes": _FUSE
-    + """, modes AS (
-  SELECT 'hybrid' AS mode, query_id, record_id, row_number() OVER (PARTITION BY query_id ORDER BY fused_rank) AS rank FROM fused
-  UNION ALL SELECT 'vector', query_id, record_id, row_number() OVER (PARTITION BY query_id ORDER BY vec_rank) FROM fused
-  UNION ALL SELECT 'lexical', query_id, record_id, row_number() OVER (PARTITION BY query_id ORDER BY lex_rank) FROM fused WHERE lex_rank IS NOT NULL
-) SELECT mode, query_id, record_id, rank FROM modes WHERE rank <= 5""",
-    "h6_hybrid_query": _PIN
-    + ", hits AS (SELECT query_id, record_id, distance, fused_rank + 1 AS rank FROM pinned WHERE fused_rank < 5)"
-    + _ground_sql("hits")
-    + """ SELECT hits.query_id, hits.rank, hits.record_id, round(distance, 6) AS distance, source, left(text, 220) AS preview, coverage, uncovered
-FROM hits JOIN records USING (record_id) LEFT JOIN graded ON graded.query_id = hits.query_id""",
-    "h8_multi_pack": _bm25_sql(top=10**6)
-    + """ SELECT query_id, lang AS pack, record_id, row_number() OVER (PARTITION BY query_id, lang ORDER BY lex_rank) AS rank
-FROM lex JOIN records USING (record_id) WHERE lang IS NOT NULL QUALIFY rank <= 5""",
+    "l5_bm25": bm25_sql() + " SELECT query_id, record_id, round(score, 4) AS score, lex_rank FROM lex",
+    "l6_excluded": bm25_sql("record_id % 17 <> 0") + " SELECT query_id, record_id, round(score, 4) AS score, lex_rank FROM lex",
+    "l7_cutoff": bm25_sql() + _CUT + " SELECT query_id, record_id, round(score, 4) AS score, lex_rank FROM kept",
     "h11_catalog": _knn_sql(3)
     + " SELECT query_id, record_id, vec_rank, p_name, p_name IS NULL AS missing FROM near LEFT JOIN (SELECT p_partkey, p_name FROM part WHERE p_size > 5) ON p_partkey = record_id",
-    "g3_grounding": _bm25_sql(top=5)
-    + ", hits AS (SELECT query_id, record_id, lex_rank + 1 AS rank FROM lex)"
-    + _ground_sql("hits")
-    + " SELECT query_id, record_id, coverage, covered, uncovered FROM graded",
     "g4_known": f"""{_L}, vocab AS (
   SELECT word FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z0-9'']+')) AS word FROM records) GROUP BY word
   HAVING count(*) >= (SELECT CASE WHEN count(*) >= 200 THEN 3 ELSE 1 END FROM records)
@@ -474,13 +366,9 @@ FROM lex JOIN records USING (record_id) WHERE lang IS NOT NULL QUALIFY rank <= 5
 ), m AS (SELECT query_id, count(*) AS n, count(vocab.word) AS k FROM w LEFT JOIN vocab USING (word) GROUP BY query_id)
 SELECT query_id, round(k / n, 6) AS known FROM asked LEFT JOIN m USING (query_id)""",
     "g6_common": f"""{_L}, w AS (SELECT record_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9'']+'))) AS word FROM records)
-SELECT word, count(*) AS df FROM w GROUP BY word HAVING count(*) > (SELECT greatest(4, round(count(*) * 0.05)) FROM records)""",
+SELECT word, count(*) AS df FROM w WHERE length(word) >= 3 AND word NOT IN ({sql_quoted(T.GROUNDING_STOPWORDS)}) GROUP BY word HAVING count(*) > (SELECT greatest(4, round(count(*) * 0.05)) FROM records)""",
     "g8_signals": _knn_sql(10)
     + """ SELECT query_id, round(min(distance), 6) AS d0, round(max(distance) FILTER (vec_rank <= 4) - min(distance), 6) AS margin, round(avg(distance), 6) AS mean10 FROM near GROUP BY query_id""",
-    "g10_verdicts": _knn_sql(10)
-    + """, sig AS (SELECT query_id, round(min(distance), 6) AS d0, round(max(distance) FILTER (vec_rank <= 4) - min(distance), 6) AS margin, round(avg(distance), 6) AS mean10 FROM near GROUP BY query_id
-), p AS (SELECT query_id, 1 / (1 + exp(-(0.2 + (d0 - 0.5) / 0.2 * -1.5 + (margin - 0.05) / 0.05 * 0.8 + (mean10 - 0.6) / 0.2 * -0.7))) AS p FROM sig)
-SELECT query_id, round(p, 5) AS p, CASE WHEN p >= 0.7 THEN 'strong' WHEN p >= 0.4 THEN 'weak' ELSE 'none' END AS verdict FROM p""",
     "g15_auc": """
 WITH s AS (SELECT label, length(text) AS score FROM abstention_examples WHERE label IS NOT NULL AND text IS NOT NULL
 ), h AS (SELECT score, count(*) FILTER (label = 1) AS p, count(*) FILTER (label = 0) AS q FROM s GROUP BY score

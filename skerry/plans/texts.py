@@ -147,25 +147,25 @@ QUERIES = {
 }
 
 
-def _quoted(words) -> str:
+def sql_quoted(words) -> str:
     return ", ".join("'" + w.replace("'", "''") + "'" for w in words)
 
 
-def _sql_trim(x: str) -> str:
+def sql_trim(x: str) -> str:
     return f"regexp_replace({x}, '^[{T.WS}]+|[{T.WS}]+$', '', 'g')"
 
 
 def _sql_normalize(x: str) -> str:
     inner = f"regexp_replace(replace(coalesce({x}, ''), chr(13), ''), '[ \t]+', ' ', 'g')"
-    return _sql_trim(f"regexp_replace({inner}, '\n{{3,}}', chr(10) || chr(10), 'g')")
+    return sql_trim(f"regexp_replace({inner}, '\n{{3,}}', chr(10) || chr(10), 'g')")
 
 
-def _sql_tokens(x: str) -> str:
+def sql_tokens(x: str) -> str:
     return f"list_filter(regexp_split_to_array({_sql_normalize(x)}, '[{T.WS}]+'), lambda w: w <> '')"
 
 
 def sql_index_terms(x: str) -> str:
-    return f"list_filter(regexp_extract_all(lower({x}), '[a-z0-9'']+'), lambda w: length(w) BETWEEN 2 AND 32 AND w NOT IN ({_quoted(T.INDEX_STOPWORDS)}))"
+    return f"list_filter(regexp_extract_all(lower({x}), '[a-z0-9'']+'), lambda w: length(w) BETWEEN 2 AND 32 AND w NOT IN ({sql_quoted(T.INDEX_STOPWORDS)}))"
 
 
 def sql_query_terms(x: str) -> str:
@@ -180,7 +180,13 @@ def sql_stem(w: str) -> str:
 def sql_grounding_words(x: str) -> str:
     cut = "CASE WHEN w LIKE '%''s' THEN left(w, length(w) - 2) WHEN w LIKE '%s''' OR w LIKE '%''' THEN left(w, length(w) - 1) ELSE w END"
     each = f"list_transform(regexp_extract_all(lower({x}), '[a-z0-9'']+'), lambda w: {cut})"
-    return f"list_filter({each}, lambda w: w <> '' AND (length(w) >= 3 OR regexp_matches(w, '[0-9]')) AND w NOT IN ({_quoted(T.GROUNDING_STOPWORDS)}))"
+    return f"list_filter({each}, lambda w: w <> '' AND (length(w) >= 3 OR regexp_matches(w, '[0-9]')) AND w NOT IN ({sql_quoted(T.GROUNDING_STOPWORDS)}))"
+
+
+def sql_coverage_words(x: str) -> str:
+    cut = "CASE WHEN w LIKE '%''s' THEN left(w, length(w) - 2) WHEN w LIKE '%s''' OR w LIKE '%''' THEN left(w, length(w) - 1) ELSE w END"
+    each = f"list_transform(regexp_extract_all(lower({x}), '[a-z0-9'']+'), lambda w: {cut})"
+    return f"list_filter({each}, lambda w: (length(w) >= 3 OR regexp_full_match(w, '[0-9]+')) AND w NOT IN ({sql_quoted(T.GROUNDING_STOPWORDS)}))"
 
 
 #: Of a list of words k, the first of equal ones.
@@ -202,7 +208,7 @@ def _sql_redact() -> str:
 def _sql_clean(x: str) -> str:
     for tag in T.HARNESS_TAGS:
         x = f"regexp_replace({x}, '<{tag}>(?s:.*?)</{tag}>', '', 'g')"
-    return _sql_trim(f"regexp_replace({x}, '\n{{3,}}', chr(10) || chr(10), 'g')")
+    return sql_trim(f"regexp_replace({x}, '\n{{3,}}', chr(10) || chr(10), 'g')")
 
 
 def _sql_entities(x: str) -> str:
@@ -237,14 +243,14 @@ SQL = {
 WITH based AS (
   SELECT DISTINCT doc_id, chunk_id, heading,
     replace(regexp_replace(lower("""
-    + _sql_trim(r"regexp_replace(regexp_replace(heading, '`([^`]*)`', '\1', 'g'), '\[([^\]]+)\]\([^)]*\)', '\1', 'g')")
+    + sql_trim(r"regexp_replace(regexp_replace(heading, '`([^`]*)`', '\1', 'g'), '\[([^\]]+)\]\([^)]*\)', '\1', 'g')")
     + r"""), '[^\p{L}\p{N} _-]', '', 'g'), ' ', '-') AS base
   FROM record_chunks WHERE doc_id IS NOT NULL AND heading IS NOT NULL
 ), placed AS (SELECT *, row_number() OVER (PARTITION BY doc_id, base ORDER BY chunk_id) - 1 AS n FROM based)
 SELECT doc_id, chunk_id, CASE WHEN n = 0 THEN base ELSE base || '-' || n END AS anchor FROM placed""",
     "t7_entities": f"SELECT DISTINCT chunk_id, sha256({_sql_entities('text')}) AS digest FROM record_chunks WHERE text IS NOT NULL",
     "t8_normalize": f"SELECT doc_id, {_sql_normalize('text')} AS text FROM documents WHERE {_DOCS}",
-    "t9_tokens": f"SELECT doc_id, CAST(len({_sql_tokens('text')}) AS BIGINT) AS n_tokens FROM documents WHERE {_DOCS}",
+    "t9_tokens": f"SELECT doc_id, CAST(len({sql_tokens('text')}) AS BIGINT) AS n_tokens FROM documents WHERE {_DOCS}",
     "t10_exchanges": _TURNS_SQL + "SELECT conv_id, message_id, exchange_no FROM kept",
     "t11_exchange_texts": _TURNS_SQL
     + """, said AS (
@@ -257,12 +263,12 @@ SELECT conv_id, exchange_no, sha256(parts || chr(10) || chr(10) || 'From the con
     "t12_redacted": _sql_redact(),
     "t13_titles": f"""
 WITH lines AS (
-  SELECT doc_id, {_sql_trim(f"coalesce(list_filter(string_split({_sql_clean('text')}, chr(10)), lambda x: {_sql_trim('x')} <> '')[1], '')")} AS line
+  SELECT doc_id, {sql_trim(f"coalesce(list_filter(string_split({_sql_clean('text')}, chr(10)), lambda x: {sql_trim('x')} <> '')[1], '')")} AS line
   FROM documents WHERE {_DOCS}
 )
 SELECT doc_id, CASE WHEN length(line) > 80 THEN regexp_replace(left(line, 79), '[{T.WS}]+$', '') || '…' ELSE line END AS title FROM lines""",
     "t14_chunks": f"""
-WITH worded AS (SELECT doc_id, {_sql_tokens('text')} AS w FROM documents WHERE {_DOCS}
+WITH worded AS (SELECT doc_id, {sql_tokens('text')} AS w FROM documents WHERE {_DOCS}
 ), counted AS (
   SELECT doc_id, w, len(w) AS n, CAST(1 + ceil(greatest(0, len(w) - 64) / {_STEP}) AS BIGINT) AS c FROM worded WHERE len(w) >= 25
 ), tailed AS (SELECT *, c > 1 AND n - (c - 1) * {_STEP} < 25 AS tail FROM counted
@@ -276,7 +282,7 @@ SELECT DISTINCT source_path, regexp_replace(regexp_replace(regexp_replace(regexp
 FROM record_chunks WHERE source_path IS NOT NULL""",
     "t19_public": "SELECT DISTINCT chunk_id, coalesce(url, source_path, '') AS url, left(text, 220) AS preview FROM record_chunks WHERE text IS NOT NULL",
     "t21_dropped": f"""
-SELECT doc_id, source AS name, CAST(len({_sql_tokens('text')}) AS BIGINT) AS n_tokens FROM documents WHERE {_DOCS} AND len({_sql_tokens('text')}) < 25""",
+SELECT doc_id, source AS name, CAST(len({sql_tokens('text')}) AS BIGINT) AS n_tokens FROM documents WHERE {_DOCS} AND len({sql_tokens('text')}) < 25""",
     "l1_terms": f"SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({sql_index_terms('text')}) AS term FROM documents WHERE {_DOCS}) GROUP BY doc_id, term",
     "l2_hashes": f"""
 WITH words AS (SELECT DISTINCT unnest({sql_index_terms('text')}) AS term FROM documents WHERE {_DOCS})

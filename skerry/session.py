@@ -3,17 +3,12 @@
 from __future__ import annotations
 
 import atexit
-import os
 import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: No side of a join is broadcast by hint when its measured row count is above this.
-BROADCAST_ROWS = 200_000
-
-
 def build_session(app: str = "skerry", master: str = "local[*]", **conf: str) -> SparkSession:
     """A session with the settings that the engine relies on."""
     builder = (
@@ -43,6 +38,12 @@ def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{directory}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scanned table of fewer partitions than cores, as one small file is, over all cores; any other as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the folder that the cluster shares (``spark.checkpoint.dir``); set one only in local mode without it."""
     sc = spark.sparkContext
@@ -65,9 +66,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if its checked ``rows`` are within ``limit``; else the planner decides."""
-    return F.broadcast(df) if rows <= limit else df
+#: No side of a join is broadcast by hint when its counted rows are above this.
+BROADCAST_ROWS = 200_000
+
+
+def small(df: DataFrame, limit: int | None = None) -> DataFrame:
+    """``df``, a few columns wide and cut before, with a broadcast hint if its counted rows are within the limit; else the planner decides."""
+    return F.broadcast(df) if df.limit((limit or BROADCAST_ROWS) + 1).count() <= (limit or BROADCAST_ROWS) else df
 
 
 def bounded_collect(df: DataFrame, limit: int, what: str) -> list:
@@ -76,7 +81,3 @@ def bounded_collect(df: DataFrame, limit: int, what: str) -> list:
     if len(rows) > limit:
         raise ValueError(f"{what} has more than {limit} rows")
     return rows
-
-
-def cores() -> int:
-    return os.cpu_count() or 1

@@ -117,7 +117,11 @@ def test_pack_round_trip(spark, tmp_path):
     assert loaded.ground(asked, loaded.query(asked, 2)).first().coverage == 1.0
     for mode in ("vector", "lexical", "augmented"):
         assert loaded.query(asked, 1, mode).first().record_id == 1
+    assert {r.record_id for r in loaded.lookup(["crane"]).collect()} == {0, 2} == {r.record_id for r in pack.lookup(["crane"]).collect()}
     assert Pack.compile(records, vectors, 4).save(str(tmp_path / "q")) == first
+    changed = spark.read.parquet(str(tmp_path / "q/records")).withColumn("text", F.concat("text", F.lit("!")))
+    with pytest.raises(Exception, match="DIGEST_MISMATCH"):
+        Pack(changed, loaded.index, loaded.vectors, loaded.codes, 4).query(asked, 1).collect()
     records.where("record_id < 2").write.mode("overwrite").parquet(str(tmp_path / "p/records"))
     with pytest.raises(SkerryError):
         Pack.load(spark, str(tmp_path / "p"), verify=True)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from skerry.errors import SkerryError
 from skerry.functions import text as T
 from skerry.functions import vector as V
-from skerry.operators import blooms, chain, chunking, crawl, fusion, grounding, journal, knn, layout, lexical
+from skerry.operators import blocks, blooms, chain, chunking, crawl, fusion, grounding, journal, knn, layout, lexical
 
 
 def one(spark, column, **values):
@@ -102,23 +102,107 @@ def test_grounding(spark):
     assert (row.coverage, row.covered, row.uncovered) == (0.333, ["snapshots"], ["keep", "forever"])
 
 
-def test_grounding_weighs_common_words_a_third(spark):
-    q = spark.createDataFrame([(1, "how do I keep snapshots forever")], ["query_id", "text"])
+def test_grounding_takes_possessives_off_passages(spark):
+    q = spark.createDataFrame([(1, "the harbor's pilots configure boats"), (2, "of the"), (3, "pier 4")], ["query_id", "text"])
+    r = spark.createDataFrame([(7, "x\nEvery harbor's pilot' has the boats' configuration"), (8, "pier 5\npier 4a")], ["record_id", "text"])
+    hits = spark.createDataFrame([(1, 7, 1), (2, 7, 1), (3, 8, 1)], ["query_id", "record_id", "rank"])
+    got = {x.query_id: (x.coverage, x.covered, x.uncovered) for x in grounding.ground(q, hits, r).collect()}
+    assert got == {1: (1.0, ["harbor", "pilots", "configure", "boats"], []), 3: (0.5, ["pier"], ["4"])}
+
+
+def test_coverage_weighs_common_words_a_third(spark):
+    q = spark.createDataFrame([(1, "how do I keep snapshots forever"), (2, "of it"), (3, "snapshots snapshots absent"), (4, "unasked")], ["query_id", "text"])
     r = spark.createDataFrame([(7, "Snapshots\nA snapshot is kept"), (8, "Other\nkeep forever")], ["record_id", "text"])
-    hits = spark.createDataFrame([(1, 8, 1), (1, 7, 2)], ["query_id", "record_id", "rank"])
+    hits = spark.createDataFrame([(1, 8, 1), (1, 7, 2), (2, 7, 1), (3, 7, 1)], ["query_id", "record_id", "rank"])
     common = spark.createDataFrame([("keep", 9), ("forever", 8)], ["word", "df"])
-    row = grounding.ground(q, hits, r, common=common).first()
-    assert (row.record_id, row.coverage, row.covered, row.uncovered) == (7, 0.6, ["snapshots"], ["keep", "forever"])
+    got = {x.query_id: round(x.coverage1, 6) for x in grounding.coverage1(q, hits, r, common).collect()}
+    assert got == {1: 0.6, 2: 0.0, 3: round(2 / 3, 6), 4: 0.0}
+
+
+def test_stem_forms_are_all_words_of_the_stem(spark):
+    words = ["configure", "configuration", "configuring", "restores", "restoring", "moored", "use", "organization", "organise"]
+    df = spark.createDataFrame([(w,) for w in words], ["w"]).select("w", T.stem(F.col("w")).alias("s"), grounding.stem_forms(F.col("w")).alias("f"))
+    rows = {r.w: (r.s, set(r.f)) for r in df.collect()}
+    assert all((rows[b][0] == rows[a][0]) == (b in rows[a][1]) for a in words for b in words)
+
+
+def test_verdicts(spark):
+    rows = [(1, 0.1, 0.9), (2, 0.4, 0.9), (3, 0.9, 0.9), (4, None, 0.9), (5, float("nan"), 0.1)]
+    df = spark.createDataFrame(rows, "query_id int, d0 double, coverage1 double")
+    model = {"features": ["d0"], "mean": [0.5], "scale": [0.25], "weights": [-2.0], "bias": 0.0}
+    got = {r.query_id: r.verdict for r in grounding.verdicts(df, **model, hard=0.3, weak=0.8).collect()}
+    assert got == {1: "strong", 2: "weak", 3: "none", 4: "unscored", 5: "unscored"}
+    gate = grounding.Gate(["coverage1"], [0.5], [0.1], [1.0], 0.0, 0.5)
+    assert {r.verdict for r in grounding.verdicts(df.where("query_id = 3"), **model, hard=0.3, weak=0.8, gate=gate).collect()} == {"weak"}
+    judged = grounding.verdicts(df, **model, hard=0.3, weak=0.8, coverage=(0.5, 0.0, 0.1))
+    hits = spark.createDataFrame([(i, i) for i in range(1, 7)], ["query_id", "record_id"])
+    assert {r.query_id for r in grounding.withheld(hits, judged).collect()} == {1, 2, 4, 5, 6} and grounding.withheld(hits, judged, True).count() == 6
+    assert {r.verdict for r in grounding.verdicts(df, **model, hard=0.8, weak=0.3).collect()} == {"unscored"}
 
 
 def test_g9_is_weighted(spark, tmp_path):
-    from skerry.plans.quality import g9_coverage
+    from skerry.plans.hybrid import g9_coverage
 
     docs = [(20 * i, f"harbour word{i}x missing{i}y\nharbour word{i}x and so on", "en", "s") for i in range(12)]
     spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
-    row = g9_coverage(spark, str(tmp_path)).first()
     # harbour 1/3 in the body, word 1 in the body, missing 1 at half, as in the heading only: 11/14
-    assert (row.n, row.coverage) == (12, 0.786)
+    assert [r.coverage1 for r in g9_coverage(spark, str(tmp_path)).collect()] == [0.78571] * 12
+
+
+def test_scans_in_blocks_equal_broadcast(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    words = [f"w{i}" for i in range(60)]
+    records = spark.createDataFrame([(i, " ".join(rng.choice(words, 12)), i % 3) for i in range(200)], "record_id long, text string, pack long")
+    asked = records.where("record_id % 5 = 0").withColumnRenamed("record_id", "query_id")
+    x = rng.normal(size=(200, 8))
+    vectors = spark.createDataFrame([(i, v.tolist(), i % 3) for i, v in enumerate(x)], "record_id long, vector array<double>, pack long")
+    codes = knn.coded(vectors, 2)
+    ask = vectors.where("record_id % 5 = 0").withColumnRenamed("record_id", "query_id")
+
+    def found():
+        index = lexical.build_index(records, "record_id", "text")
+        one = lexical.build_index(records.drop("pack"), "record_id", "text")
+        lex = {tuple(r) for r in lexical.bm25(index, asked, "query_id", "text", top=4).collect()}
+        plain = {tuple(r) for r in lexical.bm25(one, asked.drop("pack"), "query_id", "text", top=4).collect()}
+        return lex, plain, {tuple(r) for r in knn.two_stage_knn(ask, codes, 5, 8, 2, 20).collect()}, {tuple(r) for r in knn.two_stage_knn(ask.drop("pack"), codes.drop("pack"), 5, 8, 2, 20, metric="l2").collect()}
+
+    whole = found()
+    assert all((a - b) % 3 == 0 for a, b, *_ in whole[0] | whole[2]) and any((a - b) % 3 for a, b, *_ in whole[1])
+    monkeypatch.setattr(blocks, "BROADCAST_NUMBERS", 1)
+    monkeypatch.setattr(blocks, "BLOCK", 16)
+    monkeypatch.setattr(blocks, "CELLS", 64)
+    assert found() == whole
+
+
+def test_a_coarser_tier_first(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(300, 16))
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "record_id long, vector array<double>")
+    asked = vectors.where("record_id < 10").withColumnRenamed("record_id", "query_id")
+    plain = knn.two_stage_knn(asked, knn.coded(vectors, 2), 5, 16, 2, 60)
+    staged = knn.staged_knn(asked, knn.coded(vectors, 2), knn.coded(vectors, 4), 5, 16, 2, 4, 60)
+    a, b = ({(r.query_id, r.record_id) for r in df.collect()} for df in (plain, staged))
+    assert len(a & b) >= 0.9 * len(a)
+
+
+def test_symmetric_distances_equal_decoded(spark):
+    rng = np.random.default_rng(6)
+    a, b = (v / np.linalg.norm(v) for v in rng.normal(size=(2, 8)))
+    df = spark.createDataFrame([(a.tolist(), b.tolist())], ["a", "b"]).select(V.quantized(F.col("a")).alias("a"), V.quantized(F.col("b")).alias("b"))
+    decoded = lambda c: V.dequantized(F.col(c)["q"].cast("array<double>"), F.col(c)["scale"], F.col(c)["offset"])
+    columns = [V.symmetric_cosine(F.col("a"), F.col("b"), 8), V.cosine_distance(decoded("a"), decoded("b")), V.symmetric_l2(F.col("a"), F.col("b"), 8), V.l2_distance(decoded("a"), decoded("b"))]
+    row = df.select(*[c.alias(f"c{i}") for i, c in enumerate(columns)]).first()
+    assert math.isclose(row.c0, row.c1, abs_tol=1e-12) and math.isclose(row.c2, row.c3, abs_tol=1e-12)
+
+
+def test_hash_vectors_equal_the_column_form(spark):
+    from skerry.operators.encode import hash_vectors
+
+    texts = ["The pier and  the crane", "tide", "", None, "a\nb c d e f"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    got = {r.i: r.vector for r in hash_vectors(df, "text", 16).collect()}
+    want = {r.i: r.v for r in df.select("i", V.hash_embedding(T.tokens(F.lower("text")), 16).alias("v")).collect()}
+    assert set(got) == set(want) and all(np.allclose(got[i], want[i], atol=1e-9) for i in got)
 
 
 def test_exchanges(spark):
@@ -178,6 +262,48 @@ def test_plan_layer_refuses(spark):
     assert more.count() == 2 and {r.record_id for r in dead.collect()} == {1, 2} and new.first().new_id == 4
 
 
+def test_supersede_targets(spark):
+    chunks = spark.createDataFrame([(0, "a.md"), (1, "b.md"), (2, "b.md")], "new_no long, source_path string")
+    named = lambda *rows: spark.createDataFrame(list(rows), "old_id long, source_path string")
+    assert [tuple(r) for r in chain.supersede_targets(named((9, "a.md")), chunks).collect()] == [(9, 0)]
+    for path in ("b.md", "none.md"):
+        with pytest.raises(SkerryError):
+            chain.supersede_targets(named((9, "a.md"), (8, path)), chunks)
+
+
+def test_replay_policies(spark):
+    ids = lambda *x: spark.createDataFrame([(i,) for i in x], "record_id long")
+    layer_edges, head_edges = edges(spark, [(2, 11, 1), (3, 12, 1)]), edges(spark, [(3, 10, 1)])
+    replay = lambda stones, **k: chain.replay(ids(*stones), ids(0), layer_edges, 10, 4, ids(0, 5), head_edges, 20, 8, **k)
+    for stones, policy in (((0, 2, 3, 9), {"on_conflict": "skip"}), ((0, 2, 3), {})):
+        with pytest.raises(SkerryError):
+            replay(stones, **policy)
+    buried, kept = replay((0, 1, 2, 3, 9), on_foreign="drop", on_conflict="skip")
+    assert {r.record_id for r in buried.collect()} == {0, 1, 2, 3, 5} and {tuple(r) for r in kept.collect()} == {(2, 21)}
+    _, both = replay((0, 2, 3), on_conflict="keep-both")
+    assert {tuple(r) for r in both.collect()} == {(2, 21), (3, 22)}
+    with pytest.raises(SkerryError):
+        chain.replay(ids(0, 5), ids(0), edges(spark, []), 10, 0, ids(0, 5), edges(spark, []), 20, 8)
+
+
+def test_a_chain_too_long_is_an_error(spark):
+    tiers = spark.createDataFrame([(i, f"t{i}", 1) for i in range(18)], "depth int, identity string, records long")
+    with pytest.raises(ValueError):
+        chain.intervals(tiers)
+    with pytest.raises(ValueError):
+        chain.cite(spark.createDataFrame([("t0", 1)], ["identity", "record_id"]), tiers.select("identity", F.lit(5).alias("row_total")))
+
+
+def test_compacted_rows_and_index(spark):
+    records = spark.createDataFrame([(0, "pier"), (1, "crane pier"), (2, "tide crane")], "record_id long, text string")
+    gone = spark.createDataFrame([(0,)], "record_id long")
+    moved, rows, index = chain.compacted(records, gone, lexical.build_index(records, "record_id", "text").termed)
+    assert {tuple(r) for r in moved.collect()} == {(1, 0), (2, 1)} and {(r.record_id, r.text) for r in rows.collect()} == {(0, "crane pier"), (1, "tide crane")}
+    _, _, anew = chain.compacted(records, gone)
+    postings = lambda i: {(r.term, r.record_id, r.tf, r.dl) for r in i.postings.collect()}
+    assert postings(index) == postings(anew) == {("crane", 0, 1, 2), ("pier", 0, 1, 2), ("tide", 1, 1, 2), ("crane", 1, 1, 2)}
+
+
 @pytest.mark.parametrize("metric", ["cosine", "l2"])
 def test_exact_knn_blocks_equal_broadcast(spark, metric, monkeypatch):
     rng = np.random.default_rng(5)
@@ -186,8 +312,8 @@ def test_exact_knn_blocks_equal_broadcast(spark, metric, monkeypatch):
     rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "record_id long, vector array<double>")
     asked = rows.where("record_id % 7 = 0").withColumnRenamed("record_id", "query_id")
     plain = {tuple(r) for r in knn.exact_knn(asked, rows, 5, 8, metric).collect()}
-    monkeypatch.setattr(knn, "BROADCAST_NUMBERS", 1)
-    monkeypatch.setattr(knn, "BLOCK", 16)
+    monkeypatch.setattr(blocks, "BROADCAST_NUMBERS", 1)
+    monkeypatch.setattr(blocks, "BLOCK", 16)
     assert {tuple(r) for r in knn.exact_knn(asked, rows, 5, 8, metric).collect()} == plain
     far = 1 - x[::7] @ x.T if metric == "cosine" else np.linalg.norm(x[::7, None] - x[None], axis=2)
     want = {(i * 7, int(j)) for i, line in enumerate(far) for j in np.argsort(line)[:5]}

@@ -18,4 +18,4 @@ def test_query_equals_its_sql(spark, con, name):
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_query_without_sql_runs(spark, name):
-    assert QUERIES[name](spark, DATA).columns
+    QUERIES[name](spark, DATA).collect()
