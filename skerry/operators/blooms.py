@@ -23,6 +23,7 @@ def bloom_bits(n_words: int) -> int:
 
 def build_bloom(words: DataFrame, bits: int, word_col: str = "word") -> DataFrame:
     """``bit``: the set bits, two a word; at most ``bits`` rows, combined before the shuffle."""
+    require(LEAST_BITS <= bits <= MOST_BITS, f"a filter has {LEAST_BITS} to {MOST_BITS} bits")
     places = F.array(*[fnv1a32(F.col(word_col), s) % bits for s in SEEDS])
     return words.select(F.explode(places).alias("bit")).distinct()
 
@@ -37,6 +38,7 @@ def union_blooms(blooms: list[tuple[DataFrame, int]]) -> DataFrame:
 
 def probe(words: DataFrame, bloom: DataFrame, bits: int, word_col: str = "word") -> DataFrame:
     """``word, maybe``: whether both bits of a word are set."""
+    require(bits <= MOST_BITS, f"a filter has {MOST_BITS} bits at most")
     each = words.select(F.col(word_col).alias("word"), F.explode(F.array(*[fnv1a32(F.col(word_col), s) % bits for s in SEEDS])).alias("bit"))
-    hit = each.join(F.broadcast(bloom.limit(MOST_BITS).withColumn("hit", F.lit(1))), "bit", "left")  # MOST_BITS rows at most
+    hit = each.join(F.broadcast(bloom.withColumn("hit", F.lit(1))), "bit", "left")  # MOST_BITS rows at most
     return hit.groupBy("word").agg((F.count("hit") == F.count(F.lit(1))).alias("maybe"))

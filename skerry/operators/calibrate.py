@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -10,35 +11,107 @@ from pyspark.sql import functions as F
 
 from skerry.errors import require
 from skerry.functions.text import GROUNDING_STOPWORDS
-
-#: Forms of a question about a title, and the two constants of the sampling sequence.
-TEMPLATES = ("what is {}", "how does {} work", "tell me about {}", "explain {}", "{}")
+from skerry.operators import knn
+
+#: Forms of a question about a title and about words, and the two constants of the sampling sequence.
+TEMPLATES = (
+    "what is {}", "tell me about {}", "{} explained", "facts about {}", "information about {}", "overview of {}", "history of {}", "definition of {}",
+    "who is {}", "where is {}", "why is {} important", "how does {} work",
+)
+FRAMES = ("{}", "what is known about {}", "which {}", "is anything said about {}")
 STEP, SHIFT = 1664525, 1013904223
 
+#: The share of records that whole documents are held out for, and the least and most titles of that.
+HELD_SHARE, HELD_LEAST, HELD_MOST = 0.12, 2, 12
+
+#: Words that no question is made of: the stop words of grounding without those that questions are framed with.
+PLAIN_STOPWORDS = GROUNDING_STOPWORDS[: GROUNDING_STOPWORDS.index("without") + 1]
+
+#: Questions that are made at most; they are sampled on the driver.
+MOST_QUESTIONS = 10_000
+
+
+class Sequence:
+    """The linear congruential sequence modulo 2**32; the same in every run."""
+
+    def __init__(self, seed: int):
+        self.state = seed % 2**32
+
+    def __call__(self) -> float:
+        """The next number, from 0 to 1."""
+        self.state = (self.state * STEP + SHIFT) % 2**32
+        return self.state / (2**32 - 1)
+
+    def below(self, n: int) -> int:
+        return int(self() * n)
+
 
 def sequence(seed: int, n: int) -> list[int]:
-    """The first n numbers of the linear congruential sequence modulo 2**32; the same in every run."""
-    out = []
+    """The first n numbers of the sequence."""
+    draw, out = Sequence(seed), []
     for _ in range(n):
-        seed = (seed * STEP + SHIFT) % 2**32
-        out.append(seed)
+        draw()
+        out.append(draw.state)
     return out
 
 
-def title_questions(records: DataFrame, title_col: str) -> DataFrame:
-    """``record_id, text``: each record's title in a form that its number chooses."""
-    forms = F.array(*[F.lit(t) for t in TEMPLATES])
-    form = F.element_at(forms, (F.col("record_id") % len(TEMPLATES) + 1).cast("int"))
-    named = records.where(F.trim(title_col) != "")
-    return named.select("record_id", F.replace(form, F.lit("{}"), F.lower(title_col)).alias("text"))
-
-
-def keyword_questions(records: DataFrame, text_col: str, words: int = 4) -> DataFrame:
-    """``record_id, text``: the longest words of a record, ties by alphabet."""
-    found = F.array_distinct(F.filter(F.regexp_extract_all(F.lower(text_col), F.lit("[a-z]{4,}"), F.lit(0)), lambda w: ~w.isin(GROUNDING_STOPWORDS)))
-    order = F.array_sort(F.transform(found, lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w"))))
-    top = F.transform(F.slice(order, 1, words), lambda s: s["w"])
-    return records.select("record_id", F.array_join(top, " ").alias("text")).where("text <> ''")
+def sampled(size: int, n: int, seed: int) -> list[int]:
+    """Up to n different places below ``size``, in the order in which the sequence draws them."""
+    draw, out = Sequence(seed), {}
+    while len(out) < min(n, size):
+        out.setdefault(min(size - 1, draw.below(size)))
+    return list(out)
+
+
+def _at_places(df: DataFrame, order_col: str, places: list[int]) -> list:
+    """The rows at some places of an order; only they are collected."""
+    numbered = knn.dense_ids(df, order_col, "_place")
+    spark = df.sparkSession
+    wanted = spark.createDataFrame([(p, i) for i, p in enumerate(places)], "_place long, _nth long")
+    return numbered.join(F.broadcast(wanted), "_place").orderBy("_nth").collect()  # MOST_QUESTIONS rows at most
+
+
+def title_questions(records: DataFrame, title_col: str, n: int, seed: int) -> DataFrame:
+    """``text, source_title``: up to n questions about titles that the sequence draws, each in one of the fixed forms or several."""
+    require(0 < n <= MOST_QUESTIONS, f"1 to {MOST_QUESTIONS} questions")
+    titles = records.select(F.trim(title_col).alias("title")).where("title <> ''").distinct()
+    count = titles.count()
+    each = min(len(TEMPLATES), max(1, n // max(1, count)))
+    out: dict[str, str] = {}
+    for i, row in enumerate(_at_places(titles, "title", sampled(count, n, seed))):
+        for j in range(each):
+            out.setdefault(TEMPLATES[(i + j) % len(TEMPLATES)].replace("{}", row["title"].lower()), row["title"])
+    return records.sparkSession.createDataFrame(list(out.items())[:n], "text string, source_title string")
+
+
+def content_questions(records: DataFrame, id_col: str, text_col: str, n: int, seed: int) -> DataFrame:
+    """``text, source_id``: up to n questions of three to five neighbouring content words of records that the sequence draws, in turning frames."""
+    require(0 < n <= MOST_QUESTIONS, f"1 to {MOST_QUESTIONS} questions")
+    held = records.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    draw, out, frame = Sequence(seed), {}, 0
+    for row in _at_places(held, "id", sampled(held.count(), min(2 * n, MOST_QUESTIONS), seed ^ 0x77AA11)):
+        words = list(dict.fromkeys(w for w in re.findall("[a-z0-9']+", (row["text"] or "").lower()) if len(w) >= 4 and w not in PLAIN_STOPWORDS))
+        if len(words) < 3 or len(out) >= n:
+            continue
+        size = min(3 + draw.below(3), len(words))
+        start = min(draw.below(max(1, len(words) - size)), len(words) - size)
+        text = FRAMES[frame % len(FRAMES)].replace("{}", " ".join(words[start : start + size]))
+        frame += 1
+        out.setdefault(text, row["id"])
+    return records.sparkSession.createDataFrame([(t, int(i)) for t, i in out.items()], "text string, source_id long")
+
+
+def held_out_titles(records: DataFrame, title_col: str, seed: int) -> DataFrame:
+    """``title``: whole documents to hold out, drawn until they cover :data:`HELD_SHARE` of the records; none of fewer than three titles."""
+    titled = records.select(F.trim(title_col).alias("title")).where("title <> ''").groupBy("title").agg(F.count(F.lit(1)).alias("n"))
+    count, total = titled.count(), records.count()
+    out, covered = [], 0
+    for row in _at_places(titled, "title", sampled(count, HELD_MOST, seed)) if count > 2 else []:
+        if count - len(out) <= 2 or (covered >= max(1, round(total * HELD_SHARE)) and len(out) >= HELD_LEAST):
+            break
+        out.append((row["title"],))
+        covered += row["n"]
+    return records.sparkSession.createDataFrame(out, "title string")
 
 
 def shuffled_letters(text: Column) -> Column:
@@ -72,9 +145,22 @@ class Verdict:
     weak: float
 
 
+#: Shares of the negatives and positives at which the thresholds stand, the greatest ``hard``, and the least band above it.
+OFF_TOPIC, ON_TOPIC, MOST_HARD, LEAST_BAND, MOST_WEAK = 0.95, 0.05, 0.5, 0.08, 0.95
+
+
+def thresholds(positives: np.ndarray, negatives: np.ndarray) -> tuple[float, float]:
+    """(hard, weak): nearly all negatives lie below ``hard``, which a fit that separates too well does not raise above its bound; ``weak``
+    stands below nearly all positives, above the negatives as far as the middle positive allows."""
+    at = lambda values, share: float(np.sort(values)[min(len(values) - 1, int(share * len(values)))])
+    ceiling, floor = at(negatives, OFF_TOPIC), at(positives, ON_TOPIC)
+    hard = min(ceiling, MOST_HARD)
+    weak = min(max(floor * 0.9, ceiling, hard), max(at(positives, 0.5), hard))
+    return hard, min(MOST_WEAK, max(weak, hard + LEAST_BAND))
+
+
 def fit_verdict(examples: DataFrame, features: list[str], label_col: str, most: int = 50_000, epochs: int = 4000, rate: float = 0.1, penalty: float = 1e-3) -> Verdict:
-    """Fit on at most ``most`` examples (a documented bound, by hash), each class weighing alike. Of the tenth percentile of the
-    positives and the ninetieth of the negatives the lower is ``hard``, the higher ``weak``."""
+    """Fit on at most ``most`` examples (a documented bound, by hash), each class weighing alike; thresholds as of :func:`thresholds`."""
     kept = examples.select(*features, label_col).dropna().orderBy(F.xxhash64(*features)).limit(most).toPandas()
     y = kept[label_col].to_numpy(float)
     require(len(set(y)) == 2, "examples of both classes are needed")
@@ -88,8 +174,7 @@ def fit_verdict(examples: DataFrame, features: list[str], label_col: str, most:
         w -= rate * (x.T @ gap + penalty * w)
         b -= rate * gap.sum()
     p = 1 / (1 + np.exp(-(x @ w + b)))
-    low, high = sorted((float(np.quantile(p[y == 0], 0.9)), float(np.quantile(p[y == 1], 0.1))))
-    return Verdict(features, mean.tolist(), scale.tolist(), w.tolist(), float(b), low, high)
+    return Verdict(features, mean.tolist(), scale.tolist(), w.tolist(), float(b), *thresholds(p[y == 1], p[y == 0]))
 
 
 def student_features(questions: DataFrame, known_words: DataFrame, known_runs: DataFrame) -> DataFrame:

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from skerry.functions import text as T
+from skerry.operators import ordered
 
 #: Words of a chunk, the share that two neighbours share, and the least words of a document or a last chunk.
 TARGET, OVERLAP_PERCENT, LEAST = 256, 15, 25
@@ -38,34 +42,75 @@ def dropped_documents(docs: DataFrame, id_col: str, text_col: str, name_col: str
 
 
 def first_of_text(chunks: DataFrame, order: list[str], text_col: str = "text") -> DataFrame:
-    """The first chunk of each exact text, by ``order``. Texts meet by digest, so they are not shuffled as keys."""
-    place = F.row_number().over(Window.partitionBy(F.sha2(text_col, 256)).orderBy(*order))
-    return chunks.withColumn("place", place).where("place = 1").drop("place")
+    """The first chunk of each exact text, by ``order``. Texts meet by digest, and a text's first is found in each partition before the shuffle."""
+    first = F.min_by(F.struct(*chunks.columns), F.struct(*order))
+    return chunks.groupBy(F.sha2(text_col, 256).alias("_digest")).agg(first.alias("_first")).select("_first.*")
 
 
 def exchanges(turns: DataFrame, conv_col: str, order_cols: list[str], role_col: str) -> DataFrame:
     """``turns`` (user and assistant ones) with ``exchange_no`` from 0: the exchange that each belongs to.
 
     An exchange starts at a user turn unless the turn before is the user's too. Turns before the first user turn, and
-    exchanges without a reply, are left out; so only a conversation's last one can lack it.
+    exchanges without a reply, are left out; so only a conversation's last one can lack it. Turns are numbered in ranges, so a
+    conversation of most rows is many tasks' work.
     """
-    by = Window.partitionBy(conv_col).orderBy(*order_cols)
-    user = F.col(role_col) == "user"
-    start = user & F.coalesce(F.lag(role_col).over(by) != "user", F.lit(True))
-    numbered = turns.withColumn("exchange_no", F.sum(start.cast("long")).over(by) - 1).where("exchange_no >= 0")
-    replied = F.max((F.col(role_col) == "assistant").cast("int")).over(Window.partitionBy(conv_col, "exchange_no"))
-    return numbered.withColumn("replied", replied).where("replied = 1").drop("replied")
-
-
-def exchange_texts(folded: DataFrame, conv_col: str, order_cols: list[str], role_col: str, text_col: str, title: Column) -> DataFrame:
-    """One row an exchange: its user parts, its replies and where it comes from."""
+    by = [conv_col]
+    ranged = ordered.in_ranges(turns, [conv_col, *order_cols])
+    known = ordered.last_before(ranged, by, order_cols, role_col, "_last")
+    starts = ((F.col(role_col) == "user") & F.coalesce(F.col("_last") != "user", F.lit(True))).cast("long")
+    numbered = ordered.sums_before(known.withColumn("_start", starts), by, order_cols, F.col("_start"), "_before")
+    numbered = numbered.withColumn("exchange_no", F.col("_before") + F.col("_start") - 1).where("exchange_no >= 0").drop("_last", "_start", "_before", ordered.PART)
+    replied = numbered.where(F.col(role_col) == "assistant").select(conv_col, "exchange_no").distinct()
+    return numbered.join(replied, [conv_col, "exchange_no"], "left_semi")
+
+
+def exchange_texts(
+    folded: DataFrame, conv_col: str, order_cols: list[str], role_col: str, text_col: str, title: Column, project: Column | None = None, day: Column | None = None
+) -> DataFrame:
+    """One row an exchange: its user parts, its replies and where it comes from, with project and first day where they are known."""
     said = F.when(F.col(role_col) == "user", F.concat(F.lit("User: "), F.col(text_col))).otherwise(F.concat(F.lit("Assistant: "), F.col(text_col)))
     part = F.struct((F.col(role_col) != "user").alias("reply"), *order_cols, said.alias("said"))
-    one = folded.groupBy(conv_col, "exchange_no").agg(F.array_sort(F.collect_list(part)).alias("parts"), F.first(title).alias("title"))
-    total = F.count(F.lit(1)).over(Window.partitionBy(conv_col))
-    of = F.concat(F.lit('From the conversation "'), F.col("title"), F.lit('", exchange '), (F.col("exchange_no") + 1).cast("string"), F.lit(" of "), total.cast("string"), F.lit("."))
+    none = F.lit(None).cast("string")
+    one = folded.groupBy(conv_col, "exchange_no").agg(
+        F.array_sort(F.collect_list(part)).alias("parts"), F.min(title).alias("title"), F.min(none if project is None else project).alias("project"), F.min(none if day is None else day).alias("day")
+    )
+    totals = folded.select(conv_col, "exchange_no").distinct().groupBy(conv_col).agg(F.count(F.lit(1)).alias("total"))
+    named = lambda before, c: F.coalesce(F.concat(F.lit(before), F.when(F.col(c) != "", F.col(c))), F.lit(""))
+    of = F.concat(
+        F.lit('From the conversation "'), "title", F.lit('"'), named(" in ", "project"), named(" on ", "day"), F.lit(", exchange "), (F.col("exchange_no") + 1).cast("string"), F.lit(" of "), F.col("total").cast("string"), F.lit(".")
+    )
     joined = F.array_join(F.transform("parts", lambda p: p["said"]), "\n\n")
-    return one.select(conv_col, "exchange_no", F.concat_ws("\n\n", joined, of).alias("text"))
+    return one.join(totals, conv_col).select(conv_col, "exchange_no", F.concat_ws("\n\n", joined, of).alias("text"))
+
+
+_SENTENCE = re.compile(r"(?<=[.!?])\s+")
+
+
+def _packed(title: str, text: str, target: int, least: int) -> list[str]:
+    lines: list[list[str]] = [[]]
+    size = 0
+    for sentence in filter(None, (x.strip() for x in _SENTENCE.split(" ".join(text.split("\n"))))):
+        if size + len(sentence) > target and size >= least:
+            lines.append([])
+            size = 0
+        lines[-1].append(sentence)
+        size += len(sentence) + 1
+    return [f"{title}: " + " ".join(line) for line in lines if line]
+
+
+def sentence_packed(docs: DataFrame, id_col: str, title_col: str, text_col: str, target: int = 800, least: int = 120) -> DataFrame:
+    """``doc_id, chunk_no, text``: whole sentences packed to ``target`` characters, each chunk under the title; a chunk ends before what would
+    make it longer once it has ``least`` characters, and what is left at the end is kept. A blank text gives none; a null title is empty."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [_packed(title or "", text or "", target, least) for title, text in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            at = [i for i, chunks in enumerate(found) for _ in chunks]
+            columns = [batch.column(0).take(pa.array(at, pa.int64())), pa.array([n for chunks in found for n in range(len(chunks))], pa.int32()), pa.array([c for chunks in found for c in chunks], pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "chunk_no", "text"])
+
+    narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(title_col).cast("string").alias("title"), F.col(text_col).cast("string").alias("text"))
+    return narrow.mapInArrow(run, f"doc_id {narrow.schema['doc_id'].dataType.simpleString()}, chunk_no int, text string")
 
 
 def public_chunk(chunks: DataFrame) -> DataFrame:

@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
+from typing import NamedTuple
+from urllib.parse import urljoin, urlsplit, urlunsplit
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,29 +37,33 @@ def in_scope(url: Column, start: str) -> Column:
     return (origin(url) == host) & (path(url).startswith(prefix) | (path(url) == prefix.rstrip("/")))
 
 
-def robots_rules(text: str, agent: str) -> list[tuple[bool, str]]:
-    """(allow, path pattern) of the group that names the agent, else of ``*``."""
-    groups: dict[str, list[tuple[bool, str]]] = {}
-    agents: list[str] = []
-    open_group = False
+class Robots(NamedTuple):
+    """Rules (allow, pattern) that bind an agent, and the seconds that it waits between pages, if any are asked."""
+
+    rules: list[tuple[bool, str]]
+    crawl_delay: float | None = None
+
+
+def robots_rules(text: str, agent: str) -> Robots:
+    """What a robots file asks of the agent: of all groups that name it, else of all groups of ``*``; of several delays the longest."""
+    groups: list[tuple[set[str], list[tuple[bool, str]], list[float]]] = []
+    naming = False
     for raw in text.splitlines():
-        line = raw.split("#", 1)[0].strip()
-        key, _, value = line.partition(":")
-        key, value = key.strip().lower(), value.strip()
-        if key == "user-agent":
-            agents = [*agents, value.lower()] if open_group else [value.lower()]
-            open_group = True
-            for a in agents:
-                groups.setdefault(a, [])
-        elif key in ("allow", "disallow"):
-            open_group = False
-            if value:
-                for a in agents:
-                    groups[a].append((key == "allow", value))
-        elif key:
-            open_group = False
-    named = [a for a in groups if a != "*" and a in agent.lower()]
-    return groups[max(named, key=len)] if named else groups.get("*", [])
+        key, colon, value = (x.strip() for x in raw.split("#", 1)[0].partition(":"))
+        if not colon or not re.fullmatch(r"[A-Za-z-]+", key):
+            continue
+        key, starts = key.lower(), not naming
+        naming = key == "user-agent"
+        if naming:
+            if starts:
+                groups.append((set(), [], []))
+            groups[-1][0].add(value.lower().split("/")[0].strip())
+        elif groups and key in ("allow", "disallow") and value:
+            groups[-1][1].append((key == "allow", value))
+        elif groups and key == "crawl-delay" and re.fullmatch(r"\d*\.?\d+|\d+\.", value):
+            groups[-1][2].append(float(value))
+    bound = [g for g in groups if agent.lower() in g[0]] or [g for g in groups if "*" in g[0]]
+    return Robots([rule for g in bound for rule in g[1]], max((d for g in bound for d in g[2][-1:]), default=None))
 
 
 def robots_pattern(rule: str) -> str:
@@ -63,11 +71,11 @@ def robots_pattern(rule: str) -> str:
     return f"^{body}" + ("$" if rule.endswith("$") else "")
 
 
-def allowed(url: Column, rules: list[tuple[bool, str]]) -> Column:
-    """The longest matching rule decides, allow among equally long; none matching allows."""
-    where = path(url)
+def allowed(url: Column, robots: Robots) -> Column:
+    """The longest matching rule decides, allow among equally long; none matching allows. Rules see path and query."""
+    where = F.concat(path(url), F.regexp_extract(url, r"^[^?#]*(\?[^#]*)", 1))
     verdict = F.lit(None).cast("boolean")
-    for allow, rule in sorted(rules, key=lambda r: (len(r[1]), r[0])):  # the last that matches wins
+    for allow, rule in sorted(robots.rules, key=lambda r: (len(r[1]), r[0])):  # the last that matches wins
         verdict = F.when(where.rlike(robots_pattern(rule)), F.lit(allow)).otherwise(verdict)
     return F.coalesce(verdict, F.lit(True))
 
@@ -85,19 +93,28 @@ def path_filter(url: Column, include: list[str], exclude: list[str]) -> Column:
 
 
 def links(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
-    """``url, link``: distinct http(s) links of a page to its own origin, without fragments; absolute, rooted and relative ones."""
-    href = F.regexp_extract_all(html_col, F.lit(r"""(?i)<a\s[^>]*?\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""), F.lit(0))
-    value = lambda tag: F.regexp_replace(F.regexp_extract(tag, r"""(?i)\bhref\s*=\s*["']?([^"'>\s]*)""", 1), "#.*$", "")
-    each = pages.select(F.col(url_col).alias("url"), F.explode(F.transform(href, value)).alias("href")).where("href <> ''")
-    base = F.regexp_replace(F.regexp_replace("url", r"[?#].*$", ""), r"(^https?://[^/]+)$", "$1/")
-    full = (
-        F.when(F.col("href").rlike("^https?://"), F.col("href"))
-        .when(F.col("href").startswith("//"), F.concat(F.regexp_extract("url", "^(https?:)", 1), "href"))
-        .when(F.col("href").startswith("/"), F.concat(F.regexp_extract("url", r"^(https?://[^/?#]+)", 1), "href"))
-        .when(~F.col("href").rlike("^[a-zA-Z][a-zA-Z0-9+.-]*:"), F.concat(F.regexp_extract(base, "^(.*/)", 1), "href"))
-    )
-    out = each.select("url", full.alias("link")).where("link is not null")
-    return out.where(origin(F.col("link")) == origin(F.col("url"))).distinct()
+    """``url, link``: distinct http(s) links of a page to its own origin, resolved against its url, without fragments."""
+    tags = F.regexp_extract_all(html_col, F.lit(r"""(?i)\bhref\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'<>=`]+)"""), F.lit(0))
+    value = lambda tag: F.regexp_replace(tag, r"""(?i)^href\s*=\s*["']?|["']$""", "")
+    each = pages.select(F.col(url_col).alias("url"), F.explode(F.array_distinct(F.transform(tags, value))).alias("href"))
+
+    def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            full = [_resolved(base, href) for base, href in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(full, pa.string())], names=["url", "link"])
+
+    return each.mapInArrow(resolve, "url string, link string").where("link is not null").distinct()
+
+
+def _resolved(base: str | None, href: str) -> str | None:
+    """A link's url, if it leads by http(s) to the origin of its page."""
+    try:
+        here, there = urlsplit(base or ""), urlsplit(urljoin(base or "", href.strip()))
+    except ValueError:
+        return None
+    if there.scheme not in ("http", "https") or (here.scheme, here.netloc.lower()) != (there.scheme, there.netloc.lower()):
+        return None
+    return urlunsplit((there.scheme, there.netloc.lower(), there.path or "/", there.query, ""))
 
 
 def meta_refresh_target(html: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from skerry.functions.text import grounding_words, trimmed
+from skerry.operators import ordered
 
 
 def rank_metrics(run: DataFrame, qrels: DataFrame, depth: int = 10, far: int = 100) -> DataFrame:
@@ -61,11 +62,44 @@ def evidence_matches(quote: Column, passage: Column, share: float = 0.6) -> Colu
 def percentiles_by_index(df: DataFrame, by: list[str], value: str, shares: dict[str, float]) -> DataFrame:
     """Of each group's ordered values the one at floor(n * share), not interpolated, by exact counts of distinct values.
 
-    Equal values are one row before the window, so a group's window holds its distinct values.
+    Equal values are one row before they are put in order, and the order is cut in ranges, so a group of most rows is many tasks' work.
     """
     counted = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("n"))
-    group = Window.partitionBy(*by)
-    upto = F.sum("n").over(group.orderBy(value))
-    placed = counted.withColumn("upto", upto).withColumn("total", F.sum("n").over(group))
+    totals = counted.groupBy(*[F.col(c).alias(f"_{c}") for c in by]).agg(F.sum("n").alias("total"))
+    placed = ordered.sums_before(ordered.in_ranges(counted, [*by, value]), by, [value], F.col("n"), "before")
+    on = F.lit(True)
+    for c in by:
+        on = on & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    placed = placed.join(totals, on)
     at = {name: F.least(F.col("total") - 1, F.floor(F.col("total") * share)) for name, share in shares.items()}
-    return placed.groupBy(*by).agg(*[F.min(F.when(F.col("upto") > place, F.col(value))).alias(name) for name, place in at.items()])
+    return placed.groupBy(*by).agg(*[F.min(F.when(F.col("before") + F.col("n") > place, F.col(value))).alias(name) for name, place in at.items()])
+
+
+def label_metrics(run: DataFrame, asked: DataFrame, labels: DataFrame, depth: int = 10, far: int = 100) -> DataFrame:
+    """``query_id, ndcg, recall, recall_far`` where a query's relevant records are all others of its label.
+
+    ``run`` (query_id, record_id, rank from 1, the query itself left out), ``asked`` (query_id, label), ``labels`` (record_id, label). Only hits are
+    joined with labels; of a label's records the number is enough, as each has the gain 1.
+    """
+    sizes = labels.groupBy("label").agg(F.count(F.lit(1)).alias("size"))
+    judged = asked.join(sizes, "label").select("query_id", "label", (F.col("size") - 1).alias("relevant")).where("relevant > 0")
+    hits = run.where(F.col("rank") <= far).join(labels.withColumnRenamed("label", "theirs"), "record_id").join(judged.select("query_id", "label"), "query_id").where("label = theirs")
+    got = hits.groupBy("query_id").agg(
+        F.sum(F.when(F.col("rank") <= depth, 1 / F.log2(F.col("rank") + 1))).alias("dcg"), F.count(F.when(F.col("rank") <= depth, 1)).alias("near"), F.count(F.lit(1)).alias("found")
+    )
+    ideal = F.aggregate(F.sequence(F.lit(1), F.least(F.col("relevant"), F.lit(depth)).cast("int")), F.lit(0.0), lambda a, i: a + 1 / F.log2(i + 1))
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    joined = judged.join(got, "query_id", "left")
+    return joined.select("query_id", (zero("dcg") / ideal).alias("ndcg"), (zero("near") / F.col("relevant")).alias("recall"), (zero("found") / F.col("relevant")).alias("recall_far"))
+
+
+def answer_rates(judged: DataFrame, by: list[str]) -> DataFrame:
+    """Of each group the shares of answerable questions that were answered rightly or withheld, and of unanswerable ones that were answered all the same.
+
+    ``judged`` has answerable, answered (both booleans) and right (boolean, null where nothing was shown).
+    """
+    share = lambda test, of: F.count(F.when(test, 1)) / F.when(F.count(F.when(of, 1)) > 0, F.count(F.when(of, 1)))
+    able, shown = F.col("answerable"), F.col("answered")
+    return judged.groupBy(*by).agg(
+        share(able & shown & F.coalesce(F.col("right"), F.lit(False)), able).alias("right_rate"), share(able & ~shown, able).alias("withheld_rate"), share(~able & shown, ~able).alias("false_answer_rate")
+    )

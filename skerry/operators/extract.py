@@ -449,6 +449,8 @@ def from_html(page: str) -> dict:
 
     for kind, value in reader.own_events():
         if kind == "open":
+            if named is not None:  # a heading that the next one ends
+                heading = _flat(named)
             end_section()
             (level, own), heading, said, named = value, None, [], []
             own = own.replace(_AMP, "&") if own else None

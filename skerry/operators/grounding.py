@@ -6,9 +6,9 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from skerry.functions.text import GROUNDING_STOPWORDS, STEM_SUFFIXES, grounding_words, stem, without_possessive
+from skerry.operators import ordered
 from skerry.session import cut, small
 
 #: Passages that are graded, and what a word in the heading only is worth.
@@ -176,12 +176,8 @@ def auc(scored: DataFrame, label_col: str, score_col: str) -> DataFrame:
     Scores are cut in ranges, counted apart and shifted by the counts before, so no task orders all of them.
     """
     by_score = scored.groupBy(F.col(score_col).alias("at")).agg(F.sum(F.col(label_col).cast("long")).alias("p"), F.sum((1 - F.col(label_col)).cast("long")).alias("q"))
-    # Checkpointed: a second run of the range exchange may sample other borders.
-    ranged = cut(by_score.repartitionByRange("at").withColumn("part", F.spark_partition_id()))
-    upto = lambda w: F.coalesce(F.sum("q").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    before = ranged.groupBy("part").agg(F.sum("q").alias("q")).select("part", upto(Window.orderBy("part")).alias("before"))  # a row a partition
-    placed = ranged.withColumn("within", upto(Window.partitionBy("part").orderBy("at"))).join(F.broadcast(before), "part")
-    parts = placed.select((F.col("p") * (F.col("before") + F.col("within") + F.col("q") / 2)).alias("won"), "p", "q")
+    placed = ordered.sums_before(ordered.in_ranges(by_score, ["at"]), [], ["at"], F.col("q"), "below")
+    parts = placed.select((F.col("p") * (F.col("below") + F.col("q") / 2)).alias("won"), "p", "q")
     return parts.agg((F.sum("won") / F.when(F.sum("p") * F.sum("q") > 0, F.sum("p") * F.sum("q"))).alias("auc"))
 
 

@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 
 from skerry.errors import require
 from skerry.functions import vector as V
-from skerry.operators import blocks
+from skerry.operators import blocks, ordered
 from skerry.session import cut
 
 #: Distances count to this many decimals; equal ones are ordered by record.
@@ -199,10 +199,68 @@ def compacted(rows: DataFrame, deleted: DataFrame) -> DataFrame:
 
 def dense_ids(df: DataFrame, order_col: str, name: str) -> DataFrame:
     """``df`` with a dense number from 0 in the order of a unique column; ranges are numbered apart and shifted by the counts before."""
-    # Checkpointed: a second run of the range exchange may sample other borders.
-    ranged = cut(df.repartitionByRange(F.col(order_col)).withColumn("part", F.spark_partition_id()))
-    counts = ranged.groupBy("part").agg(F.count(F.lit(1)).alias("size"))
-    before = F.coalesce(F.sum("size").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    shift = counts.select("part", before.alias("before"))  # a row a partition
-    within = F.row_number().over(Window.partitionBy("part").orderBy(order_col))
-    return ranged.withColumn("place", within).join(F.broadcast(shift), "part").withColumn(name, (F.col("before") + F.col("place") - 1).cast("long")).drop("part", "place", "before")
+    numbered = ordered.sums_before(ordered.in_ranges(df, [order_col]), [], [order_col], F.lit(1), name)
+    return numbered.withColumn(name, F.col(name).cast("long")).drop(ordered.PART)
+
+
+def assigned(rows: DataFrame, centres: DataFrame, dim: int) -> DataFrame:
+    """``record_id, centre, distance``: the nearest centre (centre, vector) of each row by cosine, the lower of equal ones; rows stay where they are."""
+
+    def scan(q: pa.Table, r: pa.Table) -> Iterator[pa.RecordBatch]:
+        names, some = q.column("query_id").to_numpy(), blocks.matrix(q.column("vector"), dim)
+        order = np.argsort(names, kind="stable")
+        far = np.round(1 - np.clip(blocks.matrix(r.column("vector"), dim) @ some[order].T, -1, 1), DECIMALS)
+        best = far.argmin(axis=1)
+        yield _hits(r.column("record_id").to_numpy(), names[order][best], far[np.arange(len(far)), best])
+
+    asked = centres.select(F.col("centre").cast("long").alias("query_id"), V.doubles(F.col("vector")).alias("vector"))
+    held = rows.select(F.col("record_id").cast("long"), V.doubles(F.col("vector")).alias("vector")).where(F.size("vector") == dim)
+    near = blocks.against_all(asked, held, scan, _SCHEMA, dim)
+    one = near.groupBy("query_id").agg(F.min(F.struct("distance", "record_id")).alias("n"))
+    return one.select(F.col("query_id").alias("record_id"), F.col("n.record_id").alias("centre"), F.col("n.distance").alias("distance"))
+
+
+def kmeans(rows: DataFrame, centres: DataFrame, dim: int, steps: int = 10) -> tuple[DataFrame, DataFrame]:
+    """(centres, assignment) after ``steps`` rounds of cosine k-means from the given centres; an empty one stays where it was.
+
+    Components are summed by (centre, place) before the shuffle, so a centre of a third of all rows costs its components a partition.
+    """
+    held = rows.select(F.col("record_id").cast("long"), V.doubles(F.col("vector")).alias("vector"))
+    for _ in range(steps):
+        near = assigned(held, centres, dim).join(held, "record_id")
+        sums = near.select("centre", F.posexplode("vector").alias("i", "x")).groupBy("centre", "i").agg(F.sum("x").alias("x"))
+        moved = sums.groupBy("centre").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda p: p["x"]).alias("moved"))
+        centres = cut(centres.select(F.col("centre").cast("long"), "vector").join(moved, "centre", "left").select("centre", V.normalized(F.coalesce("moved", V.doubles(F.col("vector")))).alias("vector")))
+    return centres, assigned(held, centres, dim)
+
+
+#: Depths that are tried, the recall that is enough, questions that it is measured with, and the greatest depth that may be recommended.
+LADDER = (10, 15, 20, 30, 40, 60, 80, 120, 160, 240, 320, 480, 640)
+ENOUGH, MOST_ASKED, MOST_DEPTH = 0.98, 256, 4096
+
+
+def depth_curve(queries: DataFrame, index: DataFrame, k: int, dim: int, pool: int) -> DataFrame:
+    """``depth, recall, chosen``: recall of the two-stage search at each depth against ranking all coded rows exactly.
+
+    At most :data:`MOST_ASKED` of the queries are asked, evenly by their order. One scan serves all depths: candidates keep their
+    rank by sketch. Chosen is the least depth of enough recall, the last where none has it.
+    """
+    live, asked = index.count(), queries.select(F.col("query_id").cast("long"), V.normalized(V.doubles(F.col("vector"))).alias("vector"))
+    n = asked.count()
+    if n > MOST_ASKED:
+        picked = sorted({int(i * n / MOST_ASKED) for i in range(MOST_ASKED)})
+        asked = dense_ids(asked, "query_id", "nth").where(F.col("nth").isin(picked)).drop("nth")
+    asked = cut(asked)
+    top, ceiling = min(k, live), min(live, MOST_DEPTH)
+    depths = [c for c in LADDER if top <= c < ceiling] + [ceiling]
+    real = index.select("record_id", V.dequantized(F.col("q").cast("array<double>"), F.col("scale"), F.col("offset")).alias("vector"))
+    truth = exact_knn(asked, real, top, dim).select("query_id", "record_id", F.lit(1).alias("hit"))
+    near = sketch_candidates(asked, index, dim, pool, depths[-1]).select("query_id", "record_id", "vec_rank")
+    exact = rerank(near.select("query_id", "record_id"), asked, index, None).select("query_id", "record_id", "distance")
+    both = cut(near.join(exact, ["query_id", "record_id"]).join(truth, ["query_id", "record_id"], "left"))
+    each = both.withColumn("depth", F.explode(F.array(*[F.lit(c) for c in depths]))).where(F.col("vec_rank") < F.col("depth"))
+    place = F.row_number().over(Window.partitionBy("depth", "query_id").orderBy("distance", "record_id"))
+    found = each.withColumn("place", place).where(F.col("place") <= top).groupBy("depth").agg(F.count("hit").alias("hits"))
+    curve = found.select("depth", F.round(F.col("hits") / F.lit(float(max(1, min(n, MOST_ASKED) * top))), 4).alias("recall"))
+    chosen = curve.agg(F.coalesce(F.min(F.when(F.col("recall") >= ENOUGH, F.col("depth"))), F.max("depth")).alias("best"))
+    return curve.crossJoin(F.broadcast(chosen)).select("depth", "recall", (F.col("depth") == F.col("best")).alias("chosen"))  # one row

@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from skerry.functions.text import query_terms
-from skerry.operators import blooms, evaluate, integrity, journal, knn, layout, lexical
-from skerry.plans.search import _V, _asked, bm25_sql, _knn_sql, _L, _questions, _records, _rows
-from skerry.session import table
+from skerry.operators import blooms, evaluate, grounding, integrity, journal, knn, layout, lexical
+from skerry.plans.search import _CODED, _COS, _asked, _knn_sql, _questions, _records, _rows, bm25_sql
+from skerry.plans.texts import SQL_FIRSTS, sql_grounding_words, sql_query_terms, sql_quoted, sql_trim
+from skerry.session import cut, table
 
 DIM = 64
+GEOMETRIES = ((2, 4), (4, 4), (2, 8), (4, 8))
 
 
 def e1_metrics(spark: SparkSession, d: str) -> DataFrame:
@@ -19,8 +21,7 @@ def e1_metrics(spark: SparkSession, d: str) -> DataFrame:
     rows = _rows(spark, d)
     run = knn.exact_knn(_asked(rows), rows, 100, DIM, skip_self=True).withColumn("rank", F.col("vec_rank") + 1)
     asked = rows.where("record_id % 20 = 0").select(F.col("record_id").alias("query_id"), "label")
-    qrels = asked.join(rows.select("record_id", "label"), "label").where("query_id <> record_id").select("query_id", "record_id", F.lit(1).alias("grade"))
-    found = evaluate.rank_metrics(run, qrels)
+    found = evaluate.label_metrics(run, asked, rows.select("record_id", "label"))
     return found.select("query_id", *[F.round(c, 6).alias(c) for c in ("ndcg", "recall", "recall_far")])
 
 
@@ -66,6 +67,16 @@ def e6_percentiles(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.percentiles_by_index(table(spark, d, "events"), ["event_type"], "value", {"p50": 0.5, "p95": 0.95})
 
 
+def e5_answers(spark: SparkSession, d: str) -> DataFrame:
+    """Answered are examples of which the records know nine tenths of the words; right and false answers by family."""
+    rows = table(spark, d, "abstention_examples").where("label is not null and family is not null and text is not null")
+    asked = rows.select(F.col("example_id").alias("query_id"), "text", "family", (F.col("label") == 1).alias("answerable"))
+    vocabulary = grounding.vocabulary(table(spark, d, "record_chunks").where("text is not null"), "text")
+    known = grounding.known_fraction(asked, vocabulary).select("query_id", (F.coalesce("known", F.lit(0.0)) >= 0.9).alias("answered"))
+    judged = asked.join(known, "query_id").withColumn("right", F.when(F.col("answered"), F.col("answerable")))
+    return evaluate.answer_rates(judged, ["family"]).select("family", *[F.round(c, 6).alias(c) for c in ("right_rate", "withheld_rate", "false_answer_rate")])
+
+
 def i1_digests(spark: SparkSession, d: str) -> DataFrame:
     return integrity.record_digests(_records(spark, d), "record_id", F.concat_ws("|", F.col("record_id").cast("string"), "text"))
 
@@ -99,11 +110,11 @@ def _notes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def j1_valid_notes(spark: SparkSession, d: str) -> DataFrame:
-    """By source, chunks that would make valid notes: a path's first part as kind, a heading and a text."""
+    """What is wrong with notes made of chunks: kinds of the list and one that is not, headings, texts, and paths as tags."""
     rows = table(spark, d, "record_chunks")
-    kind = F.when(F.col("chunk_id") % 3 == 0, "finding").when(F.col("chunk_id") % 3 == 1, "decision").otherwise("remark")
-    valid = journal.valid_note(kind, F.col("heading"), F.col("text"))
-    return rows.groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("n"), F.sum(valid.cast("long")).alias("n_valid"))
+    kind = F.element_at(F.array(*[F.lit(k) for k in (*journal.KINDS, "remark")]), (F.col("chunk_id") % 8 + 1).cast("int"))
+    wrong = journal.note_problem(kind, F.col("heading"), F.col("text"), F.col("heading_path"))
+    return rows.groupBy(kind.alias("kind"), wrong.alias("problem")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def j3_latest(spark: SparkSession, d: str) -> DataFrame:
@@ -143,10 +154,10 @@ def x4_geometries(spark: SparkSession, d: str) -> DataFrame:
     """The share of the exact first ten in the first fifty by sketch, for each geometry."""
     rows = _rows(spark, d)
     asked = _asked(rows)
-    truth = knn.exact_knn(asked, rows, 10, DIM).select("query_id", "record_id").cache()
+    truth = cut(knn.exact_knn(asked, rows, 10, DIM).select("query_id", "record_id"))
     out = None
-    for pool, bits in ((2, 4), (4, 4), (2, 8), (4, 8)):
-        found = knn.two_stage_knn(asked, knn.coded(rows, pool, bits), 50, DIM, pool, 50, bits)
+    for pool, bits in GEOMETRIES:
+        found = knn.sketch_candidates(asked, knn.coded(rows, pool, bits), DIM, pool, 50, bits)
         one = evaluate.recall_at(found, truth).select(F.lit(DIM // pool).alias("dims"), F.lit(bits).alias("bits"), F.round("recall", 6).alias("recall"))
         out = one if out is None else out.unionByName(one)
     return out
@@ -155,7 +166,7 @@ def x4_geometries(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        e1_metrics, e1_mean, e2_success, e3_recall, e4_evidence, e5_rates, e6_percentiles, i1_digests, i3_tampered, k2_pages, i4_packs, i5_records,
+        e1_metrics, e1_mean, e2_success, e3_recall, e4_evidence, e5_rates, e5_answers, e6_percentiles, i1_digests, i3_tampered, k2_pages, i4_packs, i5_records,
         j1_valid_notes, j3_latest, g5_bloom, g19_goldens, x3_runs, x4_geometries,
     )
 }
@@ -172,7 +183,51 @@ _E1 = _knn_sql(100) + """, asked2 AS (SELECT record_id AS query_id, label FROM r
   FROM ideal LEFT JOIN got USING (query_id)
 )"""
 
+def _geometry_sql(pool: int, bits: int) -> str:
+    mean = f"floor(list_avg(q[i * {pool} + 1:(i + 1) * {pool}]) + 0.5)"
+    code, value = (f"least(15, floor({mean} / 17 + 0.5))", "x * 17.0") if bits == 4 else (mean, "x * 1.0")
+    return f"""SELECT {DIM // pool} AS dims, {bits} AS bits, query_id, record_id FROM (
+  SELECT query_id, qv, record_id, o, s, list_transform(range(0, {DIM // pool}), lambda i: {code}) AS sk, list_transform(range(0, {DIM // pool}), lambda i: list_avg(qv[i * {pool} + 1:(i + 1) * {pool}])) AS qc FROM means CROSS JOIN coded
+) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(1 - greatest(-1, least(1, {pool} * list_inner_product(qc, list_transform(sk, lambda x: o + s * ({value}))))), 9), record_id) <= 50"""
+
+
+_TRUTH = f"truth AS (SELECT query_id, record_id FROM asked CROSS JOIN rows QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY {_COS}, record_id) <= 10)"
+
 SQL = {
+    "e3_recall": f"""{_CODED}, {_TRUTH}, pooled AS (
+  SELECT query_id, qv, qs, record_id, q, o, s, list_transform(range(0, 16), lambda i: least(15, floor(floor(list_avg(q[i * 4 + 1:i * 4 + 4]) + 0.5) / 17 + 0.5))) AS sk,
+    list_transform(range(0, 16), lambda i: list_avg(qv[i * 4 + 1:i * 4 + 4])) AS qc FROM means CROSS JOIN coded
+), first AS (
+  SELECT query_id, record_id, round(1 - greatest(-1, least(1, o * qs + s * list_inner_product(qv, CAST(q AS DOUBLE[])))), 9) AS distance FROM pooled
+  QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(1 - greatest(-1, least(1, 4 * list_inner_product(qc, list_transform(sk, lambda x: o + s * (x * 17.0))))), 9), record_id) <= 30
+), found AS (SELECT query_id, record_id FROM first QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY distance, record_id) <= 10)
+SELECT round(count(*) / (SELECT count(*) FROM truth), 6) AS recall FROM found JOIN truth USING (query_id, record_id)""",
+    "e4_evidence": bm25_sql(top=3)
+    + f""", others AS (SELECT query_id, record_id FROM lex WHERE query_id <> record_id QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY lex_rank) = 1
+), said AS (
+  SELECT query_id, record_id, trim(regexp_replace(lower(qt), '[^a-z0-9]+', ' ', 'g')) AS quote, trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) AS body, {sql_grounding_words('qt')} AS k
+  FROM others JOIN asked USING (query_id) JOIN records USING (record_id)
+), worded AS (SELECT *, {SQL_FIRSTS} AS ws FROM said)
+SELECT query_id, record_id, contains(body, quote) OR (len(ws) > 6 AND len(list_filter(ws, lambda w: list_contains(string_split(body, ' '), w))) >= 0.6 * len(ws)) AS held FROM worded""",
+    "e5_answers": """
+WITH r AS (SELECT text FROM record_chunks WHERE text IS NOT NULL
+), vocab AS (
+  SELECT word FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z0-9'']+')) AS word FROM r) GROUP BY word HAVING count(*) >= (SELECT CASE WHEN count(*) >= 200 THEN 3 ELSE 1 END FROM r)
+), e AS (SELECT example_id, family, label = 1 AS able, text FROM abstention_examples WHERE label IS NOT NULL AND family IS NOT NULL AND text IS NOT NULL
+), w AS (SELECT example_id, unnest(regexp_extract_all(lower(text), '[a-z0-9'']+')) AS word FROM e
+), k AS (SELECT example_id, count(vocab.word) / count(*) >= 0.9 AS shown FROM w LEFT JOIN vocab USING (word) GROUP BY example_id
+), j AS (SELECT family, able, coalesce(shown, false) AS shown FROM e LEFT JOIN k USING (example_id))
+SELECT family, round(count(*) FILTER (able AND shown) / nullif(count(*) FILTER (able), 0), 6) AS right_rate, round(count(*) FILTER (able AND NOT shown) / nullif(count(*) FILTER (able), 0), 6) AS withheld_rate,
+  round(count(*) FILTER (NOT able AND shown) / nullif(count(*) FILTER (NOT able), 0), 6) AS false_answer_rate FROM j GROUP BY family""",
+    "g5_bloom": f"""
+WITH w AS (SELECT DISTINCT unnest({sql_query_terms('text')}) AS word FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL
+), h AS (
+  SELECT word, list_reduce(list_transform(string_split(word, ''), lambda c: CAST(ascii(c) AS BIGINT)), lambda h, c: (xor(h, c) * 16777619) & 4294967295, {0x811C9DC5}::BIGINT) % 65536 AS a,
+    list_reduce(list_transform(string_split(word, ''), lambda c: CAST(ascii(c) AS BIGINT)), lambda h, c: (xor(h, c) * 16777619) & 4294967295, {0x811C9DC5 ^ 0x9E3779B9}::BIGINT) % 65536 AS b FROM w
+)
+SELECT true AS maybe, count(*) AS n, (SELECT count(DISTINCT x) FROM (SELECT a AS x FROM h UNION ALL SELECT b FROM h)) AS set_bits FROM h""",
+    "x4_geometries": f"""{_CODED}, {_TRUTH}, found AS ({' UNION ALL '.join(f'SELECT * FROM ({_geometry_sql(p, b)})' for p, b in GEOMETRIES)})
+SELECT dims, bits, round(count(*) / (SELECT count(*) FROM truth), 6) AS recall FROM found JOIN truth USING (query_id, record_id) GROUP BY dims, bits""",
     "e1_metrics": _E1 + " SELECT query_id, ndcg, recall, recall_far FROM m",
     "e1_mean": _E1 + " SELECT round(avg(ndcg), 5) AS ndcg, round(avg(recall), 5) AS recall, round(avg(recall_far), 5) AS recall_far FROM m",
     "e2_success": bm25_sql(top=5)
@@ -199,9 +254,11 @@ FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL GROUP BY page_no"""
 SELECT source, count(*) AS n_records, count(DISTINCT sha256(text)) AS n_texts, CAST(sum(length(text)) AS BIGINT) AS n_chars, min(doc_id) AS first_id, max(doc_id) AS last_id
 FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL GROUP BY source""",
     "i5_records": "SELECT doc_id AS record_id, source, length(text) AS n_chars FROM documents WHERE doc_id % 20 = 0 AND text IS NOT NULL",
-    "j1_valid_notes": r"""
-SELECT CASE chunk_id % 3 WHEN 0 THEN 'finding' WHEN 1 THEN 'decision' ELSE 'remark' END AS kind, count(*) AS n,
-  count(*) FILTER (chunk_id % 3 < 2 AND regexp_matches(heading, '\S') AND regexp_matches(text, '\S')) AS n_valid FROM record_chunks GROUP BY kind""",
+    "j1_valid_notes": f"""
+WITH k AS (SELECT [{sql_quoted(journal.KINDS)}, 'remark'][chunk_id % 8 + 1] AS kind, heading AS h, text AS t, heading_path AS p FROM record_chunks)
+SELECT kind, CASE WHEN kind = 'remark' OR kind IS NULL THEN 'kind' WHEN h IS NULL OR {sql_trim('h')} = '' OR length(h) > 200 OR contains({sql_trim('h')}, chr(10)) THEN 'title'
+  WHEN t IS NULL OR {sql_trim('t')} = '' OR strlen(t) > 16384 THEN 'text'
+  WHEN p IS NOT NULL AND (len(p) > 20 OR len(list_filter(p, lambda x: x IS NULL OR {sql_trim('x')} = '' OR length(x) > 40)) > 0) THEN 'tags' END AS problem, count(*) AS n FROM k GROUP BY ALL""",
     "j3_latest": """
 SELECT event_id, event_type AS kind, value FROM events WHERE event_type = (SELECT min(event_type) FROM events) AND user_id % 5 = 3 ORDER BY event_id DESC LIMIT 10""",
     "g19_goldens": bm25_sql(top=10)

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules of this package that hold QUERIES and SQL.
-MODULES: tuple[str, ...] = ("texts", "search", "hybrid", "chains", "quality")
+MODULES: tuple[str, ...] = ("texts", "extraction", "search", "hybrid", "chains", "quality")
 
 
 def core_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

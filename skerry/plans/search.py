@@ -12,9 +12,9 @@ from pyspark.sql.window import Window
 
 from skerry.functions import text as T
 from skerry.functions import vector as V
-from skerry.operators import evaluate, grounding, knn, lexical
+from skerry.operators import grounding, knn, lexical
 from skerry.plans.texts import SQL_FIRSTS, sql_coverage_words, sql_grounding_words, sql_index_terms, sql_query_terms, sql_quoted, sql_stem
-from skerry.session import spread, table
+from skerry.session import cut, spread, table
 
 DIM, POOL, K = 64, 2, 5
 
@@ -68,7 +68,8 @@ def v10_sketches(spark: SparkSession, d: str) -> DataFrame:
 def v13_hash_embeddings(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "record_chunks").where("title is not null").select("title").distinct()
     v = V.hash_embedding(F.split(F.lower("title"), " +"), 16)
-    return rows.select("title", V.let(v, lambda a: F.array_join(F.transform(a, lambda x: F.round(x, 6).cast("string")), ",")).alias("vector"))
+    weighed = lambda a: F.aggregate(F.transform(a, lambda x, i: x * (i + 1)), F.lit(0.0), lambda s, x: s + x)
+    return rows.withColumn("v", v).select("title", F.round(F.get("v", F.lit(0)), 6).alias("first"), F.round(weighed(F.col("v")), 6).alias("weighed"))
 
 
 def n1_knn(spark: SparkSession, d: str) -> DataFrame:
@@ -115,17 +116,16 @@ def n11_compacted(spark: SparkSession, d: str) -> DataFrame:
     return knn.compacted(rows, rows.where("record_id % 17 = 0").select("record_id"))
 
 
+def n6_staged(spark: SparkSession, d: str) -> DataFrame:
+    """A coarser tier first, four times as deep; then sketches, then codes."""
+    rows = _rows(spark, d)
+    return _near(knn.staged_knn(_asked(rows), knn.coded(rows, POOL), knn.coded(rows, 4 * POOL), K, DIM, POOL, 4 * POOL, knn.rerank_depth(rows.count(), K)))
+
+
 def n13_rerank_sweep(spark: SparkSession, d: str) -> DataFrame:
-    """Recall of the two-stage search at each depth of a ladder."""
+    """Recall of the two-stage search at each depth of the ladder, and the depth that is chosen."""
     rows = _rows(spark, d)
-    asked, index = _asked(rows), knn.coded(rows, POOL)
-    truth = knn.exact_knn(asked, rows, 10, DIM).select("query_id", "record_id").cache()
-    out = None
-    for depth in (10, 20, 40, 80, 160):
-        found = knn.two_stage_knn(asked, index, 10, DIM, POOL, depth)
-        one = evaluate.recall_at(found, truth).select(F.lit(depth).alias("depth"), F.round("recall", 6).alias("recall"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    return knn.depth_curve(_asked(rows), cut(knn.coded(rows, POOL)), 10, DIM, POOL)
 
 
 def n14_self_recall(spark: SparkSession, d: str) -> DataFrame:
@@ -138,10 +138,16 @@ def n14_self_recall(spark: SparkSession, d: str) -> DataFrame:
 def n15_lloyd_step(spark: SparkSession, d: str) -> DataFrame:
     """One step of cosine k-means from the first vector of each label: how many rows each centre takes, and from which label."""
     rows = _rows(spark, d)
-    centres = rows.groupBy("label").agg(F.min_by("vector", "record_id").alias("vector"))
-    nearest = knn.exact_knn(rows.select(F.col("record_id").alias("query_id"), "vector"), centres.select(F.col("label").cast("long").alias("record_id"), "vector"), 1, DIM)
-    named = nearest.join(rows.select(F.col("record_id").alias("query_id"), "label"), "query_id")
-    return named.groupBy(F.col("record_id").alias("centre"), "label").agg(F.count(F.lit(1)).alias("n"))
+    centres = rows.groupBy("label").agg(F.min_by("vector", "record_id").alias("vector")).select(F.col("label").alias("centre"), "vector")
+    return knn.assigned(rows, centres, DIM).join(rows.select("record_id", "label"), "record_id").groupBy("centre", "label").agg(F.count(F.lit(1)).alias("n"))
+
+
+def n15_kmeans(spark: SparkSession, d: str) -> DataFrame:
+    """Three steps of it: the rows and the mean distance of each centre."""
+    rows = cut(_rows(spark, d))
+    centres = rows.groupBy("label").agg(F.min_by("vector", "record_id").alias("vector")).select(F.col("label").cast("long").alias("centre"), "vector")
+    _, near = knn.kmeans(rows, centres, DIM, 3)
+    return near.groupBy("centre").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("distance"), 5).alias("distance"))
 
 
 def _records(spark: SparkSession, d: str) -> DataFrame:
@@ -225,7 +231,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         v1_valid, v2_norms, v3_distances, v5_quantized, v6_restored, v10_sketches, v13_hash_embeddings, n1_knn, n1_knn_l2, n3_filtered, n4_two_stage,
-        n8_masked, n9_collapsed, n10_ghosts, n11_compacted, n13_rerank_sweep, n14_self_recall, n15_lloyd_step, l3_term_stats, l3_corpus_stats, l4_df,
+        n8_masked, n9_collapsed, n6_staged, n10_ghosts, n11_compacted, n13_rerank_sweep, n14_self_recall, n15_lloyd_step, n15_kmeans, l3_term_stats, l3_corpus_stats, l4_df,
         l5_bm25, l6_excluded, l7_cutoff, h11_catalog, g4_known, g6_common, g8_signals, g15_auc, g16_entities,
     )
 }
@@ -308,6 +314,17 @@ def ground_sql(hits: str, kind: str = "plain") -> str:
 ), {out}"""
 
 
+def _kmeans_sql(steps: int) -> str:
+    out = f"{_V}, c0 AS (SELECT label AS centre, arg_min(v, record_id) AS qv FROM rows GROUP BY label\n)"
+    for k in range(steps + 1):
+        out += f""", n{k} AS (
+  SELECT record_id, v, centre, {_COS} AS distance FROM rows CROSS JOIN c{k} QUALIFY row_number() OVER (PARTITION BY record_id ORDER BY {_COS}, centre) = 1
+), s{k} AS (SELECT centre, i, sum(v[i]) AS x FROM n{k} CROSS JOIN range(1, {DIM + 1}) r(i) GROUP BY centre, i
+), m{k} AS (SELECT centre, list(x ORDER BY i) AS m FROM s{k} GROUP BY centre
+), c{k + 1} AS (SELECT centre, coalesce(list_transform(m, lambda x: x / sqrt(list_inner_product(m, m))), qv) AS qv FROM c{k} LEFT JOIN m{k} USING (centre))"""
+    return out + f" SELECT CAST(centre AS BIGINT) AS centre, count(*) AS n, round(avg(distance), 5) AS distance FROM n{steps} GROUP BY centre"
+
+
 SQL = {
     "v1_valid": """
 SELECT vec_id, coalesce(len(embedding) = 384 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
@@ -325,6 +342,15 @@ SELECT vec_id, array_to_string(q, ',') AS q, round(span / 255, 9) AS scale, roun
 WITH r AS (SELECT row_id, list_transform(qdata, lambda x: CAST(q_offset AS DOUBLE) + CAST(q_scale AS DOUBLE) * x) AS v FROM uint8_snapshot_graph WHERE qdata IS NOT NULL AND q_scale IS NOT NULL AND q_offset IS NOT NULL)
 SELECT row_id, round(list_sum(v), 6) AS total, round(sqrt(list_inner_product(v, v)), 6) AS norm FROM r""",
     "v10_sketches": f"{_CODED} SELECT record_id, array_to_string(sk, ',') AS sketch FROM sketched",
+    "v13_hash_embeddings": """
+WITH t AS (SELECT DISTINCT title FROM record_chunks WHERE title IS NOT NULL
+), w AS (SELECT title, unnest(regexp_split_to_array(lower(title), ' +')) AS w FROM t
+), h AS (SELECT title, w, sha256(w) AS h FROM w
+), x AS (SELECT title, CAST(('0x' || h[7:8] || h[5:6] || h[3:4] || h[1:2]) AS BIGINT) % 16 AS i, CAST(('0x' || h[9:10]) AS BIGINT) / 255 * 2 - 1 AS x FROM h
+), s AS (SELECT title, i, sum(x) AS x FROM x GROUP BY title, i
+), v AS (SELECT t.title, list(coalesce(x, 0.0) ORDER BY r.i) AS v FROM t CROSS JOIN range(16) r(i) LEFT JOIN s ON s.title = t.title AND s.i = r.i GROUP BY t.title)
+SELECT title, CAST(round(v[1] / n, 6) AS DOUBLE) AS first, round(list_sum(list_transform(range(1, 17), lambda i: i * v[i])) / n, 6) AS weighed
+FROM (SELECT title, v, CASE WHEN list_inner_product(v, v) > 0 THEN sqrt(list_inner_product(v, v)) ELSE 1 END AS n FROM v)""",
     "n1_knn": _knn_sql(10) + _SHOW,
     "n1_knn_l2": _knn_sql(10, "round(list_distance(qv, v), 9)") + _SHOW,
     "n3_filtered": _knn_sql(10, where="query_id <> record_id AND record_id % 10 = 3") + _SHOW,
@@ -338,19 +364,39 @@ SELECT query_id, record_id, row_id, round(distance, 6) AS distance, row_number()
     "n10_ghosts": """
 SELECT count(*) AS rows, count(*) FILTER (vec_id % 17 = 0) AS deleted, round(count(*) FILTER (vec_id % 17 = 0) / count(*), 6) AS ghost_ratio FROM embeddings""",
     "n11_compacted": "SELECT vec_id AS old_id, row_number() OVER (ORDER BY vec_id) - 1 AS new_id FROM embeddings WHERE vec_id % 17 <> 0",
-    "n13_rerank_sweep": _stage_sql("160")
-    + """, truth AS (
-  SELECT query_id, record_id FROM (SELECT query_id, record_id, """
-    + _COS
-    + """ AS d FROM asked CROSS JOIN rows) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY d, record_id) <= 10
-), depths AS (SELECT unnest([10, 20, 40, 80, 160]) AS depth
-), found AS (SELECT depth, query_id, record_id FROM exact JOIN depths ON c <= depth QUALIFY row_number() OVER (PARTITION BY depth, query_id ORDER BY distance, record_id) <= 10)
-SELECT depth, round(count(found.record_id) / count(*), 6) AS recall FROM depths CROSS JOIN truth LEFT JOIN found USING (depth, query_id, record_id) GROUP BY depth""",
+    "n6_staged": _CODED
+    + f""", coarse AS (
+  SELECT *, list_transform(range(0, {DIM // POOL // 4}), lambda i: CAST(least(15, floor(floor(list_avg(q[i * {4 * POOL} + 1:(i + 1) * {4 * POOL}]) + 0.5) / 17 + 0.5)) AS INTEGER)) AS mk FROM sketched
+), pooled AS (SELECT *, list_transform(range(0, {DIM // POOL // 4}), lambda i: list_avg(qv[i * {4 * POOL} + 1:(i + 1) * {4 * POOL}])) AS qc FROM means
+), one AS (
+  SELECT query_id, qv, qm, qs, record_id, q, s, o, sk, round(1 - greatest(-1, least(1, {4 * POOL} * list_inner_product(qc, list_transform(mk, lambda x: o + s * (x * 17.0))))), 9) AS md FROM pooled CROSS JOIN coarse
+), two AS (
+  SELECT *, round(1 - greatest(-1, least(1, {POOL} * list_inner_product(qm, list_transform(sk, lambda x: o + s * (x * 17.0))))), 9) AS sd FROM one
+  QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY md, record_id) <= 4 * (SELECT least(count(*), 100) FROM embeddings)
+), three AS (
+  SELECT query_id, record_id, round(1 - greatest(-1, least(1, o * qs + s * list_inner_product(qv, CAST(q AS DOUBLE[])))), 9) AS distance FROM two
+  QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY sd, record_id) <= (SELECT least(count(*), 100) FROM embeddings)
+)
+SELECT query_id, record_id, round(distance, 6) AS distance, row_number() OVER (PARTITION BY query_id ORDER BY distance, record_id) - 1 AS vec_rank FROM three QUALIFY vec_rank < 5""",
+    "n13_rerank_sweep": _CODED
+    + f""", far AS (
+  SELECT query_id, record_id, round(1 - greatest(-1, least(1, {POOL} * list_inner_product(qm, list_transform(sk, lambda x: o + s * (x * 17.0))))), 9) AS sd,
+    round(1 - greatest(-1, least(1, o * qs + s * list_inner_product(qv, CAST(q AS DOUBLE[])))), 9) AS distance
+  FROM (SELECT * FROM means QUALIFY row_number() OVER (ORDER BY query_id) - 1 IN (SELECT CAST(floor(i * greatest(1.0, (SELECT count(*) FROM asked) / 256)) AS BIGINT) FROM range(256) t(i))) CROSS JOIN sketched
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sd, record_id) AS c, row_number() OVER (PARTITION BY query_id ORDER BY distance, record_id) AS best FROM far
+), size AS (SELECT count(*) AS live FROM embeddings
+), depths AS (
+  SELECT unnest(list_append(list_filter([10, 15, 20, 30, 40, 60, 80, 120, 160, 240, 320, 480, 640], lambda x: x >= least(10, live) AND x < least(live, 4096)), least(live, 4096))) AS depth FROM size
+), found AS (SELECT depth, best FROM placed JOIN depths ON c <= depth QUALIFY row_number() OVER (PARTITION BY depth, query_id ORDER BY distance, record_id) <= 10
+), curve AS (SELECT depth, round(count(*) FILTER (best <= 10) / (SELECT count(*) FROM placed WHERE best <= 10), 4) AS recall FROM found GROUP BY depth)
+SELECT depth, recall, depth = (SELECT coalesce(min(depth) FILTER (recall >= 0.98), max(depth)) FROM curve) AS chosen FROM curve""",
     "n14_self_recall": _knn_sql(5, where="true") + " SELECT vec_rank, count(*) AS n FROM near WHERE query_id = record_id GROUP BY vec_rank",
     "n15_lloyd_step": f"""{_V}, centres AS (SELECT label AS centre, arg_min(v, record_id) AS qv FROM rows GROUP BY label
 ), far AS (SELECT record_id, label, centre, {_COS} AS distance FROM rows CROSS JOIN centres
 ), near AS (SELECT * FROM far QUALIFY row_number() OVER (PARTITION BY record_id ORDER BY distance, centre) = 1)
 SELECT CAST(centre AS BIGINT) AS centre, label, count(*) AS n FROM near GROUP BY centre, label""",
+    "n15_kmeans": _kmeans_sql(3),
     "l3_term_stats": f"{_L} SELECT term, df FROM terms",
     "l3_corpus_stats": f"{_L} SELECT n, total_tokens, round(avgdl, 6) AS avgdl FROM stats",
     "l4_df": f"{_L} SELECT query_id, term, df FROM qterms JOIN terms USING (term)",

@@ -100,12 +100,12 @@ def t21_dropped(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _turns(spark: SparkSession, d: str) -> DataFrame:
-    """Plain turns of each conversation in the order of their times, one a message."""
-    rows = table(spark, d, "chat_messages").where("conv_id is not null and create_time is not null and content is not null")
+    """Plain turns of each conversation, one a message; in order those without time come first."""
+    rows = table(spark, d, "chat_messages").where("conv_id is not null and content is not null")
     who = F.lower(F.trim("role"))
     role = F.when(who.isin("user", "human"), "user").when(who.isin("assistant", "model", "bot"), "assistant")
-    one = rows.select("conv_id", "message_id", "create_time", role.alias("role"), "content", "exported_at").where("role is not null and trim(content) <> ''")
-    return one.groupBy("conv_id", "message_id").agg(F.max_by(F.struct("create_time", "role", "content"), "exported_at").alias("m")).select("conv_id", "message_id", "m.*")
+    one = rows.select("conv_id", "message_id", "create_time", role.alias("role"), "content", "project", "exported_at").where("role is not null and trim(content) <> ''")
+    return one.groupBy("conv_id", "message_id").agg(F.max_by(F.struct("create_time", "role", "content", "project"), F.struct("exported_at", "content")).alias("m")).select("conv_id", "message_id", "m.*")
 
 
 def t10_exchanges(spark: SparkSession, d: str) -> DataFrame:
@@ -115,12 +115,13 @@ def t10_exchanges(spark: SparkSession, d: str) -> DataFrame:
 def t11_exchange_texts(spark: SparkSession, d: str) -> DataFrame:
     order = ["create_time", "message_id"]
     folded = chunking.exchanges(_turns(spark, d), "conv_id", order, "role")
-    texts = chunking.exchange_texts(folded, "conv_id", order, "role", "content", F.col("conv_id"))
+    day = F.date_format(F.timestamp_millis((F.col("create_time") * 1000).cast("long")), "yyyy-MM-dd")
+    texts = chunking.exchange_texts(folded, "conv_id", order, "role", "content", F.col("conv_id"), F.col("project"), day)
     return texts.select("conv_id", "exchange_no", F.sha2("text", 256).alias("digest"))
 
 
 START = "https://ferrybook.example/"
-ROBOTS = "User-agent: *\nDisallow: /how-\nAllow: /how-*-the-\nDisallow: /*notes$\n"
+ROBOTS = "User-agent: skerry/2.0\nUser-agent: other\nDisallow: /how-\nAllow: /how-*-the-\nCrawl-delay: 2\n\nUser-agent: *\nDisallow: /\n\nUser-agent: Skerry\nDisallow: /*notes$\nDisallow: /*?ref=\nCrawl-delay: 5\n"
 
 
 def s4_scope(spark: SparkSession, d: str) -> DataFrame:
@@ -130,7 +131,8 @@ def s4_scope(spark: SparkSession, d: str) -> DataFrame:
 
 def s5_robots(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "page_texts").where("url is not null")
-    return rows.select("page_id", crawl.allowed(F.col("url"), crawl.robots_rules(ROBOTS, "skerry")).alias("allowed"))
+    robots = crawl.robots_rules(ROBOTS, "skerry")
+    return rows.select("page_id", crawl.allowed(F.col("url"), robots).alias("allowed"), F.lit(robots.crawl_delay).alias("delay"))
 
 
 def s6_filters(spark: SparkSession, d: str) -> DataFrame:
@@ -155,13 +157,13 @@ def sql_trim(x: str) -> str:
     return f"regexp_replace({x}, '^[{T.WS}]+|[{T.WS}]+$', '', 'g')"
 
 
-def _sql_normalize(x: str) -> str:
+def sql_normalize(x: str) -> str:
     inner = f"regexp_replace(replace(coalesce({x}, ''), chr(13), ''), '[ \t]+', ' ', 'g')"
     return sql_trim(f"regexp_replace({inner}, '\n{{3,}}', chr(10) || chr(10), 'g')")
 
 
 def sql_tokens(x: str) -> str:
-    return f"list_filter(regexp_split_to_array({_sql_normalize(x)}, '[{T.WS}]+'), lambda w: w <> '')"
+    return f"list_filter(regexp_split_to_array({sql_normalize(x)}, '[{T.WS}]+'), lambda w: w <> '')"
 
 
 def sql_index_terms(x: str) -> str:
@@ -219,17 +221,16 @@ def _sql_entities(x: str) -> str:
 
 _TURNS_SQL = """
 WITH one AS (
-  SELECT conv_id, message_id, arg_max({'t': create_time, 'role': role, 'content': content}, exported_at) AS m FROM (
-    SELECT conv_id, message_id, create_time, content, exported_at,
+  SELECT conv_id, message_id, create_time AS t, role, content, project FROM (
+    SELECT conv_id, message_id, create_time, content, project, exported_at,
            CASE WHEN lower(trim(role)) IN ('user', 'human') THEN 'user' WHEN lower(trim(role)) IN ('assistant', 'model', 'bot') THEN 'assistant' END AS role
-    FROM chat_messages WHERE conv_id IS NOT NULL AND create_time IS NOT NULL AND content IS NOT NULL
-  ) WHERE role IS NOT NULL AND trim(content) <> '' GROUP BY conv_id, message_id
-), turns AS (SELECT conv_id, message_id, m.t AS t, m.role AS role, m.content AS content FROM one
+    FROM chat_messages WHERE conv_id IS NOT NULL AND content IS NOT NULL
+  ) WHERE role IS NOT NULL AND trim(content) <> '' QUALIFY row_number() OVER (PARTITION BY conv_id, message_id ORDER BY exported_at DESC, content DESC) = 1
 ), marked AS (
-  SELECT *, CASE WHEN role = 'user' AND coalesce(lag(role) OVER w <> 'user', true) THEN 1 ELSE 0 END AS start FROM turns
-  WINDOW w AS (PARTITION BY conv_id ORDER BY t, message_id)
+  SELECT *, CASE WHEN role = 'user' AND coalesce(lag(role) OVER w <> 'user', true) THEN 1 ELSE 0 END AS start FROM one
+  WINDOW w AS (PARTITION BY conv_id ORDER BY t NULLS FIRST, message_id)
 ), numbered AS (
-  SELECT *, CAST(sum(start) OVER (PARTITION BY conv_id ORDER BY t, message_id) - 1 AS BIGINT) AS exchange_no FROM marked
+  SELECT *, CAST(sum(start) OVER (PARTITION BY conv_id ORDER BY t NULLS FIRST, message_id ROWS UNBOUNDED PRECEDING) - 1 AS BIGINT) AS exchange_no FROM marked
 ), folded AS (
   SELECT *, max(CASE WHEN role = 'assistant' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id, exchange_no) AS replied FROM numbered WHERE exchange_no >= 0
 ), kept AS (SELECT * FROM folded WHERE replied = 1)
@@ -249,17 +250,17 @@ WITH based AS (
 ), placed AS (SELECT *, row_number() OVER (PARTITION BY doc_id, base ORDER BY chunk_id) - 1 AS n FROM based)
 SELECT doc_id, chunk_id, CASE WHEN n = 0 THEN base ELSE base || '-' || n END AS anchor FROM placed""",
     "t7_entities": f"SELECT DISTINCT chunk_id, sha256({_sql_entities('text')}) AS digest FROM record_chunks WHERE text IS NOT NULL",
-    "t8_normalize": f"SELECT doc_id, {_sql_normalize('text')} AS text FROM documents WHERE {_DOCS}",
+    "t8_normalize": f"SELECT doc_id, {sql_normalize('text')} AS text FROM documents WHERE {_DOCS}",
     "t9_tokens": f"SELECT doc_id, CAST(len({sql_tokens('text')}) AS BIGINT) AS n_tokens FROM documents WHERE {_DOCS}",
     "t10_exchanges": _TURNS_SQL + "SELECT conv_id, message_id, exchange_no FROM kept",
     "t11_exchange_texts": _TURNS_SQL
     + """, said AS (
-  SELECT conv_id, exchange_no,
-         string_agg(CASE WHEN role = 'user' THEN 'User: ' ELSE 'Assistant: ' END || content, chr(10) || chr(10) ORDER BY role DESC, t, message_id) AS parts
+  SELECT conv_id, exchange_no, min(project) AS project, min(strftime(epoch_ms(CAST(t * 1000 AS BIGINT)), '%Y-%m-%d')) AS d,
+         string_agg(CASE WHEN role = 'user' THEN 'User: ' ELSE 'Assistant: ' END || content, chr(10) || chr(10) ORDER BY role DESC, t NULLS FIRST, message_id) AS parts
   FROM kept GROUP BY conv_id, exchange_no
 )
-SELECT conv_id, exchange_no, sha256(parts || chr(10) || chr(10) || 'From the conversation "' || conv_id || '", exchange ' || (exchange_no + 1) || ' of '
-       || count(*) OVER (PARTITION BY conv_id) || '.') AS digest FROM said""",
+SELECT conv_id, exchange_no, sha256(parts || chr(10) || chr(10) || 'From the conversation "' || conv_id || '"' || coalesce(' in ' || nullif(project, ''), '') || coalesce(' on ' || d, '') || ', exchange '
+       || (exchange_no + 1) || ' of ' || count(*) OVER (PARTITION BY conv_id) || '.') AS digest FROM said""",
     "t12_redacted": _sql_redact(),
     "t13_titles": f"""
 WITH lines AS (
@@ -281,6 +282,22 @@ SELECT DISTINCT source_path, regexp_replace(regexp_replace(regexp_replace(regexp
   '(?i)\.(md|mdx|html|txt)$', ''), '(^|/)[0-9]+-', '\1', 'g'), '(?i)(^|/)(index|readme)$', '\1'), '/+$', '') AS route
 FROM record_chunks WHERE source_path IS NOT NULL""",
     "t19_public": "SELECT DISTINCT chunk_id, coalesce(url, source_path, '') AS url, left(text, 220) AS preview FROM record_chunks WHERE text IS NOT NULL",
+    # A sentence ends where a mark does before white space, so a sign is put there to split by; RE2 cannot look behind.
+    "t20_windows": f"""
+WITH RECURSIVE parts AS (
+  SELECT DISTINCT chunk_id AS record_id, CASE WHEN contains(text, chr(10)) THEN {sql_trim('string_split(text, chr(10))[1]')} ELSE '' END AS head,
+    CASE WHEN contains(text, chr(10)) THEN regexp_replace(text, '^[^\n]*\n', '') ELSE text END AS body FROM record_chunks WHERE text IS NOT NULL
+), pieces AS (
+  SELECT row_number() OVER () AS r, record_id, head, list_filter(list_transform(string_split(regexp_replace(regexp_replace(body, '([.!?])\\s+', '\\1' || chr(1), 'g'), '\n+', chr(1), 'g'), chr(1)),
+    lambda x: {sql_trim('x')}), lambda x: x <> '') AS p FROM parts
+), walk AS (
+  SELECT r, 0 AS i, CAST([] AS VARCHAR[]) AS done FROM pieces
+  UNION ALL
+  SELECT w.r, i + 1, CASE WHEN len(done) > 0 AND len(regexp_split_to_array(done[-1], '\\s+')) < 5 THEN list_append(done[1:-2], done[-1] || ' ' || p[i + 1]) ELSE list_append(done, p[i + 1]) END
+  FROM walk w JOIN pieces USING (r) WHERE i < len(p)
+), folded AS (SELECT record_id, head, done AS s FROM walk JOIN pieces USING (r) WHERE i = len(p) AND len(done) > 2
+), each AS (SELECT *, unnest(range(0, len(s) - 1)) AS window_no FROM folded)
+SELECT record_id, window_no, head || chr(10) || s[window_no + 1] || ' ' || s[window_no + 2] AS text FROM each""",
     "t21_dropped": f"""
 SELECT doc_id, source AS name, CAST(len({sql_tokens('text')}) AS BIGINT) AS n_tokens FROM documents WHERE {_DOCS} AND len({sql_tokens('text')}) < 25""",
     "l1_terms": f"SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({sql_index_terms('text')}) AS term FROM documents WHERE {_DOCS}) GROUP BY doc_id, term",
@@ -299,7 +316,7 @@ SELECT DISTINCT source_path, regexp_full_match(source_path, '(?i)(?:.*/)?[^/]*\.
 FROM record_chunks WHERE source_path IS NOT NULL""",
     "s4_scope": f"SELECT page_id, lower(regexp_extract(url, '^(https?://[^/?#]+)', 1)) = 'https://ferrybook.example' AND starts_with({_PATH}, '/') AS in_scope FROM page_texts WHERE url IS NOT NULL",
     "s5_robots": f"""
-SELECT page_id, CASE WHEN regexp_matches({_PATH}, '^/how-.*-the-') THEN true WHEN regexp_matches({_PATH}, '^/.*notes$') THEN false
-  WHEN regexp_matches({_PATH}, '^/how-') THEN false ELSE true END AS allowed FROM page_texts WHERE url IS NOT NULL""",
+WITH t AS (SELECT page_id, {_PATH} || regexp_extract(url, '^[^?#]*(\\?[^#]*)', 1) AS t FROM page_texts WHERE url IS NOT NULL)
+SELECT page_id, CASE WHEN regexp_matches(t, '^/how-.*-the-') THEN true WHEN regexp_matches(t, '^/.*notes$') OR regexp_matches(t, '^/.*\\?ref=') OR regexp_matches(t, '^/how-') THEN false ELSE true END AS allowed, CAST(5.0 AS DOUBLE) AS delay FROM t""",
     "s6_filters": f"SELECT page_id, {_PATH} LIKE '%-the-%' AND {_PATH} NOT LIKE '%queue%' AND {_PATH} NOT LIKE '%/print.html' AS taken FROM page_texts WHERE url IS NOT NULL",
 }

@@ -11,10 +11,22 @@ def test_sequence_is_fixed():
 
 
 def test_questions(spark):
-    records = spark.createDataFrame([(1, "Pier", "the moored turbine and a crane"), (2, " ", "of")], "record_id long, title string, text string")
-    assert [tuple(r) for r in calibrate.title_questions(records, "title").collect()] == [(1, "how does pier work")]
-    assert [tuple(r) for r in calibrate.keyword_questions(records, "text", 2).collect()] == [(1, "turbine moored")]
+    records = spark.createDataFrame([(1, "Pier", "the moored turbine and a crane lifts"), (2, " ", "of"), (3, "Crane", "cargo ropes chain beside water"), (4, "Tide", None), (5, "Crane", "x")], "record_id long, title string, text string")
+    asked = calibrate.title_questions(records, "title", 6, 3).collect()
+    assert len(asked) == 6 and {r.source_title for r in asked} == {"Pier", "Crane", "Tide"} and {r.text for r in asked} == {r.text for r in calibrate.title_questions(records, "title", 6, 3).collect()}
+    assert all(r.text in {t.replace("{}", r.source_title.lower()) for t in calibrate.TEMPLATES} for r in asked)
+    made = calibrate.content_questions(records, "record_id", "text", 5, 4).collect()
+    assert {r.source_id for r in made} == {1, 3} and all(3 <= sum(w in r.text for w in "moored turbine crane lifts cargo ropes chain beside water".split()) <= 5 for r in made)
+    held = {r.title for r in calibrate.held_out_titles(records, "title", 5).collect()}
+    assert len(held) == 1 and held < {"Pier", "Crane", "Tide"} and calibrate.held_out_titles(records.where("record_id < 3"), "title", 5).count() == 0
     assert records.select(calibrate.shuffled_letters(F.lit("ab cd"))).first()[0] == "ba dc"
+    assert calibrate.sampled(5, 9, 1) == calibrate.sampled(5, 9, 1) and sorted(calibrate.sampled(5, 9, 1)) == list(range(5))
+
+
+def test_thresholds():
+    hard, weak = calibrate.thresholds(np.array([0.9, 0.95, 0.99]), np.array([0.01, 0.2]))
+    assert (hard, weak) == (0.2, 0.81)
+    assert calibrate.thresholds(np.array([0.4, 0.6]), np.array([0.7, 0.9])) == (0.5, 0.6) and calibrate.thresholds(np.array([0.1]), np.array([0.45])) == (0.45, 0.53)
 
 
 def test_fit_separates(spark):

@@ -8,7 +8,7 @@ from skerry.errors import SkerryError
 from skerry.operators import encode, extract
 from skerry.pack import Pack, VectorIndex
 from skerry.sources import files
-from skerry.streaming.layers import append_notes
+from skerry.streaming import layers
 
 MD = """---
 title: "Piers"
@@ -51,6 +51,21 @@ def test_section_chunks():
 def test_strip_markdown():
     assert extract.strip_markdown("# T\n\n- a **b** `c_d*` [e](f) x_y_z\n\n> q\n\n| a | b |\n|---|---|\n| 1 | 2 |") == "T\n\na b c_d* e x_y_z\n\nq\n\na b\n1 2"
     assert extract.strip_markdown("a\n```\n  x = 1\n```\nb") == "a\n\n  x = 1\n\nb"
+    cases = {
+        "**bold _it_ x** y *z* a*b*c __init__ \\*no\\* ![alt](u) [r][1] ~~gone~~ ***all***": "bold it x y z a*b*c init *no* alt r gone all", "[a [b](c)": "a [b", "a ** b ** c": "a ** b ** c",
+        "`` ` `` x `un": "` x `un", "* * *": "", "[](u)": "[](u)", "![a": "![a", "[x](y": "[x](y", "- [X] done\n+ plus": "done\nplus", "~~~\n# x": "# x", "**" + "w " * 2000 + "w**": "w " * 2000 + "w",
+    }
+    assert {k: extract.strip_markdown(k) for k in cases} == cases
+
+
+@pytest.mark.parametrize("sign", ["[", "[a](", "*a", "`" , "``` x\n", "**a ", "_", "<h1>", "&#", "> ", "|", "\\", "![", "# a\n", "[a]"])
+def test_scanners_are_linear(sign):
+    import time
+
+    began = time.perf_counter()
+    extract.strip_markdown(sign * 60_000)
+    extract.from_html(sign * 20_000)
+    assert time.perf_counter() - began < 8
 
 
 def test_html():
@@ -75,20 +90,45 @@ def test_commits(spark, tmp_path):
     log = "\x1e".join(["", "abc123def4567\x1f2025-01-02T03:04:05Z\x1fKai\x1fFix pier\x1fBody\x1fa.txt\nb.txt\n", "fff\x1f2025-01-03\x1fLo\x1fEmpty\x1f\x1f" + "\n".join(f"f{i}" for i in range(50))])
     (tmp_path / "log").write_text(log)
     got = {r.sha: r for r in files.commits(spark, str(tmp_path / "log")).collect()}
-    assert got["abc123def4567"].text == "Fix pier\n\nBody\n\nCommit abc123def4 by Kai on 2025-01-02\n\nFiles: a.txt, b.txt"
-    assert got["fff"].n_files == 50 and got["fff"].text.endswith("f39 and 10 more")
+    assert got["abc123def4567"].text == "Fix pier\n\nBody\n\nCommit abc123def456 by Kai on 2025-01-02.\n\nFiles changed: a.txt, b.txt."
+    assert got["fff"].n_files == 50 and got["fff"].text.endswith("f39 and 10 more.")
 
 
 def test_transcripts(spark, tmp_path):
-    lines = [{"type": "user", "sessionId": "s", "timestamp": "1", "message": {"role": "user", "content": "hi"}}, {"type": "assistant", "sessionId": "s", "timestamp": "2", "message": {"content": [{"type": "text", "text": "a"}, {"type": "tool_use"}, {"type": "text", "text": "b"}]}}, {"type": "user", "sessionId": "s", "isMeta": True, "message": {"content": "meta"}}]
+    lines = [{"type": "user", "sessionId": "s", "cwd": "/home/k/pier", "timestamp": "1", "message": {"role": "user", "content": "hi"}}, {"type": "assistant", "sessionId": "s", "timestamp": "2", "message": {"content": [{"type": "text", "text": "a"}, {"type": "tool_use"}, {"type": "text", "text": "b"}]}}, {"type": "user", "sessionId": "s", "isMeta": True, "message": {"content": "meta"}}]
     (tmp_path / "t.jsonl").write_text("\n".join(map(json.dumps, lines)) + '\n{"type": "us')
     got = files.session_turns(spark, str(tmp_path / "t.jsonl")).orderBy("at").collect()
-    assert [(r.role, r.text) for r in got] == [("user", "hi"), ("assistant", "a\n\nb")]
+    assert [(r.role, r.text, r.project) for r in got] == [("user", "hi", "pier"), ("assistant", "a\n\nb", None)]
     chats = [{"uuid": "u", "name": "n", "chat_messages": [{"sender": "human", "text": "q"}, {"sender": "assistant", "text": "", "content": [{"type": "text", "text": "r"}]}]}]
     (tmp_path / "c.json").write_text(json.dumps(chats))
     assert [(r.role, r.text) for r in files.chat_export_turns(spark, str(tmp_path / "c.json")).orderBy("turn").collect()] == [("user", "q"), ("assistant", "r")]
 
 
+def test_message_trees(spark, tmp_path):
+    def node(parent, role=None, parts=(), **more):
+        message = role and {"author": {"role": role}, "content": {"content_type": "text", "parts": list(parts)}, "create_time": 1.5, **more}
+        return {"parent": parent, "message": message or None}
+
+    mapping = {
+        "r": node(None), "a": node("r", "user", ["old"]), "b": node("r", "user", ["hi", {"asset": 1}, "there"]), "c": node("b", "assistant", ["call"], recipient="python"),
+        "d": node("c", "tool", ["out"]), "e": node("d", "assistant", ["done"], recipient="all"), "f": node("e", "user", ["secret"], metadata={"is_visually_hidden_from_conversation": True}),
+        "x": node("y", "user", ["x"]), "y": node("x", "assistant", ["y"]),
+    }
+    chats = [{"id": "1", "title": "t", "mapping": mapping, "current_node": "f"}, {"conversation_id": "2", "mapping": mapping, "current_node": "x"}, {"id": "3", "mapping": mapping, "current_node": None}]
+    (tmp_path / "c.json").write_text(json.dumps(chats))
+    got = files.tree_export_turns(spark, str(tmp_path / "c.json")).orderBy("conv_id", "turn").collect()
+    assert [(r.conv_id, r.turn, r.role, r.text) for r in got] == [("1", 0, "user", "hi\n\nthere"), ("1", 1, "assistant", "done"), ("2", 0, "assistant", "y"), ("2", 1, "user", "x")]
+    assert got[0].at.microsecond == 500_000
+
+
+def test_too_large_files_are_reported(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(files, "MOST_BYTES", 10)
+    (tmp_path / "a.md").write_text("short")
+    (tmp_path / "b.md").write_text("longer than ten bytes")
+    assert [r.source_path for r in files.folder(spark, str(tmp_path)).collect()] == ["a.md"]
+    assert [tuple(r) for r in files.too_large(spark, str(tmp_path)).collect()] == [("b.md", 21)]
+
+
 def test_vectors_and_lines(spark, tmp_path):
     x = np.arange(12, dtype="<f4").reshape(3, 4)
     (tmp_path / "v.f32").write_bytes(x.tobytes())
@@ -143,14 +183,18 @@ def test_vector_index(spark, tmp_path):
     assert VectorIndex.load(spark, str(tmp_path / "i")).rows.count() == 3
 
 
-def test_notes_stream(spark, tmp_path):
-    source = tmp_path / "in"
+def test_notes_stream_and_folds(spark, tmp_path):
+    source, out = tmp_path / "in", str(tmp_path / "out")
     schema = "kind string, title string, text string, tags array<string>"
-    spark.createDataFrame([("finding", "t", "x", ["A"]), ("finding", " ", "x", ["A"]), ("other", "t", "x", [])], schema).write.parquet(str(source))
-    stream = spark.readStream.schema(schema).parquet(str(source))
-    append_notes(stream, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(60)
-    got = spark.read.parquet(str(tmp_path / "out")).collect()
-    assert [(r.kind, r.tags, r.depth) for r in got] == [("finding", ["a"], 0)]
+    for i in range(5):
+        spark.createDataFrame([("todo", f"t{i}", "x", ["A"]), ("todo", " ", "x", ["A"]), ("other", "t", "x", [])], schema).coalesce(1).write.mode("append").parquet(str(source))
+        stream = spark.readStream.schema(schema).parquet(str(source))
+        layers.append_notes(stream, out, str(tmp_path / "cp"), most=2).awaitTermination(60)
+    got = layers.read_layers(spark, out).orderBy("layer").collect()
+    assert [(r.title, r.text, r.tags, r.layer) for r in got] == [(f"t{i}", f"t{i}\nx", ["a"], i) for i in range(5)]
+    assert layers._generation(spark, out) == 2 and set(layers._layers(spark, out)) == {-1, 4}
+    assert layers.fold_layers(spark, out) and set(layers._layers(spark, out)) == {-1} and not layers.fold_layers(spark, out)
+    assert layers.read_layers(spark, out).count() == 5 and layers.read_layers(spark, str(tmp_path / "none")) is None
 
 
 def test_encoders(spark):

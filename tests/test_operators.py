@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from skerry.errors import SkerryError
 from skerry.functions import text as T
 from skerry.functions import vector as V
-from skerry.operators import blocks, blooms, chain, chunking, crawl, fusion, grounding, journal, knn, layout, lexical
+from skerry.operators import blocks, blooms, chain, chunking, crawl, fusion, grounding, journal, knn, layout, lexical, ordered
 
 
 def one(spark, column, **values):
@@ -338,27 +338,44 @@ def test_blooms_know_their_words(spark):
     bits = blooms.bloom_bits(2)
     got = {r.word: r.maybe for r in blooms.probe(words.union(spark.createDataFrame([("zebra",)], ["word"])), blooms.build_bloom(words, bits), bits).collect()}
     assert got["pier"] and got["crane"] and not got["zebra"]
+    with pytest.raises(SkerryError):
+        blooms.build_bloom(words, 1 << 22)
 
 
 def test_robots_and_scope(spark):
-    rules = crawl.robots_rules("User-agent: other\nDisallow: /\n\nUser-agent: *\nDisallow: /a\nAllow: /a/b\nDisallow: /*.pdf$\n", "skerry")
-    urls = ["https://x.example/a/c", "https://x.example/a/b/c", "https://x.example/z.pdf", "https://x.example/z.pdf?x"]
+    robots = crawl.robots_rules("User-agent: other\nDisallow: /\n\nUser-agent: *\nDisallow: /a\nAllow: /a/b\nDisallow: /*.pdf$\nDisallow: /*?print\nCrawl-delay: 3\n", "skerry")
+    urls = ["https://x.example/a/c", "https://x.example/a/b/c", "https://x.example/z.pdf", "https://x.example/z.pdf?x", "https://x.example/z?print=1", "https://x.example/z#?print"]
     df = spark.createDataFrame([(u,) for u in urls], ["u"])
-    assert [r[0] for r in df.select(crawl.allowed(F.col("u"), rules)).collect()] == [False, True, False, False]
-    assert [r[0] for r in df.select(crawl.in_scope(F.col("u"), "https://x.example/a")).collect()] == [True, True, False, False]
+    assert [r[0] for r in df.select(crawl.allowed(F.col("u"), robots)).collect()] == [False, True, False, True, False, True] and robots.crawl_delay == 3
+    named = crawl.robots_rules("User-agent: skerry/1\nCrawl-delay: x\nDisallow: /b # no\nnonsense\nUser-agent: skerrybot\nDisallow: /\nUser-agent: *\nDisallow: /c", "Skerry")
+    assert named.rules == [(False, "/b")] and named.crawl_delay is None
+    assert [r[0] for r in df.select(crawl.in_scope(F.col("u"), "https://x.example/a")).collect()] == [True, True, False, False, False, False]
 
 
 def test_links(spark):
-    html = '<a href="/b#c">x</a> <a class=q href=\'d.html\'>y</a> <a href=https://other.example/>z</a> <a href="mailto:a@b.c">m</a>'
-    got = {r.link for r in crawl.links(spark.createDataFrame([("https://x.example/a/p.html", html)], ["url", "html"]), "url", "html").collect()}
-    assert got == {"https://x.example/b", "https://x.example/a/d.html"}
+    html = '<a href="/b#c">x</a> <a class=q href=\'d.html\'>y</a> <a href=https://other.example/>z</a> <a href="mailto:a@b.c">m</a> <a href="../up.html?q=1">u</a> <a href="">s</a> <a href="http://[bad">w</a>'
+    got = {r.link for r in crawl.links(spark.createDataFrame([("https://x.example/a/p.html", html), (None, html)], ["url", "html"]), "url", "html").collect()}
+    assert got == {"https://x.example/b", "https://x.example/a/d.html", "https://x.example/up.html?q=1", "https://x.example/a/p.html"}
     page = "<META http-equiv='refresh' content='0; url=/next'>"
     assert one(spark, crawl.meta_refresh_target(F.col("h")), h=page) == "/next"
 
 
+def test_note_problems(spark):
+    good = ("todo", " Title ", "text", ["A", "a", "b "])
+    wrong = {"kind": ("finding", *good[1:]), "title": ("todo", "x" * 201, *good[2:]), "text": ("todo", "t", "é" * 8193, None), "tags": ("todo", "t", "x", ["y"] * 21)}
+    df = spark.createDataFrame([*wrong.values(), ("todo", "a\nb", "x", None), ("todo", "t", "x", ["y", None]), ("todo", "t", " \n", None), good, (None, None, None, None)], "kind string, title string, text string, tags array<string>")
+    found = [r[0] for r in df.select(journal.note_problem(F.col("kind"), F.col("title"), F.col("text"), F.col("tags"))).collect()]
+    assert found == [*wrong, "title", "tags", "text", None, "kind"]
+    row = journal.shaped_notes(df).collect()
+    assert [(r.title, r.text, r.tags, r.heading_path, r.source_path) for r in row] == [("Title", "Title\ntext", ["a", "b"], ["todo"], "journal/todo")]
+    cited = lambda *s: spark.createDataFrame([("todo", "t", "x", list(s))], "kind string, title string, text string, sources array<struct<identity:string,id:long>>")
+    for source, want in ((("a" * 64, 0), None), (("a" * 63, 0), "sources"), (("a" * 64, -1), "sources"), ((None, 1), "sources")):
+        assert cited(source).select(journal.note_problem(F.col("kind"), F.col("title"), F.col("text"), sources=F.col("sources"))).first()[0] == want
+
+
 def test_latest_notes(spark):
-    notes = spark.createDataFrame([(i, "finding", ["a"]) for i in range(30)], ["id", "kind", "tags"])
-    got = journal.latest(notes, "id", kind="finding", tag="A", limit=3, buried=spark.createDataFrame([(28,)], ["id"])).collect()
+    notes = spark.createDataFrame([(i, "todo", ["a"]) for i in range(30)], ["id", "kind", "tags"])
+    got = journal.latest(notes, "id", kind="todo", tag="A", limit=3, buried=spark.createDataFrame([(28,)], ["id"])).collect()
     assert [r.id for r in got] == [29, 27, 26]
     with pytest.raises(SkerryError):
         journal.latest(notes, "id", limit=51)
@@ -370,5 +387,73 @@ def test_dense_ids(spark):
     assert [r.new_id for r in got] == list(range(len(got))) and got[0].old_id == 3
 
 
+def test_running_sums_over_ranges_of_a_hot_group(spark):
+    rng = np.random.default_rng(1)
+    rows = [("hot" if i % 3 else None if i % 2 else f"g{i % 7}", i, int(rng.integers(5)), "ab"[int(rng.integers(2))]) for i in range(600)]
+    df = spark.createDataFrame(rows, "g string, at long, n long, role string").repartition(4)
+    ranged = ordered.in_ranges(df, ["g", "at"], 6)
+    assert ranged.where("g = 'hot'").select(ordered.PART).distinct().count() > 1
+    got = {r.at: (r.before, r.last) for r in ordered.last_before(ordered.sums_before(ranged, ["g"], ["at"], F.col("n"), "before"), ["g"], ["at"], "role", "last").collect()}
+    sums, last = {}, {}
+    for g, at, n, role in rows:
+        assert got[at] == (sums.get(g, 0), last.get(g))
+        sums[g], last[g] = sums.get(g, 0) + n, role
+
+
+def test_exchanges_of_a_hot_conversation(spark, monkeypatch):
+    plain = ordered.in_ranges
+    monkeypatch.setattr(ordered, "in_ranges", lambda df, columns: plain(df, columns, 5))
+    rng = np.random.default_rng(3)
+    rows = [("hot" if i % 4 else "cool", i, "user" if rng.random() < 0.4 else "assistant", f"t{i}") for i in range(400)]
+    turns = spark.createDataFrame(rows, "conv string, at long, role string, text string").repartition(5)
+    got = {(r.conv, r.at): r.exchange_no for r in chunking.exchanges(turns, "conv", ["at"], "role").collect()}
+    want, number, replied = {}, {}, {}
+    for conv in ("hot", "cool"):
+        last, no = None, -1
+        for c, at, role, _ in rows:
+            if c == conv:
+                no += role == "user" and last != "user"
+                last = role
+                if no >= 0:
+                    number[c, at] = no
+                    replied[c, no] = replied.get((c, no), False) or role == "assistant"
+    want = {k: n for k, n in number.items() if replied[k[0], n]}
+    assert got == want
+    folded = chunking.exchanges(turns.where("at < 40"), "conv", ["at"], "role")
+    texts = chunking.exchange_texts(folded, "conv", ["at"], "role", "text", F.lit("T"), F.lit("p"), F.lit("2025-01-02")).orderBy("conv", "exchange_no").collect()
+    assert texts[0].text.endswith(f'From the conversation "T" in p on 2025-01-02, exchange 1 of {sum(r.conv == "cool" for r in texts)}.')
+
+
+def test_sentence_packing(spark):
+    rows = [(1, "T", "One two.\nThree four! " + "Long " * 30 + "end. Tail"), (2, None, "  "), (3, None, None)]
+    got = [(r.doc_id, r.chunk_no, r.text) for r in chunking.sentence_packed(spark.createDataFrame(rows, "id int, title string, text string"), "id", "title", "text", 40, 10).collect()]
+    assert got == [(1, 0, "T: One two. Three four!"), (1, 1, "T: " + "Long " * 30 + "end."), (1, 2, "T: Tail")]
+
+
+def test_kmeans_equals_numpy(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(120, 6)) + np.repeat(np.eye(6)[:3] * 4, 40, axis=0)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "record_id long, vector array<double>")
+    first = x[[0, 50, 100]]
+    centres, near = knn.kmeans(rows, spark.createDataFrame([(i, v.tolist()) for i, v in enumerate([*first, -x[0] * 0])], "centre long, vector array<double>"), 6, 4)
+    for _ in range(4):
+        at = np.argmax(x @ first.T, axis=1)
+        first = np.stack([x[at == k].sum(0) for k in range(3)])
+        first /= np.linalg.norm(first, axis=1, keepdims=True)
+    got = {r.centre: r.vector for r in centres.collect()}
+    assert np.allclose([got[i] for i in range(3)], first) and len(got) == 4
+    assert {r.record_id: r.centre for r in near.collect()} == dict(enumerate(np.argmax(x @ first.T, axis=1).tolist()))
+
+
+def test_depth_curve(spark):
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(500, 16))
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "record_id long, vector array<double>")
+    curve = knn.depth_curve(rows.withColumnRenamed("record_id", "query_id"), knn.coded(rows, 4), 5, 16, 4).orderBy("depth").collect()
+    assert [r.depth for r in curve] == [10, 15, 20, 30, 40, 60, 80, 120, 160, 240, 320, 480, 500] and curve[-1].recall == 1.0
+    assert [r.depth for r in curve if r.chosen] == [next(r.depth for r in curve if r.recall >= 0.98)]
+
+
 def test_chain_order():
     assert layout.chain_order(np.array([[1.0, 0], [0, 1.0], [0.8, 0.6]])) == [0, 2, 1]
