@@ -1,15 +1,15 @@
 """Markup residue: which markup a text carries, and its clean text with headings, lists, code and formulas kept.
 
 A scanner takes code out first, so that samples inside it stay as they are, then formulas, then the marks of each
-syntax. The method named for this problem prunes the branches of pages that one host shares; it can neither name a
-record's markup nor keep its structure, so it is not used here.
+syntax. The method named for this problem (:mod:`skerry.llm.site_style`) prunes the branches of pages that one host shares; it can neither
+name a record's markup nor keep its structure (the README has its figures), so it is not used here.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,7 +30,73 @@ BLOCKS = "address article aside blockquote body br caption center dd details div
 
 MATH = "equation|align|gather|multline|eqnarray|displaymath|math"
 
-# Emphasis and inline code end within a thousand characters, so that a line of unclosed marks takes linear time.
+
+class Span:
+    """A found span, as a pattern's match has it: ``group()`` is all of it, any other group what its marks enclose."""
+
+    __slots__ = ("re", "string", "at", "inner")
+
+    def __init__(self, finder: Enclosed, text: str, at: tuple[int, int], inner: tuple[int, int]):
+        self.re, self.string, self.at, self.inner = finder, text, at, inner
+
+    def group(self, name: str | int = 0) -> str:
+        begin, end = self.inner if name else self.at
+        return self.string[begin:end]
+
+
+class Enclosed:
+    """What two marks enclose, however long: used like a pattern, but in time linear in the text where a pattern would look for the end of
+    every mark again.
+
+    ``opening`` and ``closing`` match the places of the marks; a span runs from an opening mark to the nearest closing one behind what is at least
+    one character, on one line if ``line``, and for ``equal`` marks to one of the same length.
+    """
+
+    def __init__(self, opening: str, closing: str, name: str = "body", line: bool = True, equal: bool = False):
+        self.opening, self.closing, self.line, self.equal, self.groupindex = re.compile(opening), re.compile(closing), line, equal, {name: 1}
+
+    def finditer(self, text: str) -> Iterator[Span]:
+        closings: dict[int, list[tuple[int, int]]] = {}
+        for m in self.closing.finditer(text):
+            closings.setdefault(m.end() - m.start() if self.equal else 0, []).append(m.span())
+        if not closings:
+            return
+        used = dict.fromkeys(closings, 0)
+        done, line_end = 0, -1
+        for m in self.opening.finditer(text):
+            begin, inner = m.span()
+            key = inner - begin if self.equal else 0
+            if begin < done or key not in closings:
+                continue
+            ends, k = closings[key], used[key]
+            while k < len(ends) and ends[k][0] <= inner:
+                k += 1
+            used[key] = k
+            if k == len(ends):
+                continue
+            if self.line and line_end < begin:
+                line_end = text.find("\n", begin)
+                line_end = len(text) if line_end < 0 else line_end
+            if self.line and ends[k][0] > line_end:
+                continue
+            done = ends[k][1]
+            yield Span(self, text, (begin, done), (inner, ends[k][0]))
+
+    def search(self, text: str) -> Span | None:
+        return next(self.finditer(text), None)
+
+    def sub(self, by: str | Callable[[Span], str], text: str) -> str:
+        out, at = [], 0
+        for span in self.finditer(text):
+            out += [text[at : span.at[0]], span.group(1) if isinstance(by, str) else by(span)]
+            at = span.at[1]
+        return "".join(out) + text[at:] if out else text
+
+
+BOLD = Enclosed(r"\*\*(?=[^\s*])", r"(?<=[^\s*])\*\*")
+UNDERLINED = Enclosed(r"(?<!\w)__(?=[^\s_])", r"(?<=[^\s_])__(?!\w)")
+QUOTED = Enclosed(r"'{2,3}(?=[^\s'])", r"(?<=[^\s'])'{2,3}(?!')")
+TICKED = Enclosed(r"(?<!`)`{1,2}(?!`)", r"(?<!`)`{1,2}(?!`)", name="code", equal=True)
 
 #: Code, by syntax; the group ``code`` is what the marks enclose.
 CODE = [
@@ -39,7 +105,7 @@ CODE = [
     ("html", re.compile(r"<pre\b[^<>]*>\s*(?:<code\b[^<>]*>)?(?P<code>.*?)(?:</code>\s*)?</pre>", re.S | re.I)),
     ("html", re.compile(r"<code\b[^<>]*>(?P<code>.*?)</code>", re.S | re.I)),
     ("wiki", re.compile(r"<(?P<tag>nowiki|syntaxhighlight|source)\b[^<>]*>(?P<code>.*?)</(?P=tag)>", re.S | re.I)),
-    ("markdown", re.compile(r"(?<!`)(?P<tick>`{1,2})(?!`)(?P<code>[^`\n](?:[^\n]{0,1000}?[^`\n])??)(?P=tick)(?!`)")),
+    ("markdown", TICKED),
     ("latex", re.compile(r"\\verb\*?(?P<bar>[|!+])(?P<code>[^\n]*?)(?P=bar)")),
 ]
 CODE_HINT = re.compile(r"`|~~~|<pre|<code|<nowiki|<syntaxhighlight|<source|\\begin\{(?:verb|lst|mint)|\\verb", re.I)
@@ -48,8 +114,8 @@ CODE_HINT = re.compile(r"`|~~~|<pre|<code|<nowiki|<syntaxhighlight|<source|\\beg
 FORMULA = [
     re.compile(r"\\begin\{(?P<env>(?:" + MATH + r")\*?)\}(?P<body>.*?)\\end\{(?P=env)\}", re.S),
     re.compile(r"\$\$(?P<body>[^$]+?)\$\$"),
-    re.compile(r"\\\[(?P<body>.{1,2000}?)\\\]", re.S),
-    re.compile(r"\\\((?P<body>.{1,2000}?)\\\)", re.S),
+    Enclosed(r"\\\[", r"\\\]", line=False),
+    Enclosed(r"\\\(", r"\\\)", line=False),
     re.compile(r"(?<![\w\\$])\$(?P<body>[^\s$](?:[^$\n]*[^\s$\\])?)\$(?![\w$])"),
 ]
 
@@ -62,7 +128,7 @@ WIKI = [
     re.compile(r"\{\{[^{}\n]+\}\}"),
     re.compile(r"^[ \t]*(?:\{\||\|\}|\|-+(?:[ \t]+[^|\n]*)?$)", re.M),
     re.compile(r"^[ \t]*(?P<level>={1,6})[ \t]*[^=\s][^\n]*?(?P=level)[ \t]*$", re.M),
-    re.compile(r"'''?(?=[^\s'])[^\n]{0,1000}?[^\s']'''?(?!')"),
+    QUOTED,
     re.compile(r"\[https?://[^\s\]]+(?:[ \t][^\]\n]*)?\](?!\()"),
     re.compile(r"^(?:(?=[:*#;]*[:;])[:*#;]+|\*{2,}|\*#[*#]*|#\*[*#]*)[ \t]+\S", re.M),
     re.compile(r"</?(?:ref|gallery)\b[^<>]*>|__(?:NO)?TOC__", re.I),
@@ -77,8 +143,8 @@ LATEX = [
 MARKDOWN = [
     re.compile(r"^[ \t]{0,3}#{1,6}[ \t]+\S", re.M),
     re.compile(r"^(?=[^\n]*[^\s=\n-])[^\n]+\n[ \t]{0,3}(?:={3,}|-{3,})[ \t]*$", re.M),
-    re.compile(r"\*\*(?=[^\s*])[^\n]{0,1000}?[^\s*]\*\*"),
-    re.compile(r"(?<!\w)__(?=[^\s_])[^\n]{0,1000}?[^\s_]__(?!\w)"),
+    BOLD,
+    UNDERLINED,
     re.compile(r"(?<![\w*\\])\*(?=[^\s*])[^*\n]*?(?<=[^\s*])\*(?![\w*])"),
     re.compile(r"(?<![\w_\\])_(?=[^\s_])[^_\n]*?(?<=[^\s_])_(?![\w_])"),
     re.compile(r"~~(?=[^\s~])[^~\n]*?[^\s~]~~"),
@@ -173,7 +239,7 @@ _CLEAN = [
     (re.compile(r"\[(https?://[^\s\]]+)\](?!\()"), r"\1"),
     (re.compile(r"^(?:(?=[:*#;]*[:;])[:*#;]{2,}|\*{2,}|\*#[*#]*|#\*[*#]*)[ \t]+(?=\S)", re.M), "- "),
     (re.compile(r"^[:;][ \t]+(?=\S)", re.M), ""),
-    (re.compile(r"'''?([^\s'][^\n]{0,1000}?)'''?"), r"\1"),
+    (QUOTED, r"\1"),
     (re.compile(r"<ref\b[^<>]*/>|<ref\b[^<>]*>.*?</ref>|</?gallery\b[^<>]*>|__(?:NO)?TOC__", re.S | re.I), ""),
     # LaTeX
     (re.compile(r"~?\\(?:label|cite[tp]?|index)\*?(?:\[[^\]\n]*\])*\{[^{}\n]*\}"), ""),
@@ -194,8 +260,8 @@ _CLEAN = [
     (re.compile(r"^[ \t]*(?:[-+*]|\d{1,3}[.)])[ \t]+\[[ xX]\][ \t]+", re.M), "- "),
     (re.compile(r"^[ \t]*[+*][ \t]+(?=\S)", re.M), "- "),
     (re.compile(r"^[ \t]{0,3}>[ \t]?", re.M), ""),
-    (re.compile(r"\*\*([^\s*](?:[^\n]{0,1000}?[^\s*])??)\*\*"), r"\1"),
-    (re.compile(r"(?<!\w)__([^\s_](?:[^\n]{0,1000}?[^\s_])??)__(?!\w)"), r"\1"),
+    (BOLD, r"\1"),
+    (UNDERLINED, r"\1"),
     (re.compile(r"~~([^\s~](?:[^~\n]*?[^\s~])??)~~"), r"\1"),
     (re.compile(r"(?<![\w*\\])\*([^\s*](?:[^*\n]*?[^\s*])??)\*(?![\w*])"), r"\1"),
     (re.compile(r"(?<![\w_\\])_([^\s_](?:[^_\n]*?[^\s_])??)_(?![\w_])"), r"\1"),
