@@ -1,9 +1,8 @@
-"""The main body of page texts: a layout tree of each page's lines, built with implied regions, and visibility rules.
+"""The main body of page texts: a tree of each page, built with implied tags, visibility rules, and the rendering of what is visible.
 
-The lines of a page are the leaves of a tree of regions that no tag marks: its title line opens the main region, a list of
-links to other pages opens an aside, which a paragraph closes again, and what follows the last block of the body is
-the footer. Visible are the leaves of the main region that are not frame by themselves: by their form (cookie notices, sharing,
-paging and the like) or because their site repeats them where only frame stands. The latter is counted over all pages.
+No tags mark a page's regions and blocks; its lines imply them. Hidden are the header, asides, and lines that are frame by
+themselves: by their form (cookie notices, sharing, paging and the like) or because their site repeats them where only frame stands. The
+latter is counted over all pages.
 """
 
 from __future__ import annotations
@@ -20,6 +19,9 @@ from pyspark.sql import functions as F
 #: A line is its site's frame if so many of its pages and this share of them repeat it, this share of the times outside the body.
 REPEATS, REPEAT_SHARE, OUTSIDE = 4, 0.01, 0.9
 
+#: Lines, and sites, that a Python worker remembers before it starts afresh.
+REMEMBERED, SITES = 200_000, 256
+
 #: Forms of frame lines in the languages of the pages, digits and the site's name masked as 0 and @S.
 FRAME_FORMS = [
     # cookies and consent
@@ -115,9 +117,21 @@ def is_paragraph(line: str) -> bool:
     return bool(_ENDED.search(line)) and len(line.split()) >= 5
 
 
-def is_frame(line: str, mask: str, title: str | None, learned: set[int] | frozenset) -> bool:
+def is_form(mask: str, known: dict[str, bool] | None) -> bool:
+    """Whether a masked line has a form of frame lines; what was asked before is remembered."""
+    if known is None:
+        return bool(_FRAME.fullmatch(mask))
+    found = known.get(mask)
+    if found is None:
+        if len(known) > REMEMBERED:
+            known.clear()
+        found = known[mask] = bool(_FRAME.fullmatch(mask))
+    return found
+
+
+def is_frame(line: str, mask: str, title: str | None, learned: set[int] | frozenset, known: dict[str, bool] | None = None) -> bool:
     """Whether a line is frame by its form or by its site's habit, wherever it stands."""
-    if _FRAME.fullmatch(mask) or key_of(mask) in learned:
+    if is_form(mask, known) or key_of(mask) in learned:
         return True
     if title and title in line and line != title:
         rest = line.replace(title, " ").strip()
@@ -130,46 +144,128 @@ def is_frame(line: str, mask: str, title: str | None, learned: set[int] | frozen
     return len(items) >= 3 and all(len(x.split()) <= 3 for x in items) and sum(key_of(masked(x, "")) in learned for x in items) * 2 > len(items)
 
 
-class Tree:
-    """Regions of a page. Tags that the text lost are implied by its lines."""
+#: Which blocks a line of each form stands in; the text lost the tags, so the lines imply them.
+_ITEM = re.compile(r"\s*(?:[-*+•–]|\d{1,3}[.)])\s+\S")
+_CELLS = re.compile(r"\s*\|\s*|\t+|\s{3,}")
+_COMMAND = re.compile(r"(?:\s{4,}|[$>#%]\s|>>>\s)\S")
+#: Tags whose content is not shown.
+HIDDEN = frozenset(("header", "aside", "frame"))
 
-    VISIBLE = {"header": False, "main": True, "aside": False}
 
-    def __init__(self) -> None:
-        self.region = "header"
-        self.leaves: list[tuple[int, str, bool]] = []  # line number, region, frame by itself
+class Node:
+    """An element: a tag, what it holds, and for a leaf its line and number."""
 
-    def add(self, number: int, line: str, is_title: bool, opens_aside: bool, frame: bool) -> None:
-        if is_title:
-            self.region = "main"
-        elif self.region != "header" and opens_aside:
-            self.region = "aside"
-        elif self.region == "aside" and not frame and is_paragraph(line):
-            self.region = "main"
-        self.leaves.append((number, self.region, frame))
+    __slots__ = ("tag", "parent", "inside", "line", "number")
 
-    def visible(self) -> list[int]:
-        return [n for n, region, frame in self.leaves if self.VISIBLE[region] and not frame]
+    def __init__(self, tag: str, parent: Node | None = None, line: str = "", number: int = 0):
+        self.tag, self.parent, self.inside, self.line, self.number = tag, parent, [], line, number
+        if parent is not None:
+            parent.inside.append(self)
 
 
-def body_lines(text: str | None, title: str | None, url: str | None, site: str | None, learned: set[int] | frozenset = frozenset()) -> list[int]:
-    """Numbers, from 1, of the lines of the page's own body."""
-    if not text:
-        return []
+class TreeBuilder:
+    """Builds a page's tree from its lines: implied tags are opened where a line needs them and closed where it cannot stand in them.
+
+    The page begins in its header. The title line closes that and opens the main region; a list of links to other pages opens an aside in it, which a
+    paragraph closes. Inside a region an item needs a list, a row of cells a table, a command a block of code, any other line a
+    paragraph; blank lines close all of these. A line that is frame by itself is an element of its own wherever it stands.
+    """
+
+    IMPLIED = {"li": "ul", "tr": "table", "line": "pre"}
+
+    def __init__(self) -> None:
+        self.root = Node("page")
+        self.region = Node("header", self.root)
+        self.block: Node | None = None
+
+    def blank(self) -> None:
+        self.block = None
+
+    def title(self, line: str, number: int) -> None:
+        self.region, self.block = Node("main", self.root), None
+        Node("h1", self.region, line, number)
+
+    def add(self, line: str, number: int, opens_aside: bool, frame: bool) -> None:
+        if self.region.tag != "header" and opens_aside:
+            main = self.region if self.region.tag == "main" else self.region.parent
+            self.region, self.block = Node("aside", main), None
+        elif self.region.tag == "aside" and not frame and is_paragraph(line):
+            self.region, self.block = self.region.parent, None
+        if frame:
+            self.block = None
+            Node("frame", self.region, line, number)
+            return
+        tag = "li" if _ITEM.match(line) else "line" if _COMMAND.match(line) else "tr" if len(_CELLS.split(line.strip())) > 2 else "p"
+        holder = self.IMPLIED.get(tag)
+        if holder is None:
+            self.block = None
+        elif self.block is None or self.block.tag != holder:
+            self.block = Node(holder, self.region)
+        Node(tag, self.block or self.region, line, number)
+
+
+def visible_leaves(node: Node) -> Iterator[Node]:
+    """The leaves that are shown, in their order: hidden elements hide all that they hold."""
+    if node.tag not in HIDDEN:
+        if node.number:
+            yield node
+        for child in node.inside:
+            yield from visible_leaves(child)
+
+
+def rendered(node: Node) -> str:
+    """All visible text: blocks apart by an empty line, items with a dash each, the cells of a table in columns."""
+    out: list[str] = []
+
+    def block(n: Node) -> None:
+        leaves = [x for x in n.inside if x.tag not in HIDDEN]
+        if n.tag == "ul":
+            out.append("\n".join("- " + re.sub(r"^\s*(?:[-*+•–]|\d{1,3}[.)])\s+", "", x.line).strip() for x in leaves))
+        elif n.tag == "table":
+            rows = [[c.strip() for c in _CELLS.split(x.line.strip().strip("|"))] for x in leaves]
+            widths = [max(len(r[i]) for r in rows if i < len(r)) for i in range(max(map(len, rows)))]
+            out.append("\n".join("  ".join(c.ljust(w) for c, w in zip(r, widths, strict=False)).rstrip() for r in rows))
+        elif n.tag == "pre":
+            out.append("\n".join(x.line.rstrip() for x in leaves))
+        elif n.number:
+            out.append(n.line.strip())
+        elif n.tag not in HIDDEN:
+            for child in leaves:
+                block(child)
+
+    block(node)
+    return "\n\n".join(out)
+
+
+def page_tree(text: str, title: str | None, url: str | None, site: str | None, learned: set[int] | frozenset = frozenset(), known: dict[str, bool] | None = None) -> Node | None:
+    """The tree of a page, or None for one that has no line of its title: such a page is nothing but frame.
+
+    ``known`` remembers which lines are frame, for pages of one site and title.
+    """
     lines = text.split("\n")
     at = title_line(lines, title, url)
     if at is None:
-        return []  # nothing but frame
+        return None
     name, shown = site_name(site), lines[at].strip()
-    tree = Tree()
+    builder = TreeBuilder()
     for i, line in enumerate(lines):
-        if line.strip():
+        if not line.strip():
+            builder.blank()
+        elif i == at:
+            builder.title(line, i + 1)
+        else:
             mask = masked(line, name)
-            tree.add(i + 1, line.strip(), i == at, bool(_ASIDE.fullmatch(mask)), i != at and is_frame(line.strip(), mask, shown, learned))
-    return tree.visible()
+            builder.add(line, i + 1, bool(_ASIDE.fullmatch(mask)), is_frame(line.strip(), mask, shown, learned, known))
+    return builder.root
+
+
+def body_lines(text: str | None, title: str | None, url: str | None, site: str | None, learned: set[int] | frozenset = frozenset(), known: dict[str, bool] | None = None) -> list[int]:
+    """Numbers, from 1, of the lines of the page's own body."""
+    tree = page_tree(text, title, url, site, learned, known) if text else None
+    return [leaf.number for leaf in visible_leaves(tree)] if tree else []
 
 
-def line_places(text: str | None, title: str | None, url: str | None, site: str | None) -> dict[int, bool]:
+def line_places(text: str | None, title: str | None, url: str | None, site: str | None, known: dict[str, bool] | None = None) -> dict[int, bool]:
     """Masked line (and item of a menu) -> whether it stands outside the body only: before the title or past the last paragraph."""
     if not text:
         return {}
@@ -177,7 +273,7 @@ def line_places(text: str | None, title: str | None, url: str | None, site: str
     at, name = title_line(lines, title, url), site_name(site)
     stripped = [x.strip() for x in lines]
     masks = [masked(x, name) for x in lines]
-    last = max((i for i, x in enumerate(stripped) if is_paragraph(x) and not _FRAME.fullmatch(masks[i])), default=-1)
+    last = max((i for i, x in enumerate(stripped) if is_paragraph(x) and not is_form(masks[i], known)), default=-1)
     found: dict[int, bool] = {}
     for i, x in enumerate(stripped):
         if not x or i == at:
@@ -199,10 +295,11 @@ def site_frames(pages: DataFrame, least: int = REPEATS, share: float = REPEAT_SH
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, bool] = {}
         for batch in batches:
             sites, keys, out = [], [], []
             for site, text, title, url in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                for key, is_outside in line_places(text, title, url, site).items():
+                for key, is_outside in line_places(text, title, url, site, known).items():
                     sites.append(site)
                     keys.append(key)
                     out.append(int(is_outside))
@@ -216,8 +313,30 @@ def site_frames(pages: DataFrame, least: int = REPEATS, share: float = REPEAT_SH
     return often.groupBy("site").agg(F.collect_set("key").alias("frames"))
 
 
+def _paged(pages: DataFrame, id_col: str) -> DataFrame:
+    """``id, text, title, url, site, frames``: each page with the frame lines of its site."""
+    narrow = pages.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), "text", "title", "url", "site")
+    # A row a site, of which the run time knows the size before it chooses a join.
+    return narrow.join(site_frames(pages), "site", "left").select("id", "text", "title", "url", "site", "frames")
+
+
+class _Frames:
+    """The frame lines of each site as a set, which is made once for pages of a site that follow one another."""
+
+    def __init__(self) -> None:
+        self.of: dict[str | None, frozenset] = {}
+
+    def __call__(self, site: str | None, keys: pa.Scalar) -> frozenset:
+        found = self.of.get(site)
+        if found is None:
+            if len(self.of) >= SITES:
+                self.of.clear()
+            found = self.of[site] = frozenset(keys.as_py() or ())
+        return found
+
+
 def main_body(pages: DataFrame, id_col: str = "page_id") -> DataFrame:
-    """``<id_col>, line_no``: the lines of each page's own body.
+    """``<id_col>, line_no``: the lines of each page's own body, the visible leaves of its tree.
 
     Lines are split at newlines and counted from 1, blank ones too. A page of null or empty text, or without a line of its
     title (one of nothing but frame), gives no rows; rows without id are left out; a null site has no learned frame,
@@ -226,16 +345,30 @@ def main_body(pages: DataFrame, id_col: str = "page_id") -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, frames = {}, _Frames()
         for batch in batches:
-            ids = batch.column(0)
             rows, numbers = [], []
-            for i, (text, title, url, site, frames) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(1, 6)), strict=True)):
-                found = body_lines(text, title, url, site, frozenset(frames or ()))
+            for i, (text, title, url, site) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(1, 5)), strict=True)):
+                found = body_lines(text, title, url, site, frames(site, batch.column(5)[i]), known)
                 rows.extend([i] * len(found))
                 numbers.extend(found)
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(rows, pa.int64())), pa.array(numbers, pa.int32())], names=["id", "line_no"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(numbers, pa.int32())], names=["id", "line_no"])
 
     kind = pages.schema[id_col].dataType.simpleString()
-    narrow = pages.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), "text", "title", "url", "site")
-    joined = narrow.join(site_frames(pages), "site", "left").select("id", "text", "title", "url", "site", "frames")
-    return joined.mapInArrow(run, f"id {kind}, line_no int").distinct().withColumnRenamed("id", id_col)
+    return _paged(pages, id_col).mapInArrow(run, f"id {kind}, line_no int").distinct().withColumnRenamed("id", id_col)
+
+
+def body_texts(pages: DataFrame, id_col: str = "page_id") -> DataFrame:
+    """``<id_col>, body``: the visible text of each page with an id, rendered from its tree; empty for a page of nothing but frame, null for a null text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, frames = {}, _Frames()
+        for batch in batches:
+            bodies = []
+            for i, (text, title, url, site) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(1, 5)), strict=True)):
+                tree = page_tree(text, title, url, site, frames(site, batch.column(5)[i]), known) if text else None
+                bodies.append(rendered(tree) if tree else None if text is None else "")
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bodies, pa.string())], names=["id", "body"])
+
+    kind = pages.schema[id_col].dataType.simpleString()
+    return _paged(pages, id_col).mapInArrow(run, f"id {kind}, body string").withColumnRenamed("id", id_col)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skerry.llm import abusive_content, container_packing, conversations, corpus_encoding, distinctive_terms, markup, near_duplicates, page_body, similar_vectors, split_overlap
+from skerry.llm import abusive_content, container_packing, conversations, corpus_encoding, distinctive_terms, markup, near_duplicates, page_body, similar_vectors, site_style, split_overlap
 from skerry.session import table
 
 
@@ -34,6 +34,10 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return page_body.main_body(table(spark, d, "page_texts"))
 
 
+def p4_bodies(spark: SparkSession, d: str) -> DataFrame:
+    return page_body.body_texts(table(spark, d, "page_texts"))
+
+
 def _document_classes(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return near_duplicates.near_duplicate_classes(table(spark, d, "documents"), width=3, threshold=0.6, min_words=20)
 
@@ -55,6 +59,11 @@ def p6_clean(spark: SparkSession, d: str) -> DataFrame:
     return markup.clean_markup(table(spark, d, "record_chunks"))
 
 
+def p6_style_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """What the named method makes of the records; see the README for why it does not answer p6_found."""
+    return site_style.pruned_blocks(table(spark, d, "record_chunks"))
+
+
 def _split_overlaps(spark: SparkSession, d: str) -> DataFrame:
     return split_overlap.split_overlaps(table(spark, d, "abstention_examples"))
 
@@ -104,7 +113,7 @@ def p10_rates(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_scores, p2_found, p3_found, p4_found, p5_found, p5_groups, p6_found, p6_clean, p7_found, p7_report, p8_ids, p9_containers, p9_instructions, p9_fill, p10_found, p10_scores, p10_rates)
+    f.__name__: f for f in (p1_found, p1_scores, p2_found, p3_found, p4_found, p4_bodies, p5_found, p5_groups, p6_found, p6_clean, p6_style_blocks, p7_found, p7_report, p8_ids, p9_containers, p9_instructions, p9_fill, p10_found, p10_scores, p10_rates)
 }
 
 _RECORD_TERMS = """

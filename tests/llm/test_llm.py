@@ -24,6 +24,7 @@ from skerry.llm import near_duplicates as N
 from skerry.llm import page_body as P
 from skerry.llm import queries as Q
 from skerry.llm import similar_vectors as S
+from skerry.llm import site_style as ST
 from skerry.llm import split_overlap as O
 
 T0 = datetime.datetime(2025, 1, 1)
@@ -208,6 +209,26 @@ def test_accents_of_an_untitled_page(spark):
     assert {tuple(r) for r in P.main_body(spark.createDataFrame(rows, PAGES)).collect()} == {(i, n) for i in (1, 2) for n in (2, 4)}
 
 
+def test_page_tree_and_rendering():
+    text = "Home\n\nShip list\n\nShips of the harbour are listed here, by name.\nName   Length   Year\nAda      40       1990\nBertha   112      2001\n\n- first\n2. second\n$ ls -la\n    indented code\nRelated articles\nOther page\nThis paragraph ends the aside, as it should.\nlast words"
+    tree = P.page_tree(text, "Ship list", None, "site.example")
+    assert [(n.tag, [(x.tag, [y.tag for y in x.inside]) for x in n.inside]) for n in tree.inside] == [
+        ("header", [("p", [])]),
+        ("main", [("h1", []), ("p", []), ("table", ["tr"] * 3), ("ul", ["li", "li"]), ("pre", ["line", "line"]), ("aside", ["p", "p"]), ("p", []), ("p", [])]),
+    ]
+    assert P.rendered(tree) == (
+        "Ship list\n\nShips of the harbour are listed here, by name.\n\nName    Length  Year\nAda     40      1990\nBertha  112     2001\n\n- first\n- second\n\n$ ls -la\n    indented code\n\nThis paragraph ends the aside, as it should.\n\nlast words"
+    )
+    assert [x.number for x in P.visible_leaves(tree)] == P.body_lines(text, "Ship list", None, "site.example") == [3, 5, 6, 7, 8, 10, 11, 12, 13, 16, 17]
+
+
+def test_bodies_of_odd_pages(spark):
+    rows = [(1, "s", None, "How piers work", PAGE, None, None, None), (2, "s", None, "None", PAGE, None, None, None), (3, None, None, None, None, None, None, None), (4, None, None, None, "", None, None, None), (None, "s", None, "x", "x", None, None, None)]
+    got = {r.page_id: r.body for r in P.body_texts(spark.createDataFrame(rows, PAGES)).collect()}
+    assert got[1].startswith("How piers work\n\nA pier stands") and got[2] == "" and got[3] is None and got[4] == "" and set(got) == {1, 2, 3, 4}
+    assert P.body_texts(spark.createDataFrame([], PAGES)).count() == 0
+
+
 # 5. near-duplicates
 
 DOCS = "doc_id long, text string, id int, cls string, key string, source string, n_tokens int"
@@ -316,6 +337,48 @@ def test_markup_tables(spark):
     assert M.find_markup(spark.createDataFrame([], schema)).count() == 0
 
 
+@pytest.mark.parametrize(
+    ("finder", "pattern"),
+    [
+        (M.BOLD, r"\*\*(?=[^\s*])[^\n]*?[^\s*]\*\*"), (M.UNDERLINED, r"(?<!\w)__(?=[^\s_])[^\n]*?[^\s_]__(?!\w)"), (M.QUOTED, r"'{2,3}(?=[^\s'])[^\n]*?[^\s']'{2,3}(?!')"),
+        (M.TICKED, r"(?<!`)(`{1,2})(?!`)[^`\n](?:[^\n]*?[^`\n])??\1(?!`)"), (M.FORMULA[2], r"(?s)\\\[.+?\\\]"),
+    ],
+)
+def test_spans_equal_patterns_of_any_length(finder, pattern):
+    import re
+
+    rng = np.random.default_rng(1)
+    pieces = ["a", "b ", " ", "\n", "**", "*", "__", "_", "''", "'", "`", "``", "\\[", "\\]", "\\("]
+    for _ in range(4000):
+        text = "".join(rng.choice(pieces, int(rng.integers(1, 14))))
+        assert bool(finder.search(text)) == bool(re.search(pattern, text)), text
+
+
+def test_marks_far_apart_count_and_take_linear_time():
+    import time
+
+    far = "w " * 5000 + "w"
+    assert [M.kinds_of(t) for t in (f"**{far}**", f"`{far}`", f"\\[{far}\\]", f"\\({far}\\)", f"''{far}''")] == [["markdown"], ["markdown"], ["latex"], ["latex"], ["wiki"]]
+    assert M.clean(f"**{far}** and `{far}`") == f"{far} and {far}"
+    began = time.perf_counter()
+    for sign in ("**a ", "`a", "__a ", "''a ", "\\[a", "\\(a ", "`` ` "):
+        M.kinds_of(sign * 40_000)
+        M.clean(sign * 40_000)
+    assert time.perf_counter() - began < 20
+
+
+def test_style_trees_by_hand(spark):
+    one, two = "# H\n\nshared words", "# H\n\nother words"
+    rows = [(1, one, "https://a.example/x"), (2, two, "https://a.example/y"), (3, "# H\n\nshared words\n\n- item", "https://A.example"), (4, one, None), (5, None, "https://a.example"), (1, one, "https://a.example/x"), (None, one, "https://a.example")]
+    got = {(r.chunk_id, r.block_no): (r.kind, r.importance, r.kept) for r in ST.pruned_blocks(spark.createDataFrame(rows, "chunk_id long, text string, url string")).collect()}
+    root = (math.log(3) - 2 * math.log(2) / 3) / math.log(3)
+    # "h" stands in both records of the style: no importance. Of the words of the next block "words" does, "shared" and "other" stand in one each.
+    want = {(1, 0): round(0.1 * root, 6), (1, 1): round(0.1 * root + 0.9 * 2 / 3, 6), (3, 2): round(0.1 * root + 0.9, 6)}
+    assert {k: got[k][1] for k in want} == want and got[1, 0] == got[2, 0] and set(got) == {(1, 0), (1, 1), (2, 0), (2, 1), (3, 0), (3, 1), (3, 2)}
+    assert [got[1, 0][::2], got[3, 2][::2]] == [("heading", False), ("list", True)]
+    assert ST.pruned_blocks(spark.createDataFrame([], "chunk_id long, text string, url string")).count() == 0
+
+
 # 7. overlaps of splits
 
 EXAMPLES = "example_id long, text string, split string, family string, norm string, tid int, id int"
