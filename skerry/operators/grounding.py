@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skerry.functions.vector import let
 from skerry.functions.text import GROUNDING_STOPWORDS, STEM_SUFFIXES, grounding_words, stem, without_possessive
 from skerry.operators import ordered
 from skerry.session import cut, small
@@ -26,12 +27,12 @@ def word_forms(word: Column) -> Column:
 
 def stem_forms(word: Column) -> Column:
     """Every word of the same stem: the stem with each ending, as far as stemming it leads back."""
-    endings = [F.concat(stem(word), F.lit(e)) for e in ("", "e", *STEM_SUFFIXES)]
-    return F.filter(F.array(*endings), lambda w: stem(w) == stem(word))
+    return let(stem(word), lambda s: F.filter(F.array(*[F.concat(s, F.lit(e)) for e in ("", "e", *STEM_SUFFIXES)]), lambda w: stem(w) == s))
 
 
 def passage_words(text: Column) -> Column:
-    return F.array_distinct(F.transform(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9']+"), F.lit(0)), without_possessive))
+    """Distinct words of a passage, possessives taken off."""
+    return F.array_distinct(F.regexp_extract_all(F.regexp_replace(F.lower(text), "'s?(?![a-z0-9'])", ""), F.lit("[a-z0-9']+"), F.lit(0)))
 
 
 def coverage_words(text: Column) -> Column:

@@ -163,9 +163,17 @@ def two_stage_knn(
 def rerank(candidates: DataFrame, asked: DataFrame, index: DataFrame, k: int | None, metric: str = "cosine") -> DataFrame:
     """The candidates (query_id, record_id) at the exact distances of their coded rows; ``asked`` has query_id, vector."""
     exact = candidates.join(index.select("record_id", "q", "scale", "offset"), "record_id").join(asked.select("query_id", "vector"), "query_id")
-    far = V.asymmetric_cosine if metric == "cosine" else V.asymmetric_l2
-    distance = F.round(far(F.col("vector"), F.col("q"), F.col("scale"), F.col("offset")), DECIMALS)
-    return ranked(exact.select("query_id", "record_id", distance.alias("distance")), k)
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                part = pa.Table.from_batches([batch])
+                dim = len(part.column("q")[0])
+                y, q = (blocks.matrix(part.column(c), dim) for c in ("vector", "q"))
+                scale, offset = (part.column(c).to_numpy()[:, None] for c in ("scale", "offset"))
+                yield _hits(part.column("query_id").to_numpy(), part.column("record_id").to_numpy(), _far(y, offset + scale * q, metric))
+
+    return ranked(exact.select("query_id", "record_id", "vector", "q", "scale", "offset").mapInArrow(measure, _SCHEMA), k)
 
 
 def staged_knn(queries: DataFrame, index: DataFrame, micro: DataFrame, k: int, dim: int, pool: int, micro_pool: int, depth: int, boost: int = 4) -> DataFrame:

@@ -6,7 +6,7 @@ by 20, each asked with its first line, against all.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skerry.functions import text as T
@@ -20,18 +20,14 @@ from skerry.session import bounded_collect, cut, spread, table
 MOST_PACKS = 1_000
 
 
-def _worded(text: Column) -> Column:
-    return T.trimmed(text) != ""
-
-
 def records_of(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "documents").where(F.col("doc_id").isNotNull() & _worded(F.col("text")))
+    rows = table(spark, d, "documents").where(F.col("doc_id").isNotNull() & T.worded(F.col("text")))
     return spread(rows.select(F.col("doc_id").alias("record_id"), "text", "lang", "source"))
 
 
 def questions_of(records: DataFrame) -> DataFrame:
     """``query_id, text, vector``; encoded once."""
-    asked = records.where("record_id % 20 = 0").select(F.col("record_id").alias("query_id"), F.substring_index("text", "\n", 1).alias("text")).where(_worded(F.col("text")))
+    asked = records.where("record_id % 20 = 0").select(F.col("record_id").alias("query_id"), F.substring_index("text", "\n", 1).alias("text")).where(T.worded(F.col("text")))
     return cut(encode.hash_vectors(asked.withColumn("words", F.col("text")), "words", DIM))
 
 

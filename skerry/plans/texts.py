@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 from skerry.functions import text as T
 from skerry.operators import chunking, crawl
-from skerry.session import table
+from skerry.session import spread, table
 
 _DOCS = "doc_id IS NOT NULL AND text IS NOT NULL"
 
 
 def _docs(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").where("doc_id is not null and text is not null")
+    return spread(table(spark, d, "documents").where("doc_id is not null and text is not null"))
 
 
 def t8_normalize(spark: SparkSession, d: str) -> DataFrame:
