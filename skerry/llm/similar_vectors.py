@@ -1,12 +1,15 @@
 """The most similar vectors of every vector: a forest of random-projection trees, then exact ranking of leaf candidates.
 
 The trees are fitted on a bounded sample; every vector is indexed and every vector is a query. A query's leaves over all
-trees lie in one priority order (least margin on the path); it visits the best few. A visit is a row that carries the vector to
+trees lie in one priority order (least margin on the path); it visits the best few. A leaf that is too large for that sample is
+split again by a tree fitted on a bounded sample of its own, in a task of its own. A visit is a row that carries the vector to
 the leaf, where all members are compared exactly in blocks, so the cost is vectors x visits x leaf size.
 """
 
 from __future__ import annotations
 
+import math
+import pickle
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -16,13 +19,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from skerry.session import cut
+
 #: Vectors in the fitting sample, about and never twice as many; a parameter of every operator here.
 SAMPLE = 20_000
 
-#: Members that a leaf should have, and beyond which a leaf is compared in several blocks.
+#: Members that a leaf should have; beyond BLOCK it is split again, and compared in several blocks if it cannot be.
 LEAF = 1_500
 BLOCK = 4 * LEAF
 
+#: Vectors of a leaf that one task leads into its own tree.
+CHUNK = 50_000
+
 TREES, VISITS, NEIGHBOURS = 2, 3, 5
 
 #: A branch further than this on the wrong side of a split (unit vectors) is not entered.
@@ -238,8 +246,8 @@ def similar_vectors(
     are ordered by lower id; a vector is never its own neighbour, and rows of one id are not neighbours. With fewer than
     k other vectors all come out. An empty table gives no rows. Other columns are not read.
 
-    A leaf that holds more than :data:`BLOCK` vectors by its share of the sample is compared in blocks of members, each
-    visited by all of the leaf's queries, so no task holds it whole; copies of one vector beyond a batch's first thousand are settled there.
+    A leaf that holds more than :data:`BLOCK` vectors by its share of the sample is split by a tree of its own; what is still larger is compared
+    in blocks of members by blocks of visitors, so no task holds it whole. Copies of one vector beyond a batch's first thousand are settled there.
     """
     narrow = df.select(F.col(id_col).cast("long").alias("id"), *[F.col(c).alias(f"v{i}") for i, c in enumerate(value_cols)])
     expected = df.count()
@@ -248,33 +256,40 @@ def similar_vectors(
     packed = [p for b in drawn.combine_chunks().to_batches() for p in PACK[kind](b, dim)[1]][: 2 * sample]
     forest = fit(decode(kind, packed, dim) if packed else np.zeros((0, dim), np.float32), expected, trees, leaf)
     shipped = df.sparkSession.sparkContext.broadcast([tuple(t) for t in forest])  # 2 * sample / 8 splits at most, whatever the table
-
-    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grown = [Tree(*t) for t in shipped.value]
-        blocks = [np.maximum(1, np.ceil(t.share * expected / BLOCK)).astype(np.int64) for t in grown]
-        for whole in batches:
-            for cut in range(0, whole.num_rows, 4096):
-                batch = pa.Table.from_batches([whole.slice(cut, 4096)]).combine_chunks().to_batches()[0]
-                at, rows = PACK[kind](batch, dim)
-                if not len(at):
-                    continue
-                ids = batch.column(0).to_numpy(zero_copy_only=False)[at].astype(np.int64)
-                keep, settled = _copies(rows, ids, k)
-                ids, rows = ids[keep], [rows[i] for i in keep]
-                row, node, member = visits_of(grown, decode(kind, rows, dim), visits)
-                tree, place = node >> 32, node & 0xFFFFFFFF
-                n_blocks = np.ones(len(node), np.int64)
-                for t, b in enumerate(blocks):
-                    n_blocks[tree == t] = b[place[tree == t]]
-                again = np.repeat(np.arange(len(row)), n_blocks)
-                block = np.arange(len(again)) - np.repeat(np.cumsum(n_blocks) - n_blocks, n_blocks)
-                mine = member[again] & (ids[row[again]] * 2654435761 % 2**31 % n_blocks[again] == block)
-                r = row[again]
-                values = pa.array(rows, pa.binary()).take(pa.array(r))
-                yield _visit_rows(node[again], block, mine, ids[r], values)
-                if settled:
-                    a, b = np.array(settled, np.int64).T
-                    yield _visit_rows(np.full(len(a), -1), np.arange(len(a)) % 64, np.zeros(len(a), bool), a, pa.array([int(x).to_bytes(8, "little") for x in b], pa.binary()))
+    # Of each leaf whether it has a tree of its own: not where its sample was too small to say, nor all one vector.
+    large = [t.share * expected > BLOCK for t in forest]
+
+    def index(deep: bool, visits: int, members_only: bool = False):
+        """Rows of the visits to leaves without (or, ``deep``, with) a tree of their own."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            grown = [Tree(*t) for t in shipped.value]
+            first = np.cumsum([0] + [len(t.share) for t in grown])
+            share, big = np.concatenate([t.share for t in grown]), np.concatenate(large)
+            for whole in batches:
+                for begin in range(0, whole.num_rows, 4096):
+                    batch = pa.Table.from_batches([whole.slice(begin, 4096)]).combine_chunks().to_batches()[0]
+                    at, rows = PACK[kind](batch, dim)
+                    if not len(at):
+                        continue
+                    ids = batch.column(0).to_numpy(zero_copy_only=False)[at].astype(np.int64)
+                    keep, settled = _copies(rows, ids, k)
+                    ids, rows = ids[keep], [rows[i] for i in keep]
+                    row, node, member = visits_of(grown, decode(kind, rows, dim), visits)
+                    place = first[node >> 32] + (node & 0xFFFFFFFF)
+                    mine = (big[place] == deep) & (member | (not members_only))
+                    row, node, member, sizes = row[mine], node[mine], member[mine], share[place[mine]] * expected
+                    if deep:
+                        chunks = np.maximum(1, np.ceil(2 * sizes / CHUNK)).astype(np.int64)
+                        yield _visit_rows(node, np.zeros(len(row), np.int64), _spread(ids[row], chunks, 3), np.zeros(len(row), np.int64), member, np.ones(len(row), bool), ids[row], pa.array(rows, pa.binary()).take(pa.array(row)))
+                        continue
+                    yield from _in_blocks(node, np.zeros(len(row), np.int64), sizes, row, member, ids, rows)
+                    if settled:
+                        a, b = np.array(settled, np.int64).T
+                        none = np.zeros(len(a), np.int64)
+                        yield _visit_rows(none - 1, none, np.arange(len(a)) % 64, none, none > 0, none == 0, a, pa.array([int(x).to_bytes(8, "little") for x in b], pa.binary()))
+
+        return run
 
     def compare(group: pa.Table) -> pa.Table:
         ids = group.column("id").to_numpy()
@@ -282,23 +297,94 @@ def similar_vectors(
         if group.column("node")[0].as_py() < 0:
             found = (ids, np.array([int.from_bytes(v, "little") for v in values], np.int64), np.full(len(ids), 10**DECIMALS))
         else:
-            member = group.column("member").to_numpy(zero_copy_only=False)
+            member, visitor = (group.column(c).to_numpy(zero_copy_only=False) for c in ("member", "visitor"))
             vectors = decode(kind, values, dim)
-            found = nearest(vectors, ids, vectors[member], ids[member], k) if member.any() else (ids[:0], ids[:0], ids[:0])
+            found = nearest(vectors[visitor], ids[visitor], vectors[member], ids[member], k) if member.any() and visitor.any() else (ids[:0], ids[:0], ids[:0])
         return pa.table({"id": found[0], "other": found[1], "similarity": found[2].astype(np.int32)})
 
-    rows = narrow.mapInArrow(index, "node long, block long, member boolean, id long, value binary")
-    near = rows.groupBy("node", "block").applyInArrow(compare, "id long, other long, similarity int")
+    rows = narrow.mapInArrow(index(False, visits), _VISIT)
+    if any(x.any() for x in large):
+        most = max(float((t.share * expected).max()) for t in forest)
+        rate = min(1.0, sample / most)
+
+        def own_tree(group: pa.Table) -> pa.Table:
+            """The tree of one leaf, over its part of a second sample: about ``sample`` vectors for the largest, fewer for others."""
+            node, some = group.column("node")[0].as_py(), group.slice(0, 2 * sample)
+            vectors = decode(kind, some.column("value").to_pylist(), dim)
+            tree = grow(vectors, max(8, int(leaf * rate)), np.random.default_rng(node % 2**32))
+            chunks = max(1, math.ceil(2 * shares[node >> 32][node & 0xFFFFFFFF] * expected / CHUNK))
+            return pa.table({"node": pa.array([node] * chunks, pa.int64()), "block": pa.array(range(chunks), pa.int64()), "tree": pa.array([pickle.dumps(tuple(tree))] * chunks, pa.binary())})
+
+        def lead(key: tuple, visitors: pa.Table, trees: pa.Table) -> pa.Table:
+            """The visits to a leaf led on to the leaves of its own tree; without one (nothing was drawn there) it stays one."""
+            empty = pa.Table.from_batches([], _VISIT_ARROW)
+            if not visitors.num_rows:
+                return empty
+            node = visitors.column("node")[0].as_py()
+            ids, member = visitors.column("id").to_numpy(), visitors.column("member").to_numpy(zero_copy_only=False)
+            size = shares[node >> 32][node & 0xFFFFFFFF] * expected
+            tree = Tree(*pickle.loads(trees.column("tree")[0].as_py())) if trees.num_rows else Tree(np.zeros((0, dim), np.float32), *(np.zeros(0) for _ in range(3)), np.ones(1))
+            out = []
+            for begin in range(0, len(ids), 8192):
+                values = visitors.column("value").slice(begin, 8192).to_pylist()
+                row, sub, own = visits_of([tree], decode(kind, values, dim), visits)
+                some = ids[begin : begin + 8192]
+                out += _in_blocks(np.full(len(row), node), sub, tree.share[sub] * size, row, own & member[begin : begin + 8192][row], some, values)
+            return pa.Table.from_batches(out, _VISIT_ARROW) if out else empty
+
+        shares = [t.share for t in forest]
+        seen = narrow.where(F.rand(11) < rate).mapInArrow(index(True, 0, members_only=True), _VISIT)
+        own = cut(seen.groupBy("node").applyInArrow(own_tree, "node long, block long, tree binary"))
+        deep = narrow.mapInArrow(index(True, visits), _VISIT)
+        led = deep.groupBy("node", "block").cogroup(own.groupBy("node", "block")).applyInArrow(lead, _VISIT)
+        rows = rows.unionByName(led)
+    near = rows.groupBy("node", "sub", "block", "visit").applyInArrow(compare, "id long, other long, similarity int")
     # Both the choice among visits and the ranking use the one shuffle by id.
     once = near.repartition("id").groupBy("id", "other").agg(F.max("similarity").alias("similarity"))
     place = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("similarity"), "other"))
     return once.withColumn("place", place).where(F.col("place") <= k).select(F.lit(kind).alias("vec_set"), "id", "other", (F.col("similarity") / 10**DECIMALS).alias("similarity"))
 
 
-def _visit_rows(node, block, member, ids, values) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array(node, pa.int64()), pa.array(block, pa.int64()), pa.array(member, pa.bool_()), pa.array(ids, pa.int64()), values], names=["node", "block", "member", "id", "value"]
-    )
+#: A visit: the leaf, the leaf of its own tree, the block of members and of visitors, in what role the vector comes, and the vector.
+_VISIT = "node long, sub long, block long, visit long, member boolean, visitor boolean, id long, value binary"
+_VISIT_ARROW = pa.schema([("node", pa.int64()), ("sub", pa.int64()), ("block", pa.int64()), ("visit", pa.int64()), ("member", pa.bool_()), ("visitor", pa.bool_()), ("id", pa.int64()), ("value", pa.binary())])
+
+
+def _spread(ids: np.ndarray, n: np.ndarray, salt: int) -> np.ndarray:
+    """A number below n for each id."""
+    h = (ids.astype(np.uint64) + np.uint64(salt << 58)) * np.uint64(0x9E3779B97F4A7C15)
+    return ((h ^ (h >> np.uint64(29))) % n.astype(np.uint64)).astype(np.int64)
+
+
+def _in_blocks(node: np.ndarray, sub: np.ndarray, sizes: np.ndarray, row: np.ndarray, member: np.ndarray, ids: np.ndarray, values: list[bytes]) -> Iterator[pa.RecordBatch]:
+    """The visits as rows: a member meets every block of visitors, and a visitor every block of members, of a leaf of that size.
+
+    Blocks hold about :data:`BLOCK` vectors on either side, so a leaf of n costs n / BLOCK rows a vector and no group more than two blocks.
+    """
+    if not len(row):
+        return
+    blocks, visits = (np.maximum(1, np.ceil(sizes * f / BLOCK)).astype(np.int64) for f in (1, 2))
+    own, seat = _spread(ids[row], blocks, 1), _spread(ids[row], visits, 2)
+    # As a visitor, to each block of members; in its own block and seat a member comes as both.
+    again = np.repeat(np.arange(len(row)), blocks)
+    block = np.arange(len(again)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+    both = member[again] & (block == own[again])
+    # As a member, to the other seats of its block.
+    more = np.repeat(np.arange(len(row)), np.where(member, visits - 1, 0))
+    counts = np.where(member, visits - 1, 0)
+    turn = np.arange(len(more)) - np.repeat(np.cumsum(counts) - counts, counts)
+    turn = turn + (turn >= seat[more])
+    at = np.concatenate([again, more])
+    yes = np.ones(len(more), bool)
+    yield _visit_rows(
+        node[at], sub[at], np.concatenate([block, own[more]]), np.concatenate([seat[again], turn]), np.concatenate([both, yes]), np.concatenate([np.ones(len(again), bool), ~yes]), ids[row[at]],
+        pa.array(values, pa.binary()).take(pa.array(row[at])),
+    )
+
+
+def _visit_rows(node, sub, block, visit, member, visitor, ids, values) -> pa.RecordBatch:
+    columns = [pa.array(np.asarray(x, np.int64), pa.int64()) for x in (node, sub, block, visit)]
+    return pa.RecordBatch.from_arrays([*columns, pa.array(member, pa.bool_()), pa.array(visitor, pa.bool_()), pa.array(ids, pa.int64()), values], schema=_VISIT_ARROW)
 
 
 def similar_pairs(neighbours: DataFrame) -> DataFrame:

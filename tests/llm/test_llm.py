@@ -109,11 +109,46 @@ def test_many_copies_have_five_neighbours_each(spark, monkeypatch):
 
 
 def test_large_leaf_in_blocks(spark, monkeypatch):
-    x = clustered(500, seed=8)
-    df = spark.createDataFrame([(i, v.tolist(), 0, None) for i, v in enumerate(x)], VECTORS)
-    whole = {tuple(r) for r in S.similar_vectors(df, "f32", "vec_id", ["embedding"]).select("id", "other").collect()}
-    monkeypatch.setattr(S, "BLOCK", 100)
-    assert {tuple(r) for r in S.similar_vectors(df, "f32", "vec_id", ["embedding"]).select("id", "other").collect()} == whole
+    x = np.repeat(clustered(50, seed=8)[:1], 500, axis=0)  # one vector, which no tree splits
+    x += np.random.default_rng(8).normal(size=x.shape).astype(np.float32) * 1e-9
+    y = clustered(500, seed=8)
+    for vectors in (x, y):
+        df = spark.createDataFrame([(i, v.tolist(), 0, None) for i, v in enumerate(vectors)], VECTORS)
+        monkeypatch.setattr(S, "BLOCK", 6_000)
+        whole = {tuple(r) for r in S.similar_vectors(df, "f32", "vec_id", ["embedding"]).select("id", "other").collect()}
+        monkeypatch.setattr(S, "BLOCK", 100)
+        monkeypatch.setattr(S, "grow", lambda sample, leaf, rng, grow=S.grow: grow(sample, 10**9, rng))
+        assert {tuple(r) for r in S.similar_vectors(df, "f32", "vec_id", ["embedding"]).select("id", "other").collect()} == whole
+        monkeypatch.undo()
+
+
+def test_no_group_holds_more_than_two_blocks():
+    n = 20 * S.BLOCK
+    ids = np.arange(n)
+    groups, met = Counter(), Counter()
+    for batch in S._in_blocks(np.zeros(n, np.int64), np.zeros(n, np.int64), np.full(n, float(n)), ids, ids % 3 > 0, ids, [b"x"] * n):
+        block, visit, member, visitor = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("block", "visit", "member", "visitor"))
+        groups.update(zip(block.tolist(), visit.tolist(), strict=True))
+        met["member"] += int(member.sum())
+        met["visitor"] += int(visitor.sum())
+    assert max(groups.values()) < 2 * S.BLOCK and len(groups) == 20 * 40
+    assert met == {"member": int((ids % 3 > 0).sum()) * 40, "visitor": n * 20}
+
+
+def test_large_leaves_have_trees_of_their_own(spark, monkeypatch):
+    x = clustered(3000)
+    df = spark.createDataFrame([(i, v.tolist(), 0, None) for i, v in enumerate(x)], VECTORS).repartition(4)
+    monkeypatch.setattr(S, "BLOCK", 400)
+    monkeypatch.setattr(S, "CHUNK", 300)
+    trees = []
+    plain = S.cut
+    monkeypatch.setattr(S, "cut", lambda d: trees.append(plain(d)) or trees[-1])
+    rows = S.similar_vectors(df, "f32", "vec_id", ["embedding"], sample=40, leaf=150).collect()  # leaves of 8 of 40, some 600 of all
+    assert trees and trees[0].count() > trees[0].select("node").distinct().count() > 1
+    near = x @ x.T
+    np.fill_diagonal(near, -9)
+    want = {(i, int(j)) for i, line in enumerate(near) for j in np.argsort(-line)[:5]}
+    assert len(want & {(r.id, r.other) for r in rows}) / len(want) >= 0.9
 
 
 def test_codes_are_read_back(spark):
