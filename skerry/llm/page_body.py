@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -84,9 +85,14 @@ _MENU = re.compile(r"\s*[|·•]\s*|\s{2,}")
 _ENDED = re.compile(r"[.!?:;…][\"'”»)]*$")
 
 
+@lru_cache(10_000)
+def _named(name: str) -> re.Pattern:
+    return re.compile(rf"\b{re.escape(name)}\b", re.I)
+
+
 def masked(line: str, name: str) -> str:
     text = _DIGITS.sub("0", line.strip())
-    return re.sub(rf"\b{re.escape(name)}\b", "@S", text, flags=re.I) if name else text
+    return _named(name).sub("@S", text) if name and name in text.lower() else text
 
 
 def key_of(line: str) -> int:
@@ -140,6 +146,8 @@ def is_frame(line: str, mask: str, title: str | None, learned: set[int] | frozen
             return True  # breadcrumb
         if re.fullmatch(r"[|–—·:-]\s*\S.{0,60}|\S.{0,60}\s*[|–—·:-]", rest) and "@S" in mask:
             return True  # window title
+    if not _MENU.search(line):
+        return False
     items = [x for x in _MENU.split(line.strip()) if x]
     return len(items) >= 3 and all(len(x.split()) <= 3 for x in items) and sum(key_of(masked(x, "")) in learned for x in items) * 2 > len(items)
 
@@ -195,7 +203,7 @@ class TreeBuilder:
             self.block = None
             Node("frame", self.region, line, number)
             return
-        tag = "li" if _ITEM.match(line) else "line" if _COMMAND.match(line) else "tr" if len(_CELLS.split(line.strip())) > 2 else "p"
+        tag = "li" if _ITEM.match(line) else "line" if _COMMAND.match(line) else "tr" if _CELLS.search(line) and len(_CELLS.split(line.strip())) > 2 else "p"
         holder = self.IMPLIED.get(tag)
         if holder is None:
             self.block = None
