@@ -20,6 +20,9 @@ from pyspark.sql import functions as F
 #: Labelled documents to fit on at most; a parameter of every operator here.
 SAMPLE = 12_000
 
+#: Of the negative passages of that sample the share that looks most like positive ones is fitted on, and of the others one in so many.
+HARD_SHARE, EASY_EVERY = 0.25, 8
+
 #: Places of hashed features.
 BITS = 18
 
@@ -172,10 +175,10 @@ def train(texts: list[str | None], labels: list[int], identity: list[str] | None
     guess[0] = max(guess[0], 1.0)
     shared = pos + neg >= 2  # what one text alone has says nothing of others
     logit = passage_scores(guess, 0.0, feature, at, n)
-    # Of the negative passages, those that look least so, and each eighth: the rest are right from the start.
+    # The easy negative passages are right from the start, so a part of them is enough.
     clean = y[of] == 0
-    kept = ~clean | (np.arange(n) % 8 == 0)
-    kept |= logit >= np.quantile(logit[clean], 0.75)
+    kept = ~clean | (np.arange(n) % EASY_EVERY == 0)
+    kept |= logit >= np.quantile(logit[clean], 1 - HARD_SHARE)
     number = np.cumsum(kept) - 1
     inside = kept[at]
     feature, at, of, logit, n = feature[inside], number[at[inside]], of[kept], logit[kept], int(kept.sum())
