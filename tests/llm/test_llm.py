@@ -331,6 +331,36 @@ def test_large_class_of_copies_is_a_star(spark):
     assert N.near_duplicate_pairs(members, links).count() == 51 * 50 // 2
 
 
+def look_alikes(n, seed, words=60, changes=3):
+    rng = np.random.default_rng(seed)
+    base = [f"s{seed}w{i}" for i in range(words)]
+    out = []
+    for i in range(n):
+        t = list(base)
+        for k in rng.choice(words, changes, replace=False):
+            t[k] = f"own{seed}x{i}y{k}"
+        out.append(" ".join(t))
+    return out
+
+
+@pytest.mark.parametrize("changes", [1, 3])
+def test_stars_lose_no_pair(spark, monkeypatch, changes):
+    monkeypatch.setattr(N, "HOT", 10)
+    texts = dict(enumerate(look_alikes(40, 1, changes=changes) + look_alikes(30, 2, changes=2) + look_alikes(5, 3)))
+    members, links = N.near_duplicate_classes(spark.createDataFrame([(i, t, 1, None, None, None, 1) for i, t in texts.items()], DOCS), width=3, threshold=0.6)
+    got = {tuple(r) for r in N.near_duplicate_pairs(members, links).collect()}
+    assert got == brute_pairs(texts, 3, 0.6, 1) and len(got) > 400
+
+
+def test_a_hub_of_thousands_of_look_alikes_is_a_star(spark):
+    n = 5_000
+    texts = look_alikes(n, 5, words=200, changes=2)
+    members, links = N.near_duplicate_classes(spark.createDataFrame([(i, t, 1, None, None, None, 1) for i, t in enumerate(texts)], DOCS), width=3, threshold=0.6)
+    assert n - 1 <= links.count() < 3 * n
+    groups = {r.group_id for r in N.near_duplicate_groups(members, links).collect()}
+    assert groups == {0}
+
+
 def test_no_documents(spark):
     members, links = N.near_duplicate_classes(spark.createDataFrame([], DOCS))
     assert members.count() == 0 and links.count() == 0 and N.near_duplicate_groups(members, links).count() == 0
