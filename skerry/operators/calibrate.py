@@ -119,17 +119,43 @@ def shuffled_letters(text: Column) -> Column:
     return F.array_join(F.transform(F.split(text, " "), F.reverse), " ")
 
 
+#: Pairs of words that the noise is taken from, its percentile, how what is above it is damped, and what a heading's word is worth.
+NOISE_PAIRS, NOISE_SHARE, DAMPING, HEADING_WORTH = 400, 0.95, 3, 0.5
+
+
+def noise_level(words: list[str], vectors: np.ndarray, seed: int) -> float:
+    """The similarity that unrelated words reach by chance: a high percentile over drawn pairs, words of one beginning left out.
+
+    ``words`` are a bounded sample of a vocabulary, ``vectors`` theirs, of length 1.
+    """
+    if len(words) < 2:
+        return 0.0
+    draw, found = Sequence(seed), []
+    wanted = min(NOISE_PAIRS, len(words) * (len(words) - 1) // 2)
+    for _ in range(20 * wanted):
+        i, j = (min(len(words) - 1, draw.below(len(words))) for _ in range(2))
+        a, b = words[i], words[(j + 1) % len(words) if i == j else j]
+        if len(found) < wanted and not (a.startswith(b) or b.startswith(a)):
+            found.append(float(vectors[i] @ vectors[(j + 1) % len(words) if i == j else j]))
+    return sorted(found)[min(len(found) - 1, int(len(found) * NOISE_SHARE))] if found else 0.0
+
+
 def word_similarity(queries: DataFrame, passages: DataFrame, noise: float = 0.0) -> DataFrame:
-    """``query_id, max_sim``: the mean over a query's word vectors of the best cosine to a passage's, above a noise level.
+    """``query_id, max_sim``: how well a query's best passage has its words by meaning, above the noise; 1 if it has all.
 
-    ``queries`` (query_id, passage_id, words), ``passages`` (passage_id, words): arrays of vectors of length 1. Both sides of a pair
+    ``queries`` (query_id, passage_id, words, and weights if they differ), ``passages`` (passage_id, words, and heading if there is one): arrays
+    of vectors of length 1. A word counts by its best cosine to the body's words, or to half of the heading's. Both sides of a pair
     are bounded by the words of one question and one passage.
     """
-    best = lambda q: F.array_max(F.transform("theirs", lambda p: F.aggregate(F.zip_with(q, p, lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)))
-    both = queries.join(passages.select("passage_id", F.col("words").alias("theirs")), "passage_id").where("size(words) > 0 and size(theirs) > 0")
-    sims = F.transform("words", lambda q: F.greatest(F.lit(0.0), best(q) - noise))
-    one = both.select("query_id", (F.aggregate(sims, F.lit(0.0), lambda s, x: s + x) / F.size("words")).alias("sim"))
-    return one.groupBy("query_id").agg(F.max("sim").alias("max_sim"))
+    cosine = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    best = lambda q, c: F.coalesce(F.array_max(F.transform(c, lambda p: cosine(q, p))), F.lit(0.0))
+    theirs = passages.select("passage_id", F.col("words").alias("body"), (F.col("heading") if "heading" in passages.columns else F.array().cast("array<array<double>>")).alias("head"))
+    each = queries if "weights" in queries.columns else queries.withColumn("weights", F.transform("words", lambda w: F.lit(1.0)))
+    both = each.join(theirs, "passage_id").where("size(words) > 0 and size(body) + size(head) > 0")
+    above = lambda s: F.lit(0.0) if noise >= 1 else F.pow(F.greatest(F.lit(0.0), (s - noise) / (1 - noise)), F.lit(float(DAMPING)))
+    sims = F.zip_with("words", "weights", lambda q, w: w * above(F.greatest(best(q, F.col("body")), best(q, F.col("head")) * HEADING_WORTH)))
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda s, x: s + x)
+    return both.select("query_id", (total(sims) / total("weights")).alias("sim")).groupBy("query_id").agg(F.max("sim").alias("max_sim"))
 
 
 @dataclass

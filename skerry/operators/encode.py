@@ -93,6 +93,37 @@ def encode_column(df: DataFrame, text_col: str, encode: Callable[[list[str]], np
     return df.mapInArrow(run, schema)
 
 
+def encode_words(df: DataFrame, words_col: str, encode: Callable[[list[str]], np.ndarray], vectors_col: str = "vectors") -> DataFrame:
+    """``df`` with a vector for each word of an array of words: all distinct words of a batch are encoded in one call. Null gives null."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(batch.schema.get_field_index(words_col)).to_pylist()
+            known = {w: i for i, w in enumerate(dict.fromkeys(w for words in lists for w in words or ()))}
+            found = encode(list(known)) if known else None
+            out = [None if words is None else [found[known[w]].tolist() for w in words] for words in lists]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.list_(pa.list_(pa.float32())))], names=[*batch.schema.names, vectors_col])
+
+    from pyspark.sql import types as T
+
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(vectors_col, T.ArrayType(T.ArrayType(T.FloatType())))]))
+
+
+def in_windows(encode: Callable[[list[str]], np.ndarray], size: int) -> Callable[[list[str]], np.ndarray]:
+    """An encoder of texts of any length from one of at most ``size`` words: the mean over a text's windows, of length 1."""
+
+    def whole(texts: list[str]) -> np.ndarray:
+        words = [(t or "").split() for t in texts]
+        parts = [" ".join(w[i : i + size]) for w in words for i in range(0, max(1, len(w)), size)]
+        counts = np.array([len(range(0, max(1, len(w)), size)) for w in words])
+        vectors = encode(parts)
+        means = np.add.reduceat(vectors, np.cumsum(counts) - counts, axis=0) / counts[:, None] if len(parts) else np.zeros((0, 1), np.float32)
+        length = np.linalg.norm(means, axis=1, keepdims=True)
+        return means / np.where(length > 0, length, 1)
+
+    return whole
+
+
 def word_pieces(text: str, vocabulary: dict[str, int], unknown: str = "[UNK]", longest: int = 100) -> list[int]:
     """Ids by greedy longest match within words; lower case, accents off, punctuation by itself."""
     plain = "".join(c for c in unicodedata.normalize("NFD", text.lower()) if unicodedata.category(c) != "Mn")

@@ -44,6 +44,14 @@ def test_word_similarity_and_student_features(spark):
     q = spark.createDataFrame([(1, 7, [[1.0, 0.0], [0.0, 1.0]])], "query_id long, passage_id long, words array<array<double>>")
     p = spark.createDataFrame([(7, [[1.0, 0.0]])], "passage_id long, words array<array<double>>")
     assert calibrate.word_similarity(q, p).first().max_sim == 0.5
+    headed = p.withColumn("heading", F.array(F.array(F.lit(0.0), F.lit(1.0))))
+    assert abs(calibrate.word_similarity(q, headed).first().max_sim - (1 + 0.5**3) / 2) < 1e-12
+    weighed = q.withColumn("weights", F.array(F.lit(1.0), F.lit(1 / 3)))
+    assert abs(calibrate.word_similarity(weighed, p, 0.2).first().max_sim - 0.75) < 1e-12
+    rng = np.random.default_rng(2)
+    v = rng.normal(size=(60, 5))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    assert 0.4 < calibrate.noise_level([f"{i:02}x" for i in range(60)], v, 3) < 1 and calibrate.noise_level(["a"], v[:1], 3) == 0
     asked = spark.createDataFrame([(1, "pier zzz")], "query_id long, text string")
     known = spark.createDataFrame([("pier",)], ["token"])
     runs = spark.createDataFrame([("pie",), ("ier",)], ["token"])

@@ -205,5 +205,11 @@ def test_encoders(spark):
     assert abs(np.linalg.norm(got[1]) - 1) < 1e-5 and not got[3].any()
     expected = encode.encode_column(df, "text", encoder).withColumn("tolerance", F.lit(1e-6))
     assert encode.conformance(encode.encode_column(df, "text", encoder), expected, "id").where("not passed").isEmpty()
+    worded = spark.createDataFrame([(1, ["pier", "tide", "pier"]), (2, None), (3, [])], "id int, words array<string>")
+    vectors = {r.id: r.vectors for r in encode.encode_words(worded, "words", encoder).collect()}
+    assert vectors[1][0] == vectors[1][2] != vectors[1][1] and vectors[2] is None and vectors[3] == [] and np.allclose(vectors[1][0], encoder(["pier"])[0])
+    long = encode.in_windows(encoder, 2)(["a b c d", "a b", "", None])
+    halves = encoder(["a b", "c d"]).mean(0)
+    assert np.allclose(long[0], halves / np.linalg.norm(halves), atol=1e-6) and np.allclose(long[1], encoder(["a b"])[0], atol=1e-6) and not long[2:].any()
     vocabulary = {w: i for i, w in enumerate(["[UNK]", "pier", "##s", "un", "##load", ",", "cafe"])}
     assert encode.word_pieces("Piers, unload Café zzz", vocabulary) == [1, 2, 5, 3, 4, 6, 0]
