@@ -155,11 +155,12 @@ WITH RECURSIVE latest AS (
          CASE WHEN visible AND who IN ('user', 'human') THEN 1
               WHEN visible AND who IN ('assistant', 'model', 'bot') AND (recipient IS NULL OR recipient = 'all') THEN 2 ELSE 0 END AS kind
   FROM shown
+), sizes AS (SELECT conv_id, count(*) AS n FROM kinds GROUP BY conv_id
 ), walk AS (
   SELECT t.conv_id, t.current_node AS node, 0 AS up FROM chat_threads t WHERE t.current_node IS NOT NULL AND t.conv_id IS NOT NULL
   UNION ALL
-  SELECT w.conv_id, k.parent, w.up + 1 FROM walk w JOIN kinds k ON k.conv_id = w.conv_id AND k.message_id = w.node
-  WHERE w.up < 2000 AND w.node IS NOT NULL
+  SELECT w.conv_id, k.parent, w.up + 1 FROM walk w JOIN kinds k ON k.conv_id = w.conv_id AND k.message_id = w.node JOIN sizes s ON s.conv_id = w.conv_id
+  WHERE w.up <= s.n AND w.node IS NOT NULL
 ), ended AS (
   SELECT conv_id, bool_or(node IS NULL) AS whole FROM walk GROUP BY conv_id
 ), turns AS (
