@@ -6,7 +6,7 @@ A chain is three tables: ``tiers`` (depth, identity, records), ``tombstones`` (d
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -42,6 +42,25 @@ def owners(ids: DataFrame, tiers: DataFrame) -> DataFrame:
     return ids.join(F.broadcast(t), on).select("record_id", "depth", (F.col("record_id") - F.col("row_base")).alias("local_id"))
 
 
+def locator_problem(locator: Column) -> Column:
+    """Why a layer's reference to its parent is refused, or null: it names a file beside or below the layer and is taken as it is written."""
+    segments = F.split(locator, "/")
+    return (
+        F.when(F.coalesce(locator == "", F.lit(True)), "empty")
+        .when(F.length(locator) > 1024, "too long")
+        .when(locator.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), "scheme")
+        .when(locator.startswith("/"), "absolute")
+        .when(locator.rlike(r"(?i)[\\\x00-\x1f\x7f?#]|%(?:2e|2f|5c|00)") | F.contains(locator, F.lit("//")), "signs")
+        .when(F.exists(segments, lambda s: s.isin("..", ".")), "dot segment")
+        .when(locator.endswith("/"), "folder")
+    )
+
+
+def resolved_locator(layer: Column, locator: Column) -> Column:
+    """Where a layer's parent lies: beside the layer; null for a reference that is refused."""
+    return F.when(locator_problem(locator).isNull(), F.concat(F.regexp_extract(layer, "^(.*/)?[^/]*$", 1), locator))
+
+
 def live(ids: DataFrame, tombstones: DataFrame) -> DataFrame:
     return ids.join(tombstones.select("record_id").distinct(), "record_id", "left_anti")
 

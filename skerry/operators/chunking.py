@@ -118,6 +118,21 @@ def public_chunk(chunks: DataFrame) -> DataFrame:
     return chunks.withColumn("url", F.coalesce("url", "source_path")).withColumn("preview", T.preview(F.col("text")))
 
 
+def shown_hit(rank: Column, record_id: Column, title: Column, heading_path: Column, source: Column, anchor: Column, distance: Column, text: Column, most: int = 280) -> Column:
+    """A hit as a reader sees it: its place and headings, where it comes from and how near it is, and the start of its text."""
+    filled = lambda c: F.when(c != "", c)
+    heads = F.filter(F.coalesce(heading_path, F.array().cast("array<string>")), lambda h: h.isNotNull() & (h != "") & (F.coalesce(title, F.lit("")) != h))
+    named = F.filter(F.concat(F.array(filled(title)), heads), lambda h: h.isNotNull())
+    first = F.concat_ws(" ", F.concat(rank.cast("string"), F.lit(".")), F.when(F.size(named) > 0, F.array_join(named, " › ")).otherwise(F.concat(F.lit("record "), record_id.cast("string"))))
+    placed = F.when(filled(anchor).isNotNull() & ~F.contains(source, F.lit("#")), F.concat(source, F.lit("#"), anchor)).otherwise(source)
+    where = F.concat_ws(" · ", filled(placed), F.concat(F.lit("distance "), F.format_number(distance, "0.000")))
+    plain = T.trimmed(F.regexp_replace(F.coalesce(text, F.lit("")), f"[{T.WS}]+", " "))
+    last = F.concat(F.element_at(F.filter(F.concat(F.array(title), F.coalesce(heading_path, F.array().cast("array<string>"))), lambda h: h.isNotNull() & (h != "")), -1), F.lit(" "))
+    own = F.when(F.coalesce(plain.startswith(last), F.lit(False)), F.substring(plain, F.length(last) + 1, F.length(plain))).otherwise(plain)
+    cut = F.when(F.length(own) > most, F.concat(F.substring(own, 1, most - 1), F.lit("…"))).otherwise(own)
+    return F.concat_ws("\n   ", first, filled(where), filled(cut))
+
+
 def sentence_windows(records: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
     """``record_id, window_no, text``: runs of ``size`` sentences under the record's first line; none for a record of no more sentences.
 

@@ -92,8 +92,8 @@ def with_candidates(near: DataFrame, extra: DataFrame, queries: DataFrame, rows:
     Vectors meet only for the few extra pairs of each query, each side by one join.
     """
     pairs = extra.select("query_id", "record_id").join(near.select("query_id", "record_id"), ["query_id", "record_id"], "left_anti")
-    asked = queries.select("query_id", V.doubles(F.col("vector")).alias("qv"))
-    both = pairs.join(asked, "query_id").join(rows.select("record_id", V.doubles(F.col("vector")).alias("rv")), "record_id")
+    ask = queries.select("query_id", V.doubles(F.col("vector")).alias("qv"))
+    both = pairs.join(ask, "query_id").join(rows.select("record_id", V.doubles(F.col("vector")).alias("rv")), "record_id")
     more = both.select("query_id", "record_id", F.round(V.cosine_distance(F.col("qv"), F.col("rv")), DECIMALS).alias("distance"))
     place = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "record_id"))
     return near.select("query_id", "record_id", "distance").unionByName(more).withColumn("vec_rank", place - 1)
@@ -142,6 +142,12 @@ def sketch_candidates(queries: DataFrame, index: DataFrame, dim: int, pool: int,
     return ranked(blocks.against_all(queries, table, scan, _SCHEMA, dim), depth)
 
 
+def asked(queries: DataFrame, metric: str = "cosine") -> DataFrame:
+    """``query_id, vector`` (and ``pack``) of queries, of length 1 for cosine."""
+    vector = V.doubles(F.col("vector"))
+    return queries.select(F.col("query_id").cast("long"), (V.normalized(vector) if metric == "cosine" else vector).alias("vector"), *_pack(queries))
+
+
 def two_stage_knn(
     queries: DataFrame, index: DataFrame, k: int | None, dim: int, pool: int, depth: int, bits: int = 4, extra: DataFrame | None = None, masked: DataFrame | None = None, metric: str = "cosine"
 ) -> DataFrame:
@@ -150,19 +156,18 @@ def two_stage_knn(
     ``index`` is from :func:`coded`; ``extra`` (query_id, record_id) joins the candidates; ``masked`` (record_id) leaves before the
     cut. Only sketches meet all queries; codes are read for candidates.
     """
-    vector = V.doubles(F.col("vector"))
-    asked = queries.select(F.col("query_id").cast("long"), (V.normalized(vector) if metric == "cosine" else vector).alias("vector"), *_pack(queries))
     if masked is not None:
         index = index.join(masked.select("record_id"), "record_id", "left_anti")
-    candidates = sketch_candidates(asked, index, dim, pool, depth, bits, metric).select("query_id", "record_id")
+    ask = asked(queries, metric)
+    candidates = sketch_candidates(ask, index, dim, pool, depth, bits, metric).select("query_id", "record_id")
     if extra is not None:
         candidates = candidates.union(extra.select("query_id", "record_id")).distinct()
-    return rerank(candidates, asked, index, k, metric)
+    return rerank(candidates, ask, index, k, metric)
 
 
-def rerank(candidates: DataFrame, asked: DataFrame, index: DataFrame, k: int | None, metric: str = "cosine") -> DataFrame:
-    """The candidates (query_id, record_id) at the exact distances of their coded rows; ``asked`` has query_id, vector."""
-    exact = candidates.join(index.select("record_id", "q", "scale", "offset"), "record_id").join(asked.select("query_id", "vector"), "query_id")
+def rerank(candidates: DataFrame, queries: DataFrame, index: DataFrame, k: int | None, metric: str = "cosine") -> DataFrame:
+    """The candidates (query_id, record_id) at the exact distances of their coded rows; ``queries`` are of :func:`asked`."""
+    exact = candidates.join(index.select("record_id", "q", "scale", "offset"), "record_id").join(queries.select("query_id", "vector"), "query_id")
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -179,9 +184,9 @@ def rerank(candidates: DataFrame, asked: DataFrame, index: DataFrame, k: int | N
 def staged_knn(queries: DataFrame, index: DataFrame, micro: DataFrame, k: int, dim: int, pool: int, micro_pool: int, depth: int, boost: int = 4) -> DataFrame:
     """As :func:`two_stage_knn` with a coarser tier first: the ``boost`` x ``depth`` rows nearest by ``micro`` (:func:`coded` with
     ``micro_pool``) are cut to ``depth`` by the sketches, and these ranked exactly."""
-    asked = queries.select(F.col("query_id").cast("long"), V.normalized(V.doubles(F.col("vector"))).alias("vector"))
-    first = sketch_candidates(asked, micro, dim, micro_pool, boost * depth).select("query_id", "record_id")
-    both = first.join(index.select("record_id", "sketch", "scale", "offset", "q"), "record_id").join(asked, "query_id")
+    ask = asked(queries)
+    first = sketch_candidates(ask, micro, dim, micro_pool, boost * depth).select("query_id", "record_id")
+    both = first.join(index.select("record_id", "sketch", "scale", "offset", "q"), "record_id").join(ask, "query_id")
     near = F.round(V.sketch_cosine(V.pooled(F.col("vector"), pool), F.col("sketch"), F.col("scale"), F.col("offset"), pool), DECIMALS)
     place = F.row_number().over(Window.partitionBy("query_id").orderBy("near", "record_id"))
     second = both.withColumn("near", near).withColumn("place", place).where(F.col("place") <= depth)
@@ -221,9 +226,9 @@ def assigned(rows: DataFrame, centres: DataFrame, dim: int) -> DataFrame:
         best = far.argmin(axis=1)
         yield _hits(r.column("record_id").to_numpy(), names[order][best], far[np.arange(len(far)), best])
 
-    asked = centres.select(F.col("centre").cast("long").alias("query_id"), V.doubles(F.col("vector")).alias("vector"))
+    ask = centres.select(F.col("centre").cast("long").alias("query_id"), V.doubles(F.col("vector")).alias("vector"))
     held = rows.select(F.col("record_id").cast("long"), V.doubles(F.col("vector")).alias("vector")).where(F.size("vector") == dim)
-    near = blocks.against_all(asked, held, scan, _SCHEMA, dim)
+    near = blocks.against_all(ask, held, scan, _SCHEMA, dim)
     one = near.groupBy("query_id").agg(F.min(F.struct("distance", "record_id")).alias("n"))
     return one.select(F.col("query_id").alias("record_id"), F.col("n.record_id").alias("centre"), F.col("n.distance").alias("distance"))
 
@@ -253,18 +258,18 @@ def depth_curve(queries: DataFrame, index: DataFrame, k: int, dim: int, pool: in
     At most :data:`MOST_ASKED` of the queries are asked, evenly by their order. One scan serves all depths: candidates keep their
     rank by sketch. Chosen is the least depth of enough recall, the last where none has it.
     """
-    live, asked = index.count(), queries.select(F.col("query_id").cast("long"), V.normalized(V.doubles(F.col("vector"))).alias("vector"))
-    n = asked.count()
+    live, ask = index.count(), asked(queries)
+    n = ask.count()
     if n > MOST_ASKED:
         picked = sorted({int(i * n / MOST_ASKED) for i in range(MOST_ASKED)})
-        asked = dense_ids(asked, "query_id", "nth").where(F.col("nth").isin(picked)).drop("nth")
-    asked = cut(asked)
+        ask = dense_ids(ask, "query_id", "nth").where(F.col("nth").isin(picked)).drop("nth")
+    ask = cut(ask)
     top, ceiling = min(k, live), min(live, MOST_DEPTH)
     depths = [c for c in LADDER if top <= c < ceiling] + [ceiling]
     real = index.select("record_id", V.dequantized(F.col("q").cast("array<double>"), F.col("scale"), F.col("offset")).alias("vector"))
-    truth = exact_knn(asked, real, top, dim).select("query_id", "record_id", F.lit(1).alias("hit"))
-    near = sketch_candidates(asked, index, dim, pool, depths[-1]).select("query_id", "record_id", "vec_rank")
-    exact = rerank(near.select("query_id", "record_id"), asked, index, None).select("query_id", "record_id", "distance")
+    truth = exact_knn(ask, real, top, dim).select("query_id", "record_id", F.lit(1).alias("hit"))
+    near = sketch_candidates(ask, index, dim, pool, depths[-1]).select("query_id", "record_id", "vec_rank")
+    exact = rerank(near.select("query_id", "record_id"), ask, index, None).select("query_id", "record_id", "distance")
     both = cut(near.join(exact, ["query_id", "record_id"]).join(truth, ["query_id", "record_id"], "left"))
     each = both.withColumn("depth", F.explode(F.array(*[F.lit(c) for c in depths]))).where(F.col("vec_rank") < F.col("depth"))
     place = F.row_number().over(Window.partitionBy("depth", "query_id").orderBy("distance", "record_id"))

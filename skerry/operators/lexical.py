@@ -59,11 +59,16 @@ class LexicalIndex:
         return counted.withColumn("avgdl", F.greatest(F.lit(1.0), F.col("total_tokens") / F.greatest(F.col("n"), F.lit(1))))
 
 
-def build_index(records: DataFrame, id_col: str, text_col: str) -> LexicalIndex:
-    """The index of ``records``; written once (at a checkpoint), whatever is asked of it. :class:`skerry.pack.Pack` saves it."""
+def terms_of(records: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The table of an index, not yet written."""
     terms = F.coalesce(index_terms(F.col(text_col)), F.array().cast("array<string>"))
     keys = ["pack"] if "pack" in records.columns else []
-    return LexicalIndex(cut(records.select(F.col(id_col).cast("long").alias("record_id"), *keys, terms.alias("all"))))
+    return records.select(F.col(id_col).cast("long").alias("record_id"), *keys, terms.alias("all"))
+
+
+def build_index(records: DataFrame, id_col: str, text_col: str) -> LexicalIndex:
+    """The index of ``records``; written once (at a checkpoint), whatever is asked of it. :class:`skerry.pack.Pack` saves it."""
+    return LexicalIndex(cut(terms_of(records, id_col, text_col)))
 
 
 def document_frequencies(index: LexicalIndex, queries: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from skerry.errors import SkerryError, require
 from skerry.functions import vector as V
 from skerry.operators import chain, fusion, grounding, integrity, knn, lexical
-from skerry.session import cut, small
+from skerry.session import cut, cut_all, small
 
 #: The tables of a pack, and the version of its layout.
 TABLES, LAYOUT = ("records", "termed", "postings", "vectors", "codes"), 2
@@ -41,7 +41,8 @@ class Pack:
             raise SkerryError("INVALID_VECTOR", f"a vector is not {dim} finite numbers with a length")
         keys = ["pack"] if "pack" in vectors.columns else []
         unit = vectors.select("record_id", *keys, V.normalized(V.doubles(F.col("vector"))).alias("vector"))
-        return cls(records, lexical.build_index(records, "record_id", "text"), unit, cut(knn.coded(unit, pool)), dim, pool)
+        termed, codes = cut_all(lexical.terms_of(records, "record_id", "text"), knn.coded(unit, pool))
+        return cls(records, lexical.LexicalIndex(termed), unit, codes, dim, pool)
 
     def save(self, path: str) -> str:
         """Write the tables and the manifest; gives the pack's identity, the digest of its manifest."""
@@ -53,10 +54,16 @@ class Pack:
             df.write.mode("overwrite").parquet(f"{path}/{name}")
         spark = self.records.sparkSession
         n = spark.read.parquet(f"{path}/records").count()
-        manifest = {"layout": LAYOUT, "dim": self.dim, "pool": self.pool, "depth": self.depth, "records": n, "content": self._content(spark.read.parquet(f"{path}/records"))}
+        manifest = {"layout": LAYOUT, "dim": self.dim, "pool": self.pool, "depth": self.depth, "records": n, "tables": {name: self._seal(spark.read.parquet(f"{path}/{name}")) for name in TABLES}, "content": self._content(spark.read.parquet(f"{path}/records"))}
         spark.createDataFrame([(integrity.canonical_json(manifest),)], ["value"]).coalesce(1).write.mode("overwrite").text(f"{path}/manifest")
         return integrity.identity(manifest)
 
+    @staticmethod
+    def _seal(table: DataFrame) -> dict:
+        """Rows and a digest of a table that no order changes: the sum of its rows' hashes."""
+        one = table.select(F.xxhash64(*sorted(table.columns)).cast("decimal(38,0)").alias("h")).agg(F.count(F.lit(1)).alias("n"), F.sum("h").alias("h")).first()
+        return {"rows": one["n"], "digest": str(one["h"] or 0)}
+
     @staticmethod
     def _content(records: DataFrame) -> str:
         """A digest of all records that no order changes: page digests of record digests, summed by page."""
@@ -73,6 +80,9 @@ class Pack:
         t = {name: spark.read.parquet(f"{path}/{name}") for name in TABLES}
         if verify and (t["records"].count() != manifest["records"] or cls._content(t["records"]) != manifest["content"]):
             raise SkerryError("SNAPSHOT_INVALID", "the records are not those of the manifest")
+        for name in TABLES if verify else ():
+            if cls._seal(t[name]) != manifest["tables"][name]:
+                raise SkerryError("SNAPSHOT_INVALID", f"the table {name} is not that of the manifest")
         return cls(t["records"], lexical.LexicalIndex(t["termed"]), t["vectors"], t["codes"], manifest["dim"], manifest["pool"], path, manifest["depth"])
 
     def lookup(self, terms: list[str]) -> DataFrame:
@@ -85,10 +95,11 @@ class Pack:
 
         Candidates by sketch are joined by the lexical ones before the exact ranking. Excluded records take no place in either.
         """
-        lex = cut(lexical.cutoff(lexical.bm25(self.index, questions, "query_id", "text", exclude=excluded)))
         depth = knn.rerank_depth(self.codes.count(), k, rerank, self.depth)
-        vec = knn.two_stage_knn(questions, self.codes, None, self.dim, self.pool, depth, extra=lex, masked=excluded)
-        return cut(vec), lex
+        asked, codes = knn.asked(questions), self.codes if excluded is None else self.codes.join(excluded.select("record_id"), "record_id", "left_anti")
+        near = knn.sketch_candidates(asked, codes, self.dim, self.pool, depth).select("query_id", "record_id")
+        lex, near = cut_all(lexical.cutoff(lexical.bm25(self.index, questions, "query_id", "text", exclude=excluded)), near)
+        return cut(knn.rerank(near.union(lex.select("query_id", "record_id")).distinct(), asked, codes, None)), lex
 
     def hits(self, questions: DataFrame, vec: DataFrame, lex: DataFrame, k: int, retrieval: str = "hybrid") -> DataFrame:
         """``query_id, record_id, distance, rank, lex_rank, vec_rank``: the first k of each query, fused, guarded and pinned in hybrid mode."""

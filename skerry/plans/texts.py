@@ -75,6 +75,14 @@ def t19_public(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("chunk_id", F.coalesce("url", F.lit("")).alias("url"), "preview").distinct()
 
 
+def h12_shown(spark: SparkSession, d: str) -> DataFrame:
+    """Records as readers see hits."""
+    rows = table(spark, d, "record_chunks").where("chunk_id is not null").select("chunk_id", "title", "heading_path", "url", "source_path", "anchor", "text").distinct()
+    near = F.when(F.col("chunk_id") % 4 > 0, (F.col("chunk_id") % 1000) / 1000.0)
+    shown = chunking.shown_hit(F.col("chunk_id") % 9 + 1, F.col("chunk_id"), F.col("title"), F.col("heading_path"), F.coalesce("url", "source_path"), F.col("anchor"), near, F.col("text"))
+    return rows.select("chunk_id", shown.alias("shown"))
+
+
 def s2_globs(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "record_chunks").where("source_path is not null").select("source_path").distinct()
     return rows.select("source_path", T.glob_match(F.col("source_path")).alias("taken"), T.glob_match(F.col("source_path"), "**/{guide,wiki}*/*.md").alias("guide"))
@@ -144,7 +152,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         t3_slugs, t7_entities, t8_normalize, t9_tokens, t10_exchanges, t11_exchange_texts, t12_redacted, t13_titles, t14_chunks, t17_dedupe,
-        t18_routes, t19_public, t20_windows, t21_dropped, l1_terms, l2_hashes, g1_words, g2_stems, s2_globs, s4_scope, s5_robots, s6_filters,
+        t18_routes, t19_public, h12_shown, t20_windows, t21_dropped, l1_terms, l2_hashes, g1_words, g2_stems, s2_globs, s4_scope, s5_robots, s6_filters,
     )
 }
 
@@ -310,6 +318,16 @@ FROM words""",
 WITH worded AS (SELECT doc_id, {sql_grounding_words('string_split(text, chr(10))[1]')} AS k FROM documents WHERE {_DOCS})
 SELECT doc_id, array_to_string({SQL_FIRSTS}, ' ') AS words FROM worded""",
     "g2_stems": f"WITH words AS (SELECT DISTINCT unnest({sql_index_terms('text')}) AS word FROM documents WHERE {_DOCS}) SELECT word, {sql_stem('word')} AS stem FROM words",
+    "h12_shown": f"""
+WITH r AS (SELECT DISTINCT chunk_id, title, heading_path AS p, coalesce(url, source_path) AS src, anchor, text FROM record_chunks WHERE chunk_id IS NOT NULL
+), n AS (
+  SELECT *, list_filter(list_concat([title], list_filter(coalesce(p, []), lambda h: h IS DISTINCT FROM title)), lambda h: h <> '') AS named, list_filter(list_concat([title], coalesce(p, [])), lambda h: h <> '') AS heads,
+    CASE WHEN anchor <> '' AND NOT contains(src, '#') THEN src || '#' || anchor ELSE src END AS placed, {sql_trim(f"regexp_replace(coalesce(text, ''), '[{T.WS}]+', ' ', 'g')")} AS plain FROM r
+), o AS (SELECT *, CASE WHEN len(heads) > 0 AND starts_with(plain, heads[-1] || ' ') THEN substr(plain, length(heads[-1]) + 2) ELSE plain END AS own FROM n)
+SELECT chunk_id, array_to_string(list_filter([
+  (chunk_id % 9 + 1) || '. ' || CASE WHEN len(named) > 0 THEN array_to_string(named, ' › ') ELSE 'record ' || chunk_id END,
+  array_to_string(list_filter([placed, CASE WHEN chunk_id % 4 > 0 THEN 'distance ' || printf('%.3f', (chunk_id % 1000) / 1000.0) END], lambda x: x <> ''), ' · '),
+  CASE WHEN length(own) > 280 THEN left(own, 279) || '…' ELSE own END], lambda x: x <> ''), chr(10) || '   ') AS shown FROM o""",
     "s2_globs": r"""
 SELECT DISTINCT source_path, regexp_full_match(source_path, '(?i)(?:.*/)?[^/]*\.(?:md|mdx|html|txt)') AS taken,
   regexp_full_match(source_path, '(?i)(?:.*/)?(?:guide|wiki)[^/]*/[^/]*\.md') AS guide

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from skerry.errors import SkerryError
-from skerry.operators import encode, extract
+from skerry.operators import encode, extract, student
 from skerry.pack import Pack, VectorIndex
 from skerry.sources import files
 from skerry.streaming import layers
@@ -162,6 +162,10 @@ def test_pack_round_trip(spark, tmp_path):
     changed = spark.read.parquet(str(tmp_path / "q/records")).withColumn("text", F.concat("text", F.lit("!")))
     with pytest.raises(Exception, match="DIGEST_MISMATCH"):
         Pack(changed, loaded.index, loaded.vectors, loaded.codes, 4).query(asked, 1).collect()
+    loaded.codes.where("record_id < 2").coalesce(1).write.parquet(str(tmp_path / "some"))
+    spark.read.parquet(str(tmp_path / "some")).write.mode("overwrite").parquet(str(tmp_path / "q/codes"))
+    with pytest.raises(SkerryError, match="codes"):
+        Pack.load(spark, str(tmp_path / "q"), verify=True)
     records.where("record_id < 2").write.mode("overwrite").parquet(str(tmp_path / "p/records"))
     with pytest.raises(SkerryError):
         Pack.load(spark, str(tmp_path / "p"), verify=True)
@@ -213,3 +217,20 @@ def test_encoders(spark):
     assert np.allclose(long[0], halves / np.linalg.norm(halves), atol=1e-6) and np.allclose(long[1], encoder(["a b"])[0], atol=1e-6) and not long[2:].any()
     vocabulary = {w: i for i, w in enumerate(["[UNK]", "pier", "##s", "un", "##load", ",", "cafe"])}
     assert encode.word_pieces("Piers, unload Café zzz", vocabulary) == [1, 2, 5, 3, 4, 6, 0]
+
+
+def test_student_learns_its_teacher(spark):
+    rng = np.random.default_rng(4)
+    topics = [[f"{a}{b}wort" for b in "abcdefgh"] for a in ("kran", "pier", "tide", "rope", "chain", "cargo")]
+    goals = np.linalg.qr(rng.normal(size=(12, 12)))[0][:6]
+    texts = [" ".join(rng.choice(topics[i % 6], 6)) + "." for i in range(240)]
+    vectors = np.array([goals[i % 6] + 0.05 * rng.normal(size=12) for i in range(240)])
+    df = spark.createDataFrame([(i, t, v.tolist()) for i, (t, v) in enumerate(zip(texts, vectors))], "record_id long, text string, vector array<double>")
+    encoder = encode.student(*student.train_student(df.where("record_id < 180"), "text", "vector", places=4096, hidden=32, epochs=12))
+    held = encoder(texts[180:])
+    assert (held * vectors[180:] / np.linalg.norm(vectors[180:], axis=1, keepdims=True)).sum(1).mean() > 0.9
+    asked = df.where("record_id >= 180").select("record_id")
+    encoded = encode.encode_column(df.select("record_id", "text"), "text", encoder)
+    assert student.neighbour_overlap(df, df, asked, 5).first().recall == 1.0
+    assert student.neighbour_overlap(encoded, df, asked, 39).first().recall > 0.8
+    assert all(v for v in (student.variants(t, rng) for t in texts)) and student.variants("", rng) == [] and student.slip("abc", rng) == "abc" and student.slip("crane", rng) != "crane"

@@ -262,6 +262,13 @@ def test_plan_layer_refuses(spark):
     assert more.count() == 2 and {r.record_id for r in dead.collect()} == {1, 2} and new.first().new_id == 4
 
 
+def test_locators(spark):
+    rows = {"base.bin": None, "a/b.bin": None, "": "empty", "x" * 1025: "too long", "https://x/y": "scheme", "/x": "absolute", "//h/x": "absolute", "a//b": "signs", "a\\b": "signs", "%2e%2e/x": "signs", "x?y": "signs", "../x": "dot segment", "a/./b": "dot segment", "a/": "folder"}
+    df = spark.createDataFrame([(k,) for k in rows] + [(None,)], "l string")
+    got = {r.l: (r.p, r.r) for r in df.select("l", chain.locator_problem(F.col("l")).alias("p"), chain.resolved_locator(F.lit("s3://b/c/layer.bin"), F.col("l")).alias("r")).collect()}
+    assert {k: p for k, (p, _) in got.items()} == {**rows, None: "empty"} and got["a/b.bin"][1] == "s3://b/c/a/b.bin" and got["../x"][1] is None
+
+
 def test_supersede_targets(spark):
     chunks = spark.createDataFrame([(0, "a.md"), (1, "b.md"), (2, "b.md")], "new_no long, source_path string")
     named = lambda *rows: spark.createDataFrame(list(rows), "old_id long, source_path string")
