@@ -28,11 +28,11 @@ def flat_chunks(docs: DataFrame, id_col: str, text_col: str, target: int = TARGE
     count = 1 + F.ceil(F.greatest(F.lit(0), n - target) / step).cast("int")
     tail = (count > 1) & (n - (count - 1) * step < LEAST)
     shown = F.when(tail, count - 1).otherwise(count)
-    sliced = words.select("doc_id", "w", n.alias("n"), count.alias("count"), tail.alias("tail"), F.explode(F.sequence(F.lit(0), shown - 1)).alias("chunk_no"))
-    own = F.array_join(F.slice("w", F.col("chunk_no") * step + 1, F.lit(target)), " ")
-    rest = F.array_join(F.slice("w", (F.col("count") - 1) * step + 1, F.lit(target)), " ")
-    takes = F.col("tail") & (F.col("chunk_no") == F.col("count") - 2)
-    return sliced.select("doc_id", "chunk_no", F.when(takes, F.concat_ws(" ", own, rest)).otherwise(own).alias("text"))
+    own = lambda i: F.array_join(F.slice("w", i * step + 1, F.lit(target)), " ")
+    last = own(count - 1)
+    # Made before they are rows, as each row would else carry all words of its document.
+    texts = F.transform(F.sequence(F.lit(0), shown - 1), lambda i: F.when(tail & (i == count - 2), F.concat_ws(" ", own(i), last)).otherwise(own(i)))
+    return words.select("doc_id", F.posexplode(texts).alias("chunk_no", "text"))
 
 
 def dropped_documents(docs: DataFrame, id_col: str, text_col: str, name_col: str) -> DataFrame:
@@ -125,7 +125,7 @@ def shown_hit(rank: Column, record_id: Column, title: Column, heading_path: Colu
     named = F.filter(F.concat(F.array(filled(title)), heads), lambda h: h.isNotNull())
     first = F.concat_ws(" ", F.concat(rank.cast("string"), F.lit(".")), F.when(F.size(named) > 0, F.array_join(named, " › ")).otherwise(F.concat(F.lit("record "), record_id.cast("string"))))
     placed = F.when(filled(anchor).isNotNull() & ~F.contains(source, F.lit("#")), F.concat(source, F.lit("#"), anchor)).otherwise(source)
-    where = F.concat_ws(" · ", filled(placed), F.concat(F.lit("distance "), F.format_number(distance, "0.000")))
+    where = F.concat_ws(" · ", filled(placed), F.when(distance.isNotNull(), F.format_string("distance %.3f", distance)))
     plain = T.trimmed(F.regexp_replace(F.coalesce(text, F.lit("")), f"[{T.WS}]+", " "))
     last = F.concat(F.element_at(F.filter(F.concat(F.array(title), F.coalesce(heading_path, F.array().cast("array<string>"))), lambda h: h.isNotNull() & (h != "")), -1), F.lit(" "))
     own = F.when(F.coalesce(plain.startswith(last), F.lit(False)), F.substring(plain, F.length(last) + 1, F.length(plain))).otherwise(plain)

@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skerry.session import cut
+
 
 def origin(url: Column) -> Column:
     return F.lower(F.regexp_extract(url, r"^(https?://[^/?#]+)", 1))
@@ -106,6 +108,51 @@ def links(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
     return each.mapInArrow(resolve, "url string, link string").where("link is not null").distinct()
 
 
+#: Pages that a crawl takes, and bytes of a page, at most.
+MOST_PAGES, MOST_BYTES = 500, 2 * 1024 * 1024
+
+
+def _onward(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
+    """``url, nth, link``: where each page leads, in its order; a refresh tag leads before all links."""
+    tags = F.regexp_extract_all(html_col, F.lit(r"""(?i)\bhref\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'<>=`]+)"""), F.lit(0))
+    value = lambda tag: F.regexp_replace(tag, r"""(?i)^href\s*=\s*["']?|["']$""", "")
+    refresh = meta_refresh_target(F.col(html_col))
+    told = F.concat(F.when(refresh.isNotNull(), F.array(refresh)).otherwise(F.array().cast("array<string>")), F.transform(tags, value))
+    each = pages.select(F.col(url_col).alias("url"), F.posexplode(told).alias("nth", "href"))
+
+    def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            full = [_resolved(base, href) for base, href in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(full, pa.string())], names=["url", "nth", "link"])
+
+    return each.mapInArrow(resolve, "url string, nth int, link string").where("link is not null")
+
+
+def crawled(pages: DataFrame, start: str, url_col: str, html_col: str, robots: Robots | None = None, include: list[str] | None = None, exclude: list[str] | None = None, most: int = MOST_PAGES) -> DataFrame:
+    """``position, depth, url``: the pages of a fetched collection that a crawl from ``start`` takes, breadth first, in the order in which they are found.
+
+    A page is taken if it is in the scope of the start, the robots rules and path filters allow it, and it is at most :data:`MOST_BYTES` long. Each level of
+    the crawl is one join of the level before with the pages' links, so there are as many rounds as levels; ``most`` pages end it.
+    """
+    known = pages.where(F.octet_length(html_col) <= MOST_BYTES).dropDuplicates([url_col])
+    url = F.col(url_col)
+    wanted = in_scope(url, start) & (F.lit(True) if robots is None else allowed(url, robots)) & path_filter(url, include or [], exclude or [])
+    taken = known.where(wanted)
+    onward = cut(_onward(taken, url_col, html_col).join(taken.select(url.alias("link")), "link", "left_semi"))
+    spark = pages.sparkSession
+    level = cut(taken.where(url == start).select(F.lit(0).cast("long").alias("position"), F.lit(0).alias("depth"), url.alias("url")))
+    done, n = level, level.count()
+    size = n
+    while size and n < most:
+        found = level.select("position", "depth", "url").join(onward, "url").groupBy("link").agg(F.min(F.struct("position", "nth")).alias("first"), (F.min("depth") + 1).alias("depth"))
+        new = found.join(done.select(F.col("url").alias("link")), "link", "left_anti").orderBy("first", "link").limit(most - n)  # the feature: a crawl's end
+        rows = new.select("depth", "link").collect()  # most rows at most
+        level = spark.createDataFrame([(n + i, r["depth"], r["link"]) for i, r in enumerate(rows)], "position long, depth int, url string")
+        done, size = done.unionByName(level), len(rows)
+        n += size
+    return done
+
+
 def _resolved(base: str | None, href: str) -> str | None:
     """A link's url, if it leads by http(s) to the origin of its page."""
     try:

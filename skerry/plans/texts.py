@@ -123,7 +123,7 @@ def t10_exchanges(spark: SparkSession, d: str) -> DataFrame:
 def t11_exchange_texts(spark: SparkSession, d: str) -> DataFrame:
     order = ["create_time", "message_id"]
     folded = chunking.exchanges(_turns(spark, d), "conv_id", order, "role")
-    day = F.date_format(F.timestamp_millis((F.col("create_time") * 1000).cast("long")), "yyyy-MM-dd")
+    day = F.date_from_unix_date(F.floor(F.col("create_time") / 86_400).cast("int")).cast("string")
     texts = chunking.exchange_texts(folded, "conv_id", order, "role", "content", F.col("conv_id"), F.col("project"), day)
     return texts.select("conv_id", "exchange_no", F.sha2("text", 256).alias("digest"))
 

@@ -367,6 +367,21 @@ def test_links(spark):
     assert one(spark, crawl.meta_refresh_target(F.col("h")), h=page) == "/next"
 
 
+def test_a_crawl_takes_levels_in_order(spark):
+    page = lambda *links: " ".join(f'<a href="{x}">x</a>' for x in links)
+    site = "https://x.example/docs/"
+    pages = {
+        site: page("b", "a", "/out", "b#again", "no/x"), site + "a": page("c"), site + "b": page("d", "a", "missing", "big"), site + "c": page(""), site + "d": "<meta http-equiv=refresh content='0;url=e'>" + page("f"),
+        site + "e": page(), site + "f": page(), site + "alone": page("a"), "https://x.example/out": page(), site + "no/x": page(), site + "big": "y" * (crawl.MOST_BYTES + 1),
+    }
+    df = spark.createDataFrame(list(pages.items()), "url string, html string")
+    robots = crawl.robots_rules("User-agent: *\nDisallow: /docs/no", "skerry")
+    go = lambda **k: [(r.depth, r.url.removeprefix(site)) for r in crawl.crawled(df, site, "url", "html", robots, **k).orderBy("position").collect()]
+    assert go() == [(0, ""), (1, "b"), (1, "a"), (2, "d"), (2, "c"), (3, "e"), (3, "f")]
+    assert go(most=4) == go()[:4] and go(exclude=["*/b"]) == [(0, ""), (1, "a"), (2, "c")]
+    assert crawl.crawled(df, "https://x.example/none", "url", "html").count() == 0
+
+
 def test_note_problems(spark):
     good = ("todo", " Title ", "text", ["A", "a", "b "])
     wrong = {"kind": ("finding", *good[1:]), "title": ("todo", "x" * 201, *good[2:]), "text": ("todo", "t", "é" * 8193, None), "tags": ("todo", "t", "x", ["y"] * 21)}
