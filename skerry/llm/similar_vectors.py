@@ -39,6 +39,9 @@ REACH = 0.25
 #: Copies of one vector within a batch beyond which further copies take their neighbours from the batch.
 COPIES = 1_000
 
+#: Bytes of visits that a task compares, about, and tasks at most.
+TASK_BYTES, MOST_TASKS = 16 << 20, 20_000
+
 #: Similarities count to this many decimals; equal ones are ordered by id.
 DECIMALS = 6
 
@@ -338,9 +341,12 @@ def similar_vectors(
         deep = narrow.mapInArrow(index(True, visits), _VISIT)
         led = deep.groupBy("node", "block").cogroup(own.groupBy("node", "block")).applyInArrow(lead, _VISIT)
         rows = rows.unionByName(led)
-    near = rows.groupBy("node", "sub", "block", "visit").applyInArrow(compare, "id long, other long, similarity int")
+    # As many tasks as the visits ask for, by number: a task's share would grow with the table under a fixed one.
+    size = expected * (trees + visits) * (dim * (4 if kind == "f32" else 1) + 64)
+    tasks = min(MOST_TASKS, max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // TASK_BYTES)))
+    near = rows.repartition(tasks, "node", "sub", "block", "visit").groupBy("node", "sub", "block", "visit").applyInArrow(compare, "id long, other long, similarity int")
     # Both the choice among visits and the ranking use the one shuffle by id.
-    once = near.repartition("id").groupBy("id", "other").agg(F.max("similarity").alias("similarity"))
+    once = near.repartition(tasks, "id").groupBy("id", "other").agg(F.max("similarity").alias("similarity"))
     place = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("similarity"), "other"))
     return once.withColumn("place", place).where(F.col("place") <= k).select(F.lit(kind).alias("vec_set"), "id", "other", (F.col("similarity") / 10**DECIMALS).alias("similarity"))
 
