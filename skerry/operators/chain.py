@@ -14,7 +14,7 @@ from skerry.errors import SkerryError, require
 from skerry.functions import vector as V
 from skerry.operators import knn
 from skerry.operators.lexical import LexicalIndex, build_index
-from skerry.session import bounded_collect, cut
+from skerry.session import bounded_collect, cut, stored
 
 #: Layers above a base, steps that a supersession is followed, and the drift from which a chain is stale.
 MAX_DEPTH, MAX_HOPS, DRIFT_LIMIT = 16, 64, 0.20
@@ -217,7 +217,7 @@ def compacted(records: DataFrame, tombstones: DataFrame, termed: DataFrame | Non
     moved = cut(knn.compacted(records.select("record_id"), tombstones.select("record_id")))
     renumber = lambda df: df.join(moved, F.col("record_id") == F.col("old_id")).drop("record_id", "old_id").withColumnRenamed("new_id", "record_id")
     rewritten = renumber(records)
-    return moved, rewritten, LexicalIndex(cut(renumber(termed))) if termed is not None else build_index(rewritten, "record_id", "text")
+    return moved, rewritten, LexicalIndex(stored(renumber(termed))) if termed is not None else build_index(rewritten, "record_id", "text")
 
 
 def translate(citations: DataFrame, id_map: DataFrame, current: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 
 from skerry.functions.text import index_terms, query_terms
 from skerry.operators import blocks
-from skerry.session import cut
+from skerry.session import stored
 
 #: BM25's two constants, the candidates of a query, and the share of the top score that a candidate keeps.
 K1, B = 1.2, 0.75
@@ -67,8 +67,8 @@ def terms_of(records: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def build_index(records: DataFrame, id_col: str, text_col: str) -> LexicalIndex:
-    """The index of ``records``; written once (at a checkpoint), whatever is asked of it. :class:`skerry.pack.Pack` saves it."""
-    return LexicalIndex(cut(terms_of(records, id_col, text_col)))
+    """The index of ``records``; written once, in columns, whatever is asked of it. :class:`skerry.pack.Pack` saves it."""
+    return LexicalIndex(stored(terms_of(records, id_col, text_col)))
 
 
 def document_frequencies(index: LexicalIndex, queries: DataFrame, id_col: str, text_col: str) -> DataFrame:

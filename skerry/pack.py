@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from skerry.errors import SkerryError, require
 from skerry.functions import vector as V
 from skerry.operators import chain, fusion, grounding, integrity, knn, lexical
-from skerry.session import cut, cut_all, small
+from skerry.session import cut, side_by_side, small, stored
 
 #: The tables of a pack, and the version of its layout.
 TABLES, LAYOUT = ("records", "termed", "postings", "vectors", "codes"), 2
@@ -41,7 +41,7 @@ class Pack:
             raise SkerryError("INVALID_VECTOR", f"a vector is not {dim} finite numbers with a length")
         keys = ["pack"] if "pack" in vectors.columns else []
         unit = vectors.select("record_id", *keys, V.normalized(V.doubles(F.col("vector"))).alias("vector"))
-        termed, codes = cut_all(lexical.terms_of(records, "record_id", "text"), knn.coded(unit, pool))
+        termed, codes = side_by_side(lambda: stored(lexical.terms_of(records, "record_id", "text")), lambda: stored(knn.coded(unit, pool)))
         return cls(records, lexical.LexicalIndex(termed), unit, codes, dim, pool)
 
     def save(self, path: str) -> str:
@@ -98,7 +98,8 @@ class Pack:
         depth = knn.rerank_depth(self.codes.count(), k, rerank, self.depth)
         asked, codes = knn.asked(questions), self.codes if excluded is None else self.codes.join(excluded.select("record_id"), "record_id", "left_anti")
         near = knn.sketch_candidates(asked, codes, self.dim, self.pool, depth).select("query_id", "record_id")
-        lex, near = cut_all(lexical.cutoff(lexical.bm25(self.index, questions, "query_id", "text", exclude=excluded)), near)
+        found = lexical.cutoff(lexical.bm25(self.index, questions, "query_id", "text", exclude=excluded))
+        lex, near = side_by_side(lambda: cut(found), lambda: cut(near))
         return cut(knn.rerank(near.union(lex.select("query_id", "record_id")).distinct(), asked, codes, None)), lex
 
     def hits(self, questions: DataFrame, vec: DataFrame, lex: DataFrame, k: int, retrieval: str = "hybrid") -> DataFrame:

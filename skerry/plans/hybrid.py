@@ -14,7 +14,7 @@ from skerry.operators import encode, fusion, grounding
 from skerry.pack import Pack
 from skerry.plans.search import DIM, K, POOL, bm25_sql, ground_sql
 from skerry.plans.texts import sql_index_terms, sql_query_terms, sql_quoted, sql_tokens, sql_trim
-from skerry.session import bounded_collect, cut, spread, table
+from skerry.session import bounded_collect, cut, spread, stored, table
 
 #: Packs of one table at most; more are an error.
 MOST_PACKS = 1_000
@@ -33,7 +33,7 @@ def questions_of(records: DataFrame) -> DataFrame:
 
 def pack_of(records: DataFrame) -> Pack:
     keys = ["pack"] if "pack" in records.columns else []
-    records = cut(records)
+    records = stored(records)
     return Pack.compile(records, encode.hash_vectors(records.select("record_id", *keys, "text"), "text", DIM), DIM, POOL, checked=False)
 
 
