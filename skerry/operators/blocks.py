@@ -55,9 +55,22 @@ def _numbers(n: int) -> Column:
     return F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))
 
 
-def against_all(queries: DataFrame, rows: DataFrame, scan: Scan, schema: str, numbers: int) -> DataFrame:
+def best_of(found: list[pa.RecordBatch], value: str, most: int, greatest: bool) -> pa.Table:
+    """Of all results the ``most`` of each query with the least (or greatest) value, equal ones by record."""
+    table = pa.Table.from_batches(found).combine_chunks()
+    query, record, far = (table.column(c).to_numpy() for c in ("query_id", "record_id", value))
+    order = np.lexsort((record, -far if greatest else far, query))
+    query = query[order]
+    first = np.flatnonzero(np.r_[True, query[1:] != query[:-1]]) if len(query) else np.zeros(0, np.int64)
+    place = np.arange(len(query)) - np.repeat(first, np.diff(np.r_[first, len(query)]))
+    return table.take(pa.array(order[place < most]))
+
+
+def against_all(queries: DataFrame, rows: DataFrame, scan: Scan, schema: str, numbers: int, keep: tuple[str, int, bool] | None = None) -> DataFrame:
     """``scan`` of every query with every row, in parts whose results the caller merges.
 
+    With ``keep`` (value column, most, whether the greatest are best) a partition sends only its best of each query, over all of its batches.
+
     A query holds about ``numbers`` numbers. Queries within :data:`BROADCAST_NUMBERS` are sent to every partition, which reads
     its rows once and in batches; more are cut in blocks that meet each block of rows in a task. Where both have a
     column ``pack``, only equal packs meet. A column ``query_id`` and one ``record_id`` are needed. Results are the same either way.
@@ -68,10 +81,21 @@ def against_all(queries: DataFrame, rows: DataFrame, scan: Scan, schema: str, nu
         shipped = rows.sparkSession.sparkContext.broadcast(head)
 
         def beside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            asked = shipped.value
+            asked, held, size = shipped.value, [], 0
             for batch in batches:
-                if batch.num_rows and asked.num_rows:
-                    yield from _by_pack(asked, pa.Table.from_batches([batch]), scan)
+                if not (batch.num_rows and asked.num_rows):
+                    continue
+                for found in _by_pack(asked, pa.Table.from_batches([batch]), scan):
+                    if keep is None:
+                        yield found
+                        continue
+                    held.append(found)
+                    size += found.num_rows
+                if keep and size > 4 * keep[1] * asked.num_rows:
+                    held = best_of(held, *keep).to_batches()
+                    size = sum(b.num_rows for b in held)
+            if held:
+                yield from best_of(held, *keep).to_batches()
 
         return rows.mapInArrow(beside, schema)
     # Columns by new names inside, as both sides may come from one table.

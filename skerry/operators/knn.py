@@ -83,7 +83,7 @@ def exact_knn(queries: DataFrame, rows: DataFrame, k: int, dim: int, metric: str
     def scan(q: pa.Table, r: pa.Table) -> Iterator[pa.RecordBatch]:
         yield from _nearest(blocks.matrix(q.column("vector"), dim), q.column("query_id").to_numpy(), blocks.matrix(r.column("vector"), dim), r.column("record_id").to_numpy(), k, metric, skip_self)
 
-    return ranked(blocks.against_all(queries, rows, scan, _SCHEMA, dim), k)
+    return ranked(blocks.against_all(queries, rows, scan, _SCHEMA, dim, ("distance", k, False)), k)
 
 
 def with_candidates(near: DataFrame, extra: DataFrame, queries: DataFrame, rows: DataFrame) -> DataFrame:
@@ -139,7 +139,7 @@ def sketch_candidates(queries: DataFrame, index: DataFrame, dim: int, pool: int,
             yield _hits(ids[at + line], rows[col], far[line, col])
 
     table = index.select(F.col("record_id").cast("long"), "sketch", "scale", "offset", *_pack(index))
-    return ranked(blocks.against_all(queries, table, scan, _SCHEMA, dim), depth)
+    return ranked(blocks.against_all(queries, table, scan, _SCHEMA, dim, ("distance", depth, False)), depth)
 
 
 def asked(queries: DataFrame, metric: str = "cosine") -> DataFrame:

@@ -140,7 +140,7 @@ def bm25(
             line, col = blocks.first_of_each_line(far, width if top is None else top)
             yield pa.RecordBatch.from_arrays([pa.array(ids[line]), pa.array(rows[order[first + col]]), pa.array(-far[line, col])], names=["query_id", "record_id", "score"])
 
-    scored = blocks.against_all(block, held, scan, "query_id long, record_id long, score double", NUMBERS)
+    scored = blocks.against_all(block, held, scan, "query_id long, record_id long, score double", NUMBERS, None if top is None else ("score", top, True))
     if top is None:
         return scored
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "record_id"))
