@@ -25,9 +25,12 @@ BANDS, ROWS = 24, 3
 #: 64-bit words of the parities of a text's shingles.
 WORDS = 4
 
-#: Copies of one class that are expanded into all their pairs; larger classes stand as pairs with their representative.
+#: Members from which a star's links with one another are not written out among the links, but marked.
 EXPAND = 200
 
+#: Members of a group that meet the whole group in one key when it is expanded into its pairs.
+PAIRED = 1_000
+
 #: Members of a bucket beyond which look-alikes are set aside as stars (so many are compared in pairs in a second), and the share of them that a round must find to be followed by another.
 HOT, WORTH = 2_000, 0.1
 
@@ -216,14 +219,14 @@ def stars(shared: DataFrame, narrow: DataFrame, width: int, min_words: int, thre
 def near_duplicate_classes(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, threshold: float = 0.8, min_words: int = 1, bands: int = BANDS, rows: int = ROWS
 ) -> tuple[DataFrame, DataFrame]:
-    """``members`` (``id, cls, copies``) and ``links`` (``a, b, similarity``, a < b) between classes of equal shingle sets.
+    """``members`` (``id, cls, copies``) and ``links`` (``a, b, similarity, star``, a < b) between classes of equal shingle sets.
 
     A class is named by its least id. Texts of fewer than ``max(min_words, width)`` words, null texts and null ids are in no
     class; rows that repeat an id count once; a very long text is compared whole. Empty tables give no rows. Other columns are
     not read.
 
-    Links are all that were found, but for stars of :data:`EXPAND` members or more: of those each member is linked with its hub, and with one another
-    they are linked by that.
+    Links are all that were found, but for stars of :data:`EXPAND` members or more: of those each member's link with its hub bears the hub as ``star`` (null in
+    other links), and all members of one star are linked with one another by that, which :func:`near_duplicate_pairs` writes out.
     """
     narrow = _narrow(df, id_col, text_col)
     sigs = cut(signature_table(narrow, width, min_words, bands, rows))
@@ -263,22 +266,35 @@ def near_duplicate_classes(
         for other in more:
             pairs = pairs.unionByName(other)
     pairs = cut(pairs.distinct())
-    links = cut(_verified(pairs, _sets_of(narrow, _ends(pairs), width, min_words), threshold))
-    return members, links
+    links = _verified(pairs, _sets_of(narrow, _ends(pairs), width, min_words), threshold)
+    if star is None:
+        return members, cut(links.withColumn("star", F.lit(None).cast("long")))
+    many = sized.where(F.col("n") >= EXPAND).select(F.least("cls", "hub").alias("a"), F.greatest("cls", "hub").alias("b"), F.col("hub").alias("star"))
+    return members, cut(links.join(many, ["a", "b"], "left").select("a", "b", "similarity", "star"))
+
+
+def _within(rows: DataFrame) -> DataFrame:
+    """``x, y``, x < y: all pairs of each group of rows ``id, grp, n`` (its size), a large one in parts that meet the whole group each."""
+    parted = rows.withColumn("parts", F.ceil(F.col("n") / PAIRED).cast("int"))
+    x = parted.select(F.col("id").alias("x"), "grp", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"))
+    y = parted.select(F.col("id").alias("y"), "grp", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    return x.join(y, ["grp", "part"]).where("x < y").select("x", "y")
 
 
-def near_duplicate_pairs(members: DataFrame, links: DataFrame, expand: int = EXPAND) -> DataFrame:
-    """Distinct ``id_a, id_b``, id_a < id_b: every link with the copies at both ends, and the copies of each class.
+def near_duplicate_pairs(members: DataFrame, links: DataFrame, expand: int | None = None) -> DataFrame:
+    """Distinct ``id_a, id_b``, id_a < id_b: every link, those that a star stands for too, with the copies at both ends, and the copies of each class.
 
-    The copies of a class of more than ``expand`` stand as pairs with its representative, to which the class's links go; so no
-    link between different texts is lost, and no class gives more than ``expand`` pairs a copy.
+    A class or star of n gives n squared / 2 pairs. With ``expand`` the copies of a class of more stand as pairs with its representative, to which the class's links go.
     """
-    few = members.where(F.col("copies") <= expand).select("id", "cls").unionByName(members.where((F.col("copies") > expand) & (F.col("id") == F.col("cls"))).select("id", "cls"))
+    seats = links.where("star is not null").select(F.when(F.col("a") == F.col("star"), F.col("b")).otherwise(F.col("a")).alias("id"), F.col("star").alias("grp"))
+    sized = seats.join(seats.groupBy("grp").agg(F.count(F.lit(1)).alias("n")), "grp")
+    linked = links.select("a", "b").unionByName(_within(sized).toDF("a", "b"))
+    whole = F.lit(True) if expand is None else F.col("copies") <= expand
+    few = members.where(whole).select("id", "cls").unionByName(members.where(~whole & (F.col("id") == F.col("cls"))).select("id", "cls"))
     a, b = few.select(F.col("id").alias("x"), F.col("cls").alias("a")), few.select(F.col("id").alias("y"), F.col("cls").alias("b"))
-    across = links.join(a, "a").join(b, "b").select("x", "y")
-    within = members.where((F.col("copies") > 1) & (F.col("copies") <= expand)).select("id", "cls")
-    copies = within.select(F.col("id").alias("x"), "cls").join(within.select(F.col("id").alias("y"), "cls"), "cls").where("x < y").select("x", "y")
-    stars = members.where((F.col("copies") > expand) & (F.col("id") != F.col("cls"))).select(F.col("cls").alias("x"), F.col("id").alias("y"))
+    across = linked.join(a, "a").join(b, "b").select("x", "y")
+    copies = _within(members.where((F.col("copies") > 1) & whole).select("id", F.col("cls").alias("grp"), F.col("copies").alias("n")))
+    stars = members.where(~whole & (F.col("id") != F.col("cls"))).select(F.col("cls").alias("x"), F.col("id").alias("y"))
     pairs = across.unionByName(copies).unionByName(stars)
     return pairs.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()
 

@@ -385,6 +385,16 @@ def test_a_hub_of_thousands_of_look_alikes_is_a_star(spark):
     assert groups == {0}
 
 
+def test_stars_and_classes_of_hundreds_give_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(N, "HOT", 100)
+    monkeypatch.setattr(N, "PAIRED", 90)
+    texts = dict(enumerate(look_alikes(250, 7, changes=1) + look_alikes(1, 8) * 230))
+    members, links = N.near_duplicate_classes(spark.createDataFrame([(i, t, 1, None, None, None, 1) for i, t in texts.items()], DOCS), width=3, threshold=0.6)
+    assert links.count() < 4 * 250
+    pairs = [tuple(r) for r in N.near_duplicate_pairs(members, links).collect()]
+    assert len(pairs) == len(set(pairs)) and set(pairs) == set(itertools.combinations(range(250), 2)) | set(itertools.combinations(range(250, 480), 2)) == brute_pairs(texts, 3, 0.6, 1)
+
+
 def test_no_documents(spark):
     members, links = N.near_duplicate_classes(spark.createDataFrame([], DOCS))
     assert members.count() == 0 and links.count() == 0 and N.near_duplicate_groups(members, links).count() == 0
