@@ -80,7 +80,7 @@ def exact_knn(queries: DataFrame, rows: DataFrame, k: int, dim: int, metric: str
     rows = rows.select(F.col("record_id").cast("long"), V.doubles(F.col("vector")).alias("vector"), *_pack(rows)).where(F.size("vector") == dim)
     queries = queries.select(F.col("query_id").cast("long"), V.doubles(F.col("vector")).alias("vector"), *_pack(queries)).where(F.size("vector") == dim)
 
-    def scan(q: pa.Table, r: pa.Table) -> Iterator[pa.RecordBatch]:
+    def scan(q: pa.Table, r: pa.Table, border: np.ndarray | None) -> Iterator[pa.RecordBatch]:
         yield from _nearest(blocks.matrix(q.column("vector"), dim), q.column("query_id").to_numpy(), blocks.matrix(r.column("vector"), dim), r.column("record_id").to_numpy(), k, metric, skip_self)
 
     return ranked(blocks.against_all(queries, rows, scan, _SCHEMA, dim, ("distance", k, False)), k)
@@ -127,7 +127,7 @@ def sketch_matrix_distances(query: np.ndarray, sketch: np.ndarray, scale: np.nda
 def sketch_candidates(queries: DataFrame, index: DataFrame, dim: int, pool: int, depth: int, bits: int = 4, metric: str = "cosine") -> DataFrame:
     """``query_id, record_id, distance, vec_rank``: the ``depth`` rows of each query that are nearest by their sketches."""
 
-    def scan(q: pa.Table, r: pa.Table) -> Iterator[pa.RecordBatch]:
+    def scan(q: pa.Table, r: pa.Table, border: np.ndarray | None) -> Iterator[pa.RecordBatch]:
         ids, asked = q.column("query_id").to_numpy(), blocks.matrix(q.column("vector"), dim)
         rows = r.column("record_id").to_numpy()
         order = np.argsort(rows, kind="stable")
@@ -135,7 +135,8 @@ def sketch_candidates(queries: DataFrame, index: DataFrame, dim: int, pool: int,
         scale, offset = (r.column(c).to_numpy()[order] for c in ("scale", "offset"))
         for at in range(0, len(ids), step := max(1, blocks.CELLS // max(1, len(rows)))):
             far = sketch_matrix_distances(asked[at : at + step], sketch, scale, offset, pool, bits, metric)
-            line, col = blocks.first_of_each_line(far, depth)
+            near = far <= (np.inf if border is None else border[at : at + step, None])
+            line, col = np.nonzero(near) if np.count_nonzero(near) <= 8 * depth * len(far) else blocks.first_of_each_line(far, depth)
             yield _hits(ids[at + line], rows[col], far[line, col])
 
     table = index.select(F.col("record_id").cast("long"), "sketch", "scale", "offset", *_pack(index))
@@ -219,7 +220,7 @@ def dense_ids(df: DataFrame, order_col: str, name: str) -> DataFrame:
 def assigned(rows: DataFrame, centres: DataFrame, dim: int) -> DataFrame:
     """``record_id, centre, distance``: the nearest centre (centre, vector) of each row by cosine, the lower of equal ones; rows stay where they are."""
 
-    def scan(q: pa.Table, r: pa.Table) -> Iterator[pa.RecordBatch]:
+    def scan(q: pa.Table, r: pa.Table, border: np.ndarray | None) -> Iterator[pa.RecordBatch]:
         names, some = q.column("query_id").to_numpy(), blocks.matrix(q.column("vector"), dim)
         order = np.argsort(names, kind="stable")
         far = np.round(1 - np.clip(blocks.matrix(r.column("vector"), dim) @ some[order].T, -1, 1), DECIMALS)

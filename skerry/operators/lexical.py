@@ -101,9 +101,7 @@ def bm25(
     keys = index.keys
     asked = queries.select(F.col(id_col).cast("long").alias("query_id"), *keys, F.explode(query_terms(F.col(text_col))).alias("term"))
     if terms is None:
-        # Counted for the questions' terms alone: the others leave before the shuffle.
-        each = index.termed.select(*keys, F.explode(F.array_distinct("all")).alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
-        terms = each.groupBy("term", *keys).agg(F.count(F.lit(1)).alias("df"))
+        terms = index.terms
     sizes = F.broadcast(index.stats if stats is None else stats)  # one row, or one a pack
     known = asked.join(terms, ["term", *keys])
     known = known.join(sizes, keys) if keys else known.crossJoin(sizes)
@@ -114,7 +112,7 @@ def bm25(
     if exclude is not None:
         held = held.join(exclude.select("record_id"), "record_id", "left_anti")
 
-    def scan(q: pa.Table, r: pa.Table) -> Iterator[pa.RecordBatch]:
+    def scan(q: pa.Table, r: pa.Table, border: np.ndarray | None) -> Iterator[pa.RecordBatch]:
         known, start, who, weight = _weighed(q)
         avgdl, ids, n = q.column("avgdl")[0].as_py(), q.column("query_id").to_numpy(), q.num_rows
         lists = r.column("held").combine_chunks()
@@ -122,23 +120,25 @@ def bm25(
         flat = lists.flatten().to_numpy(zero_copy_only=False)
         at = np.minimum(np.searchsorted(known, flat), len(known) - 1)
         met = known[at] == flat
+        rows = r.column("record_id").to_numpy()
         posting, tf = np.unique(np.repeat(np.arange(len(sizes)), sizes)[met] * len(known) + at[met], return_counts=True)
         doc, term = posting // len(known), posting % len(known)
         part = tf / (tf + K1 * (1 - B + B * sizes[doc] / avgdl))
-        rows = r.column("record_id").to_numpy()
-        order = np.argsort(rows, kind="stable")
-        place = np.argsort(order, kind="stable")  # columns stand in the order of ids, so equal scores go by id
-        for first in range(0, len(rows), step := max(1, blocks.CELLS // n)):
-            some = (place[doc] >= first) & (place[doc] < first + step)
-            d, t, p = place[doc[some]] - first, term[some], part[some]
-            many = start[t + 1] - start[t]
-            each = np.repeat(np.arange(len(t)), many)
-            query = np.arange(len(each)) - np.repeat(np.cumsum(many) - many, many) + start[t][each]
-            width = min(step, len(rows) - first)
-            score = np.bincount(who[query] * width + d[each], p[each] * weight[query], minlength=n * width).reshape(n, width)
-            far = np.where(score > 0, -np.round(score, DECIMALS), np.inf)
-            line, col = blocks.first_of_each_line(far, width if top is None else top)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[line]), pa.array(rows[order[first + col]]), pa.array(-far[line, col])], names=["query_id", "record_id", "score"])
+        many = start[term + 1] - start[term]
+        # Pairs of a posting and a query before each record: a step has so many cells, and so many pairs, at most.
+        begin = np.searchsorted(doc, np.arange(len(rows) + 1))
+        before = np.concatenate([[0], np.cumsum(many)])[begin]
+        first = 0
+        while first < len(rows):
+            end = min(len(rows), first + max(1, blocks.CELLS // n), max(first + 1, int(np.searchsorted(before, before[first] + blocks.CELLS, "right")) - 1))
+            some, width = slice(begin[first], begin[end]), end - first
+            each = np.repeat(start[term[some]] - np.cumsum(many[some]) + many[some], many[some]) + np.arange(before[end] - before[first])
+            score = np.bincount(who[each] * width + np.repeat(doc[some] - first, many[some]), np.repeat(part[some], many[some]) * weight[each], minlength=n * width).reshape(n, width)
+            # A score counts rounded, so what is a little below the border may still reach it.
+            least = np.maximum(0 if border is None else -border - 10.0**-DECIMALS, np.nextafter(0, 1))
+            line, col = np.nonzero(score >= np.broadcast_to(least, n)[:, None])
+            yield pa.RecordBatch.from_arrays([pa.array(ids[line]), pa.array(rows[first + col]), pa.array(np.round(score[line, col], DECIMALS))], names=["query_id", "record_id", "score"])
+            first = end
 
     scored = blocks.against_all(block, held, scan, "query_id long, record_id long, score double", NUMBERS, None if top is None else ("score", top, True))
     if top is None:

@@ -1,4 +1,5 @@
 import math
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -479,3 +480,35 @@ def test_depth_curve(spark):
 
 def test_chain_order():
     assert layout.chain_order(np.array([[1.0, 0], [0, 1.0], [0.8, 0.6]])) == [0, 2, 1]
+
+
+def test_the_best_of_each_query_take_no_more_room_than_is_kept():
+    rng = np.random.default_rng(3)
+    best, seen = blocks.Best(400, 20), []
+    tracemalloc.start()
+    for _ in range(30):
+        line, record, value = rng.integers(0, 400, 100_000), rng.integers(0, 1 << 40, 100_000), np.round(rng.random(100_000), 3)
+        seen.append((line[line < 3], record[line < 3], value[line < 3]))
+        best.offer(line, record, value)
+    got = [np.concatenate(x) for x in zip(*best.results(), strict=True)]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60e6  # all that was offered is 72 MB
+    line, record, value = (np.concatenate(x) for x in zip(*seen, strict=True))
+    for i in range(3):
+        want = sorted(zip(value[line == i].tolist(), record[line == i].tolist(), strict=True))[:20]
+        assert list(zip(got[2][got[0] == i].tolist(), got[1][got[0] == i].tolist(), strict=True)) == want
+
+
+def test_bm25_of_many_queries_in_several_blocks(spark, monkeypatch):
+    """A term that most questions and most records share, and more results than one block of queries may keep."""
+    words = ["crane", "pier", "tide", "dock", "rope"]
+    records = spark.createDataFrame([(i, " ".join([words[i % 5]] * (1 + i % 3) + ["harbour"])) for i in range(200)], "record_id long, text string")
+    asked = spark.createDataFrame([(i, f"harbour {words[i % 5]}") for i in range(60)], "query_id long, text string")
+    found = lambda: {tuple(r) for r in lexical.bm25(lexical.build_index(records, "record_id", "text"), asked, "query_id", "text", top=4).collect()}
+    whole = found()
+    assert len(whole) == 240
+    monkeypatch.setattr(blocks, "KEPT", 100)
+    monkeypatch.setattr(blocks, "CELLS", 128)
+    monkeypatch.setattr(blocks, "WAITING", 64)
+    assert found() == whole
