@@ -26,7 +26,8 @@ def fuse(vectors: DataFrame, lexical: DataFrame, rrf_k: float = RRF_K, lexical_w
     first. A query without lexical candidates keeps its vector order.
     """
     lex = lexical.select("query_id", "record_id", "lex_rank")
-    joined = vectors.select("query_id", "record_id", "distance", "vec_rank").join(lex, ["query_id", "record_id"], "left")
+    # Once to each query, below all that a rule adds, so that several rules share the shuffle.
+    joined = vectors.select("query_id", "record_id", "distance", "vec_rank").join(lex, ["query_id", "record_id"], "left").repartition("query_id")
     whole = Window.partitionBy("query_id")
     has_lex = F.max(F.col("lex_rank").isNotNull()).over(whole)
     first = F.max(F.when(F.col("vec_rank") == 0, F.col("distance"))).over(whole)

@@ -167,19 +167,44 @@ def two_stage_knn(
 
 
 def rerank(candidates: DataFrame, queries: DataFrame, index: DataFrame, k: int | None, metric: str = "cosine") -> DataFrame:
-    """The candidates (query_id, record_id) at the exact distances of their coded rows; ``queries`` are of :func:`asked`."""
-    exact = candidates.join(index.select("record_id", "q", "scale", "offset"), "record_id").join(queries.select("query_id", "vector"), "query_id")
+    """The candidates (query_id, record_id) at the exact distances of their coded rows; ``queries`` are of :func:`asked`.
+
+    Codes go to candidates by one join. The vectors of a batch of queries are sent to every partition, so that no shuffle carries a code or a vector
+    for each candidate; larger batches (:data:`blocks.BROADCAST_NUMBERS`) and those of repeated ids are joined, too.
+    """
+    exact = candidates.select("query_id", "record_id").join(index.select("record_id", "q", "scale", "offset"), "record_id")
+    queries = queries.select("query_id", "vector")
+    first = queries.first()
+    most = blocks.BROADCAST_NUMBERS // max(1, len(first["vector"]) if first else 1)
+    head = queries.limit(most + 1).toArrow()
+    ids = head.column("query_id").to_numpy()
+    shipped = None
+    if 0 < head.num_rows <= most and len(np.unique(ids)) == len(ids):
+        order = np.argsort(ids)
+        shipped = queries.sparkSession.sparkContext.broadcast((ids[order], blocks.matrix(head.column("vector"), len(first["vector"]))[order]))
+        exact = exact.where(F.col("query_id").isNotNull())
+    else:
+        exact = exact.join(queries, "query_id")
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                part = pa.Table.from_batches([batch])
-                dim = len(part.column("q")[0])
-                y, q = (blocks.matrix(part.column(c), dim) for c in ("vector", "q"))
+            if not batch.num_rows:
+                continue
+            part = pa.Table.from_batches([batch])
+            query = part.column("query_id").to_numpy()
+            if shipped is not None:
+                names, vectors = shipped.value
+                at = np.minimum(np.searchsorted(names, query), len(names) - 1)
+                known = names[at] == query
+                part, query, y = part.filter(pa.array(known)), query[known], vectors[at[known]]
+            dim = len(part.column("q")[0]) if part.num_rows else 1
+            if shipped is None:
+                y = blocks.matrix(part.column("vector"), dim)
+            if part.num_rows:
                 scale, offset = (part.column(c).to_numpy()[:, None] for c in ("scale", "offset"))
-                yield _hits(part.column("query_id").to_numpy(), part.column("record_id").to_numpy(), _far(y, offset + scale * q, metric))
+                yield _hits(query, part.column("record_id").to_numpy(), _far(y, offset + scale * blocks.matrix(part.column("q"), dim), metric))
 
-    return ranked(exact.select("query_id", "record_id", "vector", "q", "scale", "offset").mapInArrow(measure, _SCHEMA), k)
+    return ranked(exact.mapInArrow(measure, _SCHEMA), k)
 
 
 def staged_knn(queries: DataFrame, index: DataFrame, micro: DataFrame, k: int, dim: int, pool: int, micro_pool: int, depth: int, boost: int = 4) -> DataFrame:

@@ -99,8 +99,8 @@ class Pack:
         asked, codes = knn.asked(questions), self.codes if excluded is None else self.codes.join(excluded.select("record_id"), "record_id", "left_anti")
         near = knn.sketch_candidates(asked, codes, self.dim, self.pool, depth).select("query_id", "record_id")
         found = lexical.cutoff(lexical.bm25(self.index, questions, "query_id", "text", exclude=excluded))
-        lex, near = side_by_side(lambda: cut(found), lambda: cut(near))
-        return cut(knn.rerank(near.union(lex.select("query_id", "record_id")).distinct(), asked, codes, None)), lex
+        lex, near = side_by_side(lambda: stored(found), lambda: stored(near))
+        return stored(knn.rerank(near.union(lex.select("query_id", "record_id")).distinct(), asked, codes, None)), lex
 
     def hits(self, questions: DataFrame, vec: DataFrame, lex: DataFrame, k: int, retrieval: str = "hybrid") -> DataFrame:
         """``query_id, record_id, distance, rank, lex_rank, vec_rank``: the first k of each query, fused, guarded and pinned in hybrid mode."""

@@ -15,7 +15,7 @@ from skerry.operators.lexical import build_index
 from skerry.plans import hybrid
 from skerry.plans.search import K, _L
 from skerry.plans.texts import sql_index_terms
-from skerry.session import cut, table
+from skerry.session import cut, stored, table
 
 
 def _records(spark: SparkSession, d: str) -> DataFrame:
@@ -81,13 +81,13 @@ def y7_chain_query(spark: SparkSession, d: str) -> DataFrame:
     """Candidates of every live tier and BM25 under the statistics of all records, merged and fused once; chains pin no phrase."""
     records = _records(spark, d)
     tiers = _tiers(spark, _size(records))
-    worded = cut(hybrid.records_of(spark, d))
-    gone = _tombstones(worded).select("record_id")
-    pack, questions = hybrid.pack_of(worded), hybrid.questions_of(worded)
-    lex = cut(lexical.cutoff(lexical.bm25(pack.index, questions, "query_id", "text", exclude=gone)))
+    pack = hybrid.pack_of(hybrid.records_of(spark, d))
+    worded = pack.records
+    gone, questions = _tombstones(worded).select("record_id"), hybrid.questions_of(worded)
+    lex = stored(lexical.cutoff(lexical.bm25(pack.index, questions, "query_id", "text", exclude=gone)))
     owned = chain.owners(worded.select("record_id"), tiers).select("record_id", F.col("depth").cast("long").alias("pack"))
     vec = chain.tiered_knn(questions, pack.codes.join(owned, "record_id"), 3, hybrid.DIM, hybrid.POOL, 100, lex, gone)
-    hits = fusion.fuse(cut(vec), lex).where(F.col("fused_rank") < K)
+    hits = fusion.fuse(stored(vec), lex).where(F.col("fused_rank") < K)
     return hits.select("query_id", "record_id", F.col("fused_rank").cast("long").alias("fused_rank"), F.round("distance", 6).alias("distance"))
 
 

@@ -512,3 +512,16 @@ def test_bm25_of_many_queries_in_several_blocks(spark, monkeypatch):
     monkeypatch.setattr(blocks, "CELLS", 128)
     monkeypatch.setattr(blocks, "WAITING", 64)
     assert found() == whole
+
+
+def test_exact_ranking_moves_no_vector_for_each_candidate(spark):
+    rng = np.random.default_rng(8)
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(40, 8)))], "record_id long, vector array<double>")
+    asked = knn.asked(vectors.where("record_id % 5 = 0").withColumnRenamed("record_id", "query_id"))
+    pairs = spark.createDataFrame([(i, j) for i in (0, 5, 7, 35) for j in (1, 2, 39, 99)], "query_id long, record_id long")
+    found = knn.rerank(pairs, asked, knn.coded(vectors, 2), None)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
+    got = {(r.query_id, r.record_id): r.distance for r in found.collect()}
+    assert set(got) == {(i, j) for i in (0, 5, 35) for j in (1, 2, 39)}  # 7 is no query, 99 no record
+    x = {r.record_id: np.array(r.vector) / np.linalg.norm(r.vector) for r in vectors.collect()}
+    assert all(abs(1 - x[i] @ x[j] - d) < 0.02 for (i, j), d in got.items())
