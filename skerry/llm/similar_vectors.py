@@ -45,6 +45,9 @@ COPIES = 1_000
 #: Bytes of visits that a task compares, about, and tasks at most.
 TASK_BYTES, MOST_TASKS = 16 << 20, 20_000
 
+#: Visits of a batch, vectors that are decoded at once, and similarities that a comparison holds at once: none of them grows with the table.
+ROWS, DECODED, CELLS = 8_192, 4_096, 1_000_000
+
 #: Similarities count to this many decimals; equal ones are ordered by id.
 DECIMALS = 6
 
@@ -56,13 +59,35 @@ def unit(rows: np.ndarray) -> np.ndarray:
 
 
 def decode(kind: str, packed: list[bytes] | np.ndarray, dim: int) -> np.ndarray:
-    """Unit float32 vectors of packed ones: float32 values, or uint8 codes followed by scale and offset."""
-    raw = np.frombuffer(b"".join(packed), np.uint8)
-    if kind == "f32":
-        return unit(raw.view(np.float32).reshape(-1, dim).astype(np.float64)).astype(np.float32)
-    raw = raw.reshape(-1, dim + 8)
-    affine = np.ascontiguousarray(raw[:, dim:]).view(np.float32).astype(np.float64)
-    return unit(affine[:, 1:] + affine[:, :1] * raw[:, :dim]).astype(np.float32)
+    """Unit float32 vectors of packed ones (or of a line of bytes each): float32 values, or uint8 codes followed by scale and offset."""
+    out = np.empty((len(packed), dim), np.float32)
+    for at in range(0, len(packed), DECODED):
+        some = packed[at : at + DECODED]
+        raw = np.ascontiguousarray(some) if isinstance(some, np.ndarray) else np.frombuffer(b"".join(some), np.uint8).reshape(len(some), -1)
+        if kind == "f32":
+            real = raw.view(np.float32).astype(np.float64)
+        else:
+            affine = np.ascontiguousarray(raw[:, dim:]).view(np.float32).astype(np.float64)
+            real = affine[:, 1:] + affine[:, :1] * raw[:, :dim]
+        out[at : at + len(some)] = unit(real)
+    return out
+
+
+def decode_sorted(kind: str, group: pa.Table, dim: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order, ids, vectors) of a group (id, value) by id; values are decoded where they lie, a chunk at a time."""
+    ids = group.column("id").to_numpy()
+    order = np.argsort(ids, kind="stable")
+    place = np.empty(len(ids), np.int64)
+    place[order] = np.arange(len(ids))
+    vectors, at = np.empty((len(ids), dim), np.float32), 0
+    for chunk in group.column("value").chunks:
+        for first in range(0, len(chunk), DECODED):
+            part = chunk.slice(first, DECODED)
+            ends = np.frombuffer(part.buffers()[1], np.int32)[part.offset : part.offset + len(part) + 1]
+            raw = np.frombuffer(part.buffers()[2], np.uint8)[ends[0] : ends[-1]].reshape(len(part), -1)
+            vectors[place[at : at + len(part)]] = decode(kind, raw, dim)
+            at += len(part)
+    return order, ids[order], vectors
 
 
 def pack_floats(batch: pa.RecordBatch, dim: int) -> tuple[np.ndarray, list[bytes]]:
@@ -208,14 +233,15 @@ def visits_of(trees: list[Tree], rows: np.ndarray, visits: int) -> tuple[np.ndar
 
 def nearest(queries: np.ndarray, query_ids: np.ndarray, members: np.ndarray, member_ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query, member, similarity in units of 10**-DECIMALS) of the k most similar members of each query, equal ones by lower id."""
-    order = np.argsort(member_ids, kind="stable")
-    members, member_ids = members[order], member_ids[order]
+    if (member_ids[1:] < member_ids[:-1]).any():
+        order = np.argsort(member_ids, kind="stable")
+        members, member_ids = members[order], member_ids[order]
     ids, others, near = [], [], []
     tie = np.arange(len(members)) / (2.0 * max(1, len(members)))
     take = min(k, len(members))
-    for at in range(0, len(queries), 512):
-        own = query_ids[at : at + 512]
-        exact = np.rint((queries[at : at + 512] @ members.T).astype(np.float64) * 10**DECIMALS)
+    for at in range(0, len(queries), step := max(1, min(512, CELLS // max(1, len(members))))):
+        own = query_ids[at : at + step]
+        exact = np.rint((queries[at : at + step] @ members.T).astype(np.float64) * 10**DECIMALS)
         key = exact - tie
         key[own[:, None] == member_ids[None, :]] = -np.inf
         best = np.argpartition(-key, take - 1, axis=1)[:, :take] if take < len(members) else np.tile(np.arange(take), (len(own), 1))
@@ -228,6 +254,15 @@ def nearest(queries: np.ndarray, query_ids: np.ndarray, members: np.ndarray, mem
     return np.concatenate(ids), np.concatenate(others), np.concatenate(near)
 
 
+def compared(kind: str, group: pa.Table, dim: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """:func:`nearest` of all that came to a leaf, or to a block of it. Beside the visits it holds their vectors once, if all are compared with all."""
+    order, ids, vectors = decode_sorted(kind, group, dim)
+    member, visitor = (group.column(c).to_numpy(zero_copy_only=False)[order] for c in ("member", "visitor"))
+    if visitor.all():  # the whole leaf, or one of its two blocks: guests are compared with one another and members with guests, too
+        return nearest(vectors, ids, vectors, ids, k)
+    return nearest(vectors[visitor], ids[visitor], vectors[member], ids[member], k) if member.any() and visitor.any() else (ids[:0], ids[:0], ids[:0])
+
+
 def fit(rows: np.ndarray, expected: int, trees: int = TREES, leaf: int = LEAF, seed: int = 7) -> list[Tree]:
     """Trees over a sample of ``expected`` vectors, with leaves of about ``leaf`` of all vectors, 8 of the sample at least."""
     rng = np.random.default_rng(seed)
@@ -290,17 +325,19 @@ def similar_vectors(
                         continue
                     ids = batch.column(0).to_numpy(zero_copy_only=False)[at].astype(np.int64)
                     keep, settled = _copies(rows, ids, k)
-                    ids, rows = ids[keep], [rows[i] for i in keep]
-                    row, node, member = visits_of(grown, decode(kind, rows, dim), visits)
-                    place = first[node >> 32] + (node & 0xFFFFFFFF)
-                    mine = (big[place] == deep) & (member | (not members_only))
-                    row, node, member, sizes = row[mine], node[mine], member[mine], share[place[mine]] * expected
-                    if deep:
-                        chunks = np.maximum(1, np.ceil(2 * sizes / CHUNK)).astype(np.int64)
-                        yield _visit_rows(node, np.zeros(len(row), np.int64), _spread(ids[row], chunks, 3), np.zeros(len(row), np.int64), member, np.ones(len(row), bool), ids[row], pa.array(rows, pa.binary()).take(pa.array(row)))
-                        continue
-                    yield from _in_blocks(node, np.zeros(len(row), np.int64), sizes, row, member, ids, rows)
-                    if settled:
+                    # A visit carries the vector, so few vectors at a time where each has many visits.
+                    for at in range(0, len(keep), step := max(64, ROWS // (len(grown) + visits))):
+                        own, values = ids[keep[at : at + step]], [rows[i] for i in keep[at : at + step]]
+                        row, node, member = visits_of(grown, decode(kind, values, dim), visits)
+                        place = first[node >> 32] + (node & 0xFFFFFFFF)
+                        mine = (big[place] == deep) & (member | (not members_only))
+                        row, node, member, sizes = row[mine], node[mine], member[mine], share[place[mine]] * expected
+                        if deep:
+                            chunks = np.maximum(1, np.ceil(2 * sizes / CHUNK)).astype(np.int64)
+                            yield _visit_rows(node, np.zeros(len(row), np.int64), _spread(own[row], chunks, 3), np.zeros(len(row), np.int64), member, np.ones(len(row), bool), own[row], pa.array(values, pa.binary()).take(pa.array(row)))
+                        else:
+                            yield from _in_blocks(node, np.zeros(len(row), np.int64), sizes, row, member, own, values)
+                    if settled and not deep:
                         a, b = np.array(settled, np.int64).T
                         none = np.zeros(len(a), np.int64)
                         yield _visit_rows(none - 1, none, np.arange(len(a)) % 64, none, none > 0, none == 0, a, pa.array([int(x).to_bytes(8, "little") for x in b], pa.binary()))
@@ -308,16 +345,11 @@ def similar_vectors(
         return run
 
     def compare(group: pa.Table) -> pa.Table:
-        ids = group.column("id").to_numpy()
-        values = group.column("value").to_pylist()
         if group.column("node")[0].as_py() < 0:
-            found = (ids, np.array([int.from_bytes(v, "little") for v in values], np.int64), np.full(len(ids), 10**DECIMALS))
+            ids = group.column("id").to_numpy()
+            found = (ids, np.array([int.from_bytes(v, "little") for v in group.column("value").to_pylist()], np.int64), np.full(len(ids), 10**DECIMALS))
         else:
-            member, visitor = (group.column(c).to_numpy(zero_copy_only=False) for c in ("member", "visitor"))
-            vectors = decode(kind, values, dim)
-            if visitor.all():  # the whole leaf, or one of its two blocks: guests are compared with one another and members with guests, too
-                member = visitor
-            found = nearest(vectors[visitor], ids[visitor], vectors[member], ids[member], k) if member.any() and visitor.any() else (ids[:0], ids[:0], ids[:0])
+            found = compared(kind, group, dim, k)
         return pa.table({"id": found[0], "other": found[1], "similarity": found[2].astype(np.int32)})
 
     rows = narrow.mapInArrow(index(False, reached), _VISIT)
@@ -397,10 +429,10 @@ def _in_blocks(node: np.ndarray, sub: np.ndarray, sizes: np.ndarray, row: np.nda
     turn = turn + (turn >= seat[more])
     at = np.concatenate([again, more])
     yes = np.ones(len(more), bool)
-    yield _visit_rows(
-        node[at], sub[at], np.concatenate([block, own[more]]), np.concatenate([seat[again], turn]), np.concatenate([both, yes]), np.concatenate([np.ones(len(again), bool), ~yes]), ids[row[at]],
-        pa.array(values, pa.binary()).take(pa.array(row[at])),
-    )
+    columns = node[at], sub[at], np.concatenate([block, own[more]]), np.concatenate([seat[again], turn]), np.concatenate([both, yes]), np.concatenate([np.ones(len(again), bool), ~yes]), ids[row[at]]
+    held = pa.array(values, pa.binary())
+    for first in range(0, len(at), ROWS):
+        yield _visit_rows(*(c[first : first + ROWS] for c in columns), held.take(pa.array(row[at[first : first + ROWS]])))
 
 
 def _visit_rows(node, sub, block, visit, member, visitor, ids, values) -> pa.RecordBatch:

@@ -4,9 +4,11 @@ import json
 import math
 import os
 import sys
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -587,6 +589,28 @@ def test_chunks_are_local():
 ODD = [None, "", "   ", "  a\n\n b  c  ", "aaaaaaa" * 50, "\x1c\x85x", "a \x1c\x1d b\x1e\x1f\x1c c", "İ ǅ ½ ² 𝟘 👩‍👩‍👧 é <|endoftext|> 'S don't", "x" * 100_000, "word " * 20_000]
 
 
+def test_leaves_and_visits_of_a_large_table_take_bounded_room():
+    """As many guests of a leaf, and visits of a vector, as a table of millions brings: temporary numbers do not grow with them."""
+    rng = np.random.default_rng(2)
+    n, dim = 12_000, 16
+    v = S.unit(rng.normal(size=(n, dim))).astype(np.float32)
+    ids = rng.permutation(n)
+    group = pa.table({"id": ids, "value": pa.array([x.tobytes() for x in v], pa.binary()), "member": ids % 15 == 0, "visitor": np.ones(n, bool)})
+    tracemalloc.start()
+    id_, other, near = S.compared("f32", group, dim, 3)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100e6  # a step of 512 guests took 150 MB here, and 500 MB with 25,000 of them
+    at = np.argsort(ids)
+    for i in (0, 5_000, n - 1):
+        far = v[at] @ v[at[i]]
+        far[i] = -2
+        assert set(other[id_ == i].tolist()) == set(np.argsort(-far)[:3].tolist())
+    rows = np.repeat(np.arange(700), 40)
+    batches = list(S._in_blocks(np.arange(len(rows)), np.zeros(len(rows), np.int64), np.full(len(rows), 1500.0), rows, rows % 3 > 0, np.arange(700), [b"x" * 64] * 700))
+    assert max(b.num_rows for b in batches) <= S.ROWS and sum(b.num_rows for b in batches) == len(rows)
+
+
 def test_ids_equal_the_library_and_decode(spark):
     tokenizers = pytest.importorskip("tokenizers")
     library = tokenizers.Tokenizer.from_file(E.vocabulary_path())
