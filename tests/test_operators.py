@@ -525,3 +525,15 @@ def test_exact_ranking_moves_no_vector_for_each_candidate(spark):
     assert set(got) == {(i, j) for i in (0, 5, 35) for j in (1, 2, 39)}  # 7 is no query, 99 no record
     x = {r.record_id: np.array(r.vector) / np.linalg.norm(r.vector) for r in vectors.collect()}
     assert all(abs(1 - x[i] @ x[j] - d) < 0.02 for (i, j), d in got.items())
+
+
+def test_questions_to_packs_in_several_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    vectors = spark.createDataFrame([(i, i % 3, v.tolist()) for i, v in enumerate(rng.normal(size=(240, 8)))], "record_id long, pack long, vector array<double>")
+    asked, codes = knn.asked(vectors.where("record_id % 5 = 0").withColumnRenamed("record_id", "query_id")), knn.coded(vectors, 2)
+    found = lambda: {tuple(r) for r in knn.sketch_candidates(asked, codes, 8, 2, 6).collect()}
+    whole = found()
+    assert len(whole) == 48 * 6
+    monkeypatch.setattr(blocks, "KEPT", 120)
+    monkeypatch.setattr(blocks, "WAITING", 40)
+    assert found() == whole
